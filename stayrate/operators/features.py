@@ -254,7 +254,8 @@ def commercial(contracts: DataFrame, engaged: DataFrame, as_of: date) -> DataFra
     )
     sessions = engaged.select("customer_id", fixed(F.col("avg_session_min_30d"), 6).alias("_minutes"))
     scale = exact_quantile(sessions, "_minutes", 0.95, "_p95").scalar()
-    depth = sessions.select("customer_id", F.least(ratio(F.col("_minutes"), scale), F.lit(1.0)).alias("_depth"))
+    share = F.least(F.coalesce(ratio(F.col("_minutes"), scale), F.lit(0.0)), F.lit(1.0))
+    depth = sessions.select("customer_id", share.alias("_depth"))
     trend = ratio(F.col("_now") - F.col("_then"), F.col("_then"))
     return moved.join(depth, "customer_id", "left").select(
         "customer_id",

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.operators import features
-from stayrate.plans.frames import Signals, customer_frame
-from stayrate.sources.fixtures import AS_OF, FixtureTables
+from stayrate.functions.columns import fixed
+from stayrate.operators import (
+    cohorts, engineering, evaluation, explain, exploration, features, kpi, quality, recovery, scoring,
+)
+from stayrate.plans.frames import NUMERIC, Signals, customer_frame
+from stayrate.session import scratch_path
+from stayrate.sources import sinks
+from stayrate.sources.fixtures import AS_OF, FIRST_SCORING, FixtureTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +81,360 @@ def feat_commercial(tables):
 @query
 def training_set(tables):
     return customer_frame(tables, AS_OF)
+
+
+# ------------------------------------------------------------------------------ sources and quality
+@query
+def load_tables(tables):
+    return quality.table_profile(tables, [
+        "customers", "contracts", "billing_events", "product_usage", "support_tickets", "nps_responses",
+        "churn_scores", "recovery_actions",
+    ])
+
+
+@query
+def dq_not_null(tables):
+    return quality.not_null(tables)
+
+
+@query
+def dq_domain(tables):
+    return quality.domain(tables)
+
+
+@query
+def dq_range(tables):
+    return quality.value_range(tables)
+
+
+@query
+def dq_primary_key(tables):
+    return quality.primary_key(tables)
+
+
+@query
+def dq_foreign_key(tables):
+    return quality.foreign_key(tables)
+
+
+@query
+def dq_single_active(tables):
+    return quality.single_active(tables.get("contracts"))
+
+
+# ------------------------------------------------------------------------------ cohorts and survival
+def _payments(tables):
+    return tables.get("billing_events", None, AS_OF)
+
+
+@query
+def cohort_retention(tables):
+    return cohorts.retention(tables.get("customers"), _payments(tables), AS_OF)
+
+
+@query
+def cohort_grid(tables):
+    return cohorts.grid(tables.get("customers"), _payments(tables), AS_OF)
+
+
+@query
+def km_survival(tables):
+    return cohorts.survival(tables.get("customers"), tables.get("contracts"), AS_OF)
+
+
+@query
+def km_median(tables):
+    return cohorts.median_survival(cohorts.survival(tables.get("customers"), tables.get("contracts"), AS_OF))
+
+
+# ------------------------------------------------------------------------------ revenue at risk, KPIs
+def _accounts(tables):
+    return tables.get("churn_scores"), tables.get("contracts"), tables.get("customers"), AS_OF
+
+
+@query
+def latest_scores(tables):
+    return kpi.latest_scores(tables.get("churn_scores"))
+
+
+@query
+def revenue_at_risk(tables):
+    return kpi.revenue_at_risk(*_accounts(tables))
+
+
+@query
+def risk_rollup(tables):
+    return kpi.risk_rollup(*_accounts(tables))
+
+
+@query
+def churn_trend_as_written(tables):
+    return kpi.churn_trend(tables.get("contracts"), AS_OF).orderBy("month")
+
+
+@query
+def churn_rate_monthly(tables):
+    return kpi.churn_rate_monthly(tables.get("contracts"), AS_OF)
+
+
+@query
+def churn_forecast(tables):
+    return kpi.churn_forecast(tables.get("contracts"), AS_OF)
+
+
+@query
+def top_accounts(tables):
+    return kpi.top_accounts(*_accounts(tables))
+
+
+@query
+def driver_frequency(tables):
+    return kpi.driver_frequency(tables.get("churn_scores"))
+
+
+@query
+def kpi_tiles(tables):
+    return kpi.tiles(tables.get("churn_scores"), tables.get("contracts"), tables.get("recovery_actions"), AS_OF)
+
+
+@query
+def tier_distribution(tables):
+    return kpi.tier_distribution(tables.get("churn_scores"))
+
+
+@query
+def mrr_waterfall(tables):
+    return kpi.mrr_waterfall(tables.get("contracts"), AS_OF)
+
+
+@query
+def risk_register(tables):
+    return kpi.risk_register(*_accounts(tables))
+
+
+@query
+def probability_histogram(tables):
+    return kpi.probability_histogram(tables.get("churn_scores"))
+
+
+@query
+def register_pivot(tables):
+    return kpi.register_pivot(*_accounts(tables))
+
+
+@query
+def churn_by_contract(tables):
+    return kpi.churn_by_contract(customer_frame(tables, AS_OF))
+
+
+# ------------------------------------------------------------------------------ recovery
+@query
+def action_queue(tables):
+    return recovery.action_queue(tables.get("churn_scores"), tables.get("customers"), tables.get("recovery_actions"))
+
+
+@query
+def recovery_kpis(tables):
+    return recovery.recovery_kpis(tables.get("churn_scores"), tables.get("recovery_actions"))
+
+
+@query
+def save_rate_by_intervention(tables):
+    return recovery.save_rate_by_intervention(tables.get("recovery_actions"))
+
+
+@query
+def recovery_scenario(tables):
+    return recovery.recovery_scenario(tables.get("churn_scores"))
+
+
+# ------------------------------------------------------------------------------ feature engineering
+def _frame(tables):
+    return customer_frame(tables, AS_OF)
+
+
+@query
+def fe_interactions(tables):
+    return _frame(tables).select("customer_id", *[fixed(c, 6).alias(n) for n, c in engineering.interactions().items()])
+
+
+@query
+def fe_risk_raw(tables):
+    return _frame(tables).select("customer_id", *[fixed(c, 6).alias(n) for n, c in engineering.risk_raw().items()])
+
+
+@query
+def fe_tenure_bucket(tables):
+    return _frame(tables).select("customer_id", "tenure_months", engineering.tenure_bucket().alias("tenure_bucket"))
+
+
+@query
+def fe_flags(tables):
+    return _frame(tables).select("customer_id", *[c.alias(n) for n, c in engineering.flags().items()])
+
+
+@query
+def fe_onehot(tables):
+    hot = engineering.one_hot(engineering.FIXTURE_INDUSTRIES)
+    return _frame(tables).select("customer_id", *[c.alias(n) for n, c in hot.items()])
+
+
+@query
+def fe_matrix(tables):
+    m = engineering.matrix(_frame(tables), NUMERIC, engineering.FIXTURE_INDUSTRIES)
+    names = engineering.feature_names(m)
+    return m.select("customer_id", *[fixed(F.col(f"`{n}`"), 6).alias(n) for n in names], "churn_label")
+
+
+@query
+def scorecard(tables):
+    return engineering.scorecard(_frame(tables), digits=6)
+
+
+# ------------------------------------------------------------------------------ exploration
+@query
+def churn_overview(tables):
+    return exploration.overview(_frame(tables))
+
+
+@query
+def revenue_lost_by_size(tables):
+    return exploration.revenue_lost_by_size(_frame(tables))
+
+
+@query
+def class_histogram(tables):
+    return exploration.class_histogram(_frame(tables))
+
+
+@query
+def class_means(tables):
+    return exploration.class_means(_frame(tables))
+
+
+@query
+def mann_whitney(tables):
+    return exploration.mann_whitney(_frame(tables))
+
+
+@query
+def correlation_matrix(tables):
+    return exploration.correlation_matrix(_frame(tables))
+
+
+@query
+def driver_lift(tables):
+    return exploration.driver_lift(_frame(tables))
+
+
+@query
+def rule_accuracy(tables):
+    return exploration.rule_accuracy(_frame(tables))
+
+
+@query
+def nps_slope(tables):
+    return exploration.nps_slope(_frame(tables))
+
+
+# ------------------------------------------------------------------------------ evaluation on the scorecard
+def _scored(tables):
+    return engineering.scorecard(_frame(tables), digits=4).withColumn("model", F.lit("scorecard"))
+
+
+@query
+def auc_roc(tables):
+    return evaluation.auc_roc(_scored(tables))
+
+
+@query
+def brier(tables):
+    return evaluation.brier(_scored(tables))
+
+
+@query
+def confusion_matrix(tables):
+    return evaluation.confusion_matrix(_scored(tables), threshold=0.1)
+
+
+@query
+def classification_report(tables):
+    return evaluation.classification_report(_scored(tables), threshold=0.1)
+
+
+@query
+def roc_curve(tables):
+    return evaluation.roc_curve(_scored(tables))
+
+
+@query
+def pr_curve(tables):
+    return evaluation.pr_curve(_scored(tables))
+
+
+@query
+def score_density(tables):
+    return evaluation.score_density(_scored(tables))
+
+
+@query
+def calibration_bins(tables):
+    return evaluation.calibration_bins(_scored(tables))
+
+
+# ------------------------------------------------------------------------------ explanation of the scorecard
+_TERMS = list(engineering.SCORECARD)
+
+
+def _contributions(tables, *keep):
+    return explain.linear_contributions(_frame(tables), engineering.scorecard_terms(), ("customer_id", *keep))
+
+
+@query
+def shap_global(tables):
+    return explain.global_importance(_contributions(tables), _TERMS)
+
+
+@query
+def shap_by_segment(tables):
+    return explain.importance_by_segment(_contributions(tables, "company_size"), _TERMS)
+
+
+@query
+def top_drivers(tables):
+    return explain.top_drivers(_contributions(tables), _TERMS)
+
+
+# ------------------------------------------------------------------------------ scoring
+@query
+def risk_tiers(tables):
+    return scoring.tiers(engineering.scorecard(_frame(tables)))
+
+
+def _score_output(tables):
+    frame = _frame(tables)
+    drivers = explain.top_drivers(explain.linear_contributions(frame, engineering.scorecard_terms()), _TERMS)
+    return scoring.score_output(frame, engineering.scorecard(frame), AS_OF, "scorecard-v1", drivers)
+
+
+@query
+def score_output(tables):
+    return _score_output(tables).orderBy(F.desc("churn_probability"), "customer_id")
+
+
+@query
+def tier_summary(tables):
+    frame = _frame(tables)
+    return scoring.tier_summary(scoring.score_output(frame, engineering.scorecard(frame), AS_OF, "scorecard-v1"))
+
+
+@query
+def write_scores(tables):
+    path = scratch_path(tables.spark, "scores")
+    sinks.write_scores(_score_output(tables), path)
+    return tables.spark.read.parquet(path)
+
+
+@query
+def tier_migration(tables):
+    return scoring.tier_migration(tables.get("churn_scores"), FIRST_SCORING, AS_OF)
