@@ -76,28 +76,38 @@ def add_neighbour(
     tie: str,
     values: dict[str, str],
     following: bool = True,
+    heavy_rows: int = 1_000_000,
 ) -> DataFrame:
     """Values of the next (or previous) row per key in (day, tie) order.
 
-    A key may own a large share of all rows, so rows are compared inside (key, week) only. The first
-    (last) row of every other week of the key is handed over as one extra row per week.
+    Ordinary keys need one window. A key with more than ``heavy_rows`` rows is cut into days: its rows are
+    compared inside a day, and the first (last) row of every other day is handed over as one extra row.
+    At most rows / heavy_rows keys are heavy, which bounds the broadcast table.
     """
+    heavy = (
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+        .select(key, F.lit(True).alias("_heavy"))
+    )
     edge = F.min_by if following else F.max_by
     step = 1 if following else -1
-    carried_struct = F.struct(*[F.col(c).alias(name) for name, c in values.items()])
-    rows = df.withColumn("_week", F.trunc(day, "week")).withColumn("_carry", carried_struct)
-    edges = rows.groupBy(key, "_week").agg(edge("_carry", F.struct(day, tie)).alias("_carry"))
-    by_week = W.partitionBy(key).orderBy("_week")
+    rows = df.join(F.broadcast(heavy), key, "left").withColumns({
+        "_slice": F.when(F.col("_heavy"), F.col(day)),
+        "_carry": F.struct(*[F.col(c).alias(name) for name, c in values.items()]),
+    })
+    edges = (
+        rows.where(F.col("_heavy")).groupBy(key, "_slice").agg(edge("_carry", F.struct(day, tie)).alias("_carry"))
+    )
+    by_slice = W.partitionBy(key).orderBy("_slice")
     handed = edges.select(
-        key, "_week", F.lag("_carry", -step).over(by_week).alias("_carry"), F.lit(True).alias("_handed")
+        key, "_slice", F.lag("_carry", -step).over(by_slice).alias("_carry"), F.lit(True).alias("_handed")
     ).where(F.col("_carry").isNotNull())
-    # a handed-over row sorts after its week when looking ahead, before it when looking back
+    # a handed-over row sorts after its day when looking ahead, before it when looking back
     place = F.when(F.col("_handed"), F.lit(step)).otherwise(F.lit(0))
-    inside = W.partitionBy(key, "_week").orderBy(place, day, tie)
-    joined = rows.withColumn("_handed", F.lit(False)).unionByName(handed, allowMissingColumns=True)
+    inside = W.partitionBy(key, "_slice").orderBy(place, day, tie)
+    joined = rows.drop("_heavy").withColumn("_handed", F.lit(False)).unionByName(handed, allowMissingColumns=True)
     return (
         joined.withColumn("_found", F.lag("_carry", -step).over(inside))
         .where(~F.col("_handed"))
         .withColumns({name: F.col("_found")[name] for name in values})
-        .drop("_week", "_carry", "_handed", "_found")
+        .drop("_slice", "_carry", "_handed", "_found")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,13 @@ _CONTRACT_COLUMNS = [
 ]
 
 
-def known_end(as_of: date) -> Column:
+def known_end(as_of: date, prefix: str = "") -> Column:
     """The contract end as it could be known at as_of: ends set by later events are hidden."""
-    ended_later = F.coalesce(F.col("churned_at") > F.lit(as_of), F.lit(False)) | (
-        F.col("status").isin("Upgraded", "Downgraded") & F.coalesce(F.col("end_date") > F.lit(as_of), F.lit(False))
+    churned_at, status, end = (F.col(prefix + c) for c in ("churned_at", "status", "end_date"))
+    ended_later = F.coalesce(churned_at > F.lit(as_of), F.lit(False)) | (
+        status.isin("Upgraded", "Downgraded") & F.coalesce(end > F.lit(as_of), F.lit(False))
     )
-    return F.when(~ended_later, F.col("end_date"))
+    return F.when(~ended_later, end)
 
 
 def in_force(day: Column) -> Column:
@@ -32,51 +34,108 @@ def in_force(day: Column) -> Column:
     return (F.col("start_date") <= day) & (open_ended | (F.col("end_date") > day))
 
 
-def live_contract(contracts: DataFrame, as_of: date, active_by: str = "status") -> DataFrame:
-    """One contract per customer.
+def contract_state(
+    contracts: DataFrame, as_of: date, active_by: str = "status", horizon: int | None = None
+) -> DataFrame:
+    """One row per customer from one pass over the contracts: live contract, revenue, MRR movement, label.
 
-    ``status``: newest contract whose snapshot status is Active. ``dates``: newest contract started by
-    as_of and not churned by then, from dates alone, for use at any past as_of.
+    ``status``: the live contract is the newest whose snapshot status is Active. ``dates``: the newest
+    started by as_of and not churned by then, and only months and ends known by as_of count: for use at
+    any past as_of. With a horizon the churn label of (as_of, as_of + horizon] is added.
     """
-    started = contracts.where(F.col("start_date") <= F.lit(as_of))
-    if active_by == "status":
-        started = started.where(F.col("status") == "Active")
-    elif active_by != "dates":
+    if active_by not in ("status", "dates"):
         raise ValueError(f"active_by must be 'status' or 'dates', not {active_by!r}")
-    newest = (
-        started.groupBy("customer_id")
-        .agg(F.max_by(F.struct(*_CONTRACT_COLUMNS), F.struct("start_date", "contract_id")).alias("c"))
-        .select("customer_id", "c.*")
-    )
+    now, then = F.lit(as_of), days_before(as_of, 90)
+    started = F.col("start_date") <= now
+    charges, none = F.col("monthly_charges"), F.lit(0).cast("decimal(12,2)")
+    order = F.struct("start_date", "contract_id")
+    running = in_force(now)
     if active_by == "status":
-        return newest
-    gone = F.coalesce(F.col("churned_at") <= F.lit(as_of), F.lit(False))
-    return newest.where(~gone).withColumn("end_date", known_end(as_of))
+        candidate, current = started & (F.col("status") == "Active"), F.col("status") == "Active"
+        until = F.coalesce("end_date", now)
+    else:
+        candidate, current = started, running
+        until = F.least(F.coalesce(known_end(as_of), now), now)
+
+    def total(condition: Column, amount: Column = charges) -> Column:
+        return F.sum(F.when(started & condition, amount).otherwise(none)).cast("decimal(18,2)")
+
+    measures = [
+        F.max_by(F.struct(*_CONTRACT_COLUMNS), F.when(candidate, order)).alias("live"),
+        total(current).alias("current_mrr"),
+        F.sum(F.when(started, charges * complete_months(F.col("start_date"), until)))
+        .cast("decimal(18,2)").alias("total_lifetime_revenue"),
+        # contract_id is the primary key: no distinct needed, so no second shuffle
+        F.count(F.when(started, F.col("contract_id"))).alias("num_contracts"),
+        (F.max(F.when(started, charges)) - F.min(F.when(started, charges))).cast("decimal(18,2)").alias("mrr_expansion"),
+        (F.max_by(charges, F.when(started, order)) - F.min_by(charges, F.when(started, order)))
+        .cast("decimal(18,2)").alias("mrr_delta"),
+        total(running).alias("mrr_now"),
+        total(in_force(then)).alias("mrr_then"),
+        F.count_if(started & (F.col("status") == "Upgraded") & (F.col("end_date") <= now)).alias("upgrades"),
+    ]
+    last_start = as_of
+    if horizon is not None:
+        last_start = as_of + timedelta(days=horizon)
+        gone = (F.col("churned_at") > now) & (F.col("churned_at") <= F.lit(last_start))
+        measures.append(F.max(flag(gone)).alias("churn_label"))
+    state = contracts.where(F.col("start_date") <= F.lit(last_start)).groupBy("customer_id").agg(*measures)
+    if active_by == "dates":
+        churned = F.coalesce(F.col("live.churned_at") <= now, F.lit(False))
+        end = known_end(as_of, "live.")
+        state = state.withColumn(
+            "live", F.when(~churned, F.col("live").withField("end_date", end))
+        )
+    return state
 
 
-def tenure(
-    customers: DataFrame, contracts: DataFrame, as_of: date, active_by: str = "status", compat: bool = False
-) -> DataFrame:
-    """Contract and account signals of customers with a live contract.
+def live_contract(contracts: DataFrame, as_of: date, active_by: str = "status") -> DataFrame:
+    """The one contract of each customer that is live at as_of."""
+    state = contract_state(contracts, as_of, active_by)
+    return state.where(F.col("live").isNotNull()).select("customer_id", "live.*")
+
+
+def account(customers: DataFrame, state: DataFrame, as_of: date, compat: bool = False) -> DataFrame:
+    """Contract, account and revenue signals of customers with a live contract.
 
     ``compat`` keeps only the month component of the tenure (0..11).
     """
     months = complete_months(F.col("acquisition_date"), F.lit(as_of))
-    due = F.col("end_date") <= F.lit(as_of + timedelta(days=90))
-    overdue = F.col("end_date") <= F.lit(as_of)
-    return live_contract(contracts, as_of, active_by).join(customers, "customer_id").select(
+    end = F.col("live.end_date")
+    rest = [c for c in state.columns if c not in ("customer_id", "live")]
+    return state.where(F.col("live").isNotNull()).join(customers, "customer_id").select(
         "customer_id",
         (months % 12 if compat else months).alias("tenure_months"),
-        "contract_type", "monthly_charges", "num_products",
-        F.col("has_addon").cast("int").alias("has_addon"),
-        "discount_pct",
-        flag(due).alias("renewal_due_90d"),
-        flag(overdue).alias("renewal_overdue"),
+        "live.contract_type", "live.monthly_charges", "live.num_products",
+        F.col("live.has_addon").cast("int").alias("has_addon"),
+        "live.discount_pct",
+        flag(end <= F.lit(as_of + timedelta(days=90))).alias("renewal_due_90d"),
+        flag(end <= F.lit(as_of)).alias("renewal_overdue"),
         "industry", "company_size", "region",
         flag(F.col("csm_owner").isNotNull()).alias("csm_assigned"),
+        *rest,
     )
 
 
+TENURE = [
+    "customer_id", "tenure_months", "contract_type", "monthly_charges", "num_products", "has_addon", "discount_pct",
+    "renewal_due_90d", "industry", "company_size", "region", "csm_assigned",
+]
+REVENUE = ["customer_id", "current_mrr", "total_lifetime_revenue", "num_contracts", "mrr_expansion", "mrr_delta"]
+
+
+def tenure(
+    customers: DataFrame, contracts: DataFrame, as_of: date, active_by: str = "status", compat: bool = False
+) -> DataFrame:
+    rows = account(customers, contract_state(contracts, as_of, active_by), as_of, compat)
+    return rows.select(*TENURE, "renewal_overdue")
+
+
+def revenue(contracts: DataFrame, as_of: date, active_by: str = "status") -> DataFrame:
+    """MRR, lifetime revenue and its spread over all contracts of a customer."""
+    return contract_state(contracts, as_of, active_by).select(*REVENUE)
+
+
 def billing(events: DataFrame, as_of: date) -> DataFrame:
     kind, day = F.col("event_type"), F.col("event_date")
     return (
@@ -153,30 +212,6 @@ def nps(responses: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def revenue(contracts: DataFrame, as_of: date, active_by: str = "status") -> DataFrame:
-    """MRR and lifetime revenue. ``dates`` counts only months and ends known by as_of."""
-    charges = F.col("monthly_charges")
-    if active_by == "dates":
-        current = in_force(F.lit(as_of))
-        until = F.least(F.coalesce(known_end(as_of), F.lit(as_of)), F.lit(as_of))
-    else:
-        current = F.col("status") == "Active"
-        until = F.coalesce("end_date", F.lit(as_of))
-    months = complete_months(F.col("start_date"), until)
-    order = F.struct("start_date", "contract_id")
-    return (
-        contracts.where(F.col("start_date") <= F.lit(as_of))
-        .groupBy("customer_id")
-        .agg(
-            F.sum(F.when(current, charges).otherwise(F.lit(0).cast("decimal(12,2)"))).cast("decimal(18,2)").alias("current_mrr"),
-            F.sum(charges * months).cast("decimal(18,2)").alias("total_lifetime_revenue"),
-            F.count("contract_id").alias("num_contracts"),  # primary key: needs no distinct, so no second shuffle
-            (F.max(charges) - F.min(charges)).cast("decimal(18,2)").alias("mrr_expansion"),
-            (F.max_by(charges, order) - F.min_by(charges, order)).cast("decimal(18,2)").alias("mrr_delta"),
-        )
-    )
-
-
 def risk_parts() -> dict[str, Column]:
     """The four 0..1 risk parts on a joined row of tenure, engagement, billing, support and nps columns."""
     since_login = F.coalesce(F.col("days_since_login"), F.lit(90))
@@ -223,50 +258,40 @@ DEFAULTS = {
 }
 
 
-def final_features(
-    base: DataFrame, billed: DataFrame, engaged: DataFrame, supported: DataFrame, surveyed: DataFrame, earned: DataFrame
-) -> DataFrame:
-    """All signals with defaults and the composite risk, highest first."""
-    joined = join_signals(
-        base.drop("renewal_overdue"), billed, engaged, supported, surveyed, earned
-    )
-    parts = risk_parts()
-    total = sum((part * 0.25 for part in parts.values()), F.lit(0.0))
-    kinds = dict(joined.dtypes)
-    filled = [
-        F.coalesce(F.col(source), F.lit(default).cast(kinds[source])).alias(name)
-        for name, (source, default) in DEFAULTS.items()
+def session_scale(engaged: DataFrame) -> Column:
+    """95th percentile of the mean session minutes, as a scalar subquery."""
+    minutes = engaged.select(fixed(F.col("avg_session_min_30d"), 6).alias("minutes"))
+    return exact_quantile(minutes, "minutes", 0.95, "p95").scalar()
+
+
+def commercial_columns(minutes: Column, scale: Column) -> list[Column]:
+    """MRR trend over 90 days, upgrades (at most 5), session depth; on a row with contract state."""
+    trend = ratio(F.col("mrr_now") - F.col("mrr_then"), F.col("mrr_then"))
+    depth = F.least(F.coalesce(ratio(fixed(minutes, 6), scale), F.lit(0.0)), F.lit(1.0))
+    return [
+        fixed(F.coalesce(trend, F.lit(0.0)), 6).alias("mrr_trend_90d"),
+        F.least(F.col("upgrades"), F.lit(5)).cast("int").alias("expansion_events"),
+        fixed(depth, 6).alias("session_depth_score"),
     ]
-    return joined.select(
-        *[c for c in base.columns if c != "renewal_overdue"], *filled, fixed(total, 4).alias("composite_risk_score")
-    )
 
 
 def commercial(contracts: DataFrame, engaged: DataFrame, as_of: date) -> DataFrame:
-    """MRR trend over 90 days, upgrade count (at most 5) and session depth relative to the 95th percentile."""
-    then = days_before(as_of, 90)
-    charges = F.col("monthly_charges")
-    zero = F.lit(0).cast("decimal(12,2)")
-    moved = contracts.where(F.col("start_date") <= F.lit(as_of)).groupBy("customer_id").agg(
-        F.sum(F.when(in_force(F.lit(as_of)), charges).otherwise(zero)).alias("_now"),
-        F.sum(F.when(in_force(then), charges).otherwise(zero)).alias("_then"),
-        F.count_if((F.col("status") == "Upgraded") & (F.col("end_date") <= F.lit(as_of))).alias("_up"),
-    )
-    sessions = engaged.select("customer_id", fixed(F.col("avg_session_min_30d"), 6).alias("_minutes"))
-    scale = exact_quantile(sessions, "_minutes", 0.95, "_p95").scalar()
-    share = F.least(F.coalesce(ratio(F.col("_minutes"), scale), F.lit(0.0)), F.lit(1.0))
-    depth = sessions.select("customer_id", share.alias("_depth"))
-    trend = ratio(F.col("_now") - F.col("_then"), F.col("_then"))
-    return moved.join(depth, "customer_id", "left").select(
-        "customer_id",
-        fixed(F.coalesce(trend, F.lit(0.0)), 6).alias("mrr_trend_90d"),
-        F.least(F.col("_up"), F.lit(5)).cast("int").alias("expansion_events"),
-        fixed(F.coalesce(F.col("_depth"), F.lit(0.0)), 6).alias("session_depth_score"),
+    sessions = engaged.select("customer_id", "avg_session_min_30d")
+    return contract_state(contracts, as_of).join(sessions, "customer_id", "left").select(
+        "customer_id", *commercial_columns(F.col("avg_session_min_30d"), session_scale(engaged))
     )
 
 
-def churn_label(contracts: DataFrame, as_of: date, horizon: int = 90) -> DataFrame:
-    """Customers whose contract churned in (as_of, as_of + horizon]."""
-    until = F.lit(as_of + timedelta(days=horizon))
-    when = F.col("churned_at")
-    return contracts.where((when > F.lit(as_of)) & (when <= until)).select("customer_id").distinct()
+def final_features(
+    accounts: DataFrame, billed: DataFrame, engaged: DataFrame, supported: DataFrame, surveyed: DataFrame,
+    also: Sequence[Column | str] = (),
+) -> DataFrame:
+    """All signals with defaults and the composite risk. ``also`` adds columns of the joined row."""
+    joined = join_signals(accounts, billed, engaged, supported, surveyed)
+    total = sum((part * 0.25 for part in risk_parts().values()), F.lit(0.0))
+    kinds = dict(joined.dtypes)
+    filled = [
+        F.coalesce(F.col(source), F.lit(default).cast(kinds[source])).alias(name)
+        for name, (source, default) in DEFAULTS.items()
+    ]
+    return joined.select(*TENURE, *filled, fixed(total, 4).alias("composite_risk_score"), *also)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.columns import fixed
 from stayrate.operators import (
-    cohorts, engineering, evaluation, explain, exploration, features, kpi, quality, recovery, scoring,
+    cohorts, engineering, evaluation, explain, exploration, kpi, quality, recovery, scoring,
 )
 from stayrate.plans.frames import NUMERIC, Signals, customer_frame
 from stayrate.session import scratch_path
@@ -34,38 +34,37 @@ def query(build: Callable[[FixtureTables], DataFrame]) -> Query:
 # ------------------------------------------------------------------------------ features
 @query
 def feat_tenure(tables):
-    return Signals(tables, AS_OF).tenure
+    return Signals(tables, AS_OF).tenure()
 
 
 @query
 def feat_billing(tables):
-    return Signals(tables, AS_OF).billing
+    return Signals(tables, AS_OF).billing()
 
 
 @query
 def feat_engagement(tables):
-    return Signals(tables, AS_OF).engagement
+    return Signals(tables, AS_OF).engagement()
 
 
 @query
 def feat_support(tables):
-    return Signals(tables, AS_OF).support
+    return Signals(tables, AS_OF).support()
 
 
 @query
 def feat_nps(tables):
-    return Signals(tables, AS_OF).nps
+    return Signals(tables, AS_OF).nps()
 
 
 @query
 def feat_revenue(tables):
-    return Signals(tables, AS_OF).revenue
+    return Signals(tables, AS_OF).revenue()
 
 
 @query
 def feat_risk(tables):
-    s = Signals(tables, AS_OF)
-    return features.risk(s.tenure, s.billing, s.engagement, s.support, s.nps)
+    return Signals(tables, AS_OF).risk()
 
 
 @query
@@ -75,7 +74,7 @@ def feat_final(tables):
 
 @query
 def feat_commercial(tables):
-    return Signals(tables, AS_OF).commercial
+    return Signals(tables, AS_OF).commercial()
 
 
 @query

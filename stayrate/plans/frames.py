@@ -20,64 +20,55 @@ CATEGORICAL = ["contract_type", "industry", "company_size"]
 
 
 class Signals:
-    """The per-topic feature tables of one as_of date, built on demand and shared between consumers."""
+    """The per-topic feature tables of one as_of date, each fact table read once and bounded in the scan."""
 
-    def __init__(self, tables: Tables, as_of: date, active_by: str = "status"):
-        self.tables, self.as_of, self.active_by = tables, as_of, active_by
-        self._built: dict[str, DataFrame] = {}
-
-    def _once(self, name: str, build) -> DataFrame:
-        if name not in self._built:
-            self._built[name] = build()
-        return self._built[name]
-
-    @property
-    def contracts(self) -> DataFrame:
-        return self.tables.get("contracts")
+    def __init__(self, tables: Tables, as_of: date, active_by: str = "status", horizon: int | None = None):
+        self.tables, self.as_of, self.active_by, self.horizon = tables, as_of, active_by, horizon
 
     def _facts(self, name: str, days: int | None) -> DataFrame:
         since = None if days is None else self.as_of - timedelta(days=days)
         return self.tables.get(name, since, self.as_of)
 
-    @property
+    def state(self) -> DataFrame:
+        return features.contract_state(self.tables.get("contracts"), self.as_of, self.active_by, self.horizon)
+
+    def account(self) -> DataFrame:
+        return features.account(self.tables.get("customers"), self.state(), self.as_of)
+
     def tenure(self) -> DataFrame:
-        return self._once("tenure", lambda: features.tenure(
-            self.tables.get("customers"), self.contracts, self.as_of, self.active_by))
+        return self.account().select(*features.TENURE, "renewal_overdue")
+
+    def revenue(self) -> DataFrame:
+        return self.state().select(*features.REVENUE)
 
-    @property
     def billing(self) -> DataFrame:
-        return self._once("billing", lambda: features.billing(self._facts("billing_events", None), self.as_of))
+        return features.billing(self._facts("billing_events", None), self.as_of)
 
-    @property
-    def engagement(self) -> DataFrame:
-        return self._once("engagement", lambda: features.engagement(self._facts("product_usage", 90), self.as_of))
+    def engagement(self, days: int = 90) -> DataFrame:
+        return features.engagement(self._facts("product_usage", days), self.as_of)
 
-    @property
     def support(self) -> DataFrame:
-        return self._once("support", lambda: features.support(self._facts("support_tickets", 365), self.as_of))
+        return features.support(self._facts("support_tickets", 365), self.as_of)
 
-    @property
     def nps(self) -> DataFrame:
-        return self._once("nps", lambda: features.nps(self._facts("nps_responses", None), self.as_of))
-
-    @property
-    def revenue(self) -> DataFrame:
-        return self._once("revenue", lambda: features.revenue(self.contracts, self.as_of, self.active_by))
+        return features.nps(self._facts("nps_responses", None), self.as_of)
 
-    @property
     def commercial(self) -> DataFrame:
-        return self._once("commercial", lambda: features.commercial(self.contracts, self.engagement, self.as_of))
+        # session minutes need the last 30 days only
+        return features.commercial(self.tables.get("contracts"), self.engagement(days=30), self.as_of)
+
+    def risk(self) -> DataFrame:
+        return features.risk(self.tenure(), self.billing(), self.engagement(), self.support(), self.nps())
 
-    def final(self) -> DataFrame:
+    def final(self, also=()) -> DataFrame:
         return features.final_features(
-            self.tenure, self.billing, self.engagement, self.support, self.nps, self.revenue)
+            self.account(), self.billing(), self.engagement(), self.support(), self.nps(), also)
 
 
 def customer_frame(tables: Tables, as_of: date, horizon: int = 90) -> DataFrame:
     """The flat frame behind exploration, training and scoring: customers live at as_of, with their label."""
-    signals = Signals(tables, as_of, active_by="dates")
-    churned = features.churn_label(signals.contracts, as_of, horizon).withColumn("churn_label", F.lit(1))
-    return features.join_signals(signals.final(), signals.commercial, churned).select(
-        "customer_id", *CATEGORICAL, *NUMERIC,
-        F.coalesce("churn_label", F.lit(0)).alias("churn_label"),
-    )
+    signals = Signals(tables, as_of, active_by="dates", horizon=horizon)
+    scale = features.session_scale(signals.engagement(days=30))
+    extra = features.commercial_columns(F.col("avg_session_min_30d"), scale)
+    rows = signals.final([*extra, "churn_label"])
+    return rows.select("customer_id", *CATEGORICAL, *NUMERIC, "churn_label")

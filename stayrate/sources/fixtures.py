@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +19,35 @@ _USAGE_ORIGIN = date(2001, 11, 4)
 _USAGE_CLOCK = date(2001, 8, 1)
 _USAGE_FACTOR = 8
 
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def _customer_id(key: str) -> Column:
     return F.concat(F.lit("CUST-"), F.lpad(F.col(key).cast("string"), 9, "0"))
 
 
-def _midnight(day: date) -> Column:
-    return F.lit(datetime.combine(day, time())).cast("timestamp_ntz")
-
-
 class FixtureTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
+        self._raw: dict[str, DataFrame] = {}
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table with its declared schema: no footer is read to plan a query."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def _read(self, name: str, since: date | None, until: date | None) -> DataFrame:
         return getattr(self, f"_{name}")(since, until)

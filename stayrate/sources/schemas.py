@@ -55,6 +55,7 @@ EVENT_DAY = {
     "support_tickets": "opened_at",
     "nps_responses": "survey_date",
 }
+NULLABLE_DAYS = {"survey_date"}
 
 # fixed values: closed domains of the data model
 COMPANY_SIZES = ["SMB", "Mid-Market", "Enterprise"]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.sources.schemas import EVENT_DAY, SCHEMAS
+from stayrate.sources.schemas import EVENT_DAY, NULLABLE_DAYS, SCHEMAS
 
 
 class Tables:
@@ -34,18 +34,21 @@ class Tables:
 def bound_by_day(df: DataFrame, column: str, since: date | None, until: date | None) -> DataFrame:
     """Keep days since..until (inclusive) with plain comparisons that reach the scan.
 
-    Rows without a day are kept: only the operator knows what a missing day means.
+    Undated survey responses are kept: only the operator knows what a missing day means there.
     """
     is_day = dict(df.dtypes)[column] == "date"
-    undated = F.col(column).isNull()
+
+    def at(day: date) -> Column:
+        return F.lit(day) if is_day else F.lit(datetime.combine(day, time())).cast("timestamp_ntz")
+
+    within = F.lit(True)
     if since is not None:
-        low = F.lit(since) if is_day else F.lit(datetime.combine(since, time())).cast("timestamp_ntz")
-        df = df.where((F.col(column) >= low) | undated)
+        within = within & (F.col(column) >= at(since))
     if until is not None:
-        after = until + timedelta(days=1)
-        high = F.lit(after) if is_day else F.lit(datetime.combine(after, time())).cast("timestamp_ntz")
-        df = df.where((F.col(column) < high) | undated)
-    return df
+        within = within & (F.col(column) < at(until + timedelta(days=1)))
+    if since is None and until is None:
+        return df
+    return df.where(within | F.col(column).isNull() if column in NULLABLE_DAYS else within)
 
 
 class StoredTables(Tables):
