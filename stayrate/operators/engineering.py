@@ -42,12 +42,16 @@ def interactions() -> dict[str, Column]:
     }
 
 
-def risk_raw() -> dict[str, Column]:
-    """Risk parts on their own scales; delays outside 0..4 have no defined payment risk."""
+def risk_raw(complete: bool = False) -> dict[str, Column]:
+    """Risk parts on their own scales; delays outside 0..4 have no defined payment risk.
+
+    ``complete`` goes on with 0.3 per delay, for models that take no missing values.
+    """
     delays = F.col("payment_delays_6m")
+    payment = delays * F.lit(0.3)
     parts = {
         "recency_risk": F.greatest(F.least(F.col("last_login_days_ago") / F.lit(30.0), F.lit(3.0)), F.lit(0.0)),
-        "payment_risk": F.when(delays.between(0, 4), delays * F.lit(0.3)),
+        "payment_risk": payment if complete else F.when(delays.between(0, 4), payment),
         "support_risk": F.greatest(
             F.least(F.col("num_support_tickets") * F.col("avg_resolution_days") / 10.0, F.lit(5.0)), F.lit(0.0)
         ),
@@ -85,9 +89,11 @@ def one_hot(industries: Sequence[str] = INDUSTRIES) -> dict[str, Column]:
     }
 
 
-def matrix(frame: DataFrame, numeric: Sequence[str], industries: Sequence[str] = INDUSTRIES) -> DataFrame:
+def matrix(
+    frame: DataFrame, numeric: Sequence[str], industries: Sequence[str] = INDUSTRIES, complete: bool = False
+) -> DataFrame:
     """customer_id, all model features as double, churn_label."""
-    derived = {**interactions(), **risk_raw(), **flags(), **one_hot(industries)}
+    derived = {**interactions(), **risk_raw(complete), **flags(), **one_hot(industries)}
     columns = {**{c: F.col(c) for c in numeric}, **derived}
     return frame.select(
         "customer_id", *[expr.cast("double").alias(name) for name, expr in columns.items()], "churn_label"

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.columns import fixed
 from stayrate.operators import (
-    cohorts, engineering, evaluation, explain, exploration, kpi, quality, recovery, scoring,
+    balancing, cohorts, engineering, evaluation, explain, exploration, kpi, quality, recovery, scoring, training,
+    treeshap,
 )
 from stayrate.plans.frames import NUMERIC, Signals, customer_frame
+from stayrate.plans.models import ModelRun, run_of
 from stayrate.session import scratch_path
 from stayrate.sources import sinks
 from stayrate.sources.fixtures import AS_OF, FIRST_SCORING, FixtureTables
+from stayrate.streaming import alerts, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,3 +440,116 @@ def write_scores(tables):
 @query
 def tier_migration(tables):
     return scoring.tier_migration(tables.get("churn_scores"), FIRST_SCORING, AS_OF)
+
+
+# ------------------------------------------------------------------------------ models
+PRODUCTION_MODEL = "gbt_subsampled"
+
+
+def _run(tables) -> ModelRun:
+    return run_of(tables, AS_OF, engineering.FIXTURE_INDUSTRIES)
+
+
+def _test_metrics(tables, *names):
+    run = _run(tables)
+    return evaluation.benchmark(training.score_long({n: run.model(n) for n in names}, run.test))
+
+
+@query
+def stratified_split(tables):
+    return balancing.stratified_split(_frame(tables).select("customer_id", "churn_label"), "customer_id", "churn_label")
+
+
+@query
+def smote(tables):
+    return _run(tables).balanced
+
+
+@query
+def standardize(tables):
+    run = _run(tables)
+    return training.coefficients(tables.spark, run.model("logistic"), run.names).select("feature", "mean", "sd")
+
+
+@query
+def train_logistic(tables):
+    run = _run(tables)
+    return training.coefficients(tables.spark, run.model("logistic"), run.names).select("feature", "coefficient")
+
+
+@query
+def train_forest(tables):
+    return _test_metrics(tables, "forest")
+
+
+@query
+def train_gbt(tables):
+    return _test_metrics(tables, "gbt")
+
+
+@query
+def train_gbt_subsampled(tables):
+    return _test_metrics(tables, "gbt_subsampled")
+
+
+@query
+def model_benchmark(tables):
+    return _test_metrics(tables, *training.MODELS)
+
+
+@query
+def cross_validate(tables):
+    run = _run(tables)
+    return training.cross_validate("logistic", run.train, run.names)
+
+
+@query
+def feature_importance(tables):
+    run = _run(tables)
+    return training.feature_importance(tables.spark, run.model(PRODUCTION_MODEL), run.names)
+
+
+@query
+def shap_local(tables):
+    run = _run(tables)
+    return treeshap.tree_contributions(tables.spark, run.model(PRODUCTION_MODEL), run.matrix, run.names)
+
+
+@query
+def score_customers(tables):
+    run = _run(tables)
+    model = run.model(PRODUCTION_MODEL)
+    phi = treeshap.tree_contributions(tables.spark, model, run.matrix, run.names)
+    return scoring.score_output(
+        run.frame, training.score(model, run.matrix, "in_train"), AS_OF, run.version(PRODUCTION_MODEL),
+        explain.top_drivers(phi, run.names),
+    )
+
+
+# ------------------------------------------------------------------------------ streaming
+def _events(tables):
+    return usage.read_events(tables.spark, tables.sf_dir)
+
+
+@query
+def usage_daily_stream(tables):
+    return usage.run_and_merge(usage.daily_usage(_events(tables)), ["user_id", "usage_date"], "usage-daily")
+
+
+@query
+def engagement_sliding(tables):
+    return usage.run_and_merge(usage.sliding_logins(_events(tables)), ["user_id", "window_start"], "engagement-sliding")
+
+
+@query
+def session_minutes_stream(tables):
+    return usage.run_append(usage.sessions(_events(tables)), "session-minutes")
+
+
+@query
+def tier_change_alerts(tables):
+    folder = scratch_path(tables.spark, "score-runs")
+    sinks.write_scores(
+        tables.get("churn_scores").select("customer_id", "score_id", "risk_tier", "scored_at"), folder
+    )
+    return alerts.run_alerts(tables.spark, folder)

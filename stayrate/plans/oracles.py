@@ -815,3 +815,40 @@ from (select * from churn_scores where scored_at = DATE '2001-07-01') a
 full join (select * from churn_scores where scored_at = DATE '2001-08-01') b using (customer_id)
 group by 1, 2
 """)
+
+# ---------------------------------------------------------------- splits
+ORACLES["stratified_split"] = statement(f"""
+select customer_id, churn_label, nth > quota in_train
+from (
+  select customer_id, churn_label, round(count(*) over (partition by churn_label) * 0.2) quota,
+    row_number() over (partition by churn_label order by {_unit(42, 'customer_id')}, customer_id) nth
+  from frame)
+""")
+
+# ---------------------------------------------------------------- batch twins of the streaming queries
+ORACLES["usage_daily_stream"] = statement("""
+select user_id, cast(ts as date) usage_date, count(*) as events, cast(count(distinct event_type) as int) event_types,
+  cast(sum(cast(value as decimal(18,2))) as decimal(18,2)) total_value
+from events group by 1, 2
+""")
+ORACLES["engagement_sliding"] = statement(f"""
+select user_id, window_start, window_start + 7 window_end, count(*) logins_7d, {_fixed('count(*) / 7.0::double', 4)} logins_per_day
+from (select user_id, cast(ts as date) - cast(unnest(range(7)) as int) window_start from events)
+group by user_id, window_start
+""")
+ORACLES["session_minutes_stream"] = statement(f"""
+select user_id, min(ts) session_start, count(*) as events,
+  {_fixed('(epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6::double', 4)} session_minutes
+from (
+  select user_id, ts, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) nth
+  from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end opens
+        from events))
+group by user_id, nth
+having max(ts) + interval 30 minute <= (select max(ts) - interval 1 day from events)
+""")
+ORACLES["tier_change_alerts"] = statement("""
+select customer_id, b.scored_at, a.risk_tier previous_tier, b.risk_tier risk_tier
+from (select * from churn_scores where scored_at = DATE '2001-07-01') a
+join (select * from churn_scores where scored_at = DATE '2001-08-01') b using (customer_id)
+where list_position(['Critical', 'High', 'Medium', 'Low'], b.risk_tier) < list_position(['Critical', 'High', 'Medium', 'Low'], a.risk_tier)
+""")
