@@ -59,7 +59,7 @@ def sliding_logins(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """Closed sessions: runs of events of a user with no gap of 30 minutes or more."""
+    """Closed sessions: runs of events of a user with no gap over 30 minutes."""
     return _deduplicated(events).groupBy("user_id", F.session_window("ts", SESSION_GAP).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts")).select(
         "user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "events",
         fixed((F.unix_micros("last_ts") - F.unix_micros("w.start")) / F.lit(60e6), 4).alias("session_minutes"),
