@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def fixed(value: Column, digits: int) -> Column:
     """Round half up through a decimal, so binary noise near a tie cannot flip the last digit."""
-    return F.round(value.cast("decimal(18,8)"), digits).cast("double")
+    return F.round(value.cast("decimal(28,8)"), digits).cast("double")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

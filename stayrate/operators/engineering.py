@@ -116,10 +116,15 @@ def scorecard_terms() -> dict[str, Column]:
     return {name: values.get(name, F.col(name)).cast("double") * weight for name, weight in SCORECARD.items()}
 
 
-def scorecard(frame: DataFrame, digits: int | None = None) -> DataFrame:
-    """customer_id, probability, label from the fixed coefficients: a baseline that needs no training."""
+def scorecard_probability() -> Column:
+    """Probability from the fixed coefficients: a baseline that needs no training."""
     log_odds = sum(scorecard_terms().values(), F.lit(SCORECARD_INTERCEPT))
-    probability = 1.0 / (1.0 + F.exp(-log_odds))
+    return 1.0 / (1.0 + F.exp(-log_odds))
+
+
+def scorecard(frame: DataFrame, digits: int | None = None) -> DataFrame:
+    """customer_id, probability, label."""
+    probability = scorecard_probability()
     if digits is not None:
         probability = fixed(probability, digits)
     return frame.select("customer_id", probability.alias("probability"), "churn_label")

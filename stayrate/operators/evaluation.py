@@ -93,37 +93,35 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
 
 
 def _running(scored: DataFrame) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives at or above it, and the totals."""
-    down = W.partitionBy("model").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """Per distinct score, highest first: positives and negatives at or above it, totals, place."""
+    down = W.partitionBy("model").orderBy(F.desc("score"))
+    upto = down.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("model")
     return _score_counts(scored).select(
-        "model", "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
+        "model", "score", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
         F.sum("pos").over(whole).alias("positives"), F.sum("neg").over(whole).alias("negatives"),
+        F.row_number().over(down).alias("place"),
     )
 
 
-def _end_point(scored: DataFrame, **values: float) -> DataFrame:
-    return scored.select("model").distinct().select(
-        "model", F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(c) for c, v in values.items()]
-    )
+def _curve(scored: DataFrame, columns: dict[str, Column], end: dict[str, float]) -> DataFrame:
+    """One point per distinct score, and the fixed end point beside the first of each model."""
+    point = F.struct(F.col("score").alias("threshold"), *[fixed(c, 6).alias(n) for n, c in columns.items()])
+    closing = F.struct(F.lit(None).cast("double").alias("threshold"), *[F.lit(end[n]).alias(n) for n in columns])
+    points = F.when(F.col("place") == 1, F.array(closing, point)).otherwise(F.array(point))
+    return _running(scored).select("model", F.inline(points))
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
-    curve = _running(scored).select(
-        "model", F.col("score").alias("threshold"),
-        fixed(ratio(F.col("fp"), F.col("negatives")), 6).alias("fpr"),
-        fixed(ratio(F.col("tp"), F.col("positives")), 6).alias("tpr"),
-    )
-    return curve.unionByName(_end_point(scored, fpr=0.0, tpr=0.0))
+    rates = {"fpr": ratio(F.col("fp"), F.col("negatives")), "tpr": ratio(F.col("tp"), F.col("positives"))}
+    return _curve(scored, rates, {"fpr": 0.0, "tpr": 0.0})
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
-    curve = _running(scored).select(
-        "model", F.col("score").alias("threshold"),
-        fixed(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"),
-        fixed(ratio(F.col("tp"), F.col("positives")), 6).alias("recall"),
-    )
-    return curve.unionByName(_end_point(scored, precision=1.0, recall=0.0))
+    rates = {
+        "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("positives")),
+    }
+    return _curve(scored, rates, {"precision": 1.0, "recall": 0.0})
 
 
 def score_density(scored: DataFrame, bins: int = 50) -> DataFrame:

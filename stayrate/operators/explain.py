@@ -11,7 +11,10 @@ from stayrate.functions.columns import fixed
 
 
 def linear_contributions(frame: DataFrame, terms: dict[str, Column], keep: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """Exact contributions of an additive score: each term minus its mean over all rows."""
+    """Exact contributions of an additive score: each term minus its mean over all rows.
+
+    The means need a pass of their own: give a materialised frame where its rows are costly.
+    """
     rows = frame.select(*keep, *[term.alias(name) for name, term in terms.items()])
     means = rows.agg(F.struct(*[F.avg(name).alias(name) for name in terms])).scalar()
     centred = rows.withColumn("_means", means)
@@ -38,10 +41,13 @@ def importance_by_segment(contributions: DataFrame, names: Sequence[str], segmen
     return _mean_size(contributions, names, [segment])
 
 
-def top_drivers(contributions: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The three largest positive contributions of each row, by name; a sort inside the row, no shuffle."""
-    pairs = F.array(*[F.struct((-F.col(f"`{n}`")).alias("less"), F.lit(n).alias("name")) for n in names])
+def driver_columns(parts: dict[str, Column]) -> dict[str, Column]:
+    """top_driver_1..3: names of the three largest positive contributions of the row, no shuffle."""
+    pairs = F.array(*[F.struct((-part).alias("less"), F.lit(name).alias("name")) for name, part in parts.items()])
     ranked = F.array_sort(F.filter(pairs, lambda pair: pair["less"] < 0))
-    return contributions.withColumn("_ranked", ranked).select(
-        "customer_id", *[F.get("_ranked", F.lit(i)).getField("name").alias(f"top_driver_{i + 1}") for i in range(3)]
-    )
+    return {f"top_driver_{i + 1}": F.get(ranked, F.lit(i)).getField("name") for i in range(3)}
+
+
+def top_drivers(contributions: DataFrame, names: Sequence[str]) -> DataFrame:
+    columns = driver_columns({n: F.col(f"`{n}`") for n in names})
+    return contributions.select("customer_id", *[c.alias(n) for n, c in columns.items()])

@@ -26,14 +26,14 @@ CORRELATED = [
 def overview(frame: DataFrame) -> DataFrame:
     total = F.sum("customers").over(W.partitionBy())  # two rows
     return frame.groupBy("churn_label").agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("monthly_charges").cast("decimal(18,2)").alias("monthly_revenue")
+        F.count(F.lit(1)).alias("customers"), F.sum("monthly_charges").cast("decimal(28,2)").alias("monthly_revenue")
     ).select("churn_label", "customers", fixed(ratio(F.col("customers"), total) * 100, 2).alias("share_pct"), "monthly_revenue")
 
 
 def revenue_lost_by_size(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("churn_label") == 1).groupBy("company_size").agg(
         F.count(F.lit(1)).alias("churned"),
-        F.round(F.sum("monthly_charges") / 1000, 2).cast("decimal(18,2)").alias("revenue_lost_thousands"),
+        F.round(F.sum("monthly_charges") / 1000, 2).cast("decimal(28,2)").alias("revenue_lost_thousands"),
     )
 
 

@@ -58,18 +58,18 @@ def contract_state(
         until = F.least(F.coalesce(known_end(as_of), now), now)
 
     def total(condition: Column, amount: Column = charges) -> Column:
-        return F.sum(F.when(started & condition, amount).otherwise(none)).cast("decimal(18,2)")
+        return F.sum(F.when(started & condition, amount).otherwise(none)).cast("decimal(28,2)")
 
     measures = [
         F.max_by(F.struct(*_CONTRACT_COLUMNS), F.when(candidate, order)).alias("live"),
         total(current).alias("current_mrr"),
         F.sum(F.when(started, charges * complete_months(F.col("start_date"), until)))
-        .cast("decimal(18,2)").alias("total_lifetime_revenue"),
+        .cast("decimal(28,2)").alias("total_lifetime_revenue"),
         # contract_id is the primary key: no distinct needed, so no second shuffle
         F.count(F.when(started, F.col("contract_id"))).alias("num_contracts"),
-        (F.max(F.when(started, charges)) - F.min(F.when(started, charges))).cast("decimal(18,2)").alias("mrr_expansion"),
+        (F.max(F.when(started, charges)) - F.min(F.when(started, charges))).cast("decimal(28,2)").alias("mrr_expansion"),
         (F.max_by(charges, F.when(started, order)) - F.min_by(charges, F.when(started, order)))
-        .cast("decimal(18,2)").alias("mrr_delta"),
+        .cast("decimal(28,2)").alias("mrr_delta"),
         total(running).alias("mrr_now"),
         total(in_force(then)).alias("mrr_then"),
         F.count_if(started & (F.col("status") == "Upgraded") & (F.col("end_date") <= now)).alias("upgrades"),
@@ -146,7 +146,7 @@ def billing(events: DataFrame, as_of: date) -> DataFrame:
             F.count_if((kind == "Dispute") & (day >= days_before(as_of, 365))).alias("disputes_12m"),
             F.max("days_overdue").alias("max_days_overdue"),
             F.sum(F.when((kind == "Payment") & (day >= days_before(as_of, 90)), F.col("amount")))
-            .cast("decimal(18,2)").alias("total_paid_90d"),
+            .cast("decimal(28,2)").alias("total_paid_90d"),
         )
     )
 

@@ -18,7 +18,7 @@ _DRIVERS = ["top_driver_1", "top_driver_2", "top_driver_3"]
 
 
 def _money(value: Column) -> Column:
-    return value.cast("decimal(18,2)")
+    return value.cast("decimal(28,2)")
 
 
 def _whole(value: Column) -> Column:

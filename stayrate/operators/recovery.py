@@ -31,7 +31,7 @@ def recovery_kpis(scores: DataFrame, actions: DataFrame) -> DataFrame:
     return actions.agg(
         F.count(F.lit(1)).alias("actions_taken"),
         F.count_if(saved).alias("saves"),
-        F.sum(F.when(saved, F.col("saved_mrr"))).cast("decimal(18,2)").alias("revenue_saved"),
+        F.sum(F.when(saved, F.col("saved_mrr"))).cast("decimal(28,2)").alias("revenue_saved"),
         fixed(ratio(F.count_if(saved), F.count(F.lit(1))), 4).alias("recovery_rate"),
     ).select(needing.scalar().alias("needing_action"), "*")
 
@@ -44,7 +44,7 @@ def save_rate_by_intervention(actions: DataFrame) -> DataFrame:
         F.count_if(closed).alias("closed"),
         F.count_if(saved).alias("saves"),
         fixed(ratio(F.count_if(saved), F.count_if(closed)), 4).alias("save_rate"),
-        F.sum("saved_mrr").cast("decimal(18,2)").alias("saved_mrr"),
+        F.sum("saved_mrr").cast("decimal(28,2)").alias("saved_mrr"),
     )
 
 
@@ -53,10 +53,10 @@ def recovery_scenario(
 ) -> DataFrame:
     """Annual revenue protected if a share of the chosen tiers' revenue at risk is recovered."""
     exposed = latest_scores(scores).where(F.col("risk_tier").isin(list(tiers))).agg(
-        F.sum("revenue_at_risk").cast("decimal(18,2)").alias("monthly_at_risk"), F.count(F.lit(1)).alias("customers")
+        F.sum("revenue_at_risk").cast("decimal(28,2)").alias("monthly_at_risk"), F.count(F.lit(1)).alias("customers")
     )
     options = F.array(*[F.lit(str(r)).cast("decimal(5,4)") for r in rates])
     return exposed.select(F.explode(options).alias("rate"), "customers", "monthly_at_risk").select(
         F.col("rate").cast("double").alias("recovery_rate"), "customers", "monthly_at_risk",
-        F.round(F.col("monthly_at_risk") * 12 * F.col("rate"), 2).cast("decimal(18,2)").alias("protected_annual"),
+        F.round(F.col("monthly_at_risk") * 12 * F.col("rate"), 2).cast("decimal(28,2)").alias("protected_annual"),
     )

@@ -50,27 +50,22 @@ def tiers(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_output(
-    frame: DataFrame, scored: DataFrame, as_of: date, model_version: str, drivers: DataFrame | None = None
-) -> DataFrame:
-    """The published score rows. ``scored`` has customer_id, probability and, where known, in_train."""
-    if "in_train" not in scored.columns:
-        scored = scored.withColumn("in_train", F.lit(False))
+def score_output(rows: DataFrame, as_of: date, model_version: str) -> DataFrame:
+    """The published score rows, from rows with the report columns, probability, and in_train and
+    top_driver_1..3 where known. One pass, no join."""
+    absent = {"in_train": F.lit(False), **{f"top_driver_{i}": F.lit(None).cast("string") for i in (1, 2, 3)}}
+    rows = rows.withColumns({n: c for n, c in absent.items() if n not in rows.columns})
     p = F.col("churn_probability")
-    out = (
-        frame.select(*REPORT_COLUMNS)
-        .join(scored.select("customer_id", rounded_probability(F.col("probability")).alias("churn_probability"), "in_train"), "customer_id")
+    return (
+        rows.withColumn("churn_probability", rounded_probability(F.col("probability")))
         .withColumn("risk_tier", risk_tier(p))
-        .withColumns({
-            "revenue_at_risk_monthly": F.round(F.col("monthly_charges") * p, 2).cast("decimal(12,2)"),
-            "recommended_action": _action(F.col("risk_tier")),
-            "scored_at": F.lit(as_of),
-            "model_version": F.lit(model_version),
-        })
+        .select(
+            *REPORT_COLUMNS, "churn_probability", "risk_tier",
+            F.round(F.col("monthly_charges") * p, 2).cast("decimal(14,2)").alias("revenue_at_risk_monthly"),
+            _action(F.col("risk_tier")).alias("recommended_action"),
+            F.lit(as_of).alias("scored_at"), F.lit(model_version).alias("model_version"), *absent,
+        )
     )
-    if drivers is None:
-        return out.withColumns({f"top_driver_{i}": F.lit(None).cast("string") for i in (1, 2, 3)})
-    return out.join(drivers, "customer_id", "left")
 
 
 def tier_summary(output: DataFrame) -> DataFrame:
@@ -80,8 +75,8 @@ def tier_summary(output: DataFrame) -> DataFrame:
     )
     return sums.rollup("risk_tier").agg(F.sum("n").alias("customers"), F.sum("monthly").alias("monthly")).select(
         F.coalesce("risk_tier", F.lit("Total")).alias("risk_tier"), "customers",
-        F.col("monthly").cast("decimal(18,2)").alias("monthly_at_risk"),
-        (F.col("monthly") * 12).cast("decimal(18,2)").alias("annual_at_risk"),
+        F.col("monthly").cast("decimal(28,2)").alias("monthly_at_risk"),
+        (F.col("monthly") * 12).cast("decimal(28,2)").alias("annual_at_risk"),
     )
 
 

@@ -14,7 +14,7 @@ from stayrate.operators import (
 )
 from stayrate.plans.frames import NUMERIC, Signals, customer_frame
 from stayrate.plans.models import ModelRun, run_of
-from stayrate.session import scratch_path
+from stayrate.session import cut, scratch_path
 from stayrate.sources import sinks
 from stayrate.sources.fixtures import AS_OF, FIRST_SCORING, FixtureTables
 from stayrate.streaming import alerts, usage
@@ -255,6 +255,11 @@ def _frame(tables):
     return customer_frame(tables, AS_OF)
 
 
+def _kept_frame(tables):
+    """The frame on reliable storage, for queries that pass over it more than once."""
+    return cut(_frame(tables))
+
+
 @query
 def fe_interactions(tables):
     return _frame(tables).select("customer_id", *[fixed(c, 6).alias(n) for n, c in engineering.interactions().items()])
@@ -306,7 +311,7 @@ def revenue_lost_by_size(tables):
 
 @query
 def class_histogram(tables):
-    return exploration.class_histogram(_frame(tables))
+    return exploration.class_histogram(_kept_frame(tables))
 
 
 @query
@@ -376,7 +381,7 @@ def pr_curve(tables):
 
 @query
 def score_density(tables):
-    return evaluation.score_density(_scored(tables))
+    return evaluation.score_density(cut(_scored(tables)))
 
 
 @query
@@ -389,7 +394,8 @@ _TERMS = list(engineering.SCORECARD)
 
 
 def _contributions(tables, *keep):
-    return explain.linear_contributions(_frame(tables), engineering.scorecard_terms(), ("customer_id", *keep))
+    # contributions need means first and rows second: keep the frame instead of reading all facts twice
+    return explain.linear_contributions(_kept_frame(tables), engineering.scorecard_terms(), ("customer_id", *keep))
 
 
 @query
@@ -414,9 +420,13 @@ def risk_tiers(tables):
 
 
 def _score_output(tables):
-    frame = _frame(tables)
-    drivers = explain.top_drivers(explain.linear_contributions(frame, engineering.scorecard_terms()), _TERMS)
-    return scoring.score_output(frame, engineering.scorecard(frame), AS_OF, "scorecard-v1", drivers)
+    frame = _kept_frame(tables).withColumn("probability", engineering.scorecard_probability())
+    keep = [*scoring.REPORT_COLUMNS, "probability"]
+    # terms get names of their own, beside the report columns they are computed from
+    terms = {f"phi_{n}": c for n, c in engineering.scorecard_terms().items()}
+    rows = explain.linear_contributions(frame, terms, keep)
+    drivers = explain.driver_columns({n: F.col(f"phi_{n}") for n in _TERMS})
+    return scoring.score_output(rows.withColumns(drivers), AS_OF, "scorecard-v1")
 
 
 @query
@@ -426,8 +436,8 @@ def score_output(tables):
 
 @query
 def tier_summary(tables):
-    frame = _frame(tables)
-    return scoring.tier_summary(scoring.score_output(frame, engineering.scorecard(frame), AS_OF, "scorecard-v1"))
+    rows = _frame(tables).withColumn("probability", engineering.scorecard_probability())
+    return scoring.tier_summary(scoring.score_output(rows, AS_OF, "scorecard-v1"))
 
 
 @query
@@ -519,11 +529,14 @@ def shap_local(tables):
 def score_customers(tables):
     run = _run(tables)
     model = run.model(PRODUCTION_MODEL)
-    phi = treeshap.tree_contributions(tables.spark, model, run.matrix, run.names)
-    return scoring.score_output(
-        run.frame, training.score(model, run.matrix, "in_train"), AS_OF, run.version(PRODUCTION_MODEL),
-        explain.top_drivers(phi, run.names),
+    phi = treeshap.tree_contributions(tables.spark, model, run.matrix, run.names, ["customer_id", "in_train"])
+    # the margin of a boosted model is its log-odds: one pass gives both score and drivers
+    drivers = explain.driver_columns({n: F.col(f"`{n}`") for n in run.names})
+    scored = phi.select(
+        "customer_id", "in_train", (1.0 / (1.0 + F.exp(-F.col("margin")))).alias("probability"),
+        *[c.alias(n) for n, c in drivers.items()],
     )
+    return scoring.score_output(run.frame.join(scored, "customer_id"), AS_OF, run.version(PRODUCTION_MODEL))
 
 
 # ------------------------------------------------------------------------------ streaming

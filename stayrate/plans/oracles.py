@@ -19,7 +19,7 @@ def _months(start: str, end: str) -> str:
 
 
 def _fixed(value: str, digits: int) -> str:
-    return f"cast(round(cast({value} as decimal(18,8)), {digits}) as double)"
+    return f"cast(round(cast({value} as decimal(28,8)), {digits}) as double)"
 
 
 def _mean(value: str, condition: str | None = None) -> str:
@@ -97,7 +97,7 @@ select {_cust('o_custkey')} customer_id, cast(l_shipdate as date) event_date,
 from lineitem join orders on l_orderkey = o_orderkey
 """
 CTES["product_usage"] = f"""
-select customer_id, usage_date, cast(count(*) as int) logins, cast(sum(l_quantity) as decimal(8,2)) session_minutes,
+select customer_id, usage_date, cast(count(*) as int) logins, cast(sum(l_quantity) as decimal(18,2)) session_minutes,
   cast(count(distinct l_partkey % 5) as int) features_used, 5 total_features, cast(sum(l_linenumber) as int) api_calls
 from (
   select {_cust('o_custkey')} customer_id, l_quantity, l_partkey, l_linenumber,
@@ -172,7 +172,7 @@ select customer_id,
   sum(case when event_type = 'Late Payment' and event_date >= {_ago(180)} then 1 else 0 end)::bigint payment_delays_6m,
   sum(case when event_type = 'Dispute' and event_date >= {_ago(365)} then 1 else 0 end)::bigint disputes_12m,
   max(days_overdue) max_days_overdue,
-  cast(sum(case when event_type = 'Payment' and event_date >= {_ago(90)} then amount end) as decimal(18,2)) total_paid_90d
+  cast(sum(case when event_type = 'Payment' and event_date >= {_ago(90)} then amount end) as decimal(28,2)) total_paid_90d
 from billing_events where event_date <= {AS_OF} group by customer_id
 """
 _R30 = f"usage_date >= {_ago(30)}"
@@ -213,12 +213,12 @@ where nth = 1
 def _revenue(current: str, until: str) -> str:
     return f"""
 select customer_id,
-  cast(sum(case when {current} then monthly_charges else 0 end) as decimal(18,2)) current_mrr,
-  cast(sum(monthly_charges * {_months('start_date', until)}) as decimal(18,2)) total_lifetime_revenue,
+  cast(sum(case when {current} then monthly_charges else 0 end) as decimal(28,2)) current_mrr,
+  cast(sum(monthly_charges * {_months('start_date', until)}) as decimal(28,2)) total_lifetime_revenue,
   count(distinct contract_id) num_contracts,
-  cast(max(monthly_charges) - min(monthly_charges) as decimal(18,2)) mrr_expansion,
+  cast(max(monthly_charges) - min(monthly_charges) as decimal(28,2)) mrr_expansion,
   cast(max(case when newest = 1 then monthly_charges end) - max(case when oldest = 1 then monthly_charges end)
-    as decimal(18,2)) mrr_delta
+    as decimal(28,2)) mrr_delta
 from (
   select *, row_number() over (partition by customer_id order by start_date desc, contract_id desc) newest,
     row_number() over (partition by customer_id order by start_date, contract_id) oldest
@@ -258,8 +258,8 @@ select customer_id, tenure_months, contract_type, monthly_charges, num_products,
   coalesce(tickets_90d, 0) num_support_tickets, coalesce(avg_resolution_days, 0) avg_resolution_days,
   coalesce(avg_csat, 3) csat_score, coalesce(low_csat_tickets_6m, 0) low_csat_tickets_6m,
   coalesce(nps_score, 0) nps_score, coalesce(days_since_nps, 365) days_since_nps,
-  coalesce(total_lifetime_revenue, cast(0 as decimal(18,2))) total_revenue,
-  coalesce(mrr_expansion, cast(0 as decimal(18,2))) mrr_expansion,
+  coalesce(total_lifetime_revenue, cast(0 as decimal(28,2))) total_revenue,
+  coalesce(mrr_expansion, cast(0 as decimal(28,2))) mrr_expansion,
   {_fixed(f"({' + '.join(f'({v}) * 0.25::double' for v in _PARTS.values())})", 4)} composite_risk_score
 from {tenure} {_SIGNALS} left join {revenue} using (customer_id)"""
 
@@ -427,7 +427,7 @@ union all select 'total', null, null, {_MEASURES} from exposure
 """)
 ORACLES["churn_trend_as_written"] = statement(f"""
 select s.month, customers_active, coalesce(churned, 0) churned_count,
-  cast(coalesce(lost, 0) as decimal(18,2)) churned_mrr,
+  cast(coalesce(lost, 0) as decimal(28,2)) churned_mrr,
   {_fixed('coalesce(churned, 0)::double / customers_active * 100', 2)} monthly_churn_rate_pct
 from (select cast(date_trunc('month', start_date) as date) as month, count(*) customers_active from contracts
       where status in ('Active', 'Churned') and start_date <= {AS_OF} group by 1) s
@@ -441,7 +441,7 @@ select cast(unnest(generate_series(
 """
 # stated the slow way, as a join of months and intervals, to check the running sums
 CTES["monthly"] = f"""
-select month, active_at_start, coalesce(churned, 0)::bigint churned, cast(coalesce(lost, 0) as decimal(18,2)) churned_mrr,
+select month, active_at_start, coalesce(churned, 0)::bigint churned, cast(coalesce(lost, 0) as decimal(28,2)) churned_mrr,
   {_fixed('coalesce(churned, 0)::double / nullif(active_at_start, 0) * 100', 4)} churn_rate_pct
 from (
   select month, count(contract_id) active_at_start
@@ -476,7 +476,7 @@ from (select unnest([top_driver_1, top_driver_2, top_driver_3]) driver, churn_pr
 where driver is not null group by driver
 """)
 ORACLES["kpi_tiles"] = statement(f"""
-select count(*) total_customers, cast(sum(revenue_at_risk) as decimal(18,2)) revenue_at_risk,
+select count(*) total_customers, cast(sum(revenue_at_risk) as decimal(28,2)) revenue_at_risk,
   {_fixed(_mean('churn_probability'), 4)} avg_churn_probability,
   (select churn_rate_pct from monthly where month = {AS_OF} - interval 1 month) monthly_churn_rate_pct,
   (select {_fixed("count(*) filter (outcome = 'saved')::double / count(*)", 4)} from recovery_actions) recovery_rate
@@ -489,10 +489,10 @@ from latest group by risk_tier
 _WATERFALL = ["new", "expansion", "contraction", "churn"]
 ORACLES["mrr_waterfall"] = statement(f"""
 select month, cast(sum(new + expansion + contraction + churn) over (order by month) - new - expansion - contraction - churn
-    as decimal(18,2)) opening, new, expansion, contraction, churn,
-  cast(sum(new + expansion + contraction + churn) over (order by month) as decimal(18,2)) closing
+    as decimal(28,2)) opening, new, expansion, contraction, churn,
+  cast(sum(new + expansion + contraction + churn) over (order by month) as decimal(28,2)) closing
 from (
-  select month, {', '.join(f"cast(coalesce(sum(amount) filter (kind = '{k}'), 0) as decimal(18,2)) {k}" for k in _WATERFALL)}
+  select month, {', '.join(f"cast(coalesce(sum(amount) filter (kind = '{k}'), 0) as decimal(28,2)) {k}" for k in _WATERFALL)}
   from months left join (
     select cast(date_trunc('month', start_date) as date) as month,
       case when prior is null or prior_status = 'Churned' then 'new'
@@ -520,9 +520,9 @@ left join (select customer_id, least(cast(floor(churn_probability * 20) as int),
 group by bin
 """)
 _PIVOT = ", ".join(
-    f"cast(sum(monthly_charges) filter (company_size = '{s}') as decimal(18,2)) {n}_mrr, "
+    f"cast(sum(monthly_charges) filter (company_size = '{s}') as decimal(28,2)) {n}_mrr, "
     f"{_fixed(_mean('churn_probability', f'company_size = {chr(39)}{s}{chr(39)}'), 4)} {n}_avg_prob, "
-    f"cast(sum(revenue_at_risk) filter (company_size = '{s}') as decimal(18,2)) {n}_revenue"
+    f"cast(sum(revenue_at_risk) filter (company_size = '{s}') as decimal(28,2)) {n}_revenue"
     for s, n in (("SMB", "smb"), ("Mid-Market", "mid_market"), ("Enterprise", "enterprise")))
 ORACLES["register_pivot"] = statement(f"select company_name, {_PIVOT} from exposure group by company_name")
 ORACLES["churn_by_contract"] = statement(f"""
@@ -542,20 +542,20 @@ from (
 _SAVED = "count(*) filter (outcome = 'saved')"
 ORACLES["recovery_kpis"] = statement(f"""
 select (select count(*) from latest where risk_tier in ('Critical', 'High')) needing_action, count(*) actions_taken,
-  {_SAVED} saves, cast(sum(saved_mrr) filter (outcome = 'saved') as decimal(18,2)) revenue_saved,
+  {_SAVED} saves, cast(sum(saved_mrr) filter (outcome = 'saved') as decimal(28,2)) revenue_saved,
   {_fixed(f'{_SAVED}::double / count(*)', 4)} recovery_rate
 from recovery_actions
 """)
 ORACLES["save_rate_by_intervention"] = statement(f"""
 select intervention, count(*) actions, count(*) filter (outcome <> 'pending') closed, {_SAVED} saves,
   {_fixed(f"{_SAVED}::double / nullif(count(*) filter (outcome <> 'pending'), 0)", 4)} save_rate,
-  cast(sum(saved_mrr) as decimal(18,2)) saved_mrr
+  cast(sum(saved_mrr) as decimal(28,2)) saved_mrr
 from recovery_actions group by intervention
 """)
 ORACLES["recovery_scenario"] = statement("""
 select rate::double recovery_rate, customers, monthly_at_risk,
-  cast(round(12 * monthly_at_risk * rate, 2) as decimal(18,2)) protected_annual
-from (select count(*) customers, cast(sum(revenue_at_risk) as decimal(18,2)) monthly_at_risk,
+  cast(round(12 * monthly_at_risk * rate, 2) as decimal(28,2)) protected_annual
+from (select count(*) customers, cast(sum(revenue_at_risk) as decimal(28,2)) monthly_at_risk,
         unnest([0.10::decimal(5,4), 0.25::decimal(5,4), 0.50::decimal(5,4)]) rate
       from latest where risk_tier in ('Critical', 'High'))
 """)
@@ -634,11 +634,11 @@ ORACLES["scorecard"] = statement(f"select customer_id, {_fixed('raw', 6)} probab
 # ---------------------------------------------------------------- exploration
 ORACLES["churn_overview"] = statement(f"""
 select churn_label, count(*) customers, {_fixed('count(*)::double / (select count(*) from frame) * 100', 2)} share_pct,
-  cast(sum(monthly_charges) as decimal(18,2)) monthly_revenue
+  cast(sum(monthly_charges) as decimal(28,2)) monthly_revenue
 from frame group by churn_label
 """)
 ORACLES["revenue_lost_by_size"] = statement("""
-select company_size, count(*) churned, cast(round(sum(monthly_charges) / 1000, 2) as decimal(18,2)) revenue_lost_thousands
+select company_size, count(*) churned, cast(round(sum(monthly_charges) / 1000, 2) as decimal(28,2)) revenue_lost_thousands
 from frame where churn_label = 1 group by company_size
 """)
 _DRIVERS = ["login_frequency_30d", "feature_adoption_rate", "nps_score", "num_support_tickets", "payment_delays_6m",
@@ -791,7 +791,7 @@ CTES["output"] = f"""
 select customer_id, company_size, industry, contract_type, monthly_charges, tenure_months, nps_score, num_support_tickets,
   login_frequency_30d, p churn_probability, false in_train,
   case when p >= 0.7 then 'Critical' when p >= 0.5 then 'High' when p >= 0.3 then 'Medium' else 'Low' end risk_tier,
-  cast(round(monthly_charges * p, 2) as decimal(12,2)) revenue_at_risk_monthly,
+  cast(round(monthly_charges * p, 2) as decimal(14,2)) revenue_at_risk_monthly,
   case when p >= 0.7 then 'Immediate CSM outreach + retention offer within 48h'
        when p >= 0.5 then 'Schedule health check call within 1 week'
        when p >= 0.3 then 'Automated nurture sequence + feature adoption push'
@@ -805,8 +805,8 @@ ORACLES["score_output"] = statement("select * from output")
 ORACLES["write_scores"] = ORACLES["score_output"]
 ORACLES["tier_summary"] = statement("""
 select coalesce(risk_tier, 'Total') risk_tier, count(*) customers,
-  cast(sum(revenue_at_risk_monthly) as decimal(18,2)) monthly_at_risk,
-  cast(sum(revenue_at_risk_monthly) * 12 as decimal(18,2)) annual_at_risk
+  cast(sum(revenue_at_risk_monthly) as decimal(28,2)) monthly_at_risk,
+  cast(sum(revenue_at_risk_monthly) * 12 as decimal(28,2)) annual_at_risk
 from output group by rollup (risk_tier)
 """)
 ORACLES["tier_migration"] = statement("""
@@ -828,7 +828,7 @@ from (
 # ---------------------------------------------------------------- batch twins of the streaming queries
 ORACLES["usage_daily_stream"] = statement("""
 select user_id, cast(ts as date) usage_date, count(*) as events, cast(count(distinct event_type) as int) event_types,
-  cast(sum(cast(value as decimal(18,2))) as decimal(18,2)) total_value
+  cast(sum(cast(value as decimal(28,2))) as decimal(28,2)) total_value
 from events group by 1, 2
 """)
 ORACLES["engagement_sliding"] = statement(f"""

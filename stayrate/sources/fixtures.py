@@ -144,7 +144,7 @@ class FixtureTables(Tables):
             .groupBy("o_custkey", "usage_date")
             .agg(
                 F.count(F.lit(1)).cast("int").alias("logins"),
-                F.sum("l_quantity").cast("decimal(8,2)").alias("session_minutes"),
+                F.sum("l_quantity").cast("decimal(18,2)").alias("session_minutes"),
                 # five features at most: a bit set needs no second shuffle for the distinct count
                 F.bit_count(F.bit_or("feature_bit")).cast("int").alias("features_used"),
                 F.lit(5).alias("total_features"),

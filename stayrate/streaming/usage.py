@@ -41,10 +41,10 @@ def daily_usage(events: DataFrame) -> DataFrame:
     kinds = F.collect_set("event_type")  # a closed, short list
     return _deduplicated(events).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("events"), F.size(kinds).alias("event_types"),
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"),
+        F.sum(F.col("value").cast("decimal(28,2)")).alias("total_value"),
     ).select(
         "user_id", F.col("w.start").cast("date").alias("usage_date"), "events", "event_types",
-        F.col("total_value").cast("decimal(18,2)").alias("total_value"),
+        F.col("total_value").cast("decimal(28,2)").alias("total_value"),
     )
 
 
@@ -95,6 +95,8 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Process what is available; only results that can no longer change are written."""
     spark = stream.sparkSession
     target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    # sessions of a busy user are merged before the shuffle
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     _finish(
         stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).format("parquet").option("path", target).start()
