@@ -107,14 +107,20 @@ def churn_trend(contracts: DataFrame, as_of: date, months: int = 24) -> DataFram
 
 
 def _on_month_spine(monthly: DataFrame, as_of: date) -> DataFrame:
-    """Every month from the first one present to as_of; absent months get zeros."""
+    """Every month from the first one present to as_of; absent months get zeros.
+
+    Each month fills the gap up to the next one present, so the input is computed once. The window runs
+    over one row per calendar month.
+    """
     measures = [c for c in monthly.columns if c != "month"]
-    spine = monthly.agg(F.min("month").alias("first")).select(
-        F.explode(F.sequence("first", month_of(F.lit(as_of)), F.expr("interval 1 month"))).alias("month")
-    )
     kinds = dict(monthly.dtypes)
-    return spine.join(monthly, "month", "left").select(
-        "month", *[F.coalesce(F.col(m), F.lit(0).cast(kinds[m])).alias(m) for m in measures]
+    following = F.coalesce(F.lead("month").over(W.orderBy("month")), F.add_months(month_of(F.lit(as_of)), 1))
+    months = F.sequence("_own", F.add_months(following, -1), F.expr("interval 1 month"))
+    filled = monthly.withColumn("_own", F.col("month")).withColumn("_months", months)
+    filled = filled.select("_own", *measures, F.explode("_months").alias("month"))
+    own = F.col("month") == F.col("_own")
+    return filled.select(
+        "month", *[F.when(own, F.col(m)).otherwise(F.lit(0).cast(kinds[m])).alias(m) for m in measures]
     )
 
 

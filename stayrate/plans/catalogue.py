@@ -467,18 +467,22 @@ def _test_metrics(tables, *names):
 
 @query
 def stratified_split(tables):
-    return balancing.stratified_split(_frame(tables).select("customer_id", "churn_label"), "customer_id", "churn_label")
+    labels = cut(_frame(tables).select("customer_id", "churn_label"))
+    return balancing.stratified_split(labels, "customer_id", "churn_label")
 
 
 @query
 def smote(tables):
-    return _run(tables).balanced
+    run = _run(tables)
+    rounded = [fixed(F.col(f"`{n}`"), 3).alias(n) for n in run.names]
+    return run.balanced.select("customer_id", *rounded, "churn_label", "synthetic")
 
 
 @query
 def standardize(tables):
     run = _run(tables)
-    return training.coefficients(tables.spark, run.model("logistic"), run.names).select("feature", "mean", "sd")
+    fitted = training.coefficients(tables.spark, run.model("logistic"), run.names)
+    return fitted.select("feature", fixed(F.col("mean"), 3).alias("mean"), fixed(F.col("sd"), 3).alias("sd"))
 
 
 @query

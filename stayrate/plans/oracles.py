@@ -852,3 +852,56 @@ from (select * from churn_scores where scored_at = DATE '2001-07-01') a
 join (select * from churn_scores where scored_at = DATE '2001-08-01') b using (customer_id)
 where list_position(['Critical', 'High', 'Medium', 'Low'], b.risk_tier) < list_position(['Critical', 'High', 'Medium', 'Low'], a.risk_tier)
 """)
+
+# ---------------------------------------------------------------- balancing, by brute force over all minority pairs
+CTES["split"] = f"""
+select customer_id, nth > quota in_train
+from (
+  select customer_id, round(count(*) over (partition by churn_label) * 0.2) quota,
+    row_number() over (partition by churn_label order by {_unit(42, 'customer_id')}, customer_id) nth
+  from frame)
+"""
+_COMPLETE = {**_MATRIX, "payment_risk": "0.3::double * payment_delays_6m"}
+_COMPLETE["composite_risk_score"] = _fixed(
+    "(" + " + ".join(f"({_COMPLETE[part]}) / 4" for part in _RAW) + ")", 4)
+CTES["train_matrix"] = f"""
+select customer_id, churn_label, [{', '.join(f'({v})::double' for v in _COMPLETE.values())}] x
+from frame join split using (customer_id) where in_train
+"""
+CTES["points"] = f"""
+select customer_id, x, missing // n + (row_number() over (order by u, customer_id) <= missing % n)::int copies
+from (
+  select customer_id, x, {_unit(45, 'customer_id')} u, count(*) over () n,
+    (select count(*) filter (churn_label = 0) - count(*) filter (churn_label = 1) from train_matrix) missing
+  from train_matrix where churn_label = 1)
+"""
+CTES["spread"] = f"""
+select i, case when stddev_pop(x[i]) = 0 then 1 else stddev_pop(x[i]) end sd
+from points, (select unnest(range(1, {len(_COMPLETE) + 1})) i) group by i
+"""
+CTES["near"] = """
+select * from (
+  select a, bx, row_number() over (partition by a order by d, b) nth, count(*) over (partition by a) others
+  from (
+    select p.customer_id a, q.customer_id b, any_value(q.x) bx, sum(((p.x[i] - q.x[i]) / sd) * ((p.x[i] - q.x[i]) / sd)) d
+    from points p join points q on p.customer_id <> q.customer_id cross join spread
+    group by p.customer_id, q.customer_id))
+where nth <= 5
+"""
+CTES["balanced"] = f"""
+select customer_id, churn_label, false synthetic, x from train_matrix
+union all
+select customer_id || '#' || copy, 1, true,
+  list_transform(range(1, {len(_COMPLETE) + 1}), lambda i: x[i] + share * (bx[i] - x[i]))
+from (
+  select *, {_unit(47, 'customer_id', 'copy')} share, cast(floor({_unit(46, 'customer_id', 'copy')} * 5) as int) + 1 pick
+  from (select customer_id, x, unnest(range(1, copies + 1)) copy from points))
+join near on a = customer_id and nth = pick
+"""
+_UNPACKED = ", ".join(f'{_fixed(f"x[{i}]", 3)} "{name}"' for i, name in enumerate(_COMPLETE, 1))
+ORACLES["smote"] = statement(f"select customer_id, {_UNPACKED}, churn_label, synthetic from balanced")
+_NAMES = ", ".join(f"'{name}'" for name in _COMPLETE)
+ORACLES["standardize"] = statement(f"""
+select list_extract([{_NAMES}], i) feature, {_fixed('avg(x[i])', 3)} mean, {_fixed('stddev_samp(x[i])', 3)} sd
+from balanced, (select cast(unnest(range(1, {len(_COMPLETE) + 1})) as int) i) group by i
+""")

@@ -70,19 +70,29 @@ class StoredTables(Tables):
 
 
 class JdbcTables(Tables):
-    """Tables in a relational database, read in parallel over a numeric or date column range."""
+    """Tables in a relational database.
 
-    def __init__(self, spark: SparkSession, url: str, partitions: int = 64, **options: str):
+    Bounded facts are read in parallel by day. Any other table is read in parallel where ``splits`` names
+    a numeric or date column with its lowest and highest value.
+    """
+
+    def __init__(
+        self, spark: SparkSession, url: str, partitions: int = 64,
+        splits: dict[str, tuple[str, str, str]] | None = None, **options: str,
+    ):
         super().__init__(spark)
-        self.url, self.partitions, self.options = url, partitions, options
+        self.url, self.partitions, self.splits, self.options = url, partitions, splits or {}, options
 
     def _read(self, name: str, since: date | None, until: date | None) -> DataFrame:
         reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options)
         day = EVENT_DAY.get(name)
+        split = self.splits.get(name)
         if day and since and until:
+            split = (day, str(since), str(until + timedelta(days=1)))
+        if split:
+            column, low, high = split
             reader = reader.options(
-                partitionColumn=day, lowerBound=str(since), upperBound=str(until + timedelta(days=1)),
-                numPartitions=str(self.partitions),
+                partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=str(self.partitions)
             )
         df = reader.load()
         wanted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name] if f.name in df.columns]

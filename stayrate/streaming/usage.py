@@ -85,6 +85,14 @@ def run_and_merge(stream: DataFrame, keys: Sequence[str], name: str) -> DataFram
     return newest(spark, target, keys, stream.columns)
 
 
+def compact(spark: SparkSession, source: str, target: str, keys: Sequence[str]) -> None:
+    """Fold all versions written so far into one, in a folder of its own that later batches go on in."""
+    rows = spark.read.parquet(source)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    columns = [c for c in rows.columns if c != "batch_id"]
+    newest(spark, source, keys, columns).write.mode("overwrite").parquet(f"{target}/batch_id={last}")
+
+
 def newest(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     values = [c for c in columns if c not in keys]
     versions = spark.read.parquet(target)

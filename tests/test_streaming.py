@@ -57,3 +57,11 @@ def test_alerts_need_a_rise_and_ignore_old_scores(spark):
     df.select("customer_id", "score_id", "risk_tier", F.to_date("d").alias("scored_at")).write.parquet(folder)
     found = alerts.run_alerts(spark, folder).orderBy("scored_at").collect()
     assert [(r.customer_id, r.previous_tier, r.risk_tier) for r in found] == [("A", "Low", "High"), ("A", "Medium", "Critical")]
+
+
+def test_compaction_keeps_the_newest_version(spark):
+    source, target = scratch_path(spark, "versions"), scratch_path(spark, "compacted")
+    for batch, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")]]):
+        spark.createDataFrame(rows, "k int, v string").write.parquet(f"{source}/batch_id={batch}")
+    usage.compact(spark, source, target, ["k"])
+    assert sorted((r.k, r.v, r.batch_id) for r in spark.read.parquet(target).collect()) == [(1, "a", 1), (2, "c", 1)]
