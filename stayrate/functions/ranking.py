@@ -76,7 +76,7 @@ def add_neighbour(
     tie: str,
     values: dict[str, str],
     following: bool = True,
-    heavy_rows: int = 1_000_000,
+    heavy_rows: int = 250_000,
 ) -> DataFrame:
     """Values of the next (or previous) row per key in (day, tie) order.
 

@@ -72,7 +72,8 @@ def feat_risk(tables):
 
 @query
 def feat_final(tables):
-    return Signals(tables, AS_OF).final().orderBy(F.desc("composite_risk_score"), "customer_id")
+    # a table, left unordered: a global sort would run the last stage twice. entry() lists it by risk
+    return Signals(tables, AS_OF).final()
 
 
 @query

@@ -43,8 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path in this application's part of the shared folder, removed when the application ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/stayrate-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

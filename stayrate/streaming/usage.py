@@ -25,9 +25,8 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return (
         spark.readStream.schema(RAW_SCHEMAS["events"])
-        .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/events*.parquet")  # files, or folders of part files
         .withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
     )
 
@@ -75,6 +74,9 @@ def run_and_merge(stream: DataFrame, keys: Sequence[str], name: str) -> DataFram
     spark = stream.sparkSession
     target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
 
+    # a version without rows, so that a stream without data gives an empty table
+    spark.createDataFrame([], stream.schema).write.parquet(f"{target}/batch_id=-1")
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
