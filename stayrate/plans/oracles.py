@@ -876,16 +876,18 @@ from (
   from train_matrix where churn_label = 1)
 """
 CTES["spread"] = f"""
-select i, case when stddev_pop(x[i]) = 0 then 1 else stddev_pop(x[i]) end sd
-from points, (select unnest(range(1, {len(_COMPLETE) + 1})) i) group by i
+select list(sd order by i) sds from (
+  select i, case when stddev_pop(x[i]) = 0 then 1 else stddev_pop(x[i]) end sd
+  from points, (select unnest(range(1, {len(_COMPLETE) + 1})) i) group by i)
+"""
+CTES["scaled"] = f"""
+select customer_id, x, list_transform(range(1, {len(_COMPLETE) + 1}), lambda i: x[i] / sds[i]) z from points cross join spread
 """
 CTES["near"] = """
 select * from (
-  select a, bx, row_number() over (partition by a order by d, b) nth, count(*) over (partition by a) others
-  from (
-    select p.customer_id a, q.customer_id b, any_value(q.x) bx, sum(((p.x[i] - q.x[i]) / sd) * ((p.x[i] - q.x[i]) / sd)) d
-    from points p join points q on p.customer_id <> q.customer_id cross join spread
-    group by p.customer_id, q.customer_id))
+  select p.customer_id a, q.x bx, row_number() over (
+    partition by p.customer_id order by list_distance(p.z, q.z), q.customer_id) nth
+  from scaled p join scaled q on p.customer_id <> q.customer_id)
 where nth <= 5
 """
 CTES["balanced"] = f"""
