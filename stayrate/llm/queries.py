@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import langid, simhash, topk
+from stayrate.llm import gam, html_text, langid, licenses, mixing, multiset, secrets, simhash, spiece, topk
 from stayrate.llm.common import fold, table
+from stayrate.session import scratch_path
+
+#: A published model file; read by the driver only.
+TOKENIZER = os.environ.get("STAYRATE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +24,130 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_quality_gam(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = gam.train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    found = gam.scores(docs, model, keep=("doc_id", (fold("doc_id", 5) == 0).alias("held_out")))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op2_secret_ledger(spark, sf_dir):
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "ledger")
+    secrets.update(docs, ledger)
+    found = secrets.joined_back(docs, secrets.findings(spark, ledger)).select("doc_id", "spans")
+    counts = [secrets.counted(F.col("spans"), r.kind).alias(f"n_{r.kind}") for r in secrets.BASE]
+    base = secrets.written(F.col("spans"), secrets.BASE)
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                        secrets.written(F.col("spans")).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+    assign += r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [(r.kind, assign.replace("\\\\", "\\") if r.kind == "assign" else r.pattern, r.group, r.least)
+             for r in secrets.RULES]
+    hits = " union all ".join(
+        f"select doc_id, {i} as place, '{kind}' as kind, {least} as least, regexp_extract_all(t, '{p}') as m, "
+        f"regexp_extract_all(t, '{p}', {group}) as v, string_split_regex(t, '{p}') as gap from docs"
+        for i, (kind, p, group, least) in enumerate(rules))
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)
+    named = "kind || ':' || start || ':' || stop"
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+hits as ({hits}),
+each as (
+    select doc_id, place, kind, least, m, gap, v, unnest(generate_series(1, len(m))) as i from hits where len(m) > 0),
+spans as (
+    select doc_id, place, kind, length(m[i]) as size,
+        coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start
+    from each where length(v[i]) >= least),
+ends as (select *, start::bigint as a, (start + size)::bigint as b from spans),
+named as (select doc_id, place, kind, a as start, b as stop from ends),
+joined as (
+    select doc_id, {counts},
+        string_agg({named}, ',' order by start, place) filter (place < {len(secrets.BASE)}) as base,
+        string_agg({named}, ',' order by start, place) as spans from named group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs d left join joined using (doc_id)"""
+
+
+ORACLES["op2_secret_ledger"] = _secrets_sql()
+
+
+@query
+def op3_license_sentences(spark, sf_dir):
+    found = licenses.recognised(table(spark, sf_dir, "documents"))
+    known = F.filter("sentence_ids", lambda i: i != licenses.UNKNOWN)
+    return found.select(
+        "doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.size(known).cast("long").alias("n_known"),
+        (F.size("sentence_ids") - F.size(known)).cast("long").alias("n_unknown"))
+
+
+def _licenses_sql() -> str:
+    normal = r"regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+    keyword = f"regexp_matches({{}}, '{licenses.KEYWORD}')"
+    known = ", ".join(f"('{name}', '{sentence}')" for name, sentence in licenses.SENTENCES.items())
+    steps, last = [], "seq"
+    for i, (name, names) in enumerate(licenses.RULES):
+        parts = "".join(f"<{n}>" for n in names)
+        steps.append(
+            f"r{i} as (select doc_id, ids, replace(rest, '{parts}', '<>') as rest, case when contains(rest, '{parts}') "
+            f"and not list_contains(found, '{name}') then list_append(found, '{name}') else found end as found from {last})")
+        last = f"r{i}"
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+known(name, sentence) as (values {known}),
+marked as (select doc_id, regexp_replace(t, '([.!?])[ \t\n\x0B\f\r]+', '\1\x01', 'g') as t from docs
+    where {keyword.format("t")}),
+cut_up as (select doc_id, unnest(string_split(t, '\x01')) as s, generate_subscripts(string_split(t, '\x01'), 1) as i
+    from marked),
+whole as (select doc_id, i, s, {normal} as n from cut_up where {keyword.format("s")}),
+pieces as (
+    select doc_id, i, 0 as j, n from whole where n in (select sentence from known)
+    union all
+    select doc_id, i, j, {normal} as n from (
+        select doc_id, i, unnest(string_split_regex(s, '\r\n|[\n\x0B\f\r]')) as s,
+            generate_subscripts(string_split_regex(s, '\r\n|[\n\x0B\f\r]'), 1) as j
+        from whole where n not in (select sentence from known)) where {keyword.format("s")}),
+named as (select doc_id, list(coalesce(name, '?') order by i, j) as ids
+    from pieces left join known on n = sentence group by doc_id),
+seq as (select doc_id, ids, '<' || array_to_string(ids, '><') || '>' as rest, []::varchar[] as found from named),
+{", ".join(steps)}
+select d.doc_id, coalesce(array_to_string(found, ','), '') as licences,
+    coalesce(array_to_string(ids, ','), '') as sentence_ids,
+    coalesce(len(list_filter(ids, lambda x: x <> '?')), 0)::bigint as n_known,
+    coalesce(len(list_filter(ids, lambda x: x = '?')), 0)::bigint as n_unknown
+from docs d left join {last} using (doc_id)""".replace("'\\x01'", "chr(1)").replace("\\x01'", "' || chr(1)")
+
+
+ORACLES["op3_license_sentences"] = _licenses_sql()
+
+
+@query
+def op4_entropy_mix(spark, sf_dir):
+    found = mixing.mixed(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op5_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.train(pages))
+
+
+@query
+def op6_multiset_hash(spark, sf_dir):
+    found = multiset.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", multiset.text_of(F.col("fingerprint")).alias("fingerprint"),
+        multiset.text_of(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op7_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
@@ -35,6 +164,11 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
+@query
+def op8_sentencepiece(spark, sf_dir):
+    return spiece.round_trips(table(spark, sf_dir, "documents"), spiece.Pieces.load(TOKENIZER))
+
+
 @query
 def op9_simhash_near_copies(spark, sf_dir):
     found = simhash.near_copies(table(spark, sf_dir, "documents"), width=3, bits=2)
