@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 PIECE = 1 << 20
+BLANK = ord(" ")
 _LETTER: list[np.ndarray] = []
 
 
@@ -37,11 +38,11 @@ def _letters() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-case letters of a text as code points, with one zero around every run of letters."""
+    """Lower-case letters of a text as code points, with one blank around every run of letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.where(_letters()[points], points, 0).astype(np.int64)
-    points = np.concatenate(([0], points, [0]))
-    return points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))]
+    points = np.where(_letters()[points], points, BLANK).astype(np.int64)
+    points = np.concatenate(([BLANK], points, [BLANK]))
+    return points[np.append(True, (points[1:] != BLANK) | (points[:-1] != BLANK))]
 
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,19 +51,17 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = _codes(text)
     for at in range(0, len(codes) - 2, PIECE):
         c = codes[at : at + PIECE + 2]
-        a, b, d = c[:-2], c[1:-1], c[2:]
-        pairs = (a[a + b > 0] << 21) | b[a + b > 0] if at + PIECE + 2 < len(codes) else _pairs(c)
-        three = ((a << 42) | (b << 21) | d)[b > 0]
-        found, n = np.unique(np.concatenate((b[b > 0], pairs, three)), return_counts=True)
+        before, letter, after = c[:-2], c[1:-1], c[2:]
+        is_letter = letter != BLANK
+        pairs = (before << 21) | letter
+        if at + PIECE + 2 >= len(codes):
+            pairs = np.append(pairs, (letter[-1] << 21) | after[-1])
+        three = ((before << 42) | (letter << 21) | after)[is_letter]
+        found, n = np.unique(np.concatenate((letter[is_letter], pairs, three)), return_counts=True)
         grams, counts = _added(np.concatenate((grams, found)), np.concatenate((counts, n)))
     return grams, counts
 
 
-def _pairs(c: np.ndarray) -> np.ndarray:
-    a, b = c[:-1], c[1:]
-    return ((a << 21) | b)[a + b > 0]
-
-
 def _added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, place = np.unique(grams, return_inverse=True)
     return found, np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
