@@ -2,7 +2,7 @@
 
 A page is read into nodes in document order, so a subtree is a range of nodes and its figures are differences of
 running sums over a whole batch of pages. The trees see, for every node, the density of its subtree (text, links,
-tags, sentence marks), attribute tokens and tags on the path to it, depth, place on the page and its siblings.
+tags, sentence marks), attribute tokens and tags on the path to it, depth and its place among its siblings.
 Decoding labels a whole tree at once: a node is in, out or mixed; all below an ``in`` node is in, all below an ``out``
 node is out, and only a mixed node may have children of either kind. The labelling with the largest likelihood wins,
 so an ancestor and a descendant cannot contradict one another.
@@ -13,7 +13,7 @@ reader comments, plain containers), which makes the labels of the rebuilt pages
 
 Null and empty pages, and pages without an article, give the empty text. Character references are decoded, white space
 within a block becomes one blank, blocks are joined by one blank. Broken markup never fails: open elements end where
-their parent ends, stray end tags are skipped. Repeated rows give repeated result rows.
+their parent ends, stray end tags are skipped, the elements html and body are taken for granted. Repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ TOKENS = {
 }
 GROUP = {token: i for i, words in enumerate(TOKENS.values()) for token in words.split()}
 TAG = {tag: i for i, tag in enumerate(TAGS)}
-NUMBERS = 14
+NUMBERS = 12
 WIDTH = NUMBERS + 2 * len(TAGS) + len(TOKENS)
 
 _TOKEN = re.compile(
@@ -73,7 +73,7 @@ class Page:
 
     def __init__(self, source: str | None):
         self.tag, self.parent, self.depth, self.end, self.groups, self.path = [], [], [], [], [], []
-        self.chars, self.link_chars, self.stops, self.start = [], [], [], []
+        self.chars, self.link_chars, self.stops = [], [], []
         self.children, self.index = [], []
         self.pieces: list[tuple[int, str]] = []
         self._read(source or "")
@@ -98,7 +98,6 @@ class Page:
         self.chars.append(0)
         self.link_chars.append(0)
         self.stops.append(0)
-        self.start.append(self.total)
         self.children.append(0)
         self.index.append(self.children[parent] if parent >= 0 else 0)
         if parent >= 0:
@@ -141,7 +140,10 @@ class Page:
             closing, name, attributes = match.group(1, 2, 3) if match.group(2) else match.group(4, 5, 6)
             if name:
                 name = name.lower()
-                if closing:
+                if name in ("html", "body"):
+                    if not closing:
+                        self._implied(name, stack, leave)
+                elif closing:
                     if any(name == tag for tag, _ in stack):
                         while stack[-1][0] != name:
                             leave()
@@ -189,7 +191,7 @@ def features(pages: list[Page]) -> np.ndarray:
     n = [len(p.tag) for p in pages]
     first = np.repeat(np.cumsum([0, *n[:-1]]), n)
     get = lambda name: np.fromiter((v for p in pages for v in getattr(p, name)), dtype=np.int64, count=sum(n))
-    tag, parent, depth, start = get("tag"), get("parent"), get("depth"), get("start")
+    tag, parent, depth = get("tag"), get("parent"), get("depth")
     chars, linked, stops, index, children = (get(k) for k in ("chars", "link_chars", "stops", "index", "children"))
     path, rows = get("path"), np.arange(sum(n))
     end, up = get("end") + first, np.maximum(parent, 0) + first
@@ -201,7 +203,7 @@ def features(pages: list[Page]) -> np.ndarray:
     out = np.zeros((len(rows), WIDTH))
     out[:, :NUMBERS] = np.stack([
         np.log1p(size), share, np.log1p(inner), np.log1p(size / inner), depth, marks / np.maximum(size, 1),
-        chars / np.maximum(size, 1), size / whole, start / whole, (start + size) / whole, index / siblings,
+        chars / np.maximum(size, 1), size / whole, index / siblings,
         np.log1p(siblings), share[up], np.log1p(size[up] / inner[up])], axis=1)
     known = tag >= 0
     out[rows[known], NUMBERS + tag[known]] = 1
@@ -210,7 +212,8 @@ def features(pages: list[Page]) -> np.ndarray:
     return out
 
 
-MIXED = 2.0
+#: Price, in log-likelihood, of a node with children of either kind.
+MIXED = 3.0
 
 
 def decode(page: Page, margin: np.ndarray) -> np.ndarray:
@@ -298,6 +301,8 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[s
     """
     if rng.random() < 0.4:
         blocks = blocks[: rng.randint(1, 3)]
+    elif rng.random() < 0.5:
+        blocks = blocks[1:] or blocks
     short = lambda most: html.escape(" ".join(rng.choice(others).split()[: rng.randint(1, most)]))
     links = lambda k: "".join(f'<li><a href="/{i}">{short(3)}</a></li>' for i in range(rng.randint(2, k)))
     inner = lambda kind: {
@@ -318,18 +323,20 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[s
         name = _name(rng, kind) if tag in ("div", "section") or rng.random() < 0.4 else ""
         return f"<{tag} {name}>{inner(kind)}</{tag}>"
 
-    pick = lambda kinds, p: "".join(part(k) for k in kinds if rng.random() < p)
-    before, after = pick(("notice", "head", "menu", "advert"), 0.6), pick(("related", "side", "share", "form"), 0.4)
-    late, body = pick(("comment", "foot"), 0.6), []
+    busy = rng.choice((0.0, 0.2, 0.5, 0.8))
+    pick = lambda *kinds: "".join(part(k) for k in kinds if rng.random() < busy)
+    before, after = pick("notice", "head", "menu", "advert"), pick("related", "side", "share", "form")
+    late, body = pick("comment", "foot"), []
     for i, block in enumerate(blocks):
         tag = "h1" if not i and len(block) < 200 else rng.choice(("p", "p", "p", "p", "div", "li", "blockquote", "h2"))
         body.append(f"<{tag}>{html.escape(block)}</{tag}>")
-        if rng.random() < 0.1:
+        if rng.random() < 0.1 * busy:
             body.append(part(rng.choice(("advert", "related", "share", "notice", "form"))))
-    if rng.random() < 0.3:
+    if rng.random() < 0.5 * busy:
         body.append(part("comment"))
     marked, wrap = f"<article>{''.join(body)}</article>", rng.choice(("", "<div>", f"<div {_name(rng, 'content')}>"))
-    outer = f"<html><body>{before}{wrap}{{}}{'</div>' if wrap else ''}{after}{late}</body></html>"
+    deeper = rng.choice((0, 0, 1, 2))
+    outer = "<div>" * deeper + f"{before}{wrap}{{}}{'</div>' if wrap else ''}{after}{late}" + "</div>" * deeper
     shown = rng.choice(("article", "main", "div", "section", f"div {_name(rng, 'content')}", f"section {_name(rng, 'content')}",
                         "article"))
     other = f"<{shown}>{''.join(body)}</{shown.split()[0]}>"

@@ -204,7 +204,7 @@ def decode(tokens: DataFrame, model: Pieces, ids_col: str = "ids", into: str = "
     @pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
         pieces = shared.value
-        return pd.Series([None if ids is None else pieces.decode(ids.tolist()) for ids in lists], dtype=object)
+        return pd.Series([None if ids is None else pieces.decode(list(ids)) for ids in lists], dtype=object)
 
     return tokens.withColumn(into, text_of(F.col(ids_col)))
 
