@@ -551,17 +551,17 @@ def _events(tables):
 
 @query
 def usage_daily_stream(tables):
-    return usage.run_and_merge(usage.daily_usage(_events(tables)), ["user_id", "usage_date"], "usage-daily")
+    return usage.daily_usage(_events(tables))
 
 
 @query
 def engagement_sliding(tables):
-    return usage.run_and_merge(usage.sliding_logins(_events(tables)), ["user_id", "window_start"], "engagement-sliding")
+    return usage.sliding_logins(_events(tables))
 
 
 @query
 def session_minutes_stream(tables):
-    return usage.run_append(usage.sessions(_events(tables)), "session-minutes")
+    return usage.sessions(_events(tables))
 
 
 @query

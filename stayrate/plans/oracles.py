@@ -838,13 +838,13 @@ group by user_id, window_start
 """)
 ORACLES["session_minutes_stream"] = statement(f"""
 select user_id, min(ts) session_start, count(*) as events,
-  {_fixed('(epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6::double', 4)} session_minutes
+  {_fixed('(epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6::double', 4)} session_minutes,
+  (select max(ts) from events) <= max(ts) + interval 30 minute is_open
 from (
   select user_id, ts, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) nth
   from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end opens
         from events))
 group by user_id, nth
-having max(ts) + interval 30 minute <= (select max(ts) - interval 1 day from events)
 """)
 ORACLES["tier_change_alerts"] = statement("""
 select customer_id, b.scored_at, a.risk_tier previous_tier, b.risk_tier risk_tier

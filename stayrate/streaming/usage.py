@@ -1,114 +1,122 @@
-"""Usage signals kept current from an event stream.
+"""Usage signals kept current from an event stream; no row is lost to its order of arrival.
 
-Windowed results are updated in place: every micro-batch writes its changed rows to a folder of its own,
-named by the batch, so a repeated batch replaces itself; readers take the newest version of each key.
+Every micro-batch reduces its new events to partial aggregates and writes them to a folder of its own, named by the
+batch, so a repeated batch replaces itself. Readers add the partials up, so an event counts whenever it arrives: there
+is no watermark behind which rows are dropped. An event id that arrives again for the same day is counted once; the ids
+seen so far are kept by day, and a batch looks only at its own days.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stayrate.functions.columns import fixed
 from stayrate.session import scratch_path
 from stayrate.sources.fixtures import RAW_SCHEMAS
 
-WATERMARK = "1 day"
-SESSION_GAP = "30 minutes"
+GAP_MINUTES = 30
 
 
-def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Event files as a stream. Event times are UTC wall-clock times, so the session runs in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return (
-        spark.readStream.schema(RAW_SCHEMAS["events"])
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{folder}/events*.parquet")  # files, or folders of part files
-        .withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Event files as a stream; all files there are in one batch unless ``files_per_batch`` is given."""
+    reader = spark.readStream.schema(RAW_SCHEMAS["events"])
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/events*.parquet")  # files, or folders of part files
+
+
+def daily_partials(events: DataFrame) -> DataFrame:
+    """Events, kinds of events and total value per user and day, ready to be added up."""
+    return events.groupBy("user_id", F.col("day").alias("usage_date")).agg(
+        F.count(F.lit(1)).alias("events"), F.collect_set("event_type").alias("kinds"),  # a closed, short list
+        F.sum(F.col("value").cast("decimal(28,2)")).alias("total_value"),
     )
 
 
-def _deduplicated(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+def slot_partials(events: DataFrame) -> DataFrame:
+    """First and last event and their number per user and half hour; one slot never holds parts of two sessions."""
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (60 * GAP_MINUTES))
+    return events.groupBy("user_id", slot.alias("slot")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
+
+
+def run_partials(stream: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Process what is available and return the partials of all batches, under their batch ids."""
+    spark = stream.sparkSession
+    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    marked = stream.withColumn("day", F.to_date("ts"))
+    ids = marked.select("event_id", "day")
+    # versions without rows, so that the first batch and a stream without data find the folders
+    spark.createDataFrame([], ids.schema).write.parquet(f"{target}/ids/batch_id=-1")
+    empty = partials(spark.createDataFrame([], marked.schema))
+    empty.write.parquet(f"{target}/partials/batch_id=-1")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        days = [r["day"] for r in batch.select("day").distinct().collect()]  # bounded by the calendar
+        earlier = spark.read.parquet(f"{target}/ids").where((F.col("batch_id") < batch_id) & F.col("day").isin(days))
+        new = batch.dropDuplicates(["event_id", "day"]).join(earlier.select("event_id", "day"), ["event_id", "day"], "left_anti")
+        partials(new).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
+        new.select("event_id", "day").write.mode("overwrite").parquet(f"{target}/ids/batch_id={batch_id}")
+
+    query = (
+        marked.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(f"{_ddl(empty)}, batch_id bigint").parquet(f"{target}/partials")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
 
 
 def daily_usage(events: DataFrame) -> DataFrame:
     """Events, kinds of events and total value per user and day."""
-    kinds = F.collect_set("event_type")  # a closed, short list
-    return _deduplicated(events).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(
-        F.count(F.lit(1)).alias("events"), F.size(kinds).alias("event_types"),
-        F.sum(F.col("value").cast("decimal(28,2)")).alias("total_value"),
-    ).select(
-        "user_id", F.col("w.start").cast("date").alias("usage_date"), "events", "event_types",
-        F.col("total_value").cast("decimal(28,2)").alias("total_value"),
+    days = run_partials(events, daily_partials, "usage-daily")
+    return days.groupBy("user_id", "usage_date").agg(
+        F.sum("events").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("event_types"),
+        F.sum("total_value").cast("decimal(28,2)").alias("total_value"),
     )
 
 
 def sliding_logins(events: DataFrame) -> DataFrame:
     """Events per user in every trailing seven days, moving by one day."""
-    return _deduplicated(events).groupBy("user_id", F.window("ts", "7 days", "1 day").alias("w")).agg(
-        F.count(F.lit(1)).alias("logins_7d")
+    days = run_partials(events, daily_partials, "engagement-sliding")
+    start = F.explode(F.sequence(F.date_sub("usage_date", 6), F.col("usage_date")))
+    return days.select("user_id", "events", start.alias("window_start")).groupBy("user_id", "window_start").agg(
+        F.sum("events").alias("logins_7d")
     ).select(
-        "user_id", F.col("w.start").cast("date").alias("window_start"), F.col("w.end").cast("date").alias("window_end"),
-        "logins_7d", fixed(F.col("logins_7d") / F.lit(7.0), 4).alias("logins_per_day"),
+        "user_id", "window_start", F.date_add("window_start", 7).alias("window_end"), "logins_7d",
+        fixed(F.col("logins_7d") / F.lit(7.0), 4).alias("logins_per_day"),
     )
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """Closed sessions: runs of events of a user with no gap over 30 minutes."""
-    return _deduplicated(events).groupBy("user_id", F.session_window("ts", SESSION_GAP).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts")).select(
-        "user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "events",
-        fixed((F.unix_micros("last_ts") - F.unix_micros("w.start")) / F.lit(60e6), 4).alias("session_minutes"),
-    )
-
-
-def _finish(query) -> None:
-    query.awaitTermination()
-
-
-def run_and_merge(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Process what is available in update mode and return the newest version of every key."""
-    spark = stream.sparkSession
-    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-
-    # a version without rows, so that a stream without data gives an empty table
-    spark.createDataFrame([], stream.schema).write.parquet(f"{target}/batch_id=-1")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-    _finish(
-        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(keep).start()
+    """All sessions: runs of events of a user with no gap over 30 minutes.
+
+    ``is_open``: the newest event of all is not later than a next event of the session may be.
+    """
+    slots = run_partials(events, slot_partials, "session-minutes").groupBy("user_id", "slot").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
+    gap = F.expr(f"interval {GAP_MINUTES} minutes")
+    by_user = Window.partitionBy("user_id").orderBy("slot")  # two rows per active hour of a user
+    opens = F.when(F.col("first_ts") <= F.lag("last_ts").over(by_user) + gap, 0).otherwise(1)
+    numbered = slots.withColumn("opens", opens).withColumn("nth", F.sum("opens").over(by_user))
+    found = numbered.groupBy("user_id", "nth").agg(
+        F.min("first_ts").alias("session_start"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
+    newest = slots.agg(F.max("last_ts")).first()[0]
+    micros = F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("session_start").cast("timestamp"))
+    return found.select(
+        "user_id", "session_start", "events", fixed(micros / F.lit(60e6), 4).alias("session_minutes"),
+        (F.lit(newest).cast("timestamp_ntz") <= F.col("last_ts") + gap).alias("is_open"),
     )
-    return newest(spark, target, keys, stream.columns)
 
 
-def compact(spark: SparkSession, source: str, target: str, keys: Sequence[str]) -> None:
-    """Fold all versions written so far into one, in a folder of its own that later batches go on in."""
+def compact(spark: SparkSession, source: str, target: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold all partials written so far into one, in a folder of its own that later batches go on in."""
     rows = spark.read.parquet(source)
     last = rows.agg(F.max("batch_id")).first()[0]
-    columns = [c for c in rows.columns if c != "batch_id"]
-    newest(spark, source, keys, columns).write.mode("overwrite").parquet(f"{target}/batch_id={last}")
-
-
-def newest(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    values = [c for c in columns if c not in keys]
-    versions = spark.read.parquet(target)
-    return versions.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("v")).select(*keys, "v.*")
-
-
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available; only results that can no longer change are written."""
-    spark = stream.sparkSession
-    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    # sessions of a busy user are merged before the shuffle
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    _finish(
-        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).format("parquet").option("path", target).start()
-    )
-    return spark.read.schema(stream.schema).parquet(target)
+    merge(rows.drop("batch_id")).write.mode("overwrite").parquet(f"{target}/batch_id={last}")
