@@ -1,7 +1,8 @@
 """Model evaluation over one long table (model, customer_id, churn_label, probability).
 
-Probabilities are taken at four decimals, as they are published: at most 10,001 distinct scores per model
-reach any window.
+Ranks and curves use the scores as they are; only results are rounded. They work on two levels: distinct scores meet
+only scores of their own bucket, and the totals of the buckets, whose number the bucketing rule bounds, carry the
+offsets.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from stayrate.functions.columns import fixed, mean_of, ratio
 from stayrate.operators.exploration import class_histogram
 
 
+def _score_bucket(p: Column, steps_per_octave: int = 256) -> Column:
+    """Order-preserving bucket of a probability, of relative width near 0 and near 1: some 300,000 at most."""
+    low, high = F.floor(F.log2(p) * steps_per_octave), F.floor(-F.log2(1.0 - p) * steps_per_octave)
+    return F.when(p <= 0, -(2**31)).when(p >= 1, 2**31 - 1).when(p < 0.5, low).otherwise(high).cast("int")
+
+
 def _score_counts(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("model", fixed(F.col("probability"), 4).alias("score")).agg(
+    return scored.groupBy("model", F.col("probability").alias("score")).agg(
         F.count_if(F.col("churn_label") == 1).alias("pos"), F.count_if(F.col("churn_label") == 0).alias("neg")
-    )
+    ).withColumn("bucket", _score_bucket(F.col("score")))
 
 
 def _auc(scored: DataFrame) -> DataFrame:
-    lower = W.partitionBy("model").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("neg") / F.lit(2.0))
-    return _score_counts(scored).withColumn("won", won).groupBy("model").agg(
-        ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc")
+    inside = W.partitionBy("model", "bucket").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(inside), F.lit(0)).cast("double")
+    buckets = _score_counts(scored).withColumn("won", F.col("pos") * (below + F.col("neg") / F.lit(2.0))).groupBy(
+        "model", "bucket").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lower = W.partitionBy("model").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("neg").over(lower), F.lit(0)).cast("double")
+    return buckets.withColumn("won", F.col("won") + F.col("pos") * before).groupBy("model").agg(
+        ratio(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
     )
 
 
@@ -93,23 +104,31 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
 
 
 def _running(scored: DataFrame) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives at or above it, totals, place."""
-    down = W.partitionBy("model").orderBy(F.desc("score"))
-    upto = down.rowsBetween(W.unboundedPreceding, W.currentRow)
+    """Per distinct score: positives and negatives at or above it, and totals of the model."""
+    counts = _score_counts(scored)
+    buckets = counts.groupBy("model", "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    higher = W.partitionBy("model").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("model")
-    return _score_counts(scored).select(
-        "model", "score", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
-        F.sum("pos").over(whole).alias("positives"), F.sum("neg").over(whole).alias("negatives"),
-        F.row_number().over(down).alias("place"),
+    offsets = buckets.select(
+        "model", "bucket", F.coalesce(F.sum("bp").over(higher), F.lit(0)).alias("bp"),
+        F.coalesce(F.sum("bn").over(higher), F.lit(0)).alias("bn"),
+        F.sum("bp").over(whole).alias("positives"), F.sum("bn").over(whole).alias("negatives"),
+    )
+    inside = W.partitionBy("model", "bucket").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = counts.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
+    return upto.join(offsets, ["model", "bucket"]).select(
+        "model", "score", (F.col("tp") + F.col("bp")).alias("tp"), (F.col("fp") + F.col("bn")).alias("fp"),
+        "positives", "negatives",
     )
 
 
 def _curve(scored: DataFrame, columns: dict[str, Column], end: dict[str, float]) -> DataFrame:
-    """One point per distinct score, and the fixed end point beside the first of each model."""
-    point = F.struct(F.col("score").alias("threshold"), *[fixed(c, 6).alias(n) for n, c in columns.items()])
-    closing = F.struct(F.lit(None).cast("double").alias("threshold"), *[F.lit(end[n]).alias(n) for n in columns])
-    points = F.when(F.col("place") == 1, F.array(closing, point)).otherwise(F.array(point))
-    return _running(scored).select("model", F.inline(points))
+    """One point per distinct score, and the fixed end point of each model."""
+    points = _running(scored).select(
+        "model", fixed(F.col("score"), 6).alias("threshold"), *[fixed(c, 6).alias(n) for n, c in columns.items()])
+    closing = scored.select("model").distinct().select(
+        "model", F.lit(None).cast("double").alias("threshold"), *[F.lit(end[n]).alias(n) for n in columns])
+    return points.unionByName(closing)
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
@@ -129,12 +148,16 @@ def score_density(scored: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """All bins of every model; an empty one has no customers and no means."""
     place = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).cast("int")
-    return scored.groupBy("model", place.alias("bin")).agg(
-        F.count(F.lit(1)).alias("customers"),
+    filled = scored.groupBy("model", place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"),
         fixed(F.avg("probability"), 6).alias("mean_predicted"),
         fixed(mean_of(F.col("churn_label")), 6).alias("observed_rate"),
     )
+    every = scored.select("model").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(filled, ["model", "bin"], "left").select(
+        "model", "bin", F.coalesce("n", F.lit(0)).alias("customers"), "mean_predicted", "observed_rate")
 
 
 def benchmark(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -347,7 +347,7 @@ def nps_slope(tables):
 
 # ------------------------------------------------------------------------------ evaluation on the scorecard
 def _scored(tables):
-    return engineering.scorecard(_frame(tables), digits=4).withColumn("model", F.lit("scorecard"))
+    return engineering.scorecard(_frame(tables)).withColumn("model", F.lit("scorecard"))
 
 
 @query
@@ -362,12 +362,12 @@ def brier(tables):
 
 @query
 def confusion_matrix(tables):
-    return evaluation.confusion_matrix(_scored(tables), threshold=0.1)
+    return evaluation.confusion_matrix(_scored(tables))
 
 
 @query
 def classification_report(tables):
-    return evaluation.classification_report(_scored(tables), threshold=0.1)
+    return evaluation.classification_report(_scored(tables))
 
 
 @query
@@ -382,7 +382,7 @@ def pr_curve(tables):
 
 @query
 def score_density(tables):
-    return evaluation.score_density(cut(_scored(tables)))
+    return evaluation.score_density(cut(_scored(tables).withColumn("probability", fixed(F.col("probability"), 4))))
 
 
 @query

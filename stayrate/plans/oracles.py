@@ -709,7 +709,7 @@ ORACLES["nps_slope"] = statement(
     f"select count(*) customers, {_fixed('regr_slope(churn_label::double, nps_score::double) * 1000', 6)} points_per_10_nps from frame")
 
 # ---------------------------------------------------------------- evaluation of the scorecard
-CTES["scored"] = f"select 'scorecard' model, customer_id, churn_label, {_fixed('raw', 4)} probability from card"
+CTES["scored"] = "select 'scorecard' model, customer_id, churn_label, raw probability from card"
 ORACLES["auc_roc"] = statement(f"""
 select model, {_fixed("(sum(case when churn_label = 1 then mid_rank end) - pos * (pos + 1) / 2) / (pos * neg)", 6)} auc_roc
 from (
@@ -722,8 +722,8 @@ group by model, pos, neg
 ORACLES["brier"] = statement(
     f"select model, {_fixed('avg((probability - churn_label) * (probability - churn_label))', 6)} brier from scored group by model")
 CTES["cells"] = """
-select model, count(*) filter (probability >= 0.1 and churn_label = 1) tp, count(*) filter (probability >= 0.1 and churn_label = 0) fp,
-  count(*) filter (probability < 0.1 and churn_label = 1) fn, count(*) filter (probability < 0.1 and churn_label = 0) tn
+select model, count(*) filter (probability >= 0.5 and churn_label = 1) tp, count(*) filter (probability >= 0.5 and churn_label = 0) fp,
+  count(*) filter (probability < 0.5 and churn_label = 1) fn, count(*) filter (probability < 0.5 and churn_label = 0) tn
 from scored group by model
 """
 ORACLES["confusion_matrix"] = statement("""
@@ -755,19 +755,21 @@ select model, threshold, sum(pos) over (partition by model order by threshold de
 from (select model, probability threshold, sum(churn_label) pos, sum(1 - churn_label) neg from scored group by 1, 2)
 """
 ORACLES["roc_curve"] = statement(f"""
-select model, threshold, {_fixed('fp / negatives', 6)} fpr, {_fixed('tp / positives', 6)} tpr from steps
-union all select distinct model, null, 0.0::double, 0.0::double from scored
+select model, {_fixed('threshold', 6)} threshold, {_fixed('fp / negatives', 6)} fpr, {_fixed('tp / positives', 6)} tpr from steps
+union all select * from (select distinct model, null::double, 0.0::double, 0.0::double from scored)
 """)
 ORACLES["pr_curve"] = statement(f"""
-select model, threshold, {_fixed('tp / (tp + fp)', 6)} as precision, {_fixed('tp / positives', 6)} recall from steps
-union all select distinct model, null, 1.0::double, 0.0::double from scored
+select model, {_fixed('threshold', 6)} threshold, {_fixed('tp / (tp + fp)', 6)} as precision, {_fixed('tp / positives', 6)} recall from steps
+union all select * from (select distinct model, null::double, 1.0::double, 0.0::double from scored)
 """)
-CTES["scored_values"] = "select churn_label, probability as value from scored"
+CTES["scored_values"] = f"select churn_label, {_fixed('probability', 4)} as value from scored"
 ORACLES["score_density"] = statement(_histogram("scored_values", "churn_label", 50))
 ORACLES["calibration_bins"] = statement(f"""
-select model, least(cast(floor(probability * 10) as int), 9) bin, count(*) customers,
-  {_fixed('avg(probability)', 6)} mean_predicted, {_fixed(_mean('churn_label'), 6)} observed_rate
-from scored group by 1, 2
+select model, b as bin, count(customer_id) customers, {_fixed('avg(probability)', 6)} mean_predicted,
+  {_fixed(_mean('churn_label'), 6)} observed_rate
+from (select distinct model, b from scored, (select cast(unnest(range(10)) as int) b))
+left join (select *, least(cast(floor(probability * 10) as int), 9) b from scored) using (model, b)
+group by 1, 2
 """)
 
 # ---------------------------------------------------------------- explanation of the scorecard
