@@ -194,6 +194,7 @@ def top_accounts(scores: DataFrame, contracts: DataFrame, customers: DataFrame,
         .select(
             "customer_id", "company_name", "industry", "company_size", "csm_owner", "contract_type", "monthly_charges",
             "churn_probability", "risk_tier", "revenue_at_risk", "top_driver_1", "top_driver_2",
+            "recommended_action",
         )
         .orderBy(F.desc("revenue_at_risk"), "customer_id")
         .limit(n)

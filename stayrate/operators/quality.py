@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.sources.schemas import CHILD_TABLES, DOMAINS, PRIMARY_KEYS, RANGES, REQUIRED
+from stayrate.sources.schemas import CHILD_TABLES, DOMAINS, NATURAL_KEYS, PRIMARY_KEYS, RANGES, REQUIRED
 from stayrate.sources.tables import Tables
 
 
@@ -69,7 +69,7 @@ def value_range(tables: Tables) -> DataFrame:
 
 
 def primary_key(tables: Tables) -> DataFrame:
-    """Distinct keys, keys that occur more than once, and rows beyond the first of each key."""
+    """Distinct keys, keys that occur more than once, and rows beyond the first of each key; natural keys as well."""
     n = F.col("n")
     return _stack([
         tables.get(name)
@@ -79,8 +79,11 @@ def primary_key(tables: Tables) -> DataFrame:
             F.count_if(n > 1).alias("duplicated_keys"),
             F.coalesce(F.sum(n - 1), F.lit(0)).alias("surplus_rows"),
         )
-        .select(F.lit(name).alias("table_name"), "keys", "duplicated_keys", "surplus_rows")
-        for name, keys in PRIMARY_KEYS.items()
+        .select(
+            F.lit(name).alias("table_name"), F.lit(", ".join(keys)).alias("key_columns"), "keys", "duplicated_keys",
+            "surplus_rows",
+        )
+        for name, keys in [*PRIMARY_KEYS.items(), *NATURAL_KEYS.items()]
     ])
 
 

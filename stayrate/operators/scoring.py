@@ -36,7 +36,7 @@ def risk_tier(probability: Column) -> Column:
     return tier.otherwise("Low")
 
 
-def _action(tier: Column) -> Column:
+def action(tier: Column) -> Column:
     text = F
     for name in RISK_TIERS:
         text = text.when(tier == name, ACTIONS[name])
@@ -62,7 +62,7 @@ def score_output(rows: DataFrame, as_of: date, model_version: str) -> DataFrame:
         .select(
             *REPORT_COLUMNS, "churn_probability", "risk_tier",
             F.round(F.col("monthly_charges") * p, 2).cast("decimal(14,2)").alias("revenue_at_risk_monthly"),
-            _action(F.col("risk_tier")).alias("recommended_action"),
+            action(F.col("risk_tier")).alias("recommended_action"),
             F.lit(as_of).alias("scored_at"), F.lit(model_version).alias("model_version"), *absent,
         )
     )

@@ -68,7 +68,7 @@ class Signals:
 def customer_frame(tables: Tables, as_of: date, horizon: int = 90) -> DataFrame:
     """The flat frame behind exploration, training and scoring: customers live at as_of, with their label."""
     signals = Signals(tables, as_of, active_by="dates", horizon=horizon)
-    scale = features.session_scale(signals.engagement(days=30))
+    scale = features.session_scale(signals.engagement())  # its 30-day column, and its shuffle
     extra = features.commercial_columns(F.col("avg_session_min_30d"), scale)
     rows = signals.final([*extra, "churn_label"])
     return rows.select("customer_id", *CATEGORICAL, *NUMERIC, "churn_label")

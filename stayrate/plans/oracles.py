@@ -89,7 +89,7 @@ from (
   from orders)
 """
 CTES["billing_events"] = f"""
-select {_cust('o_custkey')} customer_id, cast(l_shipdate as date) event_date,
+select l_orderkey * 8 + l_linenumber event_id, {_cust('o_custkey')} customer_id, cast(l_shipdate as date) event_date,
   case when l_returnflag = 'N' then 'Payment' when l_returnflag = 'A' and l_linestatus = 'O' then 'Late Payment'
        when l_returnflag = 'A' then 'Writeoff' when l_linestatus = 'O' then 'Dispute' else 'Refund' end event_type,
   cast(l_extendedprice as decimal(12,2)) amount,
@@ -97,10 +97,10 @@ select {_cust('o_custkey')} customer_id, cast(l_shipdate as date) event_date,
 from lineitem join orders on l_orderkey = o_orderkey
 """
 CTES["product_usage"] = f"""
-select customer_id, usage_date, cast(count(*) as int) logins, cast(sum(l_quantity) as decimal(18,2)) session_minutes,
+select any_value(o_custkey) * 100000 + datediff('day', DATE '1970-01-01', usage_date) usage_id, customer_id, usage_date, cast(count(*) as int) logins, cast(sum(l_quantity) as decimal(18,2)) session_minutes,
   cast(count(distinct l_partkey % 5) as int) features_used, 5 total_features, cast(sum(l_linenumber) as int) api_calls
 from (
-  select {_cust('o_custkey')} customer_id, l_quantity, l_partkey, l_linenumber,
+  select o_custkey, {_cust('o_custkey')} customer_id, l_quantity, l_partkey, l_linenumber,
     DATE '2001-08-01' - cast(floor(datediff('day', cast(l_shipdate as date), DATE '2001-11-04') / 8.0) as int) usage_date
   from lineitem join orders on l_orderkey = o_orderkey)
 group by customer_id, usage_date
@@ -122,7 +122,11 @@ CTES["churn_scores"] = """
 select z.customer_id, z.score_id, z.scored_at, z.p churn_probability,
   case when p >= 0.70 then 'Critical' when p >= 0.50 then 'High' when p >= 0.30 then 'Medium' else 'Low' end risk_tier,
   cast(round(co.monthly_charges * p, 2) as decimal(12,2)) revenue_at_risk,
-  d1 top_driver_1, d2 top_driver_2, d3 top_driver_3
+  d1 top_driver_1, d2 top_driver_2, d3 top_driver_3,
+  case when p >= 0.7 then 'Immediate CSM outreach + retention offer within 48h'
+       when p >= 0.5 then 'Schedule health check call within 1 week'
+       when p >= 0.3 then 'Automated nurture sequence + feature adoption push'
+       else 'Standard success cadence — monitor monthly' end recommended_action
 from (
   select customer_id, c_custkey * 2 + k score_id,
     case when k = 0 then DATE '2001-07-01' else DATE '2001-08-01' end scored_at,
@@ -310,8 +314,8 @@ ORACLES["load_tables"] = statement("\nunion all ".join(
 _NOT_NULL = {
     "customers": ["customer_id", "company_name", "acquisition_date"],
     "contracts": ["contract_id", "start_date", "monthly_charges", "customer_id"],
-    "billing_events": ["event_date", "customer_id"],
-    "product_usage": ["customer_id", "usage_date"],
+    "billing_events": ["event_id", "event_date", "customer_id"],
+    "product_usage": ["usage_id", "usage_date", "customer_id"],
     "support_tickets": ["ticket_id", "opened_at", "customer_id"],
 }
 ORACLES["dq_not_null"] = statement("\nunion all ".join(
@@ -336,12 +340,13 @@ ORACLES["dq_range"] = statement("\nunion all ".join(
     f"select '{t}' table_name, '{c}' column_name, min({c})::double lowest, max({c})::double highest, "
     f"count(*) filter ({c} < {lo} or {c} > {hi}) violations from {t}" for (t, c), (lo, hi) in _RANGES.items()))
 
-_KEYS = {"customers": "customer_id", "contracts": "contract_id", "support_tickets": "ticket_id",
-         "nps_responses": "response_id", "churn_scores": "score_id", "product_usage": "customer_id, usage_date"}
+_KEYS = [("customers", "customer_id"), ("contracts", "contract_id"), ("support_tickets", "ticket_id"),
+         ("nps_responses", "response_id"), ("churn_scores", "score_id"), ("billing_events", "event_id"),
+         ("product_usage", "usage_id"), ("product_usage", "customer_id, usage_date")]
 ORACLES["dq_primary_key"] = statement("\nunion all ".join(
-    f"select '{t}' table_name, count(*) as keys, count(*) filter (n > 1) duplicated_keys, "
+    f"select '{t}' table_name, '{k}' key_columns, count(*) as keys, count(*) filter (n > 1) duplicated_keys, "
     f"(sum(n) - count(*))::bigint surplus_rows from (select {k}, count(*) n from {t} group by {k})"
-    for t, k in _KEYS.items()))
+    for t, k in _KEYS))
 
 _CHILDREN = ["contracts", "billing_events", "product_usage", "support_tickets", "nps_responses", "churn_scores"]
 ORACLES["dq_foreign_key"] = statement("\nunion all ".join(
@@ -466,7 +471,7 @@ from (
 """)
 ORACLES["top_accounts"] = statement("""
 select customer_id, company_name, industry, company_size, csm_owner, contract_type, monthly_charges, churn_probability,
-  risk_tier, revenue_at_risk, top_driver_1, top_driver_2
+  risk_tier, revenue_at_risk, top_driver_1, top_driver_2, recommended_action
 from exposure where risk_tier in ('Critical', 'High') order by revenue_at_risk desc, customer_id limit 50
 """)
 ORACLES["driver_frequency"] = statement(f"""

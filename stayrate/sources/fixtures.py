@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions.ranking import add_neighbour
+from stayrate.operators.scoring import action
 from stayrate.sources.tables import Tables, bound_by_day
 
 AS_OF = date(2001, 8, 1)
@@ -114,6 +115,7 @@ class FixtureTables(Tables):
         returned, open_line = F.col("l_returnflag"), F.col("l_linestatus") == "O"
         late = (returned == "A") & open_line
         return self._lines(since, until).select(
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
             _customer_id("o_custkey").alias("customer_id"),
             F.col("l_shipdate").cast("date").alias("event_date"),
             F.when(returned == "N", "Payment")
@@ -150,7 +152,10 @@ class FixtureTables(Tables):
                 F.lit(5).alias("total_features"),
                 F.sum("l_linenumber").cast("int").alias("api_calls"),
             )
-            .withColumn("customer_id", _customer_id("o_custkey"))
+            .withColumns({
+                "customer_id": _customer_id("o_custkey"),
+                "usage_id": F.col("o_custkey") * 100_000 + F.datediff("usage_date", F.lit(date(1970, 1, 1))),
+            })
             .drop("o_custkey")
         )
 
@@ -201,6 +206,7 @@ class FixtureTables(Tables):
                 F.round(F.col("monthly_charges") * p, 2).cast("decimal(12,2)").alias("revenue_at_risk"),
                 "top_driver_1", "top_driver_2", "top_driver_3",
             )
+            .withColumn("recommended_action", action(F.col("risk_tier")))
         )
 
     def _recovery_actions(self, since, until) -> DataFrame:

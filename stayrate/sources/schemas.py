@@ -71,8 +71,10 @@ PRIMARY_KEYS = {
     "support_tickets": ["ticket_id"],
     "nps_responses": ["response_id"],
     "churn_scores": ["score_id"],
-    "product_usage": ["customer_id", "usage_date"],
+    "billing_events": ["event_id"],
+    "product_usage": ["usage_id"],
 }
+NATURAL_KEYS = {"product_usage": ["customer_id", "usage_date"]}
 REQUIRED = {
     "customers": ["company_name", "acquisition_date"],
     "contracts": ["start_date", "monthly_charges"],

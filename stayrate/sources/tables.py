@@ -72,8 +72,9 @@ class StoredTables(Tables):
 class JdbcTables(Tables):
     """Tables in a relational database.
 
-    Bounded facts are read in parallel by day. Any other table is read in parallel where ``splits`` names
-    a numeric or date column with its lowest and highest value.
+    Every table is read in parallel: facts bounded on both sides by day, any other read by the numeric or date
+    column that ``splits`` names with its lowest and highest value. Without one it is refused, not read through a
+    single connection.
     """
 
     def __init__(
@@ -89,12 +90,12 @@ class JdbcTables(Tables):
         split = self.splits.get(name)
         if day and since and until:
             split = (day, str(since), str(until + timedelta(days=1)))
-        if split:
-            column, low, high = split
-            reader = reader.options(
-                partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=str(self.partitions)
-            )
-        df = reader.load()
+        if not split:
+            raise ValueError(f"{name}: name a split column with its bounds in splits")
+        column, low, high = split
+        df = reader.options(
+            partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=str(self.partitions)
+        ).load()
         wanted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name] if f.name in df.columns]
         df = df.select(*wanted)
         return bound_by_day(df, day, since, until) if day else df
