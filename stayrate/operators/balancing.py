@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +14,11 @@ from pyspark.sql import types as T
 
 from stayrate.functions.columns import stable_unit
 from stayrate.functions.ranking import add_hash_rank
+from stayrate.session import cut
 
 SEED = 42
+#: Hash tables for neighbours and planes of each; fixed, so that data of any size is treated alike.
+TABLES, BITS = 6, 24
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -33,70 +38,85 @@ def _array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _cells(rows: DataFrame, means: Sequence[float], spreads: Sequence[float], n: int, cell_rows: int, key: str, seed: int) -> DataFrame:
-    """Adds _cell: groups of about cell_rows rows that lie on the same side of random planes.
+def planes(features: int, seed: int = SEED) -> np.ndarray:
+    """TABLES x BITS random directions for the hash tables of neighbours."""
+    return np.random.RandomState(seed).normal(size=(TABLES, BITS, features)).round(6)
 
-    Signatures are packed in order, so thin ones join their neighbours, and a crowded one (many equal
-    rows) is spread over as many cells as it needs by a hash of the key. No cell grows with the data.
-    """
-    cells = max(1, n // cell_rows)
-    if cells == 1:
-        return rows.withColumn("_cell", F.lit(0))
-    bits = min(16, int(np.ceil(np.log2(cells))) + 2)
-    planes = np.random.RandomState(seed).normal(size=(bits, len(means))) / np.asarray(spreads)
-    signature = F.lit(0)
-    for i, plane in enumerate(planes):
-        moved = F.zip_with("x", _array(plane), lambda x, w: x * w)
-        side = F.aggregate(moved, F.lit(0.0), lambda acc, v: acc + v) > F.lit(float(np.dot(plane, means)))
-        signature = signature + F.when(side, 1 << (bits - 1 - i)).otherwise(0)
-    signed = rows.withColumn("_signature", signature)
-    sizes = signed.groupBy("_signature").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 65,536 signatures reach this window
-    before = W.orderBy("_signature").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    position = F.col("_before") + F.floor(stable_unit(seed + 2, F.col(key)) * F.col("_n"))
-    return (
-        signed.join(placed, "_signature")
-        .withColumn("_cell", F.floor(position * cells / n).cast("int"))
-        .drop("_signature", "_n", "_before")
-    )
 
+def _signatures(points: DataFrame, means: Sequence[float], spreads: Sequence[float], seed: int) -> DataFrame:
+    """One row per point and hash table: adds t and sig, the sides of the table's planes as bits, first plane highest."""
+    scaled = F.transform(
+        F.arrays_zip(F.col("x"), _array(means).alias("m"), _array(spreads).alias("s")),
+        lambda v: (v["x"] - v["m"]) / v["s"])
+    tables = F.from_json(F.lit(json.dumps(planes(len(means), seed).tolist())), "array<array<array<double>>>")
+    moved = points.withColumn("_z", scaled).select("*", F.posexplode(tables).alias("t", "_table"))
 
-def neighbours(rows: DataFrame, key: str, k: int, spreads: Sequence[float]) -> DataFrame:
-    """For rows (key, x, _cell, ...): adds near, the k nearest x of the same cell by scaled distance."""
-    schema = T.StructType([f for f in rows.schema if f.name != "_cell"]).add("near", T.ArrayType(T.ArrayType(T.DoubleType())))
-    scale = np.asarray(spreads)
+    def side(z: Column, plane: Column) -> Column:
+        dot = F.aggregate(F.zip_with(z, plane, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(dot > 0, 1).otherwise(0)
+
+    sig = F.aggregate("_table", F.lit(0).cast("bigint"), lambda acc, plane: acc * 2 + side(F.col("_z"), plane))
+    return moved.withColumn("sig", sig).drop("_z", "_table")
 
-    def nearest(cell):
-        cell = cell.sort_values(key, ignore_index=True)
-        points = np.stack(cell["x"].to_numpy())
-        scaled = points / scale
-        kept = min(k, len(cell) - 1)
-        squares = (scaled ** 2).sum(axis=1)
-        near = []
-        for start in range(0, len(cell), 512):
-            block = scaled[start:start + 512]
-            distance = squares[None, :] - 2 * block @ scaled.T + squares[start:start + 512, None]
-            distance[np.arange(len(block)), np.arange(start, start + len(block))] = np.inf
-            if kept == 0:
-                near += [[] for _ in range(len(block))]
-                continue
-            first = np.argpartition(distance, kept - 1, axis=1)[:, :kept]
-            order = np.argsort(np.take_along_axis(distance, first, axis=1), axis=1, kind="stable")
-            near += [list(points[row]) for row in np.take_along_axis(first, order, axis=1)]
-        return cell.drop(columns="_cell").assign(near=near)
-
-    return rows.groupBy("_cell").applyInPandas(nearest, schema)
+
+def add_bucket(points: DataFrame, means: Sequence[float], spreads: Sequence[float], bucket_rows: int, key: str,
+               seed: int = SEED) -> DataFrame:
+    """One row per point and hash table, with bucket columns t, depth, prefix, slice.
+
+    A bucket is the shortest run of first planes with at most ``bucket_rows`` points on the same sides: crowded
+    buckets are cut by further planes. Points on the same side of all BITS planes, equal ones above all, are dealt into
+    slices by a hash of the key.
+    """
+    signed = _signatures(points, means, spreads, seed)
+    counts = signed.groupBy("t", "sig").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn(
+        "prefix", F.expr(f"shiftright(sig, {BITS} - depth)"))
+    fitting = prefixes.groupBy("t", "depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") <= bucket_rows)
+    chosen = prefixes.drop("n").join(fitting.drop("n"), ["t", "depth", "prefix"]).groupBy("t", "sig").agg(
+        F.min("depth").alias("depth"))
+    placed = counts.join(chosen, ["t", "sig"], "left").select(
+        "t", "sig", F.coalesce("depth", F.lit(BITS)).alias("depth"),
+        F.when(F.col("depth").isNull(), F.ceil(F.col("n") / bucket_rows)).otherwise(1).alias("slices"))
+    return signed.join(placed, ["t", "sig"]).withColumns({
+        "prefix": F.expr(f"shiftright(sig, {BITS} - depth)"),
+        "slice": F.floor(stable_unit(seed + 2, F.col(key)) * F.col("slices")).cast("int"),
+    }).drop("sig", "slices")
+
+
+def neighbours(placed: DataFrame, key: str, k: int, spreads: Sequence[float]) -> DataFrame:
+    """(key, near): keys of the k nearest points by scaled distance among those that share a bucket of any table."""
+    scale = np.asarray(spreads)
+    kind = placed.schema[key].dataType
+    schema = T.StructType([T.StructField("_a", kind), T.StructField("_b", kind), T.StructField("_d", T.DoubleType())])
+
+    def nearest(bucket):
+        points = np.stack(bucket["x"].to_numpy()) / scale
+        keys = bucket[key].to_numpy()
+        near = {"_a": [], "_b": [], "_d": []}
+        for i in range(len(keys)):
+            distance = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+            order = np.lexsort((keys.astype(str), distance))
+            order = order[order != i][:k]
+            near["_a"] += [keys[i]] * len(order)
+            near["_b"] += list(keys[order])
+            near["_d"] += list(distance[order])
+        return pd.DataFrame(near)
+
+    found = placed.groupBy("t", "depth", "prefix", "slice").applyInPandas(nearest, schema)
+    listed = found.groupBy("_a").agg(F.collect_set(F.struct("_d", "_b")).alias("_near"))  # k per table at most
+    nearest_keys = F.transform(F.slice(F.array_sort("_near"), 1, k), lambda v: v["_b"])
+    return listed.select(F.col("_a").alias(key), nearest_keys.alias("near"))
 
 
 def smote(
-    train: DataFrame, names: Sequence[str], key: str, label: str, k: int = 5, seed: int = SEED, cell_rows: int = 4000
+    train: DataFrame, names: Sequence[str], key: str, label: str, k: int = 5, seed: int = SEED, bucket_rows: int = 64
 ) -> DataFrame:
     """Raise the minority class to the size of the majority with rows between near minority rows.
 
-    Up to ``2 * cell_rows`` minority rows the neighbours are the exact k nearest; beyond, the exact k
-    nearest within a cell of bounded size, so work grows linearly. New rows are whole: every minority row
-    gets the same number of copies, give or take one. Adds the column synthetic.
+    The neighbours are approximate: the k nearest among the rows that share a bucket in one of TABLES hash tables, by
+    exact scaled distance. The same rule holds at every size; a bucket has at most ``bucket_rows`` rows. A row that is
+    alone in all its buckets is repeated. New rows are whole: every minority row gets the same number of copies, give
+    or take one. Adds the column synthetic.
     """
     counts = {row[label]: row["n"] for row in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = train.select(key, *[F.col(f"`{n}`") for n in names], label, F.lit(False).alias("synthetic"))
@@ -112,15 +132,17 @@ def smote(
     means = [stats[f"m{i}"] for i in range(len(names))]
     spreads = [stats[f"s{i}"] or 1.0 for i in range(len(names))]
     each, extra = divmod(missing, n)
-    points = rows.select(key, F.array(*[F.col(f"`{c}`") for c in names]).alias("x"))
-    points = add_hash_rank(points, [], key, seed + 3, "_rank") if extra else points.withColumn("_rank", F.lit(1))
-    points = points.withColumn("_copies", F.lit(each) + F.when(F.col("_rank") <= extra, 1).otherwise(0)).drop("_rank")
-    celled = _cells(points, means, spreads, n, cell_rows, key, seed)
-    found = neighbours(celled, key, k, spreads).where(F.col("_copies") > 0)
-    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    points = cut(rows.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x")))
+    near = neighbours(add_bucket(points, means, spreads, bucket_rows, key, seed), key, k, spreads)
+    ranked = add_hash_rank(points, [], key, seed + 3, "_rank") if extra else points.withColumn("_rank", F.lit(1))
+    copied = ranked.withColumn("_copies", F.lit(each) + F.when(F.col("_rank") <= extra, 1).otherwise(0))
+    copies = copied.where(F.col("_copies") > 0).join(near, key, "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     pick = F.floor(stable_unit(seed + 4, F.col(key), F.col("_copy")) * F.size("near")).cast("int")
-    share = stable_unit(seed + 5, F.col(key), F.col("_copy"))
-    made = copies.withColumns({"_near": F.coalesce(F.get("near", pick), F.col("x")), "_share": share}).select(
+    picked = copies.select(key, "x", "_copy", F.get("near", pick).alias("_other"),
+                           stable_unit(seed + 5, F.col(key), F.col("_copy")).alias("_share"))
+    others = points.select(F.col(key).alias("_other"), F.col("x").alias("_found"))
+    made = picked.join(others, "_other", "left").withColumn("_near", F.coalesce("_found", "x")).select(
         F.concat_ws("#", F.col(key), F.col("_copy").cast("string")).alias(key),
         *[
             (F.col("x")[i] + F.col("_share") * (F.col("_near")[i] - F.col("x")[i])).alias(c)

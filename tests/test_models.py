@@ -51,44 +51,64 @@ def minority_points(frame):
     return {r.customer_id: np.array([r[n] for n in NAMES]) for r in rows}
 
 
-@pytest.mark.parametrize("cell_rows", [4000, 20])
-def test_smote_rows_lie_between_near_minority_rows(frame, cell_rows):
-    out = balancing.smote(frame, NAMES, "customer_id", "churn_label", cell_rows=cell_rows)
+@pytest.mark.parametrize("bucket_rows", [4000, 20])
+def test_smote_rows_lie_between_near_minority_rows(frame, bucket_rows):
+    out = balancing.smote(frame, NAMES, "customer_id", "churn_label", bucket_rows=bucket_rows)
     assert len(set(counts(out, "churn_label").values())) == 1
     points = minority_points(frame)
     keys, matrix = list(points), np.stack(list(points.values()))
     scaled = matrix / matrix.std(axis=0)
     made = out.where("synthetic").collect()
-    per_parent = {}
+    per_parent, close = {}, 0
     for row in made:
         parent = row.customer_id.split("#")[0]
         per_parent[parent] = per_parent.get(parent, 0) + 1
         i, new = keys.index(parent), np.array([row[n] for n in NAMES])
         distance = ((scaled - scaled[i]) ** 2).sum(axis=1)
         distance[i] = np.inf
-        near = np.argsort(distance)[:5] if cell_rows == 4000 else [j for j in range(len(keys)) if j != i]
-        gaps = []
-        for j in near:
+        order, on_line = np.argsort(distance), []
+        for place, j in enumerate(order[:-1]):
             direction = matrix[j] - matrix[i]
             share = np.dot(new - matrix[i], direction) / np.dot(direction, direction)
-            if -1e-9 <= share <= 1 + 1e-9:
-                gaps.append(np.abs(matrix[i] + share * direction - new).max())
-        assert min(gaps) < 1e-9
+            if -1e-9 <= share <= 1 + 1e-9 and np.abs(matrix[i] + share * direction - new).max() < 1e-9:
+                on_line.append(place)
+        assert on_line
+        close += min(on_line) < 5
+    # one bucket holds all rows: the exact five; small buckets: most of the parents' partners are among the five
+    assert close == len(made) if bucket_rows == 4000 else close >= 0.7 * len(made)
     if len(made) >= len(keys):
         assert set(per_parent) == set(keys)
     assert max(per_parent.values()) - min(per_parent.values()) <= 1
 
 
+def test_neighbours_recall(spark):
+    """At least 0.6 of the five nearest of 2,000 points in six dimensions are found in buckets of 64."""
+    rng = np.random.RandomState(1)
+    matrix = rng.normal(size=(2000, 6))
+    keys = [f"P{i:04d}" for i in range(len(matrix))]
+    points = cut(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in zip(keys, matrix)], "customer_id string, x array<double>"))
+    placed = balancing.add_bucket(points, [0.0] * 6, [1.0] * 6, 64, "customer_id")
+    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
+    assert max(sizes) <= 64 and sum(sizes) == balancing.TABLES * len(keys)
+    found = {r.customer_id: set(r.near) for r in balancing.neighbours(placed, "customer_id", 5, [1.0] * 6).collect()}
+    hits = 0
+    for i, key in enumerate(keys):
+        distance = ((matrix - matrix[i]) ** 2).sum(axis=1)
+        distance[i] = np.inf
+        hits += len({keys[j] for j in np.argsort(distance)[:5]} & found.get(key, set()))
+    assert hits / (5 * len(keys)) >= 0.6
+
+
 def test_smote_survives_equal_rows(spark):
-    """A third of the minority are copies of one row: no cell may grow with them."""
+    """A third of the minority are copies of one row: no bucket may grow with them."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
     rows += [(f"M{i:03d}", i / 100, i / 200, 0) for i in range(500)]
     df = spark.createDataFrame(rows, "customer_id string, a double, b double, churn_label int")
-    cells = balancing._cells(
-        df.where("churn_label = 1").select("customer_id", F.array("a", "b").alias("x")), [1.5, 4.0], [1.0, 3.0], 180, 20, "customer_id", 42)
-    sizes = [r["count"] for r in cells.groupBy("_cell").count().collect()]
-    assert sum(sizes) == 180 and max(sizes) <= 60
-    assert counts(balancing.smote(df, ["a", "b"], "customer_id", "churn_label", cell_rows=20), "churn_label") == {(0,): 500, (1,): 500}
+    placed = balancing.add_bucket(
+        df.where("churn_label = 1").select("customer_id", F.array("a", "b").alias("x")), [1.5, 4.0], [1.0, 3.0], 20, "customer_id")
+    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
+    assert sum(sizes) == 180 * balancing.TABLES and max(sizes) <= 40
+    assert counts(balancing.smote(df, ["a", "b"], "customer_id", "churn_label", bucket_rows=20), "churn_label") == {(0,): 500, (1,): 500}
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +135,21 @@ def test_auc_agrees_with_mllib(frame, fitted):
     assert ours == pytest.approx(theirs, abs=2e-6)
 
 
+def test_auc_on_raw_scores(spark):
+    """Small scores in perfect order, ties across and within buckets, and agreement with MLlib."""
+    tiny = spark.createDataFrame([("m", 1e-5, 0), ("m", 2e-5, 0), ("m", 3e-5, 1), ("m", 4e-5, 1)], "model string, probability double, churn_label int")
+    assert evaluation.auc_roc(tiny).first().auc_roc == 1.0
+    assert [r.tpr for r in evaluation.roc_curve(tiny).collect() if r.threshold is not None] and evaluation.roc_curve(tiny).count() == 5
+    rng = np.random.RandomState(3)
+    scores = np.concatenate([rng.beta(0.1, 3, 500), 1 - rng.beta(0.1, 3, 300), rng.randint(0, 5, 400) / 4])
+    rows = [("m", float(p), int(rng.random() < 0.2 + 0.6 * p)) for p in scores]
+    scored = spark.createDataFrame(rows, "model string, probability double, churn_label int")
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="churn_label", numBins=0).evaluate(scored)
+    assert evaluation._auc(scored).first().auc == pytest.approx(theirs, abs=1e-9)
+    running = evaluation._running(scored).orderBy(F.desc("score")).collect()
+    assert [r.tp for r in running] == [sum(y for _, p, y in rows if p >= r.score) for r in running]
+
+
 def test_importance(spark, frame, fitted):
     rows = training.feature_importance(spark, fitted["gbt"], NAMES).collect()
     assert sum(r.importance for r in rows) == pytest.approx(1.0) and {r.label for r in rows} == {"Adoption", "Logins", "Delays"}
