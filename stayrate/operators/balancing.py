@@ -100,7 +100,8 @@ def neighbours(placed: DataFrame, key: str, k: int, spreads: Sequence[float]) ->
             near["_a"] += [keys[i]] * len(order)
             near["_b"] += list(keys[order])
             near["_d"] += list(distance[order])
-        return pd.DataFrame(near)
+        kinds = {"_a": object, "_b": object, "_d": float}
+        return pd.DataFrame({c: pd.Series(near[c], dtype=kind) for c, kind in kinds.items()})
 
     found = placed.groupBy("t", "depth", "prefix", "slice").applyInPandas(nearest, schema)
     listed = found.groupBy("_a").agg(F.collect_set(F.struct("_d", "_b")).alias("_near"))  # k per table at most
