@@ -22,7 +22,11 @@ REGULARISATION_C = 0.1
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}
 GBT = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 4}
 GBT_SUBSAMPLED = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-ROWS_PER_TASK = 50_000
+#: Partitions of a training table. Bagging and subsampling draw per partition, so the number is fixed, not derived from
+#: the data; a large cluster passes a larger one.
+PARTITIONS = 8
+#: Shorter ensembles for choosing among the models by cross-validation; the chosen one is trained in full.
+SELECTION = {"forest": {"numTrees": 50}, "gbt": {"maxIter": 30}, "gbt_subsampled": {"maxIter": 30}}
 MODELS = ["logistic", "forest", "gbt", "gbt_subsampled"]
 
 
@@ -43,16 +47,20 @@ def estimator(name: str, rows: int, **overrides):
     raise ValueError(f"unknown model {name!r}, expected one of {MODELS}")
 
 
-def fit(name: str, train: DataFrame, names: Sequence[str], **overrides) -> PipelineModel:
+def placed(train: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """The same rows in the same partitions and order, however they come: by a hash of the key."""
+    hashed = F.xxhash64(KEY)
+    return train.repartition(partitions, hashed).sortWithinPartitions(hashed, KEY)
+
+
+def fit(name: str, train: DataFrame, names: Sequence[str], partitions: int = PARTITIONS, **overrides) -> PipelineModel:
     """Fit one model. The scaler is part of the pipeline, so scoring cannot miss it."""
     raw = "raw_features" if name == "logistic" else "features"
     stages = [VectorAssembler(inputCols=list(names), outputCol=raw, handleInvalid="error")]
     if name == "logistic":
         stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
-    rows = train.count()
-    stages.append(estimator(name, rows, **overrides))
-    # boosting runs some thousand short jobs: no more tasks than the rows can keep busy
-    return Pipeline(stages=stages).fit(train.coalesce(max(1, rows // ROWS_PER_TASK)))
+    stages.append(estimator(name, train.count(), **overrides))
+    return Pipeline(stages=stages).fit(placed(train, partitions))
 
 
 def score(model: PipelineModel, frame: DataFrame, *keep: str) -> DataFrame:
@@ -91,29 +99,27 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: Sequenc
     return table.withColumn("label", label).orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def cross_validate(name: str, train: DataFrame, names: Sequence[str], folds: int = 5, **overrides) -> DataFrame:
-    """AUC and Brier score per fold. Balancing happens inside each fold, on its training part alone."""
-    placed = cut(stratified_folds(train, KEY, LABEL, folds))
+def cross_validate(
+    models: Sequence[str], train: DataFrame, names: Sequence[str], folds: int = 5,
+    overrides: dict[str, dict] | None = None,
+) -> DataFrame:
+    """AUC and Brier score per model and fold. Balancing happens inside each fold, on its training part alone."""
+    overrides = overrides or {}
+    dealt = cut(stratified_folds(train, KEY, LABEL, folds))
     parts = None
     for fold in range(folds):
-        held = placed.where(F.col("fold") == fold)
-        balanced = cut(smote(placed.where(F.col("fold") != fold), names, KEY, LABEL))
-        model = fit(name, balanced, names, **overrides)
-        scored = score(model, held, LABEL).withColumn("model", F.lit(name))
-        line = (
-            evaluation.auc_roc(scored).join(evaluation.brier(scored), "model")
-            .withColumn("fold", F.lit(fold))
-        )
+        held = dealt.where(F.col("fold") == fold)
+        balanced = cut(smote(dealt.where(F.col("fold") != fold).drop("fold"), names, KEY, LABEL))
+        fitted = {name: fit(name, balanced, names, **overrides.get(name, {})) for name in models}
+        scored = cut(score_long(fitted, held))
+        line = evaluation.auc_roc(scored).join(evaluation.brier(scored), "model").withColumn("fold", F.lit(fold))
         parts = line if parts is None else parts.unionByName(line)
     return parts.select("model", "fold", "auc_roc", "brier")
 
 
-def choose(models: Sequence[str], train: DataFrame, names: Sequence[str], folds: int = 5, **overrides) -> DataFrame:
-    """Mean fold AUC per model, best first: the choice rests on the training part alone."""
-    lines = None
-    for name in models:
-        scores = cross_validate(name, train, names, folds, **overrides.get(name, {}))
-        lines = scores if lines is None else lines.unionByName(scores)
-    return lines.groupBy("model").agg(
-        F.avg("auc_roc").alias("mean_auc"), F.avg("brier").alias("mean_brier")
-    ).orderBy(F.desc("mean_auc"), "model")
+def choose(validated: DataFrame) -> DataFrame:
+    """Mean fold AUC per model, and the winner: highest mean, ties to the first name. One row per model."""
+    means = validated.groupBy("model").agg(F.avg("auc_roc").alias("cv_auc"), F.avg("brier").alias("cv_brier"))
+    best = means.agg(F.min(F.struct((-F.col("cv_auc")).alias("a"), "model")).alias("b"))
+    return means.join(best.select(F.col("b.model").alias("winner_name")), how="cross").select(
+        "model", "cv_auc", "cv_brier", (F.col("model") == F.col("winner_name")).alias("winner"))

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from stayrate.functions.columns import fixed
 from stayrate.operators import (
     balancing, cohorts, engineering, evaluation, explain, exploration, kpi, quality, recovery, scoring, training,
-    treeshap,
 )
 from stayrate.plans.frames import NUMERIC, Signals, customer_frame
-from stayrate.plans.models import ModelRun, run_of
+from stayrate.plans.models import ModelRun, probability_of, run_of
 from stayrate.session import cut, scratch_path
 from stayrate.sources import sinks
 from stayrate.sources.fixtures import AS_OF, FIRST_SCORING, FixtureTables
@@ -454,9 +453,6 @@ def tier_migration(tables):
 
 
 # ------------------------------------------------------------------------------ models
-PRODUCTION_MODEL = "gbt_subsampled"
-
-
 def _run(tables) -> ModelRun:
     return run_of(tables, AS_OF, engineering.FIXTURE_INDUSTRIES)
 
@@ -509,39 +505,37 @@ def train_gbt_subsampled(tables):
 
 @query
 def model_benchmark(tables):
-    return _test_metrics(tables, *training.MODELS)
+    chosen = training.choose(_run(tables).validated).select("model", fixed(F.col("cv_auc"), 6).alias("cv_auc"), "winner")
+    return _test_metrics(tables, *training.MODELS).join(chosen, "model")
 
 
 @query
 def cross_validate(tables):
-    run = _run(tables)
-    return training.cross_validate("logistic", run.train, run.names)
+    return _run(tables).validated
 
 
 @query
 def feature_importance(tables):
     run = _run(tables)
-    return training.feature_importance(tables.spark, run.model(PRODUCTION_MODEL), run.names)
+    return training.feature_importance(tables.spark, run.model(run.winner), run.names)
 
 
 @query
 def shap_local(tables):
     run = _run(tables)
-    return treeshap.tree_contributions(tables.spark, run.model(PRODUCTION_MODEL), run.matrix, run.names)
+    return run.contributions(run.winner)
 
 
 @query
 def score_customers(tables):
     run = _run(tables)
-    model = run.model(PRODUCTION_MODEL)
-    phi = treeshap.tree_contributions(tables.spark, model, run.matrix, run.names, ["customer_id", "in_train"])
-    # the margin of a boosted model is its log-odds: one pass gives both score and drivers
+    phi = run.contributions(run.winner, ("customer_id", "in_train"))
+    # the margin gives the probability: one pass yields both score and drivers
     drivers = explain.driver_columns({n: F.col(f"`{n}`") for n in run.names})
     scored = phi.select(
-        "customer_id", "in_train", (1.0 / (1.0 + F.exp(-F.col("margin")))).alias("probability"),
-        *[c.alias(n) for n, c in drivers.items()],
+        "customer_id", "in_train", probability_of(run.winner).alias("probability"), *[c.alias(n) for n, c in drivers.items()],
     )
-    return scoring.score_output(run.frame.join(scored, "customer_id"), AS_OF, run.version(PRODUCTION_MODEL))
+    return scoring.score_output(run.frame.join(scored, "customer_id"), AS_OF, run.version(run.winner))
 
 
 # ------------------------------------------------------------------------------ streaming

@@ -1,11 +1,13 @@
-"""A model run: prepared data and fitted pipelines of one as_of date, kept for the consumers of that run.
+"""A model run: prepared data, validation, and fitted pipelines of one as_of date, in a folder of their own.
 
-Training writes its results (checkpointed frames, saved pipelines) to the shared folder; scoring and
-explanation read them. Within a session a run is found again by input folder and as_of date.
+Every part is written once and read by all later consumers; a part that is not completely written is made again. The
+folder is named by the input files (names, sizes, times) and the date, so a run is found again as long as its input
+stands, and a changed input starts a new one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 from functools import cached_property
 
@@ -13,29 +15,35 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.operators import balancing, engineering, training
+from stayrate.operators import balancing, engineering, training, treeshap
 from stayrate.plans.frames import NUMERIC, customer_frame
-from stayrate.session import cut, scratch_path
+from stayrate.session import exists, named_path, stamp
 from stayrate.sources.tables import Tables
 
-_RUNS: dict[tuple, "ModelRun"] = {}
-
 
 class ModelRun:
-    def __init__(self, tables: Tables, as_of: date, industries=engineering.INDUSTRIES):
-        self.tables, self.as_of, self.industries = tables, as_of, industries
-        self._paths: dict[str, str] = {}
+    def __init__(self, tables: Tables, as_of: date, folder: str, industries=engineering.INDUSTRIES):
+        self.tables, self.as_of, self.folder, self.industries = tables, as_of, folder, industries
+
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        spark, path = self.tables.spark, f"{self.folder}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     @cached_property
     def frame(self) -> DataFrame:
         """The flat customer frame, computed once for all models."""
-        return cut(customer_frame(self.tables, self.as_of))
+        return self._kept("frame", lambda: customer_frame(self.tables, self.as_of))
 
     @cached_property
     def matrix(self) -> DataFrame:
         """Feature matrix with in_train."""
-        m = engineering.matrix(self.frame, NUMERIC, self.industries, complete=True)
-        return cut(balancing.stratified_split(m, training.KEY, training.LABEL))
+        def make() -> DataFrame:
+            m = engineering.matrix(self.frame, NUMERIC, self.industries, complete=True)
+            return balancing.stratified_split(m, training.KEY, training.LABEL)
+
+        return self._kept("matrix", make)
 
     @cached_property
     def names(self) -> list[str]:
@@ -51,23 +59,43 @@ class ModelRun:
 
     @cached_property
     def balanced(self) -> DataFrame:
-        return cut(balancing.smote(self.train, self.names, training.KEY, training.LABEL))
+        return self._kept("balanced", lambda: balancing.smote(self.train, self.names, training.KEY, training.LABEL))
+
+    @cached_property
+    def validated(self) -> DataFrame:
+        """Fold scores of every model, on the training part alone."""
+        return self._kept("validated", lambda: training.cross_validate(
+            training.MODELS, self.train, self.names, overrides=training.SELECTION))
+
+    @cached_property
+    def winner(self) -> str:
+        return training.choose(self.validated).where("winner").first()["model"]
 
     def model(self, name: str) -> PipelineModel:
         """Fitted once, saved, and loaded by every later consumer."""
-        if name not in self._paths:
-            fitted = training.fit(name, self.balanced, self.names)
-            path = scratch_path(self.tables.spark, f"model-{name}")
-            fitted.write().save(path)
-            self._paths[name] = path
-        return PipelineModel.load(self._paths[name])
+        path, done = f"{self.folder}/model-{name}", f"{self.folder}/model-{name}-done"
+        if not exists(self.tables.spark, f"{done}/_SUCCESS"):
+            training.fit(name, self.balanced, self.names).write().overwrite().save(path)
+            self.tables.spark.range(1).write.mode("overwrite").parquet(done)
+        return PipelineModel.load(path)
+
+    def contributions(self, name: str, keep=("customer_id",)) -> DataFrame:
+        """keep columns, base_value, margin and one column per feature, for a linear or a tree model."""
+        if name == "logistic":
+            return treeshap.linear_model_contributions(self.model(name), self.matrix, self.names, keep)
+        return treeshap.tree_contributions(self.tables.spark, self.model(name), self.matrix, self.names, keep)
 
     def version(self, name: str) -> str:
         return f"{name}-{self.as_of:%Y%m%d}"
 
 
+def probability_of(name: str):
+    """Probability from the margin: forests add up probabilities, the others log-odds."""
+    margin = F.col("margin")
+    return margin if name == "forest" else 1.0 / (1.0 + F.exp(-margin))
+
+
 def run_of(tables, as_of: date, industries) -> ModelRun:
-    key = (tables.spark.sparkContext.applicationId, tables.sf_dir, as_of)
-    if key not in _RUNS:
-        _RUNS[key] = ModelRun(tables, as_of, industries)
-    return _RUNS[key]
+    """The run over a folder of tables, in this application's part of the shared folder."""
+    spark = tables.spark
+    return ModelRun(tables, as_of, named_path(spark, f"model-run-{stamp(spark, tables.sf_dir, as_of)}"), industries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -42,14 +43,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path in this application's part of the shared folder, removed when the application ends."""
+def named_path(spark: SparkSession, name: str) -> str:
+    """A path of this name in this application's part of the shared folder, removed when the application ends."""
     root = f"{shared_folder(spark).rstrip('/')}/stayrate-{spark.sparkContext.applicationId}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(folder)
     files.deleteOnExit(folder)
-    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root}/{name}"
+
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A new, unused path there."""
+    return named_path(spark, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def stamp(spark: SparkSession, folder: str, *parts: object) -> str:
+    """Digest of the names, sizes and times of all files below a folder, and of the parts."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while files.hasNext():
+        file = files.next()
+        found.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.md5("\n".join([*sorted(found), *map(str, parts)]).encode()).hexdigest()
 
 
 def cut(df: DataFrame) -> DataFrame:
