@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The search walks a text once and keeps, for each position, the last piece of the best segmentation that ends there.
-Only positions within the longest piece can start a later piece, so whenever the back pointers of all of these meet at
-one boundary, the ids up to it are final and leave the window. Two rules say which segmentation is best:
+An automaton over the vocabulary names the pieces that end at each position. Only positions within the longest piece
+can start a later piece, so whenever the back pointers of all of these meet at one boundary, the ids up to it are final
+and leave the window. Two rules say which segmentation is best:
 
 * ``unigram``: the largest sum of piece scores;
 * ``bpe``: the one that merging by score yields. A sequence of pieces is that one exactly if merging keeps every
   adjacent pair of its pieces as it is (a merge across a boundary would already happen in the pair alone), so each
   position has one admissible back pointer.
 
-Where no piece of the vocabulary holds a non-blank followed by a blank mark, every path has a boundary there; such
-stretches are searched on their own and remembered, up to ``MEMORY`` of them per worker.
+Between two letters that stand together in no piece of the vocabulary every path has a boundary; stretches between such
+places are searched on their own and remembered, up to ``MEMORY`` words and as many parts of words per worker.
 
 Null texts have null ids, and null ids decode to null; empty texts have no ids. Unknown letters become byte pieces
 (or the unknown id, if the vocabulary has no bytes). A text that holds the blank mark itself (U+2581) decodes with a
@@ -24,6 +25,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 BLANK = "▁"
+START = -(1 << 30)
 MEMORY = 400_000
 
 
@@ -47,10 +50,17 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         self.value = {i: b for b, i in enumerate(byte_ids)}
-        crossed = any(a != BLANK and b == BLANK for p in self.ids for a, b in pairwise(p))
+        self.inside = {a + b for p in self.ids for a, b in pairwise(p)}
+        crossed = any(pair[1] == BLANK != pair[0] for pair in self.inside)
         self.stretch = re.compile(r"(?s).+" if crossed else f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-        self.keeps: dict[tuple[str, str], bool] = {}
+        self.of_id = dict(zip(self.ids.values(), self.scores.values()))
+        self.found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.found.add_word(piece, (len(piece), i))
+        self.found.make_automaton()
+        self.keeps: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str, rule: str = "bpe") -> Pieces:
@@ -79,43 +89,57 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _admits(self, before: str, piece: str) -> bool:
-        pair = (before, piece)
-        kept = self.keeps.get(pair)
-        if kept is None:
-            kept = self.merge(before + piece) == ([before, piece] if before else [piece])
-            if len(self.keeps) >= MEMORY:
-                self.keeps.clear()
-            self.keeps[pair] = kept
+    def _admits(self, before: int, piece: int) -> bool:
+        """Whether merging keeps the piece as it is after the one before it (START: at the start of a stretch)."""
+        end = self._text(piece)
+        parts = [end] if before == START else [self._text(before), end]
+        kept = self.merge("".join(parts)) == parts
+        if len(self.keeps) >= MEMORY:
+            self.keeps.clear()
+        self.keeps[before, piece] = kept
         return kept
 
-    def segments(self, text: str) -> Iterator[str]:
-        """Pieces of one stretch, sent on as soon as they are final."""
-        longest, scores, bpe = self.longest, self.scores, self.rule == "bpe"
-        base, back, last, best = 0, [0], [""], [0.0]
-        for end in range(1, len(text) + 1):
-            start, top = -1, None
-            for size in range(1, min(longest, end - base) + 1):
-                at = end - size
-                piece = text[at:end]
-                if piece not in scores and size > 1:
-                    continue
-                if bpe:
-                    if self._admits(last[at - base], piece):
-                        start = at
-                        break
-                else:
-                    total = best[at - base] + scores.get(piece, self.floor)
-                    if top is None or total > top:
-                        start, top = at, total
+    def _text(self, code: int) -> str:
+        return self.pieces[code] if code >= 0 else chr(-code)
+
+    def segments(self, text: str) -> Iterator[int]:
+        """Pieces of one stretch, sent on as soon as they are final: ids, or a letter without a piece as -ord."""
+        longest, bpe, keeps, scores, floor = self.longest, self.rule == "bpe", self.keeps, self.of_id, self.floor
+        base, end, back, last, best = 0, 0, [0], [START], [0.0]
+        open_at, start, code, top = 0, -1, 0, 0.0  # the position being filled, and the best way there so far
+
+        def fill() -> None:
+            """Close the open position; a letter that no piece ends at stands alone."""
+            nonlocal open_at, start, code, top
+            alone = self.ids.get(text[open_at])
+            if start < 0 or not bpe and alone is None and best[open_at - base] + floor > top:
+                start, code, top = open_at, -ord(text[open_at]), best[open_at - base] + floor
             back.append(start)
-            last.append(text[start:end])
-            best.append(top or 0.0)
-            if end - base >= 4 * longest and (met := self._meeting(back, base, end)) > base:
-                yield from self._trace(text, back, base, met)
-                done = met - base
-                back, last, best, base = back[done:], last[done:], best[done:], met
-        yield from self._trace(text, back, base, len(text))
+            last.append(code)
+            best.append(top)
+            open_at, start = open_at + 1, -1
+
+        for place, (size, piece) in self.found.iter(text):
+            while open_at < place:
+                fill()
+                if open_at - base >= 4 * longest and (met := self._meeting(back, base, open_at)) > base:
+                    yield from self._trace(last, back, base, met)
+                    done = met - base
+                    back, last, best, base = back[done:], last[done:], best[done:], met
+            at = place + 1 - size
+            if bpe:
+                if start < 0:
+                    before = last[at - base]
+                    kept = keeps.get((before, piece))
+                    if kept or kept is None and self._admits(before, piece):
+                        start, code = at, piece
+            else:
+                total = best[at - base] + scores[piece]
+                if start < 0 or total > top:
+                    start, code, top = at, piece, total
+        while open_at < len(text):
+            fill()
+        yield from self._trace(last, back, base, len(text))
 
     def _meeting(self, back: list[int], base: int, end: int) -> int:
         """Where the paths of all positions that can start a later piece meet."""
@@ -127,23 +151,43 @@ class Pieces:
         return live.pop()
 
     @staticmethod
-    def _trace(text: str, back: list[int], base: int, end: int) -> list[str]:
+    def _trace(last: list[int], back: list[int], base: int, end: int) -> list[int]:
         out = []
         while end > base:
-            start = back[end - base]
-            out.append(text[start:end])
-            end = start
+            out.append(last[end - base])
+            end = back[end - base]
         return out[::-1]
 
     # -------------------------------------------------------------- whole texts
     def _ids(self, stretch: str) -> tuple[int, ...]:
+        """Ids of a stretch, part by part between letters that stand together in no piece."""
+        inside, parts, out, start = self.inside, self.parts, [], 0
+        for end in range(1, len(stretch) + 1):
+            if end < len(stretch) and stretch[end - 1 : end + 1] in inside:
+                continue
+            part = stretch[start:end]
+            ids = parts.get(part)
+            if ids is None:
+                ids = self._searched(part)
+                self._remember(parts, part, ids)
+            out.extend(ids)
+            start = end
+        return tuple(out)
+
+    @staticmethod
+    def _remember(memory: dict[str, tuple[int, ...]], stretch: str, ids: tuple[int, ...]) -> None:
+        if len(stretch) <= 64:
+            if len(memory) >= MEMORY:
+                memory.clear()
+            memory[stretch] = ids
+
+    def _searched(self, stretch: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.segments(stretch):
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found)
+        for code in self.segments(stretch):
+            if code >= 0:
+                out.append(code)
             elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
+                out.extend(self.byte_ids[b] for b in chr(-code).encode("utf-8", "surrogatepass"))
             else:
                 out.append(self.unknown)
         return tuple(out)
@@ -156,10 +200,7 @@ class Pieces:
             ids = known.get(stretch)
             if ids is None:
                 ids = self._ids(stretch)
-                if len(stretch) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[stretch] = ids
+                self._remember(known, stretch, ids)
             out.extend(ids)
         return out
 
