@@ -20,6 +20,17 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def packed(df: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and all others inside one column ``row``, where their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    return df.select(*named, F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """The columns of the table that ``packed`` got, the named ones as they are now."""
+    return df.select(*[F.col(c) if c in named else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def map_rows(df: DataFrame, schema: str, work: Callable[..., Iterable[tuple]], flush: int = 2_000) -> DataFrame:
     """Run ``work(*columns)`` on every Arrow batch; it yields output rows, sent on in pieces of ``flush`` rows.
 

@@ -135,4 +135,6 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = 400, text_col: str
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([ranks.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select(*keep, predict(F.col(text_col)).alias("p")).select("*", "p.*").drop("p")
+    kept = docs.select(*keep).columns
+    found = docs.select(*keep, predict(F.col(text_col)).alias("_predicted"))
+    return found.select(*kept, "_predicted.lang_pred", "_predicted.score")

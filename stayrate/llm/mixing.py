@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stayrate.llm.common import packed, unpacked
 from stayrate.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,10 +157,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: i
 def repeated(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source") -> DataFrame:
     """``docs`` with every row as often as ``decided`` (from ``mixed``) says; the same columns."""
-    columns = docs.columns
+    rows = packed(docs, id_col, text_col, source_col)
     copies = decided.select(F.col(id_col).alias("_id"), F.col("source_key").alias("_source"), F.col("size").alias("_size"),
                             F.col("copies").cast("int").alias("_copies")).distinct().where("_copies > 0")
     same = (F.col(id_col).eqNullSafe(F.col("_id")) & (_keyed(F.col(source_col)) == F.col("_source"))
             & (words(F.col(text_col)) == F.col("_size")))
-    joined = docs.join(copies, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    joined = rows.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return unpacked(joined, docs.columns, id_col, text_col, source_col)

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stayrate.llm.common import packed, unpacked
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -131,11 +133,11 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
 
 
 def joined_back(versions: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """``versions`` plus ``spans``: the findings of the blob at every path, an empty list where there are none."""
+    """``versions`` plus ``spans`` (in place of such a column): the findings of the blob at every path, or an empty list."""
     kind = found.schema["spans"].dataType.simpleString()
-    rows = versions.withColumn("_sha", address(F.col(text_col)))
-    back = rows.join(found.withColumnRenamed("sha", "_sha").withColumnRenamed("spans", "_spans"), "_sha", "left")
-    return back.select(*versions.columns, F.coalesce("_spans", F.array().cast(kind)).alias("spans"))
+    rows = packed(versions, text_col).withColumn("sha", address(F.col(text_col)))
+    back = rows.join(found, "sha", "left").withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
+    return unpacked(back, [*[c for c in versions.columns if c != "spans"], "spans"], text_col, "spans")
 
 
 def written(spans: Column, kinds: tuple[Rule, ...] = RULES) -> Column:
