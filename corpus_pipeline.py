@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.llm import gam, mixing, queries, secrets, simhash, spiece
-from stayrate.llm.common import fold, table
+from stayrate.llm.common import fold, packed, table, unpacked
 from stayrate.session import cut, scratch_path
 
 LEAST_QUALITY = 0.3
@@ -26,27 +26,27 @@ LEAST_QUALITY = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = gam.train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    scored = gam.scores(docs, model, keep=tuple(docs.columns), name="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    scored = gam.scores(packed(docs, "doc_id", "text"), model, keep=("doc_id", "text", "row"))
+    return unpacked(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns, "doc_id", "text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(docs.select("doc_id", "text"), width=3, bits=2)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.select("*", key, F.xxhash64("text").alias("_text")).join(first, "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    rows = packed(docs, "doc_id", "text").select("*", key, F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(first, "key", "left_semi").dropDuplicates(["key", "text_hash"])
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = scratch_path(spark, "ledger")
     secrets.update(docs.select("text"), ledger)
-    found = secrets.joined_back(docs, secrets.findings(spark, ledger))
-    masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(
-            F.col("n_chars")))
-    return masked.select(*docs.columns)
+    rows = packed(docs, "text").withColumn("n_chars", F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))
+    found = secrets.joined_back(rows, secrets.findings(spark, ledger))
+    masked = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans"))).withColumn(
+        "n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return unpacked(masked, docs.columns, "text", "n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
