@@ -82,7 +82,7 @@ def add_neighbour(
 
     Ordinary keys need one window. A key with more than ``heavy_rows`` rows is cut into days: its rows are
     compared inside a day, and the first (last) row of every other day is handed over as one extra row.
-    At most rows / heavy_rows keys are heavy, which bounds the broadcast table.
+    The table of heavy keys, at most rows / heavy_rows, is broadcast only where Spark finds it small enough.
     """
     heavy = (
         df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
@@ -90,7 +90,7 @@ def add_neighbour(
     )
     edge = F.min_by if following else F.max_by
     step = 1 if following else -1
-    rows = df.join(F.broadcast(heavy), key, "left").withColumns({
+    rows = df.join(heavy, key, "left").withColumns({
         "_slice": F.when(F.col("_heavy"), F.col(day)),
         "_carry": F.struct(*[F.col(c).alias(name) for name, c in values.items()]),
     })

@@ -206,7 +206,8 @@ def tier_distribution(tables):
 
 @query
 def mrr_waterfall(tables):
-    return kpi.mrr_waterfall(tables.get("contracts"), AS_OF)
+    # looked ahead once and written: looking back reads that, not the orders again
+    return kpi.mrr_waterfall(cut(tables.get("contracts")), AS_OF)
 
 
 @query
