@@ -5,13 +5,18 @@ among known licence sentences. The identifiers of a document, in order, are matc
 is a sequence of identifiers; the first rule that occurs takes its identifiers out, then the next rule is tried.
 A sentence that speaks of licences but is not known is written ``?`` and keeps its neighbours apart.
 
-A sentence ends at ``.``, ``!`` or ``?`` before white space. One that spans several lines is tried as a whole, then
-line by line. Null and empty texts have no sentences, no licences and counts of zero; a licence that occurs twice is
+A sentence ends at ``.``, ``!`` or ``?`` before white space. One that is not known as a whole is searched for known
+sentences that begin at a line, a list marker or after ``:`` or ``;`` and end at a line, a list marker, ``:`` or a URL;
+they may be wrapped, and comment signs do not matter. Those of LONG words or more, which nothing else looks like, may
+also begin at a capital within a line, as below a copyright line that was joined with them. A line of the rest that
+speaks of licences is ``?``. Null and empty texts have no sentences, no licences and counts of zero; a licence that occurs twice is
 named once. Repeated rows give repeated result rows. Only identifiers are looked at, never prefixes of a text.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +90,15 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-4-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-short",)),
 )
+#: Usual wordings that stand for known sentences: the Apache notice joins two by ``;``, others vary by some words.
+WORDINGS = {
+    f"{SENTENCES['apache2-licensed-the']} {SENTENCES['apache2-comply']}": ("apache2-licensed-the", "apache2-comply"),
+    SENTENCES["isc-grant"].replace("and or distribute", "and distribute"): ("isc-grant",),
+    SENTENCES["mit-grant"].replace("notice shall", "notice including the next paragraph shall"): ("mit-grant",),
+}
+#: The owner named in the third BSD condition, which is otherwise fixed.
+BSD_OWNER = r"(?i)(\bneither\W+the\W+name\W+of\b)[\s\S]{1,200}?(\bnor\W+the\W+names\W+of\W+its\W+contributors\b)"
+LONG = 12
 UNKNOWN = "?"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
@@ -94,15 +108,47 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
 
 
+def _spaced(sentence: Column) -> Column:
+    # Lower-case words with one sign between two: a line break, | for other ends, ; and ^ where only a beginning may be
+    # (^ before a capital), or a blank; of several the first of this list.
+    text = F.regexp_replace(sentence, r"[|^]|;(?!\s)", " ")
+    text = F.lower(F.regexp_replace(text, r"(?<=\s)(?=[A-Z][a-z])", "^"))
+    text = F.regexp_replace(text, r"(?<![a-z0-9])\(?(?:\d{1,2}|[a-h]|[ivx]{1,4})\)(?=\s)|:(?=\s)|(?=\bhttps?://)", "|")
+    text = F.regexp_replace(F.regexp_replace(text, r"\R", "\n"), r"[^a-z0-9.\n|;^]", " ")
+    text = F.regexp_replace(text, r"(?<![a-z0-9])\.+|\.+(?![a-z0-9])", " ")
+    text = F.regexp_replace(text, r"(?<![ \n|;^])[ |;^]*+\n[ \n|;^]*+", "\n")
+    text = F.regexp_replace(text, r"(?<![ |;^])[ ;^]*+\|[ |;^]*+", "|")
+    text = F.regexp_replace(text, r"(?<![ ;^])[ ^]*+;[ ;^]*+", ";")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?<![ ^]) *+\^[ ^]*+", "^"), " ++", " ")
+    return F.regexp_replace(text, r"^[ \n|;^]|[ \n|;^]$", "")
+
+
+def _anywhere(known) -> str:
+    # Pattern of the known sentences within a spaced one, longest first.
+    ordered = sorted(known, key=lambda s: (-len(s.split()), s))
+    gaps = lambda s: r"[ \n|;^]".join(map(re.escape, s.split()))
+    long = [gaps(s) for s in ordered if len(s.split()) >= LONG]
+    short = [gaps(s) for s in ordered if len(s.split()) < LONG]
+    starts = [f"(?<![^{signs}])(?:{'|'.join(some)})" for signs, some in ((r"\n|;^", long), (r"\n|;", short)) if some]
+    return rf"((?:{'|'.join(starts)})(?![^\n|]))"
+
+
 def identifiers(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the licence sentences of a text in order, ``?`` for unknown ones."""
-    known = {sentence: name for name, sentence in (sentences or SENTENCES).items()}
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    is_known = lambda s: normalised(s).isin(list(known))
-    cut_up = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(KEYWORD))
-    lines = lambda s: F.filter(F.split(s, r"\R"), lambda line: line.rlike(KEYWORD))
-    pieces = F.flatten(F.transform(cut_up, lambda s: F.when(is_known(s), F.array(s)).otherwise(lines(s))))
-    named = F.transform(pieces, lambda s: F.coalesce(F.try_element_at(ids, normalised(s)), F.lit(UNKNOWN)))
+    known = {sentence: (name,) for name, sentence in (sentences or SENTENCES).items()}
+    if sentences is None:
+        known |= WORDINGS
+    ids = F.create_map(*[x for s, names in known.items() for x in (F.lit(s), F.array(*map(F.lit, names)))])
+    unknown = lambda part: F.transform(
+        F.filter(F.split(part, "\n"), lambda line: line.rlike(KEYWORD)), lambda _: F.lit(UNKNOWN))
+    # known sentences within an unknown one stand between two \x01, the first followed by \x02
+    within = lambda s: F.flatten(F.transform(
+        F.split(F.regexp_replace(_spaced(s), _anywhere(known), "\x01\x02$1\x01"), "\x01"),
+        lambda part: F.when(part.startswith("\x02"), F.try_element_at(ids, F.translate(F.substr(part, F.lit(2)), "\n|;^", "    ")))
+        .otherwise(unknown(part))))
+    owned = F.regexp_replace(text, BSD_OWNER, "$1 the copyright holder $2")
+    cut_up = F.filter(F.split(owned, SENTENCE_END), lambda s: s.rlike(KEYWORD))
+    named = F.flatten(F.transform(cut_up, lambda s: F.coalesce(F.try_element_at(ids, normalised(s)), within(s))))
     return F.when(text.rlike(KEYWORD), named).otherwise(F.array().cast("array<string>"))
 
 
