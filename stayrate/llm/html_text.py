@@ -13,7 +13,10 @@ reader comments, plain containers), which makes the labels of the rebuilt pages
 
 Null and empty pages, and pages without an article, give the empty text. Character references are decoded, white space
 within a block becomes one blank, blocks are joined by one blank. Broken markup never fails: open elements end where
-their parent ends, stray end tags are skipped, the elements html and body are taken for granted. Repeated rows give repeated result rows.
+their parent ends, stray end tags are skipped, the elements html and body are taken for granted. A head ends at its
+end tag or at the first tag or text that cannot stand in one; a button, noscript, svg, select or datalist without an
+end tag ends at the next block as well. Formulas and the fallback of objects are text. Repeated rows give repeated
+result rows.
 """
 
 from __future__ import annotations
@@ -35,9 +38,17 @@ from stayrate.llm import gbt
 # HTML element kinds, and words in class, id and role by what they say about an element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head template noscript svg math object select button datalist dialog".split())
+HIDDEN = frozenset("head template noscript svg select button datalist dialog".split())
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
+#: Hidden elements that the next block ends if they have no end tag of their own.
+BROKEN_BY_BLOCKS = {name: re.compile(rf"<(/?){name}(?![^\s/>])", re.I) for name in ("noscript", "svg", "select", "button", "datalist")}
+BLOCKS = frozenset("address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
+                   "h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
+                   "ul".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var wbr".split())
+                   "ruby s samp small span strike strong sub sup time tt u var wbr object math semantics mrow mi mn mo ms "
+                   "mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded "
+                   "mphantom mmultiscripts annotation annotation-xml".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "td", "blockquote",
@@ -119,6 +130,7 @@ class Page:
     def _read(self, source: str) -> None:
         self.total, hidden, links, at = 0, 0, 0, 0
         stack: list[tuple[str, int]] = [("", self._open("", "", -1))]
+        broken: list[int] = []  # places in the stack of hidden elements without an end tag
 
         def leave() -> None:
             nonlocal hidden, links
@@ -132,14 +144,29 @@ class Page:
             if tag not in INLINE:
                 self.pieces.append((stack[-1][1], " "))
 
+        def say(text: str) -> None:
+            if stack[-1][0] == "head" and not text.isspace():
+                leave()
+            if not hidden:
+                self._say(stack[-1][1], text, links > 0)
+
         match = _TOKEN.search(source)
         while match:
-            if match.start() > at and not hidden:
-                self._say(stack[-1][1], source[at : match.start()], links > 0)
+            if match.start() > at:
+                say(source[at : match.start()])
             at = match.end()
             closing, name, attributes = match.group(1, 2, 3) if match.group(2) else match.group(4, 5, 6)
             if name:
                 name = name.lower()
+                if not closing:
+                    while broken and broken[-1] >= len(stack):
+                        broken.pop()
+                    if broken and name in BLOCKS:
+                        while len(stack) > broken[0]:
+                            leave()
+                        broken.clear()
+                    if stack[-1][0] == "head" and name not in IN_HEAD and name not in ("html", "head"):
+                        leave()
                 if name in ("html", "body"):
                     if not closing:
                         self._implied(name, stack, leave)
@@ -148,6 +175,8 @@ class Page:
                         while stack[-1][0] != name:
                             leave()
                         leave()
+                elif name == "head" and (len(stack) > 1 or self.total) or name == "svg" and attributes.endswith("/"):
+                    pass
                 elif name in RAW:
                     stop = re.compile(f"</{name}[^>]*>", re.I).search(source, at)
                     at = stop.end() if stop else len(source)
@@ -162,10 +191,14 @@ class Page:
                     plain = inline and (name == "a" or not attributes)
                     stack.append((name, parent if plain else self._open(name, attributes, parent)))
                     hidden += name in HIDDEN
+                    if name in BROKEN_BY_BLOCKS:
+                        following = BROKEN_BY_BLOCKS[name].search(source, at)
+                        if not following or not following.group(1):
+                            broken.append(len(stack) - 1)
                     links += name == "a"
             match = _TOKEN.search(source, at)
-        if at < len(source) and not hidden:
-            self._say(stack[-1][1], source[at:], links > 0)
+        if at < len(source):
+            say(source[at:])
         while len(stack) > 1:
             leave()
         self.end[0] = len(self.tag)

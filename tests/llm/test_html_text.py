@@ -69,6 +69,35 @@ CASES = [
 ]
 
 
+NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li></ul></nav>"
+OPEN_CASES = [
+    (f"<head><title>T</title><article>{STORY}</article>", PROSE),
+    (f"<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>{NAV}<article>{STORY}</article>"
+     "<footer>&copy; us</footer></html>", PROSE),
+    (f"<head><title>T</title><noscript><img src=x></noscript><link rel=x><body>{NAV}<article>{STORY}</article>", PROSE),
+    (f"<head><noscript><title>T</title><article>{STORY}</article>", PROSE),
+    (f"<title>T</title><article>{STORY}</article>", PROSE),
+    (f"<body><head>{NAV}<article>{STORY}</article></body>", PROSE),
+    (f"<body><article><button>{STORY}</article></body>", PROSE),
+    (f"<body><article><noscript>{STORY}</article></body>", PROSE),
+    (f"<body><article><svg class=x />{STORY}<button><div>Buy</div></button><svg><g><svg></svg><text>no</text></g></svg>"
+     "</article></body>", PROSE),
+    (f"<body><article>{STORY}<p>So f(<math><mi>x</mi><mo>=</mo><mn>1</mn></math>) holds here, <object data='a.swf'>says the "
+     "fallback</object>, and that is all.</p></article></body>",
+     PROSE + " So f(x=1) holds here, says the fallback, and that is all."),
+]
+
+
+@pytest.mark.parametrize("source, want", OPEN_CASES)
+def test_elements_without_end_tags_and_formulas(model, source, want):
+    assert html_text.extract_batch([source], model) == [want]
+
+
+def test_text_ends_the_head():
+    page = html_text.Page("<head><title>T</title>Plain text.")
+    assert html_text.text_of(page, np.ones(len(page.tag), dtype=bool)) == "Plain text."
+
+
 @pytest.mark.parametrize("source, want", CASES)
 def test_cases(model, source, want):
     assert html_text.extract_batch([source], model) == [want]
