@@ -25,8 +25,6 @@ GBT_SUBSAMPLED = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingR
 #: Partitions of a training table. Bagging and subsampling draw per partition, so the number is fixed, not derived from
 #: the data; a large cluster passes a larger one.
 PARTITIONS = 4
-#: Shorter ensembles for choosing among the models by cross-validation; the chosen one is trained in full.
-SELECTION = {"forest": {"numTrees": 40}, "gbt": {"maxIter": 20}, "gbt_subsampled": {"maxIter": 20}}
 MODELS = ["logistic", "forest", "gbt", "gbt_subsampled"]
 
 

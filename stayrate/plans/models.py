@@ -63,9 +63,8 @@ class ModelRun:
 
     @cached_property
     def validated(self) -> DataFrame:
-        """Fold scores of every model, on the training part alone."""
-        return self._kept("validated", lambda: training.cross_validate(
-            training.MODELS, self.train, self.names, overrides=training.SELECTION))
+        """Fold scores of every model as published, on the training part alone."""
+        return self._kept("validated", lambda: training.cross_validate(training.MODELS, self.train, self.names))
 
     @cached_property
     def winner(self) -> str:

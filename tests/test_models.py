@@ -204,6 +204,30 @@ def test_cross_validation_reports_every_fold(frame):
     assert sorted(r.fold for r in rows) == [0, 1, 2] and all(r.auc_roc > 0.6 for r in rows)
 
 
+def test_the_published_settings_are_validated(spark, tmp_path, monkeypatch):
+    """Every estimator that a run's validation asks for has the settings of the production fit."""
+    from datetime import date
+
+    from stayrate.plans.models import ModelRun
+
+    asked, fit = [], training.fit
+
+    def small(name, train, names, *args, **overrides):
+        asked.append((name, overrides))
+        return fit("logistic", train, names)
+
+    run = ModelRun(type("Tables", (), {"spark": spark}), date(2025, 6, 1), str(tmp_path))
+    rows = [(f"C{i:03d}", float(i % 7), i % 3 == 0) for i in range(60)]
+    run.__dict__["matrix"] = spark.createDataFrame(rows, "customer_id string, x double, y boolean").select(
+        "customer_id", "x", F.col("y").cast("int").alias("churn_label"), F.lit(True).alias("in_train"))
+    monkeypatch.setattr(training, "fit", small)
+    run.validated.count()
+    assert sorted(name for name, _ in asked) == sorted(training.MODELS * 5) and not any(o for _, o in asked)
+    for name, settings in (("forest", training.FOREST), ("gbt", training.GBT), ("gbt_subsampled", training.GBT_SUBSAMPLED)):
+        made = training.estimator(name, 60)
+        assert all(made.getOrDefault(key) == value for key, value in settings.items())
+
+
 def test_the_best_mean_wins(spark):
     rows = [("gbt", 0, 0.8, 0.1), ("gbt", 1, 0.7, 0.1), ("logistic", 0, 0.9, 0.2), ("logistic", 1, 0.7, 0.2), ("forest", 0, 0.8, 0.1),
             ("forest", 1, 0.8, 0.1)]
