@@ -43,20 +43,31 @@ def planes(features: int, seed: int = SEED) -> np.ndarray:
     return np.random.RandomState(seed).normal(size=(TABLES, BITS, features)).round(6)
 
 
-def _signatures(points: DataFrame, means: Sequence[float], spreads: Sequence[float], seed: int) -> DataFrame:
-    """One row per point and hash table: adds t and sig, the sides of the table's planes as bits, first plane highest."""
-    scaled = F.transform(
-        F.arrays_zip(F.col("x"), _array(means).alias("m"), _array(spreads).alias("s")),
-        lambda v: (v["x"] - v["m"]) / v["s"])
-    tables = F.from_json(F.lit(json.dumps(planes(len(means), seed).tolist())), "array<array<array<double>>>")
-    moved = points.withColumn("_z", scaled).select("*", F.posexplode(tables).alias("t", "_table"))
-
-    def side(z: Column, plane: Column) -> Column:
+def _sides(z: Column, features: int, t: Column, seed: int) -> Column:
+    """The sides of the planes of hash table t on which z lies, as bits, first plane highest."""
+    tables = F.from_json(F.lit(json.dumps(planes(features, seed).tolist())), "array<array<array<double>>>")
+
+    def side(plane: Column) -> Column:
         dot = F.aggregate(F.zip_with(z, plane, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
         return F.when(dot > 0, 1).otherwise(0)
 
-    sig = F.aggregate("_table", F.lit(0).cast("bigint"), lambda acc, plane: acc * 2 + side(F.col("_z"), plane))
-    return moved.withColumn("sig", sig).drop("_z", "_table")
+    return F.aggregate(F.get(tables, t), F.lit(0).cast("bigint"), lambda acc, plane: acc * 2 + side(plane))
+
+
+def _scaled(x: Column, means: Column, spreads: Sequence[float]) -> Column:
+    return F.transform(F.arrays_zip(x.alias("x"), means.alias("m"), _array(spreads).alias("s")),
+                       lambda v: (v["x"] - v["m"]) / v["s"])
+
+
+def _with_depth(signed: DataFrame, cell: Sequence[str], bucket_rows: int) -> DataFrame:
+    """Adds depth: of the shortest run of first planes with at most bucket_rows points of the cell; null if none has."""
+    counts = signed.groupBy(*cell, "sig").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = counts.withColumn("_depth", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn(
+        "_prefix", F.expr(f"shiftright(sig, {BITS} - _depth)"))
+    fitting = prefixes.groupBy(*cell, "_depth", "_prefix").agg(F.sum("n").alias("n")).where(F.col("n") <= bucket_rows)
+    chosen = prefixes.drop("n").join(fitting.drop("n"), [*cell, "_depth", "_prefix"]).groupBy(*cell, "sig").agg(
+        F.min("_depth").alias("_depth"))
+    return signed.join(chosen, [*cell, "sig"], "left")
 
 
 def add_bucket(points: DataFrame, means: Sequence[float], spreads: Sequence[float], bucket_rows: int, key: str,
@@ -64,23 +75,42 @@ def add_bucket(points: DataFrame, means: Sequence[float], spreads: Sequence[floa
     """One row per point and hash table, with bucket columns t, depth, prefix, slice.
 
     A bucket is the shortest run of first planes with at most ``bucket_rows`` points on the same sides: crowded
-    buckets are cut by further planes. Points on the same side of all BITS planes, equal ones above all, are dealt into
-    slices by a hash of the key.
+    buckets are cut by further planes. Points on the same side of all BITS planes, as those of a dense cluster are, are
+    cut in the same way by BITS new planes through their own mean, and so on until they fit; ``slice`` lists these
+    cuts. Only equal points are dealt into slices by a hash of the key.
     """
-    signed = _signatures(points, means, spreads, seed)
-    counts = signed.groupBy("t", "sig").agg(F.count(F.lit(1)).alias("n"))
-    prefixes = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn(
-        "prefix", F.expr(f"shiftright(sig, {BITS} - depth)"))
-    fitting = prefixes.groupBy("t", "depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") <= bucket_rows)
-    chosen = prefixes.drop("n").join(fitting.drop("n"), ["t", "depth", "prefix"]).groupBy("t", "sig").agg(
-        F.min("depth").alias("depth"))
-    placed = counts.join(chosen, ["t", "sig"], "left").select(
-        "t", "sig", F.coalesce("depth", F.lit(BITS)).alias("depth"),
-        F.when(F.col("depth").isNull(), F.ceil(F.col("n") / bucket_rows)).otherwise(1).alias("slices"))
-    return signed.join(placed, ["t", "sig"]).withColumns({
-        "prefix": F.expr(f"shiftright(sig, {BITS} - depth)"),
-        "slice": F.floor(stable_unit(seed + 2, F.col(key)) * F.col("slices")).cast("int"),
-    }).drop("sig", "slices")
+    columns, cell, width = points.columns, ["t", "depth", "prefix", "slice"], len(means)
+    place = lambda depth: F.expr(f"shiftright(sig, {BITS} - {depth})")
+    signed = points.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))).withColumn(
+        "sig", _sides(_scaled(F.col("x"), _array(means), spreads), width, F.col("t"), seed))
+    found = cut(_with_depth(signed, ["t"], bucket_rows).withColumn("depth", F.coalesce("_depth", F.lit(BITS))).withColumns(
+        {"prefix": place("depth"), "slice": F.lit("")}))
+    parts, level = [found.where("_depth is not null").select(*columns, *cell)], 0
+    crowded = found.where("_depth is null").select(*columns, *cell)
+    while not crowded.isEmpty():
+        level += 1
+        stats = cut(crowded.groupBy(*cell).agg(
+            F.count(F.lit(1)).alias("_n"), (F.min("x") == F.max("x")).alias("_equal"),
+            F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("_mean")))
+        known = crowded.join(stats, cell)
+        signed = known.where("not _equal").withColumn(
+            "sig", _sides(_scaled(F.col("x"), F.col("_mean"), spreads), width, F.col("t"), seed + 100 * level)).drop("_equal", "_mean")
+        found = cut(_with_depth(signed, cell, bucket_rows).withColumn("_all", F.col("_n")))
+        deeper = found.withColumn("_at", F.coalesce("_depth", F.lit(BITS))).withColumn(
+            "slice", F.concat("slice", F.lit("/"), F.col("_at").cast("string"), F.lit(":"), place("_at").cast("string")))
+        parts.append(deeper.where("_depth is not null").select(*columns, *cell))
+        still = deeper.where("_depth is null")
+        # planes through the mean always part unequal points, but for rounding: such points count as equal
+        whole = still.groupBy(*cell, "_all").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("_all"))
+        same = known.where("_equal").select(*columns, *cell, "_n").unionByName(
+            still.drop("_n").join(whole.drop("_all"), cell).select(*columns, *cell, "_n"))
+        dealt = F.floor(stable_unit(seed + 2, F.col(key)) * F.ceil(F.col("_n") / bucket_rows)).cast("string")
+        parts.append(same.withColumn("slice", F.concat("slice", F.lit("#"), dealt)).select(*columns, *cell))
+        crowded = still.join(whole, cell, "left_anti").select(*columns, *cell)
+    placed = parts[0]
+    for part in parts[1:]:
+        placed = placed.unionByName(part)
+    return placed
 
 
 def neighbours(placed: DataFrame, key: str, k: int, spreads: Sequence[float]) -> DataFrame:
@@ -115,7 +145,7 @@ def smote(
     """Raise the minority class to the size of the majority with rows between near minority rows.
 
     The neighbours are approximate: the k nearest among the rows that share a bucket in one of TABLES hash tables, by
-    exact scaled distance. The same rule holds at every size; a bucket has at most ``bucket_rows`` rows. A row that is
+    exact scaled distance; the buckets adapt to dense clusters. The same rule holds at every size; a bucket has at most ``bucket_rows`` rows. A row that is
     alone in all its buckets is repeated. New rows are whole: every minority row gets the same number of copies, give
     or take one. Adds the column synthetic.
     """

@@ -99,6 +99,26 @@ def test_neighbours_recall(spark):
     assert hits / (5 * len(keys)) >= 0.6
 
 
+@pytest.mark.parametrize("n", [1500, 4500])
+def test_neighbours_recall_in_a_dense_cluster(spark, n):
+    """A third of the points lie close together away from the mean: theirs are found as those of the others are."""
+    rng = np.random.RandomState(1)
+    matrix = rng.normal(size=(n, 6))
+    matrix[::3] = matrix[::3] * 0.01 + 4
+    spreads = [float(v) for v in matrix.std(axis=0)]
+    points = cut(spark.createDataFrame([(f"P{i:04d}", [float(v) for v in x]) for i, x in enumerate(matrix)], "customer_id string, x array<double>"))
+    placed = cut(balancing.add_bucket(points, [float(v) for v in matrix.mean(axis=0)], spreads, 64, "customer_id"))
+    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
+    assert max(sizes) <= 64 and sum(sizes) == balancing.TABLES * n
+    found = {r.customer_id: set(r.near) for r in balancing.neighbours(placed, "customer_id", 5, spreads).collect()}
+    hits, scaled = 0, matrix / spreads
+    for i in range(0, n, 3):
+        distance = ((scaled - scaled[i]) ** 2).sum(axis=1)
+        distance[i] = np.inf
+        hits += len({f"P{j:04d}" for j in np.argsort(distance)[:5]} & found[f"P{i:04d}"])
+    assert hits / (5 * len(range(0, n, 3))) >= 0.75
+
+
 def test_smote_survives_equal_rows(spark):
     """A third of the minority are copies of one row: no bucket may grow with them."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
