@@ -3,7 +3,8 @@
 Every micro-batch reduces its new events to partial aggregates and writes them to a folder of its own, named by the
 batch, so a repeated batch replaces itself. Readers add the partials up, so an event counts whenever it arrives: there
 is no watermark behind which rows are dropped. An event id that arrives again for the same day is counted once; the ids
-seen so far are kept by day, and a batch looks only at its own days.
+seen so far are kept by day, and a batch looks only at its own days. An event without an id cannot be told to be a
+repeat: every such row counts.
 """
 
 from __future__ import annotations
@@ -58,8 +59,10 @@ def run_partials(stream: DataFrame, partials: Callable[[DataFrame], DataFrame],
     def keep(batch: DataFrame, batch_id: int) -> None:
         days = [r["day"] for r in batch.select("day").distinct().collect()]  # bounded by the calendar
         earlier = spark.read.parquet(f"{target}/ids").where((F.col("batch_id") < batch_id) & F.col("day").isin(days))
-        new = batch.dropDuplicates(["event_id", "day"]).join(earlier.select("event_id", "day"), ["event_id", "day"], "left_anti")
-        partials(new).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
+        known = batch.where("event_id is not null").dropDuplicates(["event_id", "day"])
+        new = known.join(earlier.select("event_id", "day"), ["event_id", "day"], "left_anti")
+        counted = new.unionByName(batch.where("event_id is null"))
+        partials(counted).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
         new.select("event_id", "day").write.mode("overwrite").parquet(f"{target}/ids/batch_id={batch_id}")
 
     query = (

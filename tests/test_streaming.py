@@ -41,6 +41,15 @@ def test_daily_usage_merges_batches_late_and_repeated_rows(spark):
     assert {r.usage_date.day: r.events for r in found} == {1: 4, 6: 2}
 
 
+@pytest.mark.parametrize("files_per_batch", [None, 1])
+def test_events_without_an_id_all_count(spark, files_per_batch):
+    folder = write_files(
+        spark, [(None, T0, 7), (None, T0 + timedelta(minutes=1), 8), (None, T0, 7), (1, T0, 7)],
+        [(None, T0 + timedelta(hours=1), 7), (1, T0, 7)])
+    found = usage.daily_usage(usage.read_events(spark, folder, files_per_batch)).collect()
+    assert {r.user_id: r.events for r in found} == {7: 4, 8: 1}
+
+
 def shuffled(spark, sf_dir, files):
     """The events of the smallest tables in many files, out of order."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas().sample(frac=1, random_state=3)
