@@ -7,7 +7,7 @@ Decoding labels a whole tree at once: a node is in, out or mixed; all below an `
 node is out, and only a mixed node may have children of either kind. The labelling with the largest likelihood wins,
 so an ancestor and a descendant cannot contradict one another.
 
-Training needs no labelled pages: on at most ``sample_pages`` pages that mark up their article, the article is known.
+Training needs no labelled pages: on at most ``sample_pages`` pages that mark up their article, wherever in the table they are, the article is known.
 Each is also rebuilt a few times with other markup around the same texts (menus, sidebars, notices, adverts, forms,
 reader comments, plain containers), which makes the labels of the rebuilt pages known as well.
 
@@ -292,6 +292,7 @@ def _article(page: Page) -> int:
     return -1
 
 
+MARKED = r"(?i)<(?:article|main)[\s/>]"
 _SAYS_OUT = sum(1 << i for i, name in enumerate(TOKENS) if name != "content")
 _TAGS_OUT = sum(1 << TAG[t] for t in ("nav", "header", "footer", "aside", "form"))
 
@@ -377,13 +378,19 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[s
 
 
 def train(pages: DataFrame, sample_pages: int = 250, variants: int = 3, html_col: str = "html") -> gbt.Boosted:
-    """Fit on at most ``sample_pages`` pages, those with the smallest hash of their html, and their rebuilt variants."""
-    sample = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h")).distinct().orderBy(
+    """Fit on at most ``sample_pages`` pages, those with the smallest hash of their html, and their rebuilt variants.
+
+    Only pages with an article or main tag are drawn. A table with pages but none of these is an error; one without
+    any page gives a model that finds nothing.
+    """
+    sample = pages.where(F.col(html_col).rlike(MARKED)).select(F.xxhash64(html_col).alias("h")).distinct().orderBy(
         "h").limit(sample_pages)
     found = pages.withColumn("h", F.xxhash64(html_col)).join(F.broadcast(sample), "h").groupBy("h").agg(
         F.min(html_col).alias("html")).orderBy("h").collect()
     learned, x, y = [Page(r["html"]) for r in found], [], []
     tops = [_article(p) for p in learned]
+    if max(tops, default=-1) < 0 and not pages.where(F.trim(html_col) != "").isEmpty():
+        raise ValueError("no page to learn from: none of the pages drawn has an article or main element")
     texts = [_texts(p, top) if top >= 0 else [] for p, top in zip(learned, tops)]
     others = [t for blocks in texts for t in blocks[:20]] or ["text"]
 

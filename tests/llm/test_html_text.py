@@ -127,6 +127,17 @@ def test_frames(spark, model, tmp_path):
     assert html_text.extracted(empty, html_text.train(empty)).count() == 0
 
 
+def test_rare_marked_pages_are_the_ones_to_learn_from(spark, pages):
+    """Two marked pages among 40 others, with room for two in the sample; without any marked page training fails."""
+    schema = "page_id long, url string, html string"
+    plain = [(i, "u", f"<body><div><p>Plain page {i}.</p></div></body>") for i in range(40)]
+    marked = [(100 + i, "u", r["html"]) for i, r in enumerate(pages.orderBy("page_id").limit(2).collect())]
+    model = html_text.train(spark.createDataFrame(plain + marked, schema), sample_pages=2)
+    assert html_text.extract_batch([marked[0][2]], model)[0]
+    with pytest.raises(ValueError, match="no page to learn from"):
+        html_text.train(spark.createDataFrame(plain, schema))
+
+
 def test_boosting_learns_and_repeats():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3_000, 4))
