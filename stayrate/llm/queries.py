@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import gam, html_text, langid, licenses, mixing, multiset, secrets, simhash, spiece, topk
+from stayrate.llm import (
+    divergence, gam, html_text, langid, lattice, licenses, mixing, multiset, secrets, simhash, spiece, topk, variants,
+)
 from stayrate.llm.common import fold, table
 from stayrate.session import scratch_path
 
@@ -122,7 +124,7 @@ select d.doc_id, coalesce(array_to_string(found, ','), '') as licences,
     coalesce(array_to_string(ids, ','), '') as sentence_ids,
     coalesce(len(list_filter(ids, lambda x: x <> '?')), 0)::bigint as n_known,
     coalesce(len(list_filter(ids, lambda x: x = '?')), 0)::bigint as n_unknown
-from docs d left join {last} using (doc_id)""".replace("'\\x01'", "chr(1)").replace("\\x01'", "' || chr(1)")
+from docs d left join {last} using (doc_id)""".replace("'\x01'", "chr(1)").replace("\x01'", "' || chr(1)")
 
 
 ORACLES["op3_license_sentences"] = _licenses_sql()
@@ -180,3 +182,112 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learned = langid.profiles(docs.where(fold("doc_id", 4) != 2))
     return langid.identify(docs, learned, keep=("doc_id", (fold("doc_id", 4) == 2).alias("held_out")))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    found = variants.grouped(table(spark, sf_dir, "documents"), least_chars=6, least_n=5, ratio=5, slips=199)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op11_spelling_variants"] = r"""
+with recursive steps(b, k, c) as (
+    select range, 0, range from range(256)
+    union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+crc as (select list(c order by b) as t from steps where k = 8),
+docs as (
+    select coalesce(doc_id::varchar, '') as id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\x{00C0}-\x{00FF}]+') as runs from documents),
+each as (select id, unnest(runs) as run from docs),
+counted as (select id, run, count(*) as n from each where length(run) >= 6 group by all),
+bytes as (
+    select id, run, n, list_concat([4294967295::bigint], list_transform(string_split(id, ''), x -> ascii(x)::bigint), [58::bigint],
+        flatten(list_transform(string_split(run, ''), x -> case when unicode(x) < 128 then [unicode(x)::bigint]
+            else [195::bigint, unicode(x)::bigint - 64] end))) as b from counted),
+hashed as (
+    select run, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[xor(a, x) & 255 + 1])), 4294967295) as h from bytes, crc),
+slipped as (
+    select n, case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end
+        as word from hashed),
+words as (
+    select word, sum(n)::bigint as n from slipped where length(word) >= 6 group by word having sum(n) >= 5),
+shorter as (
+    select word, n, unnest(range(1, length(word) + 1)) as i, substr(word, 1, i - 1) || substr(word, i + 1) as left_over
+    from words),
+near as (
+    select a.word, b.word as other, b.n as other_n from shorter a join shorter b using (i, left_over) where a.word <> b.word
+    union select s.word, w.word, w.n from shorter s join words w on s.left_over = w.word
+    union select w.word, s.word, s.n from shorter s join words w on s.left_over = w.word),
+best as (
+    select word, count(*) as n_near, arg_max(other, (other_n, -place)) as other, max(other_n) as other_n
+    from (select *, row_number() over (partition by word order by encode(other)) as place from near) group by word),
+named as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form,
+        case when other_n >= 5 * w.n then other_n end as form_n from words w left join best using (word)),
+chain(word, root, depth) as (
+    select word, word, 0 from named
+    union all select c.word, n.form, depth + 1 from chain c join named n on c.root = n.word where n.form is not null)
+select n.word, form, root, n, n_near, form_n from named n
+join (select word, arg_max(root, depth) as root from chain group by word) using (word)""".replace(
+    "x -> ", "lambda x: ").replace("& 255 + 1]", "& 255) + 1]").replace("t[xor(a, x)", "t[(xor(a, x)")
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audited(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+ORACLES["op12_source_divergence"] = r"""
+with docs as (
+    select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+each as (select row_id, lang, source, unnest(terms) as term from docs),
+counts as (select lang, source, term, count(*)::hugeint as n, count(distinct row_id) as docs from each group by all),
+kept as (select lang, term, sum(n) as n from counts group by all having sum(docs) >= 10),
+sizes as (select lang, count(*)::hugeint as v, sum(n) as total from kept group by lang),
+cells as (select c.lang, c.source, c.term, c.n from counts c join kept k using (lang, term)),
+groups as (
+    select g.lang, g.source, coalesce(v, 0) as v, coalesce(s.total, 0) as lang_total, coalesce(t.total, 0) as total
+    from (select distinct lang, source from docs) g left join sizes s using (lang)
+    left join (select lang, source, sum(n) as total from cells group by all) t using (lang, source)),
+rates as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) as p,
+        1 + 1000000000 * (k.n + 2) // (lang_total + 2 * v) as q
+    from groups g join kept k using (lang) left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item,
+        coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join rates x on x.lang = a.lang and x.source = a.source
+    left join rates y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (
+    select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from rates
+    where n > 0 and p > q),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank
+    from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 10"""
+
+
+@query
+def op13_lattice_near_copies(spark, sf_dir):
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+ORACLES["op13_lattice_near_copies"] = """
+with recursive v as (
+    select row_number() over () as i, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+usable as (
+    select i, vec_id, e from v where vec_id is not null and e is not null
+    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+    select a.i, b.i as j from usable a join usable b on a.i <> b.i and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(i, j) as (select i, i from usable union select r.i, l.j from reached r join links l on r.j = l.i),
+least as (select r.i, min(u.vec_id) as component_id from reached r join usable u on r.j = u.i group by r.i),
+degree as (select i, count(*) as n_links from links group by i)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id,
+    coalesce(vec_id = coalesce(component_id, vec_id), false) as kept
+from v left join least using (i) left join degree using (i)"""
