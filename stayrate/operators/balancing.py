@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stayrate.functions.columns import stable_unit
 from stayrate.functions.ranking import add_hash_rank
+from stayrate.operators.neighbours import CELL_ROWS, nearest
 from stayrate.session import cut
 
 SEED = 42
-#: Hash tables for neighbours and planes of each; fixed, so that data of any size is treated alike.
-TABLES, BITS = 6, 24
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -34,152 +28,57 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int, seed: int
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
-def _array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def planes(features: int, seed: int = SEED) -> np.ndarray:
-    """TABLES x BITS random directions for the hash tables of neighbours."""
-    return np.random.RandomState(seed).normal(size=(TABLES, BITS, features)).round(6)
-
-
-def _sides(z: Column, features: int, t: Column, seed: int) -> Column:
-    """The sides of the planes of hash table t on which z lies, as bits, first plane highest."""
-    tables = F.from_json(F.lit(json.dumps(planes(features, seed).tolist())), "array<array<array<double>>>")
-
-    def side(plane: Column) -> Column:
-        dot = F.aggregate(F.zip_with(z, plane, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
-        return F.when(dot > 0, 1).otherwise(0)
-
-    return F.aggregate(F.get(tables, t), F.lit(0).cast("bigint"), lambda acc, plane: acc * 2 + side(plane))
-
-
-def _scaled(x: Column, means: Column, spreads: Sequence[float]) -> Column:
-    return F.transform(F.arrays_zip(x.alias("x"), means.alias("m"), _array(spreads).alias("s")),
-                       lambda v: (v["x"] - v["m"]) / v["s"])
-
-
-def _with_depth(signed: DataFrame, cell: Sequence[str], bucket_rows: int) -> DataFrame:
-    """Adds depth: of the shortest run of first planes with at most bucket_rows points of the cell; null if none has."""
-    counts = signed.groupBy(*cell, "sig").agg(F.count(F.lit(1)).alias("n"))
-    prefixes = counts.withColumn("_depth", F.explode(F.sequence(F.lit(0), F.lit(BITS)))).withColumn(
-        "_prefix", F.expr(f"shiftright(sig, {BITS} - _depth)"))
-    fitting = prefixes.groupBy(*cell, "_depth", "_prefix").agg(F.sum("n").alias("n")).where(F.col("n") <= bucket_rows)
-    chosen = prefixes.drop("n").join(fitting.drop("n"), [*cell, "_depth", "_prefix"]).groupBy(*cell, "sig").agg(
-        F.min("_depth").alias("_depth"))
-    return signed.join(chosen, [*cell, "sig"], "left")
-
-
-def add_bucket(points: DataFrame, means: Sequence[float], spreads: Sequence[float], bucket_rows: int, key: str,
-               seed: int = SEED) -> DataFrame:
-    """One row per point and hash table, with bucket columns t, depth, prefix, slice.
-
-    A bucket is the shortest run of first planes with at most ``bucket_rows`` points on the same sides: crowded
-    buckets are cut by further planes. Points on the same side of all BITS planes, as those of a dense cluster are, are
-    cut in the same way by BITS new planes through their own mean, and so on until they fit; ``slice`` lists these
-    cuts. Only equal points are dealt into slices by a hash of the key.
-    """
-    columns, cell, width = points.columns, ["t", "depth", "prefix", "slice"], len(means)
-    place = lambda depth: F.expr(f"shiftright(sig, {BITS} - {depth})")
-    signed = points.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))).withColumn(
-        "sig", _sides(_scaled(F.col("x"), _array(means), spreads), width, F.col("t"), seed))
-    found = cut(_with_depth(signed, ["t"], bucket_rows).withColumn("depth", F.coalesce("_depth", F.lit(BITS))).withColumns(
-        {"prefix": place("depth"), "slice": F.lit("")}))
-    parts, level = [found.where("_depth is not null").select(*columns, *cell)], 0
-    crowded = found.where("_depth is null").select(*columns, *cell)
-    while not crowded.isEmpty():
-        level += 1
-        stats = cut(crowded.groupBy(*cell).agg(
-            F.count(F.lit(1)).alias("_n"), (F.min("x") == F.max("x")).alias("_equal"),
-            F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("_mean")))
-        known = crowded.join(stats, cell)
-        signed = known.where("not _equal").withColumn(
-            "sig", _sides(_scaled(F.col("x"), F.col("_mean"), spreads), width, F.col("t"), seed + 100 * level)).drop("_equal", "_mean")
-        found = cut(_with_depth(signed, cell, bucket_rows).withColumn("_all", F.col("_n")))
-        deeper = found.withColumn("_at", F.coalesce("_depth", F.lit(BITS))).withColumn(
-            "slice", F.concat("slice", F.lit("/"), F.col("_at").cast("string"), F.lit(":"), place("_at").cast("string")))
-        parts.append(deeper.where("_depth is not null").select(*columns, *cell))
-        still = deeper.where("_depth is null")
-        # planes through the mean always part unequal points, but for rounding: such points count as equal
-        whole = still.groupBy(*cell, "_all").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("_all"))
-        same = known.where("_equal").select(*columns, *cell, "_n").unionByName(
-            still.drop("_n").join(whole.drop("_all"), cell).select(*columns, *cell, "_n"))
-        dealt = F.floor(stable_unit(seed + 2, F.col(key)) * F.ceil(F.col("_n") / bucket_rows)).cast("string")
-        parts.append(same.withColumn("slice", F.concat("slice", F.lit("#"), dealt)).select(*columns, *cell))
-        crowded = still.join(whole, cell, "left_anti").select(*columns, *cell)
-    placed = parts[0]
-    for part in parts[1:]:
-        placed = placed.unionByName(part)
-    return placed
-
-
-def neighbours(placed: DataFrame, key: str, k: int, spreads: Sequence[float]) -> DataFrame:
-    """(key, near): keys of the k nearest points by scaled distance among those that share a bucket of any table."""
-    scale = np.asarray(spreads)
-    kind = placed.schema[key].dataType
-    schema = T.StructType([T.StructField("_a", kind), T.StructField("_b", kind), T.StructField("_d", T.DoubleType())])
-
-    def nearest(bucket):
-        points = np.stack(bucket["x"].to_numpy()) / scale
-        keys = bucket[key].to_numpy()
-        near = {"_a": [], "_b": [], "_d": []}
-        for i in range(len(keys)):
-            distance = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
-            order = np.lexsort((keys.astype(str), distance))
-            order = order[order != i][:k]
-            near["_a"] += [keys[i]] * len(order)
-            near["_b"] += list(keys[order])
-            near["_d"] += list(distance[order])
-        kinds = {"_a": object, "_b": object, "_d": float}
-        return pd.DataFrame({c: pd.Series(near[c], dtype=kind) for c, kind in kinds.items()})
-
-    found = placed.groupBy("t", "depth", "prefix", "slice").applyInPandas(nearest, schema)
-    listed = found.groupBy("_a").agg(F.collect_set(F.struct("_d", "_b")).alias("_near"))  # k per table at most
-    nearest_keys = F.transform(F.slice(F.array_sort("_near"), 1, k), lambda v: v["_b"])
-    return listed.select(F.col("_a").alias(key), nearest_keys.alias("near"))
+def smote_groups(
+    train: DataFrame, names: Sequence[str], key: str, label: str, group: str, k: int = 5, seed: int = SEED,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """The new rows of ``smote`` for every group of rows (a column of ``train``) in one pass: group, key, names, label."""
+    counts = train.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).collect()  # groups x classes
+    by_group: dict[object, dict[object, int]] = {}
+    for row in counts:
+        by_group.setdefault(row[group], {})[row[label]] = row["n"]
+    plans = []
+    for g, sizes in by_group.items():
+        minority = min(sizes, key=lambda c: (sizes[c], c))
+        missing = max(sizes.values()) - sizes[minority]
+        if len(sizes) > 1 and missing:
+            plans.append((g, minority, *divmod(missing, sizes[minority])))
+    types = {f.name: f.dataType.simpleString() for f in train.schema}
+    wanted = train.sparkSession.createDataFrame(
+        plans, f"grp {types[group]}, minority {types[label]}, each long, extra long")
+    rows = train.withColumn("grp", F.col(group)).join(F.broadcast(wanted), "grp").where(F.col(label) == F.col("minority"))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+    points = cut(rows.select("grp", F.col(key).alias("key"), values.alias("x"), "minority", "each", "extra"))
+    spreads = points.groupBy("grp").agg(F.array(*[
+        F.when(F.stddev_pop(F.col("x")[i]) == 0, F.lit(1.0)).otherwise(F.stddev_pop(F.col("x")[i])) for i in range(len(names))
+    ]).alias("spread"))
+    scaled = points.join(F.broadcast(spreads), "grp").select(  # one row per group
+        "grp", "key", F.zip_with("x", "spread", lambda x, s: x / s).alias("z"))
+    near = nearest(scaled, k, cell_rows)
+    ranked = add_hash_rank(points, ["grp"], "key", seed + 3, "_rank")
+    copied = ranked.withColumn("_copies", F.col("each") + F.when(F.col("_rank") <= F.col("extra"), 1).otherwise(0))
+    copies = copied.where(F.col("_copies") > 0).join(near, ["grp", "key"]).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    pick = F.floor(stable_unit(seed + 4, F.col("key"), F.col("_copy")) * F.size("near")).cast("int")
+    picked = copies.select("grp", "key", "x", "minority", "_copy", F.get("near", pick).alias("_other"),
+                           stable_unit(seed + 5, F.col("key"), F.col("_copy")).alias("_share"))
+    others = points.select("grp", F.col("key").alias("_other"), F.col("x").alias("_found"))
+    made = picked.join(others, ["grp", "_other"], "left").withColumn("_near", F.coalesce("_found", "x"))
+    return made.select(
+        F.col("grp").alias(group), F.concat_ws("#", F.col("key"), F.col("_copy").cast("string")).alias(key),
+        *[(F.col("x")[i] + F.col("_share") * (F.col("_near")[i] - F.col("x")[i])).alias(c) for i, c in enumerate(names)],
+        F.col("minority").alias(label))
 
 
 def smote(
-    train: DataFrame, names: Sequence[str], key: str, label: str, k: int = 5, seed: int = SEED, bucket_rows: int = 64
+    train: DataFrame, names: Sequence[str], key: str, label: str, k: int = 5, seed: int = SEED, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Raise the minority class to the size of the majority with rows between near minority rows.
 
-    The neighbours are approximate: the k nearest among the rows that share a bucket in one of TABLES hash tables, by
-    exact scaled distance; the buckets adapt to dense clusters. The same rule holds at every size; a bucket has at most ``bucket_rows`` rows. A row that is
-    alone in all its buckets is repeated. New rows are whole: every minority row gets the same number of copies, give
+    A new row lies between a row and one of its k nearest minority rows, by exact distance on features of equal spread.
+    A row without any other is repeated. New rows are whole: every minority row gets the same number of copies, give
     or take one. Adds the column synthetic.
     """
-    counts = {row[label]: row["n"] for row in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = train.select(key, *[F.col(f"`{n}`") for n in names], label, F.lit(False).alias("synthetic"))
-    minority = min(counts, key=lambda c: (counts[c], c))
-    n, missing = counts[minority], max(counts.values()) - counts[minority]
-    if len(counts) < 2 or missing == 0:
-        return whole
-    rows = train.where(F.col(label) == minority)
-    stats = rows.agg(
-        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(names)],
-        *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(names)],
-    ).first()
-    means = [stats[f"m{i}"] for i in range(len(names))]
-    spreads = [stats[f"s{i}"] or 1.0 for i in range(len(names))]
-    each, extra = divmod(missing, n)
-    points = cut(rows.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x")))
-    near = neighbours(add_bucket(points, means, spreads, bucket_rows, key, seed), key, k, spreads)
-    ranked = add_hash_rank(points, [], key, seed + 3, "_rank") if extra else points.withColumn("_rank", F.lit(1))
-    copied = ranked.withColumn("_copies", F.lit(each) + F.when(F.col("_rank") <= extra, 1).otherwise(0))
-    copies = copied.where(F.col("_copies") > 0).join(near, key, "left").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    pick = F.floor(stable_unit(seed + 4, F.col(key), F.col("_copy")) * F.size("near")).cast("int")
-    picked = copies.select(key, "x", "_copy", F.get("near", pick).alias("_other"),
-                           stable_unit(seed + 5, F.col(key), F.col("_copy")).alias("_share"))
-    others = points.select(F.col(key).alias("_other"), F.col("x").alias("_found"))
-    made = picked.join(others, "_other", "left").withColumn("_near", F.coalesce("_found", "x")).select(
-        F.concat_ws("#", F.col(key), F.col("_copy").cast("string")).alias(key),
-        *[
-            (F.col("x")[i] + F.col("_share") * (F.col("_near")[i] - F.col("x")[i])).alias(c)
-            for i, c in enumerate(names)
-        ],
-        F.lit(minority).cast(train.schema[label].dataType).alias(label),
-        F.lit(True).alias("synthetic"),
-    )
-    return whole.unionByName(made)
+    made = smote_groups(train.withColumn("_group", F.lit(0)), names, key, label, "_group", k, seed, cell_rows)
+    return whole.unionByName(made.drop("_group").withColumn("synthetic", F.lit(True)))

@@ -1,18 +1,25 @@
-"""Model training on balanced frames with MLlib, evaluation and scoring of fitted pipelines."""
+"""Model training on balanced frames, validation by folds, evaluation and scoring of fitted models.
+
+The logistic model and the forest are MLlib pipelines; the two boosted models are grown by ``boosting``, all folds
+together.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.operators import evaluation
-from stayrate.operators.balancing import SEED, smote, stratified_folds
+from stayrate.operators import boosting, evaluation
+from stayrate.operators.balancing import SEED, smote, smote_groups, stratified_folds
 from stayrate.session import cut
 
 KEY, LABEL = "customer_id", "churn_label"
@@ -20,16 +27,17 @@ KEY, LABEL = "customer_id", "churn_label"
 # fixed values: published hyper-parameters
 REGULARISATION_C = 0.1
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}
-GBT = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 4}
-GBT_SUBSAMPLED = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-#: Partitions of a training table. Bagging and subsampling draw per partition, so the number is fixed, not derived from
-#: the data; a large cluster passes a larger one.
-PARTITIONS = 4
+#: Rows of a partition of a training table. Bagging draws per partition, so their number follows from the rows alone,
+#: not from the cluster.
+PARTITION_ROWS = 50_000
+#: Fits of folds that run at the same time.
+AT_ONCE = 2
 MODELS = ["logistic", "forest", "gbt", "gbt_subsampled"]
+Model = PipelineModel | boosting.Ensemble
 
 
 def estimator(name: str, rows: int, **overrides):
-    """The classifier of a model name. ``rows`` turns the penalty of a summed loss into that of a mean loss."""
+    """The MLlib classifier of a model name. ``rows`` turns the penalty of a summed loss into that of a mean loss."""
     common = {"labelCol": LABEL, "featuresCol": "features"}
     if name == "logistic":
         params = {
@@ -38,37 +46,52 @@ def estimator(name: str, rows: int, **overrides):
         return LogisticRegression(**common, **{**params, **overrides})
     if name == "forest":
         return RandomForestClassifier(**common, seed=SEED, **{**FOREST, **overrides})
-    if name == "gbt":
-        return GBTClassifier(**common, seed=SEED, **{**GBT, **overrides})
-    if name == "gbt_subsampled":
-        return GBTClassifier(**common, seed=SEED, **{**GBT_SUBSAMPLED, **overrides})
     raise ValueError(f"unknown model {name!r}, expected one of {MODELS}")
 
 
-def placed(train: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+def boosted(name: str, **overrides) -> boosting.Settings:
+    """Settings of a boosted model, as published but for the overrides."""
+    return boosting.PUBLISHED[name]._replace(**overrides)
+
+
+def placed(train: DataFrame, rows: int) -> DataFrame:
     """The same rows in the same partitions and order, however they come: by a hash of the key."""
     hashed = F.xxhash64(KEY)
-    return train.repartition(partitions, hashed).sortWithinPartitions(hashed, KEY)
+    return train.repartition(max(2, math.ceil(rows / PARTITION_ROWS)), hashed).sortWithinPartitions(hashed, KEY)
 
 
-def fit(name: str, train: DataFrame, names: Sequence[str], partitions: int = PARTITIONS, **overrides) -> PipelineModel:
+def fit(name: str, train: DataFrame, names: Sequence[str], **overrides) -> Model:
     """Fit one model. The scaler is part of the pipeline, so scoring cannot miss it."""
+    if name in boosting.PUBLISHED:
+        fits = [boosting.Fit(name, 0, boosted(name, **overrides))]
+        return grown(train.withColumn("groups", F.lit(1)), names, boosting.edges(train, names), fits)[0]
     raw = "raw_features" if name == "logistic" else "features"
     stages = [VectorAssembler(inputCols=list(names), outputCol=raw, handleInvalid="error")]
     if name == "logistic":
         stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
-    stages.append(estimator(name, train.count(), **overrides))
-    return Pipeline(stages=stages).fit(placed(train, partitions))
+    rows = train.count()
+    stages.append(estimator(name, rows, **overrides))
+    return Pipeline(stages=stages).fit(placed(train, rows))
+
 
+def grown(rows: DataFrame, names: Sequence[str], limits, fits: Sequence[boosting.Fit], saved=(), save=lambda part: None) -> list[boosting.Ensemble]:
+    """Boosted ensembles of all fits; ``rows`` have a column ``groups``, the bits of the fits they belong to."""
+    blocks = boosting.packed(rows, names, limits, KEY, LABEL)
+    trees, start = boosting.grow(blocks, len(names), fits, saved, save)
+    return [boosting.ensemble(f, trees[t], float(start[t]), names, limits) for t, f in enumerate(fits)]
 
-def score(model: PipelineModel, frame: DataFrame, *keep: str) -> DataFrame:
+
+def score(model: Model, frame: DataFrame, *keep: str) -> DataFrame:
     """customer_id, kept columns, probability of churn."""
+    if isinstance(model, boosting.Ensemble):
+        found = boosting.margins(frame, [model], [KEY, *keep])
+        return found.select(KEY, *keep, (1.0 / (1.0 + F.exp(-F.col("margins")[0]))).alias("probability"))
     return model.transform(frame).select(
         KEY, *keep, vector_to_array(F.col("probability"))[1].alias("probability")
     )
 
 
-def score_long(models: dict[str, PipelineModel], frame: DataFrame) -> DataFrame:
+def score_long(models: Mapping[str, Model], frame: DataFrame) -> DataFrame:
     """The evaluation table (model, customer_id, churn_label, probability) of several models."""
     parts = [score(model, frame, LABEL).withColumn("model", F.lit(name)) for name, model in models.items()]
     table = parts[0]
@@ -84,35 +107,99 @@ def coefficients(spark: SparkSession, model: PipelineModel, names: Sequence[str]
     return spark.createDataFrame(rows, "feature string, mean double, sd double, coefficient double")
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, names: Sequence[str], n: int = 20) -> DataFrame:
+def feature_importance(spark: SparkSession, model: Model, names: Sequence[str], n: int = 20) -> DataFrame:
     """Normalised gain of tree models, coefficient size of linear ones; the n largest, with readable labels."""
-    classifier = model.stages[-1]
-    if hasattr(classifier, "featureImportances"):
-        values = classifier.featureImportances.toArray()
+    if isinstance(model, boosting.Ensemble):
+        values = model.importances()
+    elif hasattr(model.stages[-1], "featureImportances"):
+        values = model.stages[-1].featureImportances.toArray()
     else:
-        values = abs(classifier.coefficients.toArray())
+        values = abs(model.stages[-1].coefficients.toArray())
     rows = [(name, float(v)) for name, v in zip(names, values)]
     table = spark.createDataFrame(rows, "feature string, importance double")
     label = F.initcap(F.replace(F.col("feature"), F.lit("_"), F.lit(" ")))
     return table.withColumn("label", label).orderBy(F.desc("importance"), "feature").limit(n)
 
 
+def dealt(train: DataFrame, folds: int) -> DataFrame:
+    """The training part with its folds."""
+    return stratified_folds(train, KEY, LABEL, folds)
+
+
+def fold_synthetic(train: DataFrame, names: Sequence[str], folds: int) -> DataFrame:
+    """New rows of every fold's training rows, balanced from these rows alone, in one pass; column ``held`` names the fold."""
+    held = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
+    return smote_groups(train.withColumn("held", held), names, KEY, LABEL, "held")
+
+
+def fold_rows(train: DataFrame, made: DataFrame, names: Sequence[str], fold: int) -> DataFrame:
+    """The balanced rows that a model of one fold learns from."""
+    columns = [KEY, *[F.col(f"`{n}`") for n in names], LABEL]
+    return train.where(F.col("fold") != fold).select(*columns).unionByName(made.where(F.col("held") == fold).select(*columns))
+
+
+def shared_rows(train: DataFrame, made: DataFrame, names: Sequence[str], folds: int, whole: DataFrame | None = None) -> DataFrame:
+    """Rows of all folds, each once, with the bits of the fits they belong to; bit ``folds`` is the whole training part.
+
+    ``whole``: the new rows of the whole part, if it is to be fitted too.
+    """
+    columns = [KEY, *[F.col(f"`{n}`") for n in names], LABEL]
+    every = (1 << folds) - 1 + ((1 << folds) if whole is not None else 0)
+    bits = lambda c: F.call_function("shiftleft", F.lit(1), F.col(c))
+    rows = train.select(*columns, (F.lit(every) - bits("fold")).alias("groups")).unionByName(
+        made.select(*columns, bits("held").alias("groups")))
+    return rows if whole is None else rows.unionByName(whole.select(*columns, F.lit(1 << folds).alias("groups")))
+
+
+def fold_scores(
+    models: Sequence[str], train: DataFrame, made: DataFrame, names: Sequence[str], folds: int,
+    ensembles: Mapping[tuple[str, int], boosting.Ensemble], overrides: Mapping[str, dict] | None = None,
+    keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, make: cut(make()),
+) -> DataFrame:
+    """The evaluation table of held-out rows with a column fold; ``keep`` stores each model's part under a name."""
+    overrides = overrides or {}
+
+    def one(task: tuple[str, int]) -> DataFrame:
+        name, fold = task
+        own = f"scored-{name}-{fold}"
+
+        def make() -> DataFrame:
+            model = ensembles.get(task) or fit(name, fold_rows(train, made, names, fold), names, **overrides.get(name, {}))
+            scored = score(model, train.where(F.col("fold") == fold), LABEL)
+            return scored.withColumns({"model": F.lit(name), "fold": F.lit(fold)})
+
+        return keep(own, make)
+
+    with ThreadPool(AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), [(m, f) for m in models for f in range(folds)])
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table
+
+
+def fold_metrics(scored: DataFrame) -> DataFrame:
+    """AUC and Brier score per model and fold."""
+    each = scored.withColumn("model", F.concat_ws("#", "model", "fold"))
+    line = evaluation.auc_roc(each).join(evaluation.brier(each), "model")
+    part = F.split("model", "#")
+    return line.select(part[0].alias("model"), part[1].cast("int").alias("fold"), "auc_roc", "brier")
+
+
 def cross_validate(
     models: Sequence[str], train: DataFrame, names: Sequence[str], folds: int = 5,
-    overrides: dict[str, dict] | None = None,
+    overrides: Mapping[str, dict] | None = None,
 ) -> DataFrame:
     """AUC and Brier score per model and fold. Balancing happens inside each fold, on its training part alone."""
     overrides = overrides or {}
-    dealt = cut(stratified_folds(train, KEY, LABEL, folds))
-    parts = None
-    for fold in range(folds):
-        held = dealt.where(F.col("fold") == fold)
-        balanced = cut(smote(dealt.where(F.col("fold") != fold).drop("fold"), names, KEY, LABEL))
-        fitted = {name: fit(name, balanced, names, **overrides.get(name, {})) for name in models}
-        scored = cut(score_long(fitted, held))
-        line = evaluation.auc_roc(scored).join(evaluation.brier(scored), "model").withColumn("fold", F.lit(fold))
-        parts = line if parts is None else parts.unionByName(line)
-    return parts.select("model", "fold", "auc_roc", "brier")
+    rows = cut(dealt(train, folds))
+    made = cut(fold_synthetic(rows, names, folds))
+    fits = [boosting.Fit(m, f, boosted(m, **overrides.get(m, {}))) for m in models if m in boosting.PUBLISHED for f in range(folds)]
+    ensembles = {}
+    if fits:
+        found = grown(shared_rows(rows, made, names, folds), names, boosting.edges(rows, names), fits)
+        ensembles = {(f.name, f.group): e for f, e in zip(fits, found)}
+    return fold_metrics(fold_scores(models, rows, made, names, folds, ensembles, overrides))
 
 
 def choose(validated: DataFrame) -> DataFrame:

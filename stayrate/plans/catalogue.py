@@ -454,8 +454,12 @@ def tier_migration(tables):
 
 
 # ------------------------------------------------------------------------------ models
+#: Overrides of the published settings by model name: none. Tests put small ones here.
+SETTINGS: dict[str, dict] = {}
+
+
 def _run(tables) -> ModelRun:
-    return run_of(tables, AS_OF, engineering.FIXTURE_INDUSTRIES)
+    return run_of(tables, AS_OF, engineering.FIXTURE_INDUSTRIES, SETTINGS)
 
 
 def _test_metrics(tables, *names):

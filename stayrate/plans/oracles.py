@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 
-from stayrate.operators import balancing
-
 AS_OF = "DATE '2001-08-01'"
 
 CTES: dict[str, str] = {}
@@ -892,40 +890,9 @@ select list(sd order by i) sds from (
 CTES["scaled"] = f"""
 select customer_id, x, list_transform(range(1, {len(_COMPLETE) + 1}), lambda i: x[i] / sds[i]) z from points cross join spread
 """
-_PLANES = balancing.planes(len(_COMPLETE))
-CTES["directions"] = "\nunion all ".join(
-    f"select {t} t, {balancing.BITS - 1 - b} bit, {[float(v) for v in plane]}::double[] w"
-    for t, table in enumerate(_PLANES) for b, plane in enumerate(table))
-CTES["centre"] = f"""
-select list(m order by i) ms from (
-  select i, avg(x[i]) m from points, (select unnest(range(1, {len(_COMPLETE) + 1})) i) group by i)
-"""
-CTES["signed"] = f"""
-select customer_id, t, sum(case when dot > 0 then 1::bigint << bit else 0 end)::bigint sig
-from (
-  select customer_id, t, bit, list_sum(list_transform(range(1, {len(_COMPLETE) + 1}), lambda i: (x[i] - ms[i]) / sds[i] * w[i])) dot
-  from points cross join centre cross join spread cross join directions)
-group by customer_id, t
-"""
-CTES["prefixes"] = f"""
-select *, sig >> ({balancing.BITS} - depth) prefix, count(*) over (partition by t, depth, sig >> ({balancing.BITS} - depth)) n
-from signed cross join (select cast(unnest(range({balancing.BITS + 1})) as int) depth)
-"""
-CTES["buckets"] = f"""
-select customer_id, t, depth, prefix, 0 slice from prefixes p
-where n <= 64 and depth = (select min(depth) from prefixes q where q.customer_id = p.customer_id and q.t = p.t and n <= 64)
-union all
-select customer_id, t, depth, prefix, cast(floor({_unit(44, 'customer_id')} * ceil(n / 64.0::double)) as int) slice from prefixes
-where depth = {balancing.BITS} and n > 64
-"""
 CTES["near"] = """
-select a, bx, row_number() over (partition by a order by d, b) nth, count(*) over (partition by a) found
-from (
-  select p.customer_id a, q.customer_id b, q.x bx, list_distance(p.z, q.z) d
-  from scaled p join scaled q on p.customer_id <> q.customer_id
-  where exists (
-    select 1 from buckets u join buckets v using (t, depth, prefix, slice)
-    where u.customer_id = p.customer_id and v.customer_id = q.customer_id))
+select p.customer_id a, q.x bx, row_number() over (partition by p.customer_id order by list_distance(p.z, q.z), q.customer_id) nth
+from scaled p join scaled q on p.customer_id <> q.customer_id
 qualify nth <= 5
 """
 CTES["balanced"] = f"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from stayrate.operators import balancing, evaluation, explain, scoring, training, treeshap
+from stayrate.operators import balancing, boosting, evaluation, explain, neighbours, scoring, training, treeshap
 from stayrate.session import cut
 
 NAMES = ["adoption", "logins", "delays"]
@@ -51,91 +51,95 @@ def minority_points(frame):
     return {r.customer_id: np.array([r[n] for n in NAMES]) for r in rows}
 
 
-@pytest.mark.parametrize("bucket_rows", [4000, 20])
-def test_smote_rows_lie_between_near_minority_rows(frame, bucket_rows):
-    out = balancing.smote(frame, NAMES, "customer_id", "churn_label", bucket_rows=bucket_rows)
+@pytest.mark.parametrize("cell_rows", [4000, 10])
+def test_smote_rows_lie_between_near_minority_rows(frame, cell_rows):
+    out = balancing.smote(frame, NAMES, "customer_id", "churn_label", cell_rows=cell_rows)
     assert len(set(counts(out, "churn_label").values())) == 1
     points = minority_points(frame)
     keys, matrix = list(points), np.stack(list(points.values()))
     scaled = matrix / matrix.std(axis=0)
     made = out.where("synthetic").collect()
-    per_parent, close = {}, 0
+    per_parent = {}
     for row in made:
         parent = row.customer_id.split("#")[0]
         per_parent[parent] = per_parent.get(parent, 0) + 1
         i, new = keys.index(parent), np.array([row[n] for n in NAMES])
         distance = ((scaled - scaled[i]) ** 2).sum(axis=1)
         distance[i] = np.inf
-        order, on_line = np.argsort(distance), []
-        for place, j in enumerate(order[:-1]):
+        on_line = []
+        for place, j in enumerate(np.argsort(distance)[:5]):
             direction = matrix[j] - matrix[i]
             share = np.dot(new - matrix[i], direction) / np.dot(direction, direction)
             if -1e-9 <= share <= 1 + 1e-9 and np.abs(matrix[i] + share * direction - new).max() < 1e-9:
                 on_line.append(place)
-        assert on_line
-        close += min(on_line) < 5
-    # one bucket holds all rows: the exact five; small buckets: most of the parents' partners are among the five
-    assert close == len(made) if bucket_rows == 4000 else close >= 0.7 * len(made)
+        assert on_line  # with one of the five nearest, whatever the size of the cells
     if len(made) >= len(keys):
         assert set(per_parent) == set(keys)
     assert max(per_parent.values()) - min(per_parent.values()) <= 1
 
 
-def test_neighbours_recall(spark):
-    """At least 0.6 of the five nearest of 2,000 points in six dimensions are found in buckets of 64."""
-    rng = np.random.RandomState(1)
-    matrix = rng.normal(size=(2000, 6))
-    keys = [f"P{i:04d}" for i in range(len(matrix))]
-    points = cut(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in zip(keys, matrix)], "customer_id string, x array<double>"))
-    placed = balancing.add_bucket(points, [0.0] * 6, [1.0] * 6, 64, "customer_id")
-    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
-    assert max(sizes) <= 64 and sum(sizes) == balancing.TABLES * len(keys)
-    found = {r.customer_id: set(r.near) for r in balancing.neighbours(placed, "customer_id", 5, [1.0] * 6).collect()}
-    hits = 0
+def brute_near(matrix, keys, k):
+    out = {}
     for i, key in enumerate(keys):
-        distance = ((matrix - matrix[i]) ** 2).sum(axis=1)
-        distance[i] = np.inf
-        hits += len({keys[j] for j in np.argsort(distance)[:5]} & found.get(key, set()))
-    assert hits / (5 * len(keys)) >= 0.6
+        far = np.sqrt(((matrix - matrix[i]) ** 2).sum(axis=1))
+        order = sorted((j for j in range(len(keys)) if j != i), key=lambda j: (far[j], keys[j]))
+        out[key] = [keys[j] for j in order[:k]]
+    return out
 
 
-@pytest.mark.parametrize("n", [1500, 4500])
-def test_neighbours_recall_in_a_dense_cluster(spark, n):
-    """A third of the points lie close together away from the mean: theirs are found as those of the others are."""
+def exact_case(name):
     rng = np.random.RandomState(1)
-    matrix = rng.normal(size=(n, 6))
-    matrix[::3] = matrix[::3] * 0.01 + 4
-    spreads = [float(v) for v in matrix.std(axis=0)]
-    points = cut(spark.createDataFrame([(f"P{i:04d}", [float(v) for v in x]) for i, x in enumerate(matrix)], "customer_id string, x array<double>"))
-    placed = cut(balancing.add_bucket(points, [float(v) for v in matrix.mean(axis=0)], spreads, 64, "customer_id"))
-    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
-    assert max(sizes) <= 64 and sum(sizes) == balancing.TABLES * n
-    found = {r.customer_id: set(r.near) for r in balancing.neighbours(placed, "customer_id", 5, spreads).collect()}
-    hits, scaled = 0, matrix / spreads
-    for i in range(0, n, 3):
-        distance = ((scaled - scaled[i]) ** 2).sum(axis=1)
-        distance[i] = np.inf
-        hits += len({f"P{j:04d}" for j in np.argsort(distance)[:5]} & found[f"P{i:04d}"])
-    assert hits / (5 * len(range(0, n, 3))) >= 0.75
+    if name == "6 wide":
+        return rng.normal(size=(900, 6))
+    if name == "46 wide":
+        return rng.normal(size=(500, 46))
+    matrix = rng.normal(size=(700, 4))
+    if name == "cluster":  # a third close together, away from the others, and some far away and alone
+        matrix[::3] = matrix[::3] * 0.01 + 4
+        matrix[1::100] *= 50
+    if name == "copies":  # a third equal to one another, and many ties
+        matrix = matrix.round(0)
+        matrix[::3] = 1.0
+    return matrix
+
+
+@pytest.mark.parametrize("name", ["6 wide", "46 wide", "cluster", "copies"])
+def test_neighbours_are_exact(spark, name):
+    matrix = exact_case(name)
+    keys = [f"P{i * 7919 % 10007:05d}" for i in range(len(matrix))]
+    rows = [(0, k, [float(v) for v in x]) for k, x in zip(keys, matrix)]
+    rows += [(1, k, [float(v) for v in x]) for k, x in zip(keys[:40], matrix)] + [(2, "alone", [0.0] * matrix.shape[1])]
+    points = cut(spark.createDataFrame(rows, "grp int, key string, z array<double>"))
+    found = {(r.grp, r.key): r.near for r in neighbours.nearest(points, 5, cell_rows=60, fan=5).collect()}
+    assert found[2, "alone"] == []
+    assert {k: v for (g, k), v in found.items() if g == 0} == brute_near(matrix, keys, 5)
+    assert {k: v for (g, k), v in found.items() if g == 1} == brute_near(matrix[:40], keys[:40], 5)
 
 
 def test_smote_survives_equal_rows(spark):
-    """A third of the minority are copies of one row: no bucket may grow with them."""
+    """A third of the minority are copies of one row."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
     rows += [(f"M{i:03d}", i / 100, i / 200, 0) for i in range(500)]
     df = spark.createDataFrame(rows, "customer_id string, a double, b double, churn_label int")
-    placed = balancing.add_bucket(
-        df.where("churn_label = 1").select("customer_id", F.array("a", "b").alias("x")), [1.5, 4.0], [1.0, 3.0], 20, "customer_id")
-    sizes = [r["count"] for r in placed.groupBy("t", "depth", "prefix", "slice").count().collect()]
-    assert sum(sizes) == 180 * balancing.TABLES and max(sizes) <= 40
-    assert counts(balancing.smote(df, ["a", "b"], "customer_id", "churn_label", bucket_rows=20), "churn_label") == {(0,): 500, (1,): 500}
+    assert counts(balancing.smote(df, ["a", "b"], "customer_id", "churn_label", cell_rows=20), "churn_label") == {(0,): 500, (1,): 500}
+
+
+def test_groups_are_balanced_on_their_own(spark, frame):
+    """All folds in one pass give the rows that each fold gives alone."""
+    rows = cut(training.dealt(frame, 3))
+    together = training.fold_synthetic(rows, NAMES, 3)
+    for fold in range(3):
+        alone = balancing.smote(rows.where(F.col("fold") != fold), NAMES, "customer_id", "churn_label").where("synthetic")
+        mine = {r.customer_id: r for r in together.where(F.col("held") == fold).collect()}
+        assert {r.customer_id for r in alone.collect()} == set(mine)
+        assert all(mine[r.customer_id][n] == pytest.approx(r[n], abs=1e-12) for r in alone.collect() for n in NAMES)
 
 
 @pytest.fixture(scope="module")
 def fitted(frame):
     small = {
-        "logistic": {}, "forest": {"numTrees": 6, "maxDepth": 4}, "gbt": {"maxIter": 5},
-        "gbt_subsampled": {"maxIter": 5},
+        "logistic": {}, "forest": {"numTrees": 6, "maxDepth": 4}, "gbt": {"rounds": 25},
+        "gbt_subsampled": {"rounds": 25},
     }
     return {name: training.fit(name, frame, NAMES, **small[name]) for name in training.MODELS}
 
@@ -225,27 +229,37 @@ def test_cross_validation_reports_every_fold(frame):
 
 
 def test_the_published_settings_are_validated(spark, tmp_path, monkeypatch):
-    """Every estimator that a run's validation asks for has the settings of the production fit."""
+    """Every fit that a run's validation asks for has the published settings."""
     from datetime import date
 
     from stayrate.plans.models import ModelRun
 
-    asked, fit = [], training.fit
+    asked, fit, grow = [], training.fit, training.grown
 
-    def small(name, train, names, *args, **overrides):
+    def small(name, train, names, **overrides):
         asked.append((name, overrides))
         return fit("logistic", train, names)
 
+    def short(rows, names, limits, fits, *rest):
+        asked.extend((f.name, f.settings) for f in fits)
+        return grow(rows, names, limits, [f._replace(settings=f.settings._replace(rounds=2)) for f in fits], *rest)
+
     run = ModelRun(type("Tables", (), {"spark": spark}), date(2025, 6, 1), str(tmp_path))
     rows = [(f"C{i:03d}", float(i % 7), i % 3 == 0) for i in range(60)]
     run.__dict__["matrix"] = spark.createDataFrame(rows, "customer_id string, x double, y boolean").select(
         "customer_id", "x", F.col("y").cast("int").alias("churn_label"), F.lit(True).alias("in_train"))
     monkeypatch.setattr(training, "fit", small)
-    run.validated.count()
-    assert sorted(name for name, _ in asked) == sorted(training.MODELS * 5) and not any(o for _, o in asked)
-    for name, settings in (("forest", training.FOREST), ("gbt", training.GBT), ("gbt_subsampled", training.GBT_SUBSAMPLED)):
-        made = training.estimator(name, 60)
-        assert all(made.getOrDefault(key) == value for key, value in settings.items())
+    monkeypatch.setattr(training, "grown", short)
+    assert run.validated.count() == 20
+    mllib = [(n, s) for n, s in asked if n not in boosting.PUBLISHED]
+    assert sorted(n for n, _ in mllib) == sorted(["logistic", "forest"] * 5) and not any(o for _, o in mllib)
+    grown = [(n, s) for n, s in asked if n in boosting.PUBLISHED]
+    # five folds and the whole training part, in the same passes
+    assert sorted(n for n, _ in grown) == sorted(["gbt", "gbt_subsampled"] * 6)
+    assert all(s == boosting.PUBLISHED[n] for n, s in grown)
+    made = training.estimator("forest", 60)
+    assert all(made.getOrDefault(key) == value for key, value in training.FOREST.items())
+    assert boosting.PUBLISHED["gbt"][:3] == (200, 0.05, 4) and boosting.PUBLISHED["gbt_subsampled"][:6] == (300, 0.05, 5, True, 0.8, 0.8)
 
 
 def test_the_best_mean_wins(spark):
@@ -270,7 +284,7 @@ def test_logistic_can_win(spark):
 
 def test_fits_do_not_depend_on_the_order_of_rows(frame):
     """Same probabilities from rows ascending in 2 and descending in 5 partitions, to the noise of adding up."""
-    small = {"logistic": {}, "forest": {"numTrees": 5, "maxDepth": 4}, "gbt": {"maxIter": 4}, "gbt_subsampled": {"maxIter": 4}}
+    small = {"logistic": {}, "forest": {"numTrees": 5, "maxDepth": 4}, "gbt": {"rounds": 4}, "gbt_subsampled": {"rounds": 4}}
     up = cut(frame.repartitionByRange(2, "customer_id").sortWithinPartitions("customer_id"))
     down = cut(frame.repartitionByRange(5, F.desc("customer_id")).sortWithinPartitions(F.desc("customer_id")))
     for name in training.MODELS:
