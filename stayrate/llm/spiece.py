@@ -26,8 +26,10 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -35,6 +37,8 @@ from pyspark.sql.functions import pandas_udf
 BLANK = "▁"
 START = -(1 << 30)
 MEMORY = 400_000
+#: Bytes of text that are cut and gathered at once.
+PORTION = 8 << 20
 
 
 class Pieces:
@@ -52,6 +56,7 @@ class Pieces:
         self.value = {i: b for b, i in enumerate(byte_ids)}
         self.inside = {a + b for p in self.ids for a, b in pairwise(p)}
         crossed = any(pair[1] == BLANK != pair[0] for pair in self.inside)
+        self.whole = crossed
         self.stretch = re.compile(r"(?s).+" if crossed else f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.of_id = dict(zip(self.ids.values(), self.scores.values()))
         self.found = ahocorasick.Automaton()
@@ -60,6 +65,7 @@ class Pieces:
         self.found.make_automaton()
         self.keeps: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.checked: dict[bytes, tuple[tuple[int, ...], bool]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -204,8 +210,25 @@ class Pieces:
             out.extend(ids)
         return out
 
+    def stretch_ids(self, raw: bytes) -> tuple[tuple[int, ...], bool]:
+        """Ids of a stretch of UTF-8 with plain blanks, and whether they decode to it; remembered."""
+        found = self.checked.get(raw)
+        if found is None:
+            text = raw.decode()
+            ids = self._ids(text.replace(" ", BLANK))
+            found = ids, self._plain(ids) == text
+            if len(raw) <= 64:
+                if len(self.checked) >= MEMORY:
+                    self.checked.clear()
+                self.checked[raw] = found
+        return found
+
     def decode(self, ids) -> str:
         """Text of ids; a run of byte pieces is read as UTF-8, what is not UTF-8 becomes U+FFFD. Ids outside fail."""
+        text = self._plain(ids)
+        return text[1:] if self.dummy and text.startswith(" ") else text
+
+    def _plain(self, ids) -> str:
         value, pieces = self.value, self.pieces
         if not self.byte_ids or value.keys().isdisjoint(ids):
             text = "".join([pieces[i] for i in ids])
@@ -221,8 +244,7 @@ class Pieces:
                 out.append(pieces[i])
             out.append(run.decode("utf-8", "replace"))
             text = "".join(out)
-        text = text.replace(BLANK, " ")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return text.replace(BLANK, " ")
 
 
 def encode(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -262,23 +284,71 @@ def round_trips(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                flat, offsets, sizes, exact = array("i"), [0], [], []
-                for text in batch.column(len(fields)).to_pylist():
-                    ids = None if text is None else pieces.encode(text)
-                    if ids is not None:
-                        flat.extend(ids)
-                    offsets.append(len(flat))
-                    sizes.append(None if ids is None else len(ids))
-                    exact.append(None if ids is None else pieces.decode(ids) == text)
-                nulls = pa.array([n is None for n in sizes] + [False]) if None in sizes else None
-                places = pa.array(offsets, pa.int32())
-                if nulls is not None:
-                    places = pa.array([None if n else o for o, n in zip(offsets, nulls.to_pylist())], pa.int32())
-                lists = pa.ListArray.from_arrays(places, pa.array(memoryview(flat) if flat else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(fields)], lists, pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())],
-                    [f.name for f in schema])
+            for batch in _portions(whole, len(fields)):
+                ids, sizes, exact = encoded(pieces, batch.column(len(fields)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], ids, sizes, exact], [f.name for f in schema])
 
     return docs.select(*keep, text_col).mapInArrow(run, schema)
+
+
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about PORTION bytes of text; a longer text has one of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // PORTION
+    starts = np.nonzero(np.diff(part, prepend=-1))[0].tolist()
+    for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
+def encoded(pieces: Pieces, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Ids, their number, and whether decoding gives the text back, of a batch of texts.
+
+    The stretches of all texts are cut at blanks on the bytes of the batch and encoded as a dictionary: each distinct
+    stretch is searched and decoded once, and the texts' ids are gathered by stretch number. A text decodes to what its
+    stretches decode to, as none ends inside a letter's bytes.
+    """
+    texts = texts.cast(pa.large_string())
+    none = texts.is_null().to_numpy(zero_copy_only=False)
+    plain = texts.fill_null("")
+    if pieces.whole or pc.any(pc.match_substring(plain, BLANK)).as_py():
+        return _one_by_one(pieces, texts)
+    empty, blank = (pa.scalar(t, pa.large_string()) for t in ("", " "))
+    marked = plain
+    if pieces.dummy:
+        marked = pc.if_else(pc.equal(plain, empty), empty, pc.binary_join_element_wise(blank, plain, empty))
+    offsets = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset: marked.offset + len(marked) + 1]
+    data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
+    offsets = offsets - offsets[0]
+    first = data == 32
+    first[1:] &= ~first[:-1].copy()
+    first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    starts = np.nonzero(first)[0]
+    ends = np.append(starts, len(data)).astype(np.int64)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]
+    stretches = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    number = stretches.indices.to_numpy()
+    flat, upto, exact = array("i"), [0], []
+    for raw in stretches.dictionary.to_pylist():
+        ids, same = pieces.stretch_ids(raw)
+        flat.extend(ids)
+        upto.append(len(flat))
+        exact.append(same)
+    known, upto, exact = np.array(flat, np.int32), np.array(upto), np.array(exact, bool)
+    sizes = (upto[1:] - upto[:-1])[number]
+    ends_of_ids = np.append(0, np.cumsum(sizes))
+    gather = np.repeat(upto[:-1][number] - ends_of_ids[:-1], sizes) + np.arange(ends_of_ids[-1])
+    stretch_at = np.searchsorted(starts, offsets)  # the first stretch of each text
+    wrong = np.append(0, np.cumsum(~exact[number]))
+    at = ends_of_ids[stretch_at]
+    good = wrong[stretch_at[1:]] == wrong[stretch_at[:-1]]
+    places = pa.array(at.astype(np.int32), mask=np.append(none, False) if none.any() else None)
+    lists = pa.ListArray.from_arrays(places, pa.array(known[gather]))
+    return lists, pa.array(np.diff(at), mask=none), pa.array(good, mask=none)
+
+
+def _one_by_one(pieces: Pieces, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The same text by text, for texts that hold the blank mark, and vocabularies with blanks inside pieces."""
+    every = [(None, None) if t is None else (pieces.encode(t), t) for t in texts.to_pylist()]
+    return (pa.array([None if ids is None else memoryview(ids).tolist() for ids, _ in every], pa.list_(pa.int32())),
+            pa.array([None if ids is None else len(ids) for ids, _ in every], pa.int64()),
+            pa.array([None if ids is None else pieces.decode(ids) == t for ids, t in every], pa.bool_()))
