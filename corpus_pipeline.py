@@ -1,8 +1,8 @@
 """From raw documents to tokens: five stages, each written as Parquet and read again by the next.
 
 1. quality: documents that the additive classifier rejects go;
-2. near copies: one document of each SimHash group stays, the one with the smallest id (repeated rows stay once; of a
-   group without any id the different texts all stay);
+2. near copies: one document of each SimHash group stays, the one with the smallest id (rows without id come last; of
+   rows with the same id the one with the smallest hash of the text);
 3. secrets: every span that the scanner finds is masked by the name of its kind; no document goes;
 4. mixing: each document occurs as often as the balanced mix takes it, so some go and some repeat;
 5. tokens: SentencePiece ids of every document of the mix.
@@ -31,12 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_copies(docs.select("doc_id", "text"), width=3, bits=2)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    rows = packed(docs, "doc_id", "text").select("*", key, F.xxhash64("text").alias("text_hash"))
-    kept = rows.join(first, "key", "left_semi").dropDuplicates(["key", "text_hash"])
-    return unpacked(kept, docs.columns, "doc_id", "text")
+    rows = packed(docs, "doc_id", "text").select(
+        "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64("text").alias("text_hash"))
+    found = simhash.near_copies(rows, width=3, bits=2, keep=("key", "text_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "text_hash")).alias("at"))
+    kept = rows.join(first.select("at.key", "at.text_hash"), ["key", "text_hash"], "left_semi")
+    return unpacked(kept.dropDuplicates(["key", "text_hash"]), docs.columns, "doc_id", "text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeated(docs, mixing.mixed(docs, weights=(5.0, 2.0, 1.0), most=3))
+    return mixing.repeated(docs, mixing.shares(docs, weights=(5.0, 2.0, 1.0), most=3))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,15 @@ touches the documents themselves. Sums are taken over decimals, so that a rerun
 
 Rounding walks the sizes of a source from large to small and carries what a size took too much or too little over to
 the next one, so a source ends within half its smallest documents of its target, as far as whole copies allow. One
-task holds one row per distinct size of a source, never its documents. Copies of one (source, size) are dealt by a hash
-of the id in 64 parts, so equal documents in great number do not meet in one task.
+task holds one row per distinct size of a source, never its documents.
+
+Rows are dealt their copies in groups of one (source, size, id, text hash): the first groups by a hash of these get the
+copies that are left over, in part where a group has more rows than copies are left. Groups come from one aggregate, so
+an id or a text that holds a third of all rows is one number; its result rows are made in pieces of ``PIECE``.
 
 A null text has size 0. Null sources are a source of their own, the last one. Documents of size 0 get one copy and
-take no words. All sizes 0: every target is 0. Rows that repeat an id get the same number of copies.
+take no words. All sizes 0: every target is 0. Repeated ids, null ids and repeated rows are dealt row by row like any
+others: of equal rows some may get a copy more. An unsolved balance is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ from stayrate.llm.common import packed, unpacked
 from stayrate.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-PARTS = 64
+#: Parts in which the groups of one (source, size) are ranked, and rows that are made at once of a group.
+PARTS, PIECE = 1_024, 10_000
+GROUP = ["source_key", "size", "id", "text_hash"]
 EXACT = "decimal(38,9)"
 
 
@@ -100,9 +106,9 @@ def tilts(hist: DataFrame, aims: DataFrame, most: float = 3.0, close: float = 1e
             F.when(open_, high).otherwise(F.col("high")).alias("high"),
             F.coalesce(open_, F.lit(False)).alias("open")))
         if not state.where("open").limit(1).count():
-            break
+            return state.select("source_key", "source_size", "target", "mean", "tilt")
         state = state.drop("open")
-    return state.select("source_key", "source_size", "target", "mean", "tilt")
+    raise RuntimeError(f"no tilt within {close} of every target after {rounds} rounds")
 
 
 def _rounded(most: int):
@@ -125,14 +131,23 @@ def _rounded(most: int):
     return walk
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id",
-          text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, source_key, size, source_size, target, rate, copies, taken."""
-    part = F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")
-    rows = cut(docs.select(
-        F.col(id_col), F.col(source_col).cast("string").alias("source"), _keyed(F.col(source_col)).alias("source_key"),
-        words(F.col(text_col)).alias("size"), part.alias("part")))
-    cells = cut(rows.groupBy("source_key", "size", "part").agg(F.count("*").alias("n"), F.first("source").alias("source")))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with the columns of GROUP and ``source`` beside id, text, source and a packed row."""
+    return packed(docs, id_col, text_col, source_col).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"),
+        F.col(source_col).alias("given_source"), "row", _keyed(F.col(source_col)).alias("source_key"),
+        words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def shares(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id",
+           text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per GROUP: rows, each (copies of every row), more (rows with one on top), source_size, target, rate."""
+    groups = _grouped(docs, id_col, text_col, source_col).groupBy(*GROUP).agg(
+        F.count("*").alias("rows"), F.first("source").alias("source"))
+    part = F.pmod(F.xxhash64("id", "text_hash"), F.lit(PARTS)).cast("int")
+    groups = cut(groups.withColumn("part", part))
+    cells = cut(groups.groupBy("source_key", "size", "part").agg(
+        F.sum("rows").alias("n"), F.first("source").alias("source")))
     hist = cut(cells.groupBy("source_key", "size").agg(F.sum("n").alias("n")))
     aims = targets(cells.select("source_key", "source", (F.col("size") * F.col("n")).alias("size")), weights, most)
     solved = tilts(hist, aims, most)
@@ -141,26 +156,54 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: i
     rated = hist.join(solved, "source_key").withColumn("rate", rate)
     dealt = rated.select("source_key", "size", "n", "rate").groupBy("source_key").applyInPandas(
         _rounded(most), "source_key string, size long, each long, more long")
-    before = Window.partitionBy("source_key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shares = cells.join(dealt, ["source_key", "size"]).select(
-        "source_key", "size", "part", "each",
-        F.greatest(F.lit(0), F.least("n", F.col("more") - F.coalesce(F.sum("n").over(before), F.lit(0)))).alias("more"))
-    shares = shares.join(rated.select("source_key", "size", "source_size", "target", "rate"), ["source_key", "size"])
-    order = Window.partitionBy("source_key", "size", "part").orderBy(F.xxhash64(F.col(id_col), F.lit(1)), id_col)
-    ranked = rows.withColumn("place", F.rank().over(order))
-    copies = F.col("each") + (F.col("place") <= F.col("more")).cast("long")
-    return ranked.join(shares, ["source_key", "size", "part"]).select(
-        id_col, "source_key", "size", "source_size", "target", "rate", copies.alias("copies")
+    upto = Window.partitionBy("source_key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(0), F.col("more") - F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    parts = cells.join(dealt, ["source_key", "size"]).select("source_key", "size", "part", "each", left.alias("left"))
+    parts = parts.join(rated.select("source_key", "size", "source_size", "target", "rate"), ["source_key", "size"])
+    order = Window.partitionBy("source_key", "size", "part").orderBy(
+        F.xxhash64("id", "text_hash", F.lit(1)), "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = groups.drop("source").withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least("rows", F.col("left") - F.col("before")))
+    return ranked.join(parts, ["source_key", "size", "part"]).select(
+        *GROUP, "rows", "each", more.cast("long").alias("more"), "source_size", "target", "rate")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id",
+          text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, source_key, size, source_size, target, rate, copies, taken."""
+    dealt = shares(docs, weights, most, id_col, text_col, source_col)
+    pieces = dealt.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / PIECE))))
+    first = F.col("piece") * PIECE
+    each_row = F.sequence(first, F.least("rows", first + PIECE) - 1)
+    rows = pieces.repartition(*[F.col(c) for c in ("id", "text_hash", "piece")]).withColumn("place", F.explode(each_row))
+    copies = F.col("each") + (F.col("place") < F.col("more")).cast("long")
+    return rows.select(
+        F.col("id").alias(id_col), "source_key", "size", "source_size", "target", "rate", copies.alias("copies")
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def repeated(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def repeated(docs: DataFrame, dealt: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source") -> DataFrame:
-    """``docs`` with every row as often as ``decided`` (from ``mixed``) says; the same columns."""
-    rows = packed(docs, id_col, text_col, source_col)
-    copies = decided.select(F.col(id_col).alias("_id"), F.col("source_key").alias("_source"), F.col("size").alias("_size"),
-                            F.col("copies").cast("int").alias("_copies")).distinct().where("_copies > 0")
-    same = (F.col(id_col).eqNullSafe(F.col("_id")) & (_keyed(F.col(source_col)) == F.col("_source"))
-            & (words(F.col(text_col)) == F.col("_size")))
-    joined = rows.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return unpacked(joined, docs.columns, id_col, text_col, source_col)
+    """``docs`` with every row as often as ``dealt`` (from ``shares``) says; the same columns.
+
+    Equal rows are one row with a number; rows that share a group but differ elsewhere take the extra copies in the order
+    of a hash of the row.
+    """
+    rows = _grouped(docs, id_col, text_col, source_col).withColumn("row_hash", F.xxhash64("row"))
+    key = [*GROUP, "row_hash"]
+    kinds = rows.groupBy(*key).agg(F.count("*").alias("same"))
+    within = Window.partitionBy(*GROUP).orderBy("row_hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("before", F.coalesce(F.sum("same").over(within), F.lit(0)))
+    wanted = dealt.select(*[F.col(c).alias(f"_{c}") for c in GROUP], "each", "more")
+    alike = F.lit(True)
+    for c in GROUP:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    extra = F.greatest(F.lit(0), F.least("same", F.col("more") - F.col("before")))
+    copies = placed.join(wanted, alike).select(
+        *[F.col(c).alias(f"_{c}") for c in key], (F.col("same") * F.col("each") + extra).alias("_copies"))
+    alike = alike & (F.col("row_hash") == F.col("_row_hash"))
+    one = rows.dropDuplicates(key).join(copies.where("_copies > 0"), alike)
+    made = one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    named = made.select(F.col("id").alias(id_col), F.col("text").alias(text_col),
+                        F.col("given_source").alias(source_col), "row")
+    return unpacked(named, docs.columns, id_col, text_col, source_col)

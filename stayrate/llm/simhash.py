@@ -51,14 +51,15 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * counts > total).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``id_col`` and ``fp`` (long), one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``id_col``, ``keep`` and ``fp`` (long), one row per row of ``docs``."""
 
     @pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(text, width) for text in texts], dtype="int64")
 
-    return docs.select(id_col, of(F.col(text_col)).alias("fp"))
+    return docs.select(id_col, *keep, of(F.col(text_col)).alias("fp"))
 
 
 def _blocks(bits: int) -> list[list[int]]:
@@ -153,13 +154,14 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 512) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, width: int = 3, bits: int = 2, crowd: int = 512, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` (smallest id reachable over links), one row per row of ``docs``."""
-    marked = cut(fingerprints(docs, width, id_col, text_col))
+                text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``keep``, ``fp``, ``root`` (smallest fingerprint reachable over links) and ``component_id`` (smallest
+    id reachable), one row per row of ``docs``."""
+    marked = cut(fingerprints(docs, width, id_col, text_col, keep))
     first = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")))
     roots = components(links(first.select("fp"), bits, crowd))
     labelled = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+    classes = labelled.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp").select(id_col, *keep, "fp", "root", "component_id")

@@ -61,7 +61,7 @@ def test_odd_rows(spark):
     assert len(found) == len(rows)
     check(found, {r[0]: (len((r[1] or "").encode().split()), r[3]) for r in rows}, near=0.02)
     assert [r["copies"] for r in found if r["size"] == 0] == [1, 1]
-    out = mixing.repeated(docs, mixing.mixed(docs))
+    out = mixing.repeated(docs, mixing.shares(docs))
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in found)
 
 
@@ -81,8 +81,36 @@ def test_repeated_rows_null_ids_and_empty(spark):
     docs = documents(spark, rows)
     found = mixing.mixed(docs).collect()
     assert len(found) == 5
-    assert len({r["copies"] for r in found if r["doc_id"] == 1}) == 1
-    assert mixing.repeated(docs, mixing.mixed(docs)).count() == sum(r["copies"] for r in found)
+    assert mixing.repeated(docs, mixing.shares(docs)).count() == sum(r["copies"] for r in found)
     assert mixing.mixed(documents(spark, [])).count() == 0
     nothing = mixing.mixed(documents(spark, [(1, "", "en", "x"), (2, None, "en", "y")])).collect()
     assert [(r["target"], r["taken"]) for r in nothing] == [(0.0, 0), (0.0, 0)]
+
+
+@pytest.mark.parametrize("ids", ["one id", "no id", "one row", "other columns"])
+def test_repeated_and_null_ids_come_near_their_targets(spark, monkeypatch, ids):
+    """A source of 500 rows that share an id, or have none, beside two of plain rows; within a document of the target."""
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    many = {"one id": lambda i: (7, "w " * (i % 9 + 1)), "no id": lambda i: (None, "w " * (i % 9 + 1)),
+            "one row": lambda i: (7, "just the same"), "other columns": lambda i: (7, "just the same")}[ids]
+    rows = [(*many(i), "en" if ids != "other columns" else f"l{i % 7}", "b") for i in range(500)]
+    rows += [(1_000 + i, "v " * (i % 5 + 3), "en", "ac"[i % 2]) for i in range(1_500)]
+    docs = documents(spark, rows)
+    found = mixing.mixed(docs).collect()
+    assert len(found) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[r["source_key"]] += r["taken"]
+        target[r["source_key"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 9 for s in target), (taken, target)
+    out = mixing.repeated(docs, mixing.shares(docs)).collect()
+    assert sum(r["source"] == "b" for r in out) == sum(r["copies"] for r in found if r["source_key"] == "=b")
+    assert sum(len(r["text"].split()) for r in out if r["source"] == "b") == taken["=b"]
+    assert sorted(map(tuple, mixing.repeated(docs, mixing.shares(docs.repartition(5))).collect()), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_an_unsolved_balance_is_an_error(spark):
+    hist = spark.createDataFrame([("=a", 3, 10), ("=a", 5, 10)], "source_key string, size long, n long")
+    aims = spark.createDataFrame([("=a", 80, 100.0)], "source_key string, source_size long, target double")
+    with pytest.raises(RuntimeError):
+        mixing.tilts(hist, aims, rounds=1)

@@ -74,3 +74,18 @@ def test_odd_and_empty_tables(spark, tmp_path):
     assert {r["doc_id"] for r in found} <= {1, 2, 3, 4, 5, None} and found
     empty = store(spark, tmp_path / "none", documents=docs.limit(0), labels=labels)
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("rows, kept", [
+    ([(1, "A"), (None, "A"), (None, "B")], [(1, "A"), (None, "B")]), ([(0, "A"), (1, "A"), (1, "B")], [(0, "A"), (1, "B")]),
+    ([(None, "A"), (None, "A"), (None, "a")], [(None, "A")]), ([(2, "A"), (2, "a"), (2, "A")], [(2, "A")]),
+    ([(None, "B"), (None, "C"), (5, "B")], [(5, "B"), (None, "C")])])
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, rows, kept):
+    """A and a have one fingerprint; the row that stays has the smallest id, then the smallest hash of its text."""
+    words = {"A": "one two three four five six seven", "B": "other things are said in this one here",
+             "C": "and a third text that is like none of them", "a": "ONE two three four five six seven"}
+    docs = documents(spark, [(i, words[t]) for i, t in rows])
+    found = corpus_pipeline.near_copies(spark, docs, "").collect()
+    same = {words["a"]: words["A"]}
+    assert sorted(((r["doc_id"], same.get(r["text"], r["text"])) for r in found), key=str) == sorted(
+        ((i, words[t]) for i, t in kept), key=str)
