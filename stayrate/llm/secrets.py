@@ -35,6 +35,8 @@ class Rule:
     version: int = 1
 
 
+_BASE64 = "[A-Za-z0-9+/]"
+
 # The base rules as given, then public formats of well-known credentials.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -44,7 +46,9 @@ BASE = (
 MORE = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # with its body: up to the END line, over single hyphens of header lines; without one, the base64 lines that follow
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,12}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+                rf"|(?:[ \t]*[\r\n]+[ \t]*{_BASE64 * 16}+={{0,2}}){{0,200}}(?:[ \t]*[\r\n]+[ \t]*{_BASE64}+={{1,2}})?)", version=2),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
 )
