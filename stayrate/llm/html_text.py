@@ -9,7 +9,7 @@ so an ancestor and a descendant cannot contradict one another.
 
 Training needs no labelled pages: on at most ``sample_pages`` pages that mark up their article, wherever in the table they are, the article is known.
 Each is also rebuilt a few times with other markup around the same texts (menus, sidebars, notices, adverts, forms,
-reader comments, plain containers), which makes the labels of the rebuilt pages known as well.
+reader comments, plain containers) and with tables, lists, definitions, details, figures and code inside, which makes the labels of the rebuilt pages known as well.
 
 Null and empty pages, and pages without an article, give the empty text. Character references are decoded, white space
 within a block becomes one blank, blocks are joined by one blank. Broken markup never fails: open elements end where
@@ -52,7 +52,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "td", "blockquote",
-        "pre", "figure", "nav", "header", "footer", "aside", "form")
+        "pre", "figure", "nav", "header", "footer", "aside", "form", "tr", "th", "dl", "dt", "dd", "details", "summary",
+        "caption", "figcaption")
 TOKENS = {
     "advert": "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored",
     "comment": "comment comments commentlist disqus discussion reply replies respond response responses feedback reader",
@@ -68,7 +69,7 @@ TOKENS = {
 }
 GROUP = {token: i for i, words in enumerate(TOKENS.values()) for token in words.split()}
 TAG = {tag: i for i, tag in enumerate(TAGS)}
-NUMBERS = 12
+NUMBERS = 15
 WIDTH = NUMBERS + 2 * len(TAGS) + len(TOKENS)
 
 _TOKEN = re.compile(
@@ -233,11 +234,16 @@ def features(pages: list[Page]) -> np.ndarray:
     whole = np.maximum(np.repeat([p.total for p in pages], n), 1)
     share = links / np.maximum(size, 1)
     siblings = np.maximum(children[up], 1)
+    # text of the paragraphs and headings that stand directly in a node: what kind of company its other children are
+    prose = np.isin(tag, [TAG[t] for t in ("p", "h1", "h2", "h3")]) & (rows != first)
+    company = np.bincount(up, weights=np.where(prose, size, 0), minlength=len(rows))
+    over = up[up]
     out = np.zeros((len(rows), WIDTH))
     out[:, :NUMBERS] = np.stack([
         np.log1p(size), share, np.log1p(inner), np.log1p(size / inner), depth, marks / np.maximum(size, 1),
         chars / np.maximum(size, 1), size / whole, index / siblings,
-        np.log1p(siblings), share[up], np.log1p(size[up] / inner[up])], axis=1)
+        np.log1p(siblings), share[up], np.log1p(size[up] / inner[up]), np.log1p(company[up]),
+        company[up] / np.maximum(size[up], 1), company[over] / np.maximum(size[over], 1)], axis=1)
     known = tag >= 0
     out[rows[known], NUMBERS + tag[known]] = 1
     for bit in range(len(TAGS) + len(TOKENS)):
@@ -328,6 +334,31 @@ def _name(rng: random.Random, group: str) -> str:
     return f'{rng.choice(("class", "id", "class"))}="{rng.choice(("", "page-", "site-", "c-"))}{words}"'
 
 
+def figured(kind: str, words, rng: random.Random) -> str:
+    """A block of an article that is no paragraph, of texts that ``words(most)`` makes up."""
+    some = lambda low, high, make: "".join(make() for _ in range(rng.randint(low, high)))
+    cell = lambda tag, most: f"<{tag}>{words(most)}</{tag}>"
+    most = rng.choice((2, 6, 20))
+    if kind == "table":
+        width, head = rng.randint(2, 4), rng.random()
+        row = lambda tag: f"<tr>{''.join(cell(tag, most) for _ in range(width))}</tr>"
+        rows = (row("th") if head < 0.6 else "") + some(1, 7, lambda: row("td"))
+        body = f"<thead>{row('th')}</thead><tbody>{rows}</tbody>" if head < 0.2 else rows
+        return f"<table>{cell('caption', 6) if rng.random() < 0.3 else ''}{body}</table>"
+    if kind in ("ul", "ol"):
+        return f"<{kind}>{some(2, 8, lambda: cell('li', most))}</{kind}>"
+    if kind == "dl":
+        return f"<dl>{some(1, 5, lambda: cell('dt', 3) + cell('dd', 20))}</dl>"
+    if kind == "details":
+        return f"<details>{cell('summary', 5)}{some(1, 3, lambda: cell('p', 40))}</details>"
+    if kind == "figure":
+        return f'<figure><img src="x.png" alt="">{cell("figcaption", 12)}</figure>'
+    return f"<pre>{'<code>' * (rng.random() < 0.5)}{some(1, 6, lambda: words(6) + chr(10))}</pre>"
+
+
+FIGURED = ("table", "table", "ul", "ul", "ol", "dl", "details", "figure", "pre")
+
+
 def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[str, str]:
     """A page with the given article and boilerplate made of other texts; the article marked by the tag ``article``.
 
@@ -360,10 +391,12 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[s
     busy = rng.choice((0.0, 0.2, 0.5, 0.8))
     pick = lambda *kinds: "".join(part(k) for k in kinds if rng.random() < busy)
     before, after = pick("notice", "head", "menu", "advert"), pick("related", "side", "share", "form")
-    late, body = pick("comment", "foot"), []
+    late, body, plenty = pick("comment", "foot"), [], rng.choice((0.0, 0.1, 0.3))
     for i, block in enumerate(blocks):
         tag = "h1" if not i and len(block) < 200 else rng.choice(("p", "p", "p", "p", "div", "li", "blockquote", "h2"))
         body.append(f"<{tag}>{html.escape(block)}</{tag}>")
+        if rng.random() < plenty:
+            body.append(figured(rng.choice(FIGURED), short, rng))
         if rng.random() < 0.1 * busy:
             body.append(part(rng.choice(("advert", "related", "share", "notice", "form"))))
     if rng.random() < 0.5 * busy:
@@ -377,7 +410,7 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> tuple[s
     return outer.replace("{}", other), outer.replace("{}", marked)
 
 
-def train(pages: DataFrame, sample_pages: int = 250, variants: int = 3, html_col: str = "html") -> gbt.Boosted:
+def train(pages: DataFrame, sample_pages: int = 250, variants: int = 4, html_col: str = "html") -> gbt.Boosted:
     """Fit on at most ``sample_pages`` pages, those with the smallest hash of their html, and their rebuilt variants.
 
     Only pages with an article or main tag are drawn. A table with pages but none of these is an error; one without

@@ -98,6 +98,45 @@ def test_text_ends_the_head():
     assert html_text.text_of(page, np.ones(len(page.tag), dtype=bool)) == "Plain text."
 
 
+FIGURES = {
+    "two-row table": ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1990</td><td>12</td></tr></table>", "Year Sum 1990 12"),
+    "five-row table": ("<table>" + "".join(f"<tr><td>Row {i}</td><td>{i * i}</td><td>ok</td></tr>" for i in range(5)) + "</table>",
+                       " ".join(f"Row {i} {i * i} ok" for i in range(5))),
+    "table with a body": ("<table><caption>Sums</caption><thead><tr><th>Name</th></tr></thead><tbody><tr><td>Some words here</td></tr>"
+                          "</tbody></table>", "Sums Name Some words here"),
+    "two items": ("<ul><li>First thing</li><li>Second</li></ul>", "First thing Second"),
+    "six items": ("<ol>" + "".join(f"<li>Step {i} of the plan</li>" for i in range(6)) + "</ol>",
+                  " ".join(f"Step {i} of the plan" for i in range(6))),
+    "details": ("<details><summary>More on this</summary><p>There is more to say about this here.</p></details>",
+                "More on this There is more to say about this here."),
+    "definitions": ("<dl><dt>Term</dt><dd>What the term is said to mean.</dd><dt>Other</dt><dd>Another one.</dd></dl>",
+                    "Term What the term is said to mean. Other Another one."),
+    "figure": ("<figure><img src=x><figcaption>A picture of it all</figcaption></figure>", "A picture of it all"),
+    "code": ("<pre><code>for i in x:\n  print(i)</code></pre>", "for i in x: print(i)"),
+}
+WRAPPERS = [
+    "<body>{nav}<article>{a}</article><footer>&copy; us</footer></body>", "<body>{nav}<main>{a}</main>{side}</body>",
+    "<body><div class='header'>Site</div><div class='content'>{a}</div>{side}</body>", "<body>{nav}<div id=main-content>{a}</div></body>",
+    "<body>{nav}<main>{a}<section class='comments'><h3>Comments</h3><div class='comment'><p>I disagree with it.</p></div></section>"
+    "</main></body>", "<body><section>{a}</section>{side}<footer>&copy; us</footer></body>",
+]
+SIDE = "<aside class='sidebar'><h3>Popular</h3><ul><li><a href='/1'>One thing</a></li><li><a href='/2'>Other</a></li></ul></aside>"
+
+
+@pytest.mark.parametrize("kind", FIGURES)
+def test_blocks_inside_the_article_stay(model, kind):
+    """Whole pages in six surroundings, with the block after one, three and six paragraphs."""
+    block, said = FIGURES[kind]
+    paragraphs, whole = re.findall("<p>.*?</p>", STORY), 0
+    for wrapper in WRAPPERS:
+        for n in (1, 3, 6):
+            shown = "".join(paragraphs[:n]) + block + "".join(paragraphs[n:][:2])
+            want = " ".join([*(p[3:-4] for p in paragraphs[:n]), said, *(p[3:-4] for p in paragraphs[n:][:2])])
+            nav = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>"
+            whole += html_text.extract_batch([wrapper.format(a=shown, nav=nav, side=SIDE)], model) == [want]
+    assert whole >= 16, whole
+
+
 @pytest.mark.parametrize("source, want", CASES)
 def test_cases(model, source, want):
     assert html_text.extract_batch([source], model) == [want]
@@ -145,3 +184,25 @@ def test_boosting_learns_and_repeats():
     first, second = gbt.fit(x, y), gbt.fit(x, y)
     assert ((first.margin(x) > 0) == y).mean() > 0.97
     assert (first.margin(x) == second.margin(x)).all()
+
+
+def test_decoding_is_the_best_of_all_labellings(model):
+    """Every in, out or mixed labelling of small trees, priced by the definition."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for source in ("<div>a<p>bb</p><p>c</p></div>", "<div><ul><li>aa<li>b</ul>c</div>d", "<p>a<p>b<div>c<div>d</div></div>"):
+        page = html_text.Page(source)
+        n = len(page.tag)
+        weight = 0.1 + np.log1p(np.array(page.chars))
+        for _ in range(20):
+            margin = rng.normal(size=n) * 3
+            yes, no = -np.logaddexp(0, -margin) * weight, -np.logaddexp(0, margin) * weight
+            best = -np.inf
+            for states in product((-1, 0, 1), repeat=n):
+                if all(page.parent[i] < 0 or not states[page.parent[i]] or states[i] == states[page.parent[i]] for i in range(n)):
+                    value = sum(yes[i] if s == 1 else no[i] if s == -1 else max(yes[i], no[i]) - html_text.MIXED for i, s in enumerate(states))
+                    if value > best:
+                        best, want = value, [s == 1 or s == 0 and yes[i] > no[i] for i, s in enumerate(states)]
+            got = html_text.decode(page, margin)
+            assert [bool(g) for g, c in zip(got, page.chars) if c] == [w for w, c in zip(want, page.chars) if c]
