@@ -1,6 +1,7 @@
 """Quality classifier: held-out accuracy, additivity, odd tables."""
 
 import numpy as np
+import pytest
 from helpers import clashing, documents
 from stayrate.llm import gam
 from stayrate.llm.queries import QUERIES
@@ -59,3 +60,44 @@ def test_sample_is_bounded(spark):
     docs = documents(spark, [(i, f"word {i}") for i in range(50)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     assert gam.train(docs, labels, sample_rows=0).base == 0.0
+
+
+def test_features_equal_plain_counts():
+    """Every feature by loops over letters, words and lines."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    pieces = ["word", "Word", "WORD", "12", "x#", "end.", "a|b", "!", "é", "\n", "\n\n", " ", "  ", "same same", "?"]
+    for _ in range(200):
+        text = " ".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25)))
+        raw, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x.strip()]
+        if not words:
+            continue
+        count = lambda test: sum(1 for b in raw if test(b))
+        upper, lower = count(lambda b: 65 <= b <= 90), count(lambda b: 97 <= b <= 122)
+        blank = count(lambda b: b in b" \t\n\x0b\x0c\r")
+        n, size = len(words), len(raw)
+        marks = b"#$%&*+/<=>@\\^_`{}~|[]"
+        want = (
+            math.log1p(n), (size - blank) / n, max(map(len, words)), upper / max(1, upper + lower),
+            sum(w.upper() == w and w.lower() != w for w in words) / n, count(lambda b: 48 <= b <= 57) / (size - blank),
+            count(lambda b: b in marks) / (size - blank), count(lambda b: b in b".,;:?") / n, count(lambda b: b == 33) / n,
+            count(lambda b: b == 124) / n, blank / size, count(lambda b: b > 127) / size, len(set(words)) / n,
+            max(words.count(w) for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+            len(set(lines)) / len(lines), n / len(lines), sum(w[-1] in marks + b"!" for w in words) / n)
+        assert gam.features(text) == pytest.approx(want)
+
+
+def test_a_step_takes_the_best_of_all_cuts():
+    """Gains of all cuts of a row of bins, and all two-level trees over a pair's first cut, by plain sums."""
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        value = lambda part: g[part].sum() ** 2 / (h[part].sum() + 2.0)
+        gains = [value(slice(0, c)) + value(slice(c, None)) - value(slice(None)) for c in range(1, 9)]
+        gain, at = gam._split(g, h, 2.0)
+        assert (gain, at) == (pytest.approx(max(gains)), int(np.argmax(gains)) + 1) if max(gains) > 1e-9 else at == 0
+        leaves = gam._tree(g, h, 1, 2.0)
+        if at:
+            assert leaves[0] == pytest.approx(g[:at].sum() / (h[:at].sum() + 2.0)) and leaves[-1] == pytest.approx(g[at:].sum() / (h[at:].sum() + 2.0))

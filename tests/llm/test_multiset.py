@@ -93,3 +93,23 @@ def test_same_next_for_any_number_of_ranges(spark, tmp_path):
                  for n in (1, 50))
     assert one == many == sorted((i, (i - 1) % 101) for i in range(101))
     assert store(spark, tmp_path, documents=docs)
+
+
+def test_vectors_equal_plain_sums_of_hash_bytes(spark):
+    """Every lane from xxhash in Python: one byte of a hash per paragraph and seed, less 128, modulo 2**24."""
+    import re
+
+    import xxhash
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["One two.", "Three!", "é 🙂?", "\nfour", " five"]) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    for text, got in zip(texts, prints(spark, texts)):
+        lanes = [0] * multiset.LANES
+        for part in re.split(r"[\r\n]+|(?<=[.!?])\s+", text):
+            part = part.strip(" ")
+            for seed in range(multiset.LANES // multiset.PER_HASH) if part else []:
+                start = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+                h = xxhash.xxh64_intdigest(part.encode(), start)
+                for byte in range(multiset.PER_HASH):
+                    lanes[seed * multiset.PER_HASH + byte] += (h >> 8 * byte & 255) - 128
+        assert got == [x % multiset.MODULUS for x in lanes]
