@@ -51,10 +51,15 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def stable_unit(seed: int, *parts: Column) -> Column:
-    """Uniform number in [0, 1) from an md5 of the parts: the same on every retry and partitioning."""
+def stable_bits(seed: int, *parts: Column) -> Column:
+    """52 uniform bits from an md5 of the parts: the same on every retry and partitioning."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def stable_unit(seed: int, *parts: Column) -> Column:
+    """Uniform number in [0, 1) from the same bits."""
+    return stable_bits(seed, *parts) / F.lit(float(1 << 52))
 
 
 def magnitude_bucket(value: Column, steps_per_octave: int = 256, unit: float = 1e6) -> Column:

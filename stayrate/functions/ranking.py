@@ -6,13 +6,13 @@ whose number is bounded by the bucketing rule, carry the offsets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import magnitude_bucket, stable_unit
+from stayrate.functions.columns import magnitude_bucket, stable_bits, stable_unit
 
 
 def add_rank(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
@@ -36,6 +36,57 @@ def add_hash_rank(df: DataFrame, groups: Sequence[str], key: str, seed: int, nam
     return add_rank(hashed, groups, F.floor(F.col("_u") * buckets).cast("int"), ["_u", key], name).drop("_u")
 
 
+def hash_cuts(df: DataFrame, group: str, key: str, seed: int, places: Mapping[object, Sequence[int]]) -> DataFrame:
+    """(group, place, _cut_bits, _cut_key): the row at each wanted place of its group, in the order of a stable hash.
+
+    A histogram of the leading bits locates each place; its bin alone is counted again by further bits, until it holds few
+    rows, which are sorted. Histograms add up in any order, no rows are ranked, and what the driver gets is bounded by the
+    number of places. ``df`` is passed over two to five times and must be stored.
+    """
+    spark, few, step = df.sparkSession, 4096, 12
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), stable_bits(seed, F.col(key)).alias("_h"))
+    open_ = [(g, p, 0, p) for g, wanted in places.items() for p in wanted if p > 0]  # group, place, prefix, rows from it on
+    shift, found = 52, []
+    schema = f"_g {types[group]}, _prefix bigint"
+    while open_:
+        below = max(0, shift - step)
+        bins = spark.createDataFrame(sorted({(g, prefix) for g, _, prefix, _ in open_}, key=str), schema)
+        prefix = F.shiftright("_h", shift).alias("_prefix")
+        inside = rows.select("*", prefix).join(F.broadcast(bins), ["_g", "_prefix"])  # one row per place at most
+        counts = inside.groupBy("_g", "_prefix", F.shiftright("_h", below).alias("_bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        by_bin: dict[tuple, list] = {}
+        for r in sorted(counts, key=lambda r: r["_bin"]):
+            by_bin.setdefault((r["_g"], r["_prefix"]), []).append((r["_bin"], r["n"]))
+        narrowed, ready = [], []
+        for g, place, prefix_, need in open_:
+            for number, n in by_bin[g, prefix_]:
+                if need <= n:
+                    (ready if n <= few or not below else narrowed).append((g, place, number, need))
+                    break
+                need -= n
+        if ready:
+            bins = spark.createDataFrame(sorted({(g, number) for g, _, number, _ in ready}, key=str), schema)
+            prefix = F.shiftright("_h", below).alias("_prefix")
+            last = rows.select("*", prefix).join(F.broadcast(bins), ["_g", "_prefix"]).groupBy("_g", "_prefix", "_h", "_k").agg(
+                F.count(F.lit(1)).alias("n")).collect()
+            for g, place, number, need in ready:
+                for h, k, n in sorted((r["_h"], r["_k"], r["n"]) for r in last if r["_g"] == g and r["_prefix"] == number):
+                    need -= n
+                    if need <= 0:
+                        found.append((g, place, h, k))
+                        break
+        open_, shift = narrowed, below
+    return spark.createDataFrame(found, f"{group} {types[group]}, place bigint, _cut_bits bigint, _cut_key {types[key]}")
+
+
+def upto_cut(key: str, seed: int) -> Column:
+    """Whether a row stands at a cut of ``hash_cuts`` or before it; false without a cut."""
+    h = stable_bits(seed, F.col(key))
+    at = (h < F.col("_cut_bits")) | ((h == F.col("_cut_bits")) & (F.col(key) <= F.col("_cut_key")))
+    return F.coalesce(at, F.lit(False))
+
+
 def exact_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
     """One row with the linearly interpolated quantile of a fixed-point column.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import stable_unit
-from stayrate.functions.ranking import add_hash_rank
+from stayrate.functions.columns import stable_bits, stable_unit
+from stayrate.functions.ranking import hash_cuts, upto_cut
 from stayrate.operators.neighbours import CELL_ROWS, nearest
 from stayrate.session import cut
 
@@ -16,16 +17,26 @@ SEED = 42
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Adds in_train. In every class exactly round(share * n) rows are held out, those of lowest hash."""
-    quota = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_share).cast("bigint").alias("_quota"))
-    ranked = add_hash_rank(df, [label], key, seed, "_rank")
-    return ranked.join(quota, label).withColumn("in_train", F.col("_rank") > F.col("_quota")).drop("_rank", "_quota")
+    """Adds in_train. In every class exactly round(share * n) rows are held out, those of lowest hash. ``df`` is stored."""
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = hash_cuts(df, label, key, seed, {c: [math.floor(n * test_share + 0.5)] for c, n in sizes.items()})
+    marked = df.join(F.broadcast(cuts.drop("place")), label, "left")  # one row per class
+    return marked.withColumn("in_train", ~upto_cut(key, seed)).select(*df.columns, "in_train")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int, seed: int = SEED) -> DataFrame:
-    """Adds fold 0..folds-1; class counts differ by at most one between folds."""
-    ranked = add_hash_rank(df, [label], key, seed + 1, "_rank")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
+    """Adds fold 0..folds-1; class counts differ by at most one between folds. ``df`` is stored."""
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = {c: [n * (i + 1) // folds for i in range(folds - 1)] for c, n in sizes.items()}
+    cuts = hash_cuts(df, label, key, seed + 1, ends).groupBy(label).agg(
+        F.collect_list(F.struct("_cut_bits", "_cut_key")).alias("_cuts"))
+    h = stable_bits(seed + 1, F.col(key))
+    after = F.filter("_cuts", lambda c: (h > c["_cut_bits"]) | ((h == c["_cut_bits"]) & (F.col(key) > c["_cut_key"])))
+    # a class with fewer rows than folds has places before its first row
+    before = F.create_map(*[F.lit(x) for c, e in ends.items() for x in (c, sum(p == 0 for p in e))]) if ends else F.lit(None)
+    marked = df.join(F.broadcast(cuts), label, "left")  # one row per class
+    fold = before[F.col(label)] + F.coalesce(F.size(after), F.lit(0)) if ends else F.lit(0)
+    return marked.withColumn("fold", fold.cast("int")).select(*df.columns, "fold")
 
 
 def smote_groups(
@@ -55,8 +66,9 @@ def smote_groups(
     scaled = points.join(F.broadcast(spreads), "grp").select(  # one row per group
         "grp", "key", F.zip_with("x", "spread", lambda x, s: x / s).alias("z"))
     near = nearest(scaled, k, cell_rows)
-    ranked = add_hash_rank(points, ["grp"], "key", seed + 3, "_rank")
-    copied = ranked.withColumn("_copies", F.col("each") + F.when(F.col("_rank") <= F.col("extra"), 1).otherwise(0))
+    cuts = hash_cuts(points, "grp", "key", seed + 3, {g: [extra] for g, _, _, extra in plans})
+    marked = points.join(F.broadcast(cuts.drop("place")), "grp", "left")  # one row per group
+    copied = marked.withColumn("_copies", F.col("each") + upto_cut("key", seed + 3).cast("int"))
     copies = copied.where(F.col("_copies") > 0).join(near, ["grp", "key"]).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     pick = F.floor(stable_unit(seed + 4, F.col("key"), F.col("_copy")) * F.size("near")).cast("int")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stayrate.operators import balancing, boosting, engineering, training, treeshap
 from stayrate.plans.frames import NUMERIC, customer_frame
-from stayrate.session import exists, named_path, stamp
+from stayrate.session import cut, exists, named_path, stamp
 from stayrate.sources.tables import Tables
 
 
@@ -47,7 +47,7 @@ class ModelRun:
     def matrix(self) -> DataFrame:
         """Feature matrix with in_train."""
         def make() -> DataFrame:
-            m = engineering.matrix(self.frame, NUMERIC, self.industries, complete=True)
+            m = cut(engineering.matrix(self.frame, NUMERIC, self.industries, complete=True))
             return balancing.stratified_split(m, training.KEY, training.LABEL)
 
         return self._kept("matrix", make)

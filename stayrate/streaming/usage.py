@@ -1,25 +1,36 @@
 """Usage signals kept current from an event stream; no row is lost to its order of arrival.
 
-Every micro-batch reduces its new events to partial aggregates and writes them to a folder of its own, named by the
-batch, so a repeated batch replaces itself. Readers add the partials up, so an event counts whenever it arrives: there
-is no watermark behind which rows are dropped. An event id that arrives again for the same day is counted once; the ids
-seen so far are kept by day, and a batch looks only at its own days. An event without an id cannot be told to be a
-repeat: every such row counts.
+Repeats of an event are dropped by a state store behind a watermark, so the state holds a day's ids and not all of them.
+What the state store does not let through, repeats and rows behind the watermark, is looked up in a ledger of ids, in the
+folders of its own days only: rows that are new there are merged and counted as late. Every micro-batch writes partial
+aggregates to a folder named by the batch, so a repeated batch replaces itself, and readers add the partials up. An event
+without an id cannot be told to be a repeat: every such row counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stayrate.functions.columns import fixed
-from stayrate.session import scratch_path
+from stayrate.session import cut, exists, scratch_path
 from stayrate.sources.fixtures import RAW_SCHEMAS
+from stayrate.streaming.state import run_batches
 
 GAP_MINUTES = 30
+#: How long the state store remembers an event, in event time.
+DELAY = "1 day"
+
+
+class Upkeep(NamedTuple):
+    """Partial aggregates by batch, and the number of rows of each batch that came behind the watermark."""
+
+    partials: DataFrame
+    late: DataFrame
 
 
 def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -45,31 +56,48 @@ def slot_partials(events: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
 
 
-def run_partials(stream: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Process what is available and return the partials of all batches, under their batch ids."""
+def run_partials(stream: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str) -> Upkeep:
+    """Process what is available; the partials and late rows of all batches, under their batch ids."""
     spark = stream.sparkSession
-    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    target = scratch_path(spark, name)
     marked = stream.withColumn("day", F.to_date("ts"))
-    ids = marked.select("event_id", "day")
-    # versions without rows, so that the first batch and a stream without data find the folders
-    spark.createDataFrame([], ids.schema).write.parquet(f"{target}/ids/batch_id=-1")
+    # versions without rows, so that a stream without data finds the folders
     empty = partials(spark.createDataFrame([], marked.schema))
     empty.write.parquet(f"{target}/partials/batch_id=-1")
+    spark.createDataFrame([], "late_rows bigint").write.parquet(f"{target}/late/batch_id=-1")
+    key = ["event_id", "day"]
+    timed = marked.where("event_id is not null").withColumn("at", F.col("ts").cast("timestamp"))
+    once = timed.withWatermark("at", DELAY).dropDuplicatesWithinWatermark(key).drop("at")
+    # both views of a batch in one query: what the state store lets through, and all that came
+    both = once.withColumn("on_time", F.lit(True)).union(marked.withColumn("on_time", F.lit(False)))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        days = [r["day"] for r in batch.select("day").distinct().collect()]  # bounded by the calendar
-        earlier = spark.read.parquet(f"{target}/ids").where((F.col("batch_id") < batch_id) & F.col("day").isin(days))
-        known = batch.where("event_id is not null").dropDuplicates(["event_id", "day"])
-        new = known.join(earlier.select("event_id", "day"), ["event_id", "day"], "left_anti")
-        counted = new.unionByName(batch.where("event_id is null"))
+        rows = cut(batch)
+        fresh, came = rows.where("on_time").drop("on_time"), rows.where("not on_time").drop("on_time")
+        left = came.where("event_id is not null").dropDuplicates(key).join(fresh.select(*key), key, "left_anti")
+        left = cut(left.select(came.columns))
+        late = left.join(_ledger(spark, f"{target}/ids", left, batch_id), key, "left_anti").select(came.columns)
+        counted = fresh.unionByName(late).unionByName(came.where("event_id is null"))
         partials(counted).write.mode("overwrite").parquet(f"{target}/partials/batch_id={batch_id}")
-        new.select("event_id", "day").write.mode("overwrite").parquet(f"{target}/ids/batch_id={batch_id}")
+        late.agg(F.count(F.lit(1)).alias("late_rows")).write.mode("overwrite").parquet(f"{target}/late/batch_id={batch_id}")
+        ids = fresh.select(*key).unionByName(late.select(*key)).withColumn("batch_id", F.lit(batch_id))
+        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(f"{target}/ids")
 
-    query = (
-        marked.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(f"{_ddl(empty)}, batch_id bigint").parquet(f"{target}/partials")
+    run_batches(both, keep, f"{name}-checkpoint")
+    return Upkeep(
+        spark.read.schema(f"{_ddl(empty)}, batch_id bigint").parquet(f"{target}/partials"),
+        spark.read.schema("late_rows bigint, batch_id bigint").parquet(f"{target}/late"))
+
+
+def _ledger(spark: SparkSession, path: str, rows: DataFrame, batch_id: int) -> DataFrame:
+    """Ids that earlier batches have counted for the days of these rows; no other day's folder is listed."""
+    days = [r["day"] for r in rows.select("day").distinct().collect()]  # bounded by the calendar
+    folders = [f for f in (f"{path}/day={d}" for d in days) if exists(spark, f)]
+    schema = "event_id bigint, day date, batch_id bigint"
+    if not folders:
+        return spark.createDataFrame([], schema).select("event_id", "day")
+    known = spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    return known.where(F.col("batch_id") < batch_id).select("event_id", "day")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -78,7 +106,10 @@ def _ddl(df: DataFrame) -> str:
 
 def daily_usage(events: DataFrame) -> DataFrame:
     """Events, kinds of events and total value per user and day."""
-    days = run_partials(events, daily_partials, "usage-daily")
+    return summed_days(run_partials(events, daily_partials, "usage-daily").partials)
+
+
+def summed_days(days: DataFrame) -> DataFrame:
     return days.groupBy("user_id", "usage_date").agg(
         F.sum("events").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("event_types"),
         F.sum("total_value").cast("decimal(28,2)").alias("total_value"),
@@ -87,7 +118,7 @@ def daily_usage(events: DataFrame) -> DataFrame:
 
 def sliding_logins(events: DataFrame) -> DataFrame:
     """Events per user in every trailing seven days, moving by one day."""
-    days = run_partials(events, daily_partials, "engagement-sliding")
+    days = run_partials(events, daily_partials, "engagement-sliding").partials
     start = F.explode(F.sequence(F.date_sub("usage_date", 6), F.col("usage_date")))
     return days.select("user_id", "events", start.alias("window_start")).groupBy("user_id", "window_start").agg(
         F.sum("events").alias("logins_7d")
@@ -102,7 +133,7 @@ def sessions(events: DataFrame) -> DataFrame:
 
     ``is_open``: the newest event of all is not later than a next event of the session may be.
     """
-    slots = run_partials(events, slot_partials, "session-minutes").groupBy("user_id", "slot").agg(
+    slots = run_partials(events, slot_partials, "session-minutes").partials.groupBy("user_id", "slot").agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
     gap = F.expr(f"interval {GAP_MINUTES} minutes")
     by_user = Window.partitionBy("user_id").orderBy("slot")  # two rows per active hour of a user
