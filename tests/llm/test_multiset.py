@@ -62,7 +62,8 @@ def test_vectors_are_wide_sums_modulo_a_power(spark):
     text = "Some paragraph."
     one, many = prints(spark, [text, f"{text}\n" * 200_000])
     assert many == [x * 200_000 % multiset.MODULUS for x in one]
-    assert len(set(one)) > 40
+    signed = [x - multiset.MODULUS if x >= multiset.MODULUS // 2 else x for x in one]
+    assert len(one) == multiset.LANES and sorted(set(signed)) == list(range(-15, 16, 2))
 
 
 def test_likeness_follows_the_shared_paragraphs(spark):
@@ -71,7 +72,7 @@ def test_likeness_follows_the_shared_paragraphs(spark):
         k = int(1_000 * shared)
         a, b = prints(spark, ["\n".join(words[:1_000]), "\n".join(words[:k] + words[1_000 : 2_000 - k])])
         frame = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
-        assert abs(frame.select(multiset.likeness(F.col("a"), F.col("b"))).first()[0] - shared) < 0.45
+        assert abs(frame.select(multiset.likeness(F.col("a"), F.col("b"))).first()[0] - shared) < 3 / multiset.LANES**0.5
 
 
 def test_query_on_tables(spark, sf_dir):
@@ -95,21 +96,44 @@ def test_same_next_for_any_number_of_ranges(spark, tmp_path):
     assert store(spark, tmp_path, documents=docs)
 
 
-def test_vectors_equal_plain_sums_of_hash_bytes(spark):
-    """Every lane from xxhash in Python: one byte of a hash per paragraph and seed, less 128, modulo 2**24."""
+def test_vectors_equal_plain_sums_of_half_bytes(spark):
+    """Every lane from xxhash in Python: one half-byte v of a hash per paragraph and seed, as 2 v - 15, modulo 2**24."""
     import re
 
     import xxhash
 
     rnd = random.Random(4)
-    texts = [" ".join(rnd.choice(["One two.", "Three!", "é 🙂?", "\nfour", " five"]) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    pieces = ["One two.", "Three!", "é 🙂?", "\nfour", " five", ".\t\x0b tabbed\t\n"]
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
     for text, got in zip(texts, prints(spark, texts)):
-        lanes = [0] * multiset.LANES
-        for part in re.split(r"[\r\n]+|(?<=[.!?])\s+", text):
-            part = part.strip(" ")
-            for seed in range(multiset.LANES // multiset.PER_HASH) if part else []:
-                start = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
-                h = xxhash.xxh64_intdigest(part.encode(), start)
-                for byte in range(multiset.PER_HASH):
-                    lanes[seed * multiset.PER_HASH + byte] += (h >> 8 * byte & 255) - 128
+        lanes = []
+        parts = [p.strip(multiset.BLANK) for p in re.split(r"[\r\n]+|(?<=[.!?])\s+", text)]
+        for seed in range(multiset.LANES // multiset.PER_HASH):
+            start = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+            hashes = [xxhash.xxh64_intdigest(part.encode(), start) for part in parts if part]
+            for at in range(8):
+                lanes += [sum(2 * (h >> shift & 15) - 15 for h in hashes) for shift in (4 * at, 4 * at + 32)]
         assert got == [x % multiset.MODULUS for x in lanes]
+
+
+def test_error_of_likeness(spark):
+    """Over many pairs the error has the stated spread, and no pair is off by more than five times that."""
+    rnd = random.Random(6)
+    pairs, truth = [], []
+    for k in range(200):
+        shared = rnd.randint(0, 40)
+        first = [f"Common {k} {i}." for i in range(shared)] + [f"First {k} {i}." for i in range(40 - shared)]
+        pairs += [" ".join(first), " ".join([f"Common {k} {i}." for i in range(shared)] + [f"Second {k} {i}." for i in range(40 - shared)])]
+        truth.append(shared / 40)
+    found = prints(spark, pairs)
+    frame = spark.createDataFrame([(k, found[2 * k], found[2 * k + 1]) for k in range(200)], "k int, a array<long>, b array<long>")
+    got = [r[1] for r in frame.select("k", multiset.likeness(F.col("a"), F.col("b"))).orderBy("k").collect()]
+    off = [g - t for g, t in zip(got, truth)]
+    assert (sum(e * e for e in off) / 200) ** 0.5 < 1.1 / multiset.LANES**0.5
+    assert max(map(abs, off)) < 5 / multiset.LANES**0.5
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        multiset.compared(docs)
