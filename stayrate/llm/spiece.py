@@ -36,9 +36,9 @@ from pyspark.sql.functions import pandas_udf
 
 BLANK = "▁"
 START = -(1 << 30)
-MEMORY = 400_000
+MEMORY = 150_000
 #: Bytes of text that are cut and gathered at once.
-PORTION = 8 << 20
+PORTION = 2 << 20
 
 
 class Pieces:
