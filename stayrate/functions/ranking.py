@@ -6,6 +6,7 @@ whose number is bounded by the bucketing rule, carry the offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,20 @@ from pyspark.sql import functions as F
 from stayrate.functions.columns import magnitude_bucket, stable_bits, stable_unit
 
 
+#: Rows that one task sorts or groups, and the number of such parts from which a table is dealt by its rows.
+PART_ROWS, FEW_PARTS = 250_000, 8
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of about so many rows dealt by a hash of the keys: a task's share is bounded, however many rows there are.
+
+    The session's number of shuffle partitions is fixed, so that a partition would grow with the table. Small tables
+    are left to it.
+    """
+    parts = math.ceil(rows / PART_ROWS)
+    return df.repartition(parts, *keys) if parts >= FEW_PARTS else df
+
+
 def add_rank(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
     """1-based row number per group, as rows before this bucket plus the number inside the bucket."""
     placed = df.withColumn("_bucket", bucket)
@@ -133,7 +148,8 @@ def add_neighbour(
 
     Ordinary keys need one window. A key with more than ``heavy_rows`` rows is cut into days: its rows are
     compared inside a day, and the first (last) row of every other day is handed over as one extra row.
-    The table of heavy keys, at most rows / heavy_rows, is broadcast only where Spark finds it small enough.
+    The table of heavy keys, at most rows / heavy_rows, is broadcast: no row is sorted to find it.
+    ``df`` is counted to deal its rows into tasks of bounded size.
     """
     heavy = (
         df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
@@ -141,7 +157,7 @@ def add_neighbour(
     )
     edge = F.min_by if following else F.max_by
     step = 1 if following else -1
-    rows = df.join(heavy, key, "left").withColumns({
+    rows = df.join(F.broadcast(heavy), key, "left").withColumns({
         "_slice": F.when(F.col("_heavy"), F.col(day)),
         "_carry": F.struct(*[F.col(c).alias(name) for name, c in values.items()]),
     })
@@ -157,7 +173,7 @@ def add_neighbour(
     inside = W.partitionBy(key, "_slice").orderBy(place, day, tie)
     joined = rows.drop("_heavy").withColumn("_handed", F.lit(False)).unionByName(handed, allowMissingColumns=True)
     return (
-        joined.withColumn("_found", F.lag("_carry", -step).over(inside))
+        spread(joined, df.count(), key, "_slice").withColumn("_found", F.lag("_carry", -step).over(inside))
         .where(~F.col("_handed"))
         .withColumns({name: F.col("_found")[name] for name in values})
         .drop("_slice", "_carry", "_handed", "_found")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.functions.ranking import spread
 from stayrate.sources.schemas import CHILD_TABLES, DOMAINS, NATURAL_KEYS, PRIMARY_KEYS, RANGES, REQUIRED
 from stayrate.sources.tables import Tables
 
@@ -72,7 +73,7 @@ def primary_key(tables: Tables) -> DataFrame:
     """Distinct keys, keys that occur more than once, and rows beyond the first of each key; natural keys as well."""
     n = F.col("n")
     return _stack([
-        tables.get(name)
+        spread(tables.get(name), tables.rows(name), *keys)
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .agg(
             F.count(F.lit(1)).alias("keys"),

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.functions.ranking import add_neighbour
+from stayrate.functions.ranking import add_neighbour, spread
 from stayrate.operators.scoring import action
 from stayrate.sources.tables import Tables, bound_by_day
 
@@ -32,6 +32,11 @@ RAW_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
+_ORIGINS = {
+    "customers": "customer", "contracts": "orders", "billing_events": "lineitem", "product_usage": "lineitem",
+    "support_tickets": "orders", "nps_responses": "orders", "churn_scores": "orders", "recovery_actions": "orders",
+}
+
 
 def _customer_id(key: str) -> Column:
     return F.concat(F.lit("CUST-"), F.lpad(F.col(key).cast("string"), 9, "0"))
@@ -43,6 +48,7 @@ class FixtureTables(Tables):
         self.sf_dir = sf_dir.rstrip("/")
 
         self._raw: dict[str, DataFrame] = {}
+        self._counted: dict[str, int] = {}
 
     def raw(self, name: str) -> DataFrame:
         """A driver table with its declared schema: no footer is read to plan a query."""
@@ -50,6 +56,16 @@ class FixtureTables(Tables):
             self._raw[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
+    def raw_rows(self, name: str) -> int:
+        """Rows of a driver table; the footers of its files tell."""
+        if name not in self._counted:
+            self._counted[name] = self.raw(name).count()
+        return self._counted[name]
+
+    def rows(self, name: str) -> int:
+        """Bounded by the driver table that its rows come from."""
+        return self.raw_rows(_ORIGINS[name])
+
     def _read(self, name: str, since: date | None, until: date | None) -> DataFrame:
         return getattr(self, f"_{name}")(since, until)
 
@@ -109,6 +125,8 @@ class FixtureTables(Tables):
     def _lines(self, since: date | None, until: date | None) -> DataFrame:
         lines = bound_by_day(self.raw("lineitem"), "l_shipdate", since, until)
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
+        most = self.raw_rows("lineitem")
+        lines, orders = spread(lines, most, "l_orderkey"), spread(orders, most, "o_orderkey")
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def _billing_events(self, since, until) -> DataFrame:
@@ -138,11 +156,12 @@ class FixtureTables(Tables):
         )
         behind = F.floor(F.datediff(F.lit(_USAGE_ORIGIN), F.col("l_shipdate").cast("date")) / F.lit(8.0)).cast("int")
         feature_bit = F.call_function("shiftleft", F.lit(1), (F.col("l_partkey") % 5).cast("int"))
+        placed = lines.select(
+            "o_custkey", F.date_sub(F.lit(_USAGE_CLOCK), behind).alias("usage_date"),
+            "l_quantity", "l_linenumber", feature_bit.alias("feature_bit"),
+        )
         return (
-            lines.select(
-                "o_custkey", F.date_sub(F.lit(_USAGE_CLOCK), behind).alias("usage_date"),
-                "l_quantity", "l_linenumber", feature_bit.alias("feature_bit"),
-            )
+            spread(placed, self.raw_rows("lineitem"), "o_custkey", "usage_date")
             .groupBy("o_custkey", "usage_date")
             .agg(
                 F.count(F.lit(1)).cast("int").alias("logins"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stayrate.functions import ranking
 from stayrate.functions.columns import magnitude_bucket
 from stayrate.functions.ranking import add_hash_rank, add_neighbour, add_rank, exact_quantile
 from stayrate.operators.exploration import rank_sums, two_sided_normal_p
@@ -28,6 +29,15 @@ def test_neighbour_equals_window(spark, following, heavy_rows):
     assert sorted(found.select(plain.columns).collect(), key=lambda r: r.id) == sorted(plain.collect(), key=lambda r: r.id)
 
 
+def test_neighbour_deals_rows_into_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PART_ROWS", 100)
+    df = spark.range(4000).selectExpr("id", "id % 500 AS key", "date_add(DATE'2024-01-01', cast(id % 7 AS int)) AS day")
+    found = add_neighbour(df, "key", "day", "id", {"nid": "id"}).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in found.groupBy("part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 400
+    assert ranking.spread(df, 700, "key") is df
+
+
 def test_rank_equals_row_number(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i % 2, i, round(rng.gauss(0, 50), 3)) for i in range(500)], "g int, id long, v double")
