@@ -3,7 +3,10 @@
 Points are dealt to the nearest of a few pivots, crowded cells again to pivots of their own, until a cell has few
 points; every cell knows its centre and radius. A point's k nearest inside its own cell bound its search: only
 cells that come as near as that bound are visited, and they are found from the first pivots downwards, by their
-distances and radii. So the answer is exact, and each task holds two cells.
+distances and radii. So the answer is exact, and each group of a task holds one cell and a batch of those it visits.
+Inside, a matrix product finds who may be near, and only these few distances are summed term by term. In many dimensions
+the bounds rule out little, and the products grow with the square of the points; cells are as large as they are so that
+this stays far below the cost of moving rows.
 
 Equal points count once and carry their k + 1 smallest keys, which is all that any neighbour list can need, so that a
 dense heap of copies has no cell of its own size. Ties go to the smaller key.
@@ -19,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stayrate.functions.ranking import spread
 from stayrate.session import cut
 
-#: Points of a cell, pivots of a split.
-CELL_ROWS, FAN = 512, 16
+#: Points of a cell, pivots of a split, points of a batch of visited cells.
+CELL_ROWS, FAN, BATCH_ROWS = 16_384, 16, 65_536
+#: Distances held at a time, and those summed term by term at a time.
+BLOCK, FEW = 1 << 22, 1 << 16
 #: Bounds are compared with distances that were summed in another order.
 SLACK = 1e-9
 
@@ -75,27 +81,53 @@ def _cells(points: DataFrame, cell_rows: int, fan: int) -> tuple[DataFrame, Data
     return cut(placed), every
 
 
-def _nearest(guests: pd.DataFrame, hosts: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the guest, distance and key of its k + 1 nearest keys among the hosts, ties by key."""
-    keys = np.concatenate([np.asarray(v, dtype=object) for v in hosts["keys"]])
-    owner = np.repeat(np.arange(len(hosts)), [len(v) for v in hosts["keys"]])
-    order = np.argsort(keys.astype(str) if isinstance(keys[0], str) else keys, kind="stable")
-    keys, owner = keys[order], owner[order]
+def _nearest(guests: pd.DataFrame, hosts: pd.DataFrame, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the guest, distance and key of its k + 1 nearest keys among the hosts, ties by key; none beyond ``bound``."""
     a, b = np.stack(guests["z"].to_numpy()), np.stack(hosts["z"].to_numpy())
-    rows, far, found = [], [], []
-    step = max(1, (1 << 22) // max(1, b.size))
+    keys = np.concatenate([np.asarray(v, dtype=object) for v in hosts["keys"]])
+    held = np.array([len(v) for v in hosts["keys"]])
+    first = np.cumsum(held) - held
+    place = np.empty(len(keys), np.int64)
+    place[np.argsort(keys.astype(str) if isinstance(keys[0], str) else keys, kind="stable")] = np.arange(len(keys))
+    middle = b.mean(axis=0)
+    ca, cb = a - middle, b - middle
+    sa, sb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
+    # what the products may be off by, for sums of any order
+    slack = 1e-11 * (sa + sb.max()) + SLACK * SLACK
+    reach = None if bound is None else (bound * (1 + SLACK) + SLACK) ** 2 + slack
+    nth, rows, far, found = min(k, len(b) - 1), [], [], []
+    step = max(1, BLOCK // len(b))
     for start in range(0, len(a), step):
-        some = a[start:start + step]
-        distance = np.sqrt(((some[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))[:, owner]
-        first = np.argsort(distance, axis=1, kind="stable")[:, : k + 1]
-        rows.append(np.repeat(np.arange(start, start + len(some)), first.shape[1]))
-        far.append(np.take_along_axis(distance, first, axis=1).ravel())
-        found.append(keys[first.ravel()])
+        some = slice(start, start + step)
+        near = ca[some] @ cb.T
+        near *= -2
+        near += sa[some, None]
+        near += sb
+        if reach is not None:
+            limit = reach[some]
+            at, host = np.nonzero(near <= limit[:, None])
+        if reach is None or len(at) > 4 * (k + 1) * len(near):
+            limit = np.partition(near, nth, axis=1)[:, nth] + 2 * slack[some]
+            if reach is not None:
+                limit = np.minimum(limit, reach[some])
+            at, host = np.nonzero(near <= limit[:, None])
+        d = np.concatenate([np.zeros(0), *[
+            np.sqrt(((a[start + at[i:i + FEW]] - b[host[i:i + FEW]]) ** 2).sum(axis=1)) for i in range(0, len(at), FEW)]])
+        # a point stands for all its keys
+        n = held[host]
+        key = np.arange(n.sum()) + np.repeat(first[host] - (np.cumsum(n) - n), n)
+        at, d = np.repeat(at, n), np.repeat(d, n)
+        order = np.lexsort((place[key], d, at))
+        at, d, key = at[order], d[order], key[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) <= k
+        rows.append(start + at[kept])
+        far.append(d[kept])
+        found.append(keys[key[kept]])
     return np.concatenate(rows), np.concatenate(far), np.concatenate(found)
 
 
 def _visits(placed: DataFrame, bounds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(grp, cell, other, centre, radius): leaf cells that a point of a cell may have to visit, found from the top down."""
+    """(grp, cell, other): leaf cells that a point of a cell may have to visit, found from the top down."""
     own = bounds.groupBy("grp", "cell").agg(F.max("bound").alias("bound"))
     leaves = own.join(nodes.where("leaf").select("grp", "cell", "centre", "radius"), ["grp", "cell"])
     below = nodes.select("grp", "parent", F.col("cell").alias("other"), F.col("centre").alias("o_centre"),
@@ -104,7 +136,7 @@ def _visits(placed: DataFrame, bounds: DataFrame, nodes: DataFrame) -> DataFrame
     while True:
         gap = _distance(F.col("centre"), F.col("o_centre")) - F.col("radius") - F.col("o_radius")
         near = cut(front.join(below, ["grp", "parent"]).where(gap <= F.col("bound") * (1 + SLACK) + SLACK))
-        found.append(near.where("leaf and other <> cell").select("grp", "cell", "other", "o_centre", "o_radius"))
+        found.append(near.where("leaf and other <> cell").select("grp", "cell", "other"))
         further = near.where("not leaf")
         if further.isEmpty():
             break
@@ -115,7 +147,7 @@ def _visits(placed: DataFrame, bounds: DataFrame, nodes: DataFrame) -> DataFrame
     return every
 
 
-def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FAN) -> DataFrame:
+def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FAN, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(grp, key, near): the keys of the k nearest other points of the same group, nearest first, ties by key.
 
     ``points``: grp, key (unique in a group), z (array of double, all of one length).
@@ -139,26 +171,29 @@ def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FA
         bounds = cut(own.groupBy("grp", "cell", "pid").agg(
             F.when(full, F.max("d")).otherwise(F.max("wide")).alias("bound")))
         pairs = cut(_visits(placed, bounds, nodes))
-        gap = _distance(F.col("z"), F.col("o_centre")) - F.col("o_radius")
-        guests = pairs.join(placed.join(bounds, ["grp", "cell", "pid"]), ["grp", "cell"]).where(
-            gap <= F.col("bound") * (1 + SLACK) + SLACK).select(
-            "grp", F.col("other").alias("host"), F.col("cell").alias("guest"), "pid", "z", "bound")
-        hosts = pairs.select("grp", F.col("other").alias("host"), F.col("cell").alias("guest")).join(
-            placed.select("grp", F.col("cell").alias("host"), "z", "keys"), ["grp", "host"])
-        hosts = hosts.select(*[F.col(c).alias(c) for c in hosts.columns])  # columns of its own beside the guests'
-
-        def across(visitors: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-            if visitors.empty or cell.empty:
+        sizes = cut(placed.groupBy("grp", F.col("cell").alias("other")).agg(F.count(F.lit(1)).alias("n")))
+        most = sizes.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        batch = F.pmod(F.xxhash64("other"), F.lit(math.ceil(most / batch_rows)))
+        visits = pairs.select("grp", "cell", "other", batch.alias("batch"))
+        moved = visits.join(sizes, ["grp", "other"]).agg(F.sum("n")).first()[0] or 0
+        place = ["grp", "cell", "batch"]
+        guests = visits.select(*place).distinct().join(placed.join(bounds, ["grp", "cell", "pid"]), ["grp", "cell"]).select(
+            *place, "pid", "z", "bound")
+        hosts = visits.join(placed.select("grp", F.col("cell").alias("other"), "z", "keys"), ["grp", "other"])
+        hosts = hosts.select(*[F.col(c).alias(c) for c in (*place, "z", "keys")])  # columns of its own beside the guests'
+
+        def across(visitors: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+            if visitors.empty or cells.empty:
                 return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("grp", "pid", "d", "key")})
-            row, far, key = _nearest(visitors, cell, k)
-            good = far <= visitors["bound"].to_numpy()[row] * (1 + SLACK) + SLACK
+            limit = visitors["bound"].to_numpy()
+            row, far, key = _nearest(visitors, cells, k, limit)
+            good = far <= limit[row] * (1 + SLACK) + SLACK
             return pd.DataFrame({
                 "grp": pd.Series(visitors["grp"].to_numpy(dtype=object)[row[good]], dtype=object),
                 "pid": pd.Series(visitors["pid"].to_numpy(dtype=object)[row[good]], dtype=object),
                 "d": far[good], "key": pd.Series(key[good], dtype=object)})
 
-        place = ["grp", "host", "guest"]
-        met = guests.groupBy(*place).cogroup(hosts.groupBy(*place)).applyInPandas(
+        met = spread(guests, moved, *place).groupBy(*place).cogroup(spread(hosts, moved, *place).groupBy(*place)).applyInPandas(
             across, f"grp {group}, pid {kind}, d double, key {kind}")
         candidates = candidates.unionByName(met)
     nth = F.row_number().over(W.partitionBy("grp", "pid").orderBy("d", "key"))

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -51,6 +52,36 @@ def minority_points(frame):
     return {r.customer_id: np.array([r[n] for n in NAMES]) for r in rows}
 
 
+@pytest.mark.parametrize("bounded", [False, True])
+def test_nearest_by_products_equals_plain_distances(monkeypatch, bounded):
+    """The same distances to the last bit, ties by key, several keys per point, in blocks of few rows."""
+    monkeypatch.setattr(neighbours, "BLOCK", 400)
+    monkeypatch.setattr(neighbours, "FEW", 64)
+    rng = np.random.default_rng(5)
+    z = np.round(rng.normal(1000, 1, (90, 9)), 1)
+    z[40:60] = np.round(z[40:60])
+    names = [f"k{i:03d}" for i in rng.permutation(150)]
+    hosts = pd.DataFrame({"z": list(z), "keys": [sorted(names[i:: 90]) for i in range(90)]})
+    guests = pd.DataFrame({"z": list(np.concatenate([z[:30], z[:30] + 0.1]))})
+    bound = np.full(60, 2.5) if bounded else None
+    row, far, key = neighbours._nearest(guests, hosts, 5, bound)
+    for g in range(60):
+        all_ = sorted((float(np.sqrt(((guests.z[g] - h.z) ** 2).sum())), k) for h in hosts.itertuples() for k in h.keys)
+        want = [x for x in all_[:6] if bound is None or x[0] <= 2.5]
+        assert [x for x in zip(far[row == g].tolist(), key[row == g]) if bound is None or x[0] <= 2.5] == want
+
+
+@pytest.mark.parametrize("batch_rows", [10, 100_000])
+def test_nearest_in_batches_equals_brute_force(spark, batch_rows):
+    rng = np.random.default_rng(6)
+    z = rng.normal(0, 1, (150, 4)).round(1)
+    points = spark.createDataFrame([(i % 2, i, [float(v) for v in z[i]]) for i in range(150)], "grp int, key long, z array<double>")
+    found = {r.key: r.near for r in neighbours.nearest(points, 3, cell_rows=20, fan=4, batch_rows=batch_rows).collect()}
+    for i in range(150):
+        far = sorted((float(np.sqrt(((z[i] - z[j]) ** 2).sum())), j) for j in range(i % 2, 150, 2) if j != i)
+        assert found[i] == [j for _, j in far[:3]]
+
+
 @pytest.mark.parametrize("cell_rows", [4000, 10])
 def test_smote_rows_lie_between_near_minority_rows(frame, cell_rows):
     out = balancing.smote(frame, NAMES, "customer_id", "churn_label", cell_rows=cell_rows)
