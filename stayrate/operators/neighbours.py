@@ -82,27 +82,38 @@ def _cells(points: DataFrame, cell_rows: int, fan: int) -> tuple[DataFrame, Data
 
 
 def _nearest(guests: pd.DataFrame, hosts: pd.DataFrame, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the guest, distance and key of its k + 1 nearest keys among the hosts, ties by key; none beyond ``bound``."""
+    """Row of the guest, distance and key of its k + 1 nearest keys among the hosts, ties by key; none beyond ``bound``.
+
+    A distance to or from a missing value is missing and comes last.
+    """
     a, b = np.stack(guests["z"].to_numpy()), np.stack(hosts["z"].to_numpy())
     keys = np.concatenate([np.asarray(v, dtype=object) for v in hosts["keys"]])
     held = np.array([len(v) for v in hosts["keys"]])
     first = np.cumsum(held) - held
     place = np.empty(len(keys), np.int64)
-    place[np.argsort(keys.astype(str) if isinstance(keys[0], str) else keys, kind="stable")] = np.arange(len(keys))
-    middle = b.mean(axis=0)
-    ca, cb = a - middle, b - middle
+    by_key = np.argsort(keys.astype(str) if isinstance(keys[0], str) else keys, kind="stable")
+    place[by_key] = np.arange(len(keys))
+    # an infinite value has no product: its distances are all summed term by term
+    odd_a, odd_b = (~np.isfinite(m).all(axis=1) for m in (a, b))
+    middle = b[~odd_b].mean(axis=0) if not odd_b.all() else 0.0
+    ca, cb = (np.where(odd[:, None], 0.0, m - middle) for m, odd in ((a, odd_a), (b, odd_b)))
     sa, sb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
     # what the products may be off by, for sums of any order
     slack = 1e-11 * (sa + sb.max()) + SLACK * SLACK
     reach = None if bound is None else (bound * (1 + SLACK) + SLACK) ** 2 + slack
-    nth, rows, far, found = min(k, len(b) - 1), [], [], []
-    step = max(1, BLOCK // len(b))
-    for start in range(0, len(a), step):
-        some = slice(start, start + step)
+    nth, missing = min(k, len(b) - 1), np.isnan(a).any(axis=1)
+    alike = by_key[: k + 1] if bound is None else by_key[:0]  # all are equally far from these
+    rows = [np.repeat(np.nonzero(missing)[0], len(alike))]
+    far, found = [np.full(len(rows[0]), np.nan)], [np.tile(keys[alike], missing.sum())]
+    step, whole = max(1, BLOCK // len(b)), np.nonzero(~missing)[0]
+    for start in range(0, len(whole), step):
+        some = whole[start:start + step]
         near = ca[some] @ cb.T
         near *= -2
         near += sa[some, None]
         near += sb
+        near[odd_a[some]] = np.inf
+        near[:, odd_b] = np.inf
         if reach is not None:
             limit = reach[some]
             at, host = np.nonzero(near <= limit[:, None])
@@ -112,7 +123,7 @@ def _nearest(guests: pd.DataFrame, hosts: pd.DataFrame, k: int, bound: np.ndarra
                 limit = np.minimum(limit, reach[some])
             at, host = np.nonzero(near <= limit[:, None])
         d = np.concatenate([np.zeros(0), *[
-            np.sqrt(((a[start + at[i:i + FEW]] - b[host[i:i + FEW]]) ** 2).sum(axis=1)) for i in range(0, len(at), FEW)]])
+            np.sqrt(((a[some[at[i:i + FEW]]] - b[host[i:i + FEW]]) ** 2).sum(axis=1)) for i in range(0, len(at), FEW)]])
         # a point stands for all its keys
         n = held[host]
         key = np.arange(n.sum()) + np.repeat(first[host] - (np.cumsum(n) - n), n)
@@ -120,7 +131,7 @@ def _nearest(guests: pd.DataFrame, hosts: pd.DataFrame, k: int, bound: np.ndarra
         order = np.lexsort((place[key], d, at))
         at, d, key = at[order], d[order], key[order]
         kept = np.arange(len(at)) - np.searchsorted(at, at) <= k
-        rows.append(start + at[kept])
+        rows.append(some[at[kept]])
         far.append(d[kept])
         found.append(keys[key[kept]])
     return np.concatenate(rows), np.concatenate(far), np.concatenate(found)

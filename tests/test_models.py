@@ -71,6 +71,21 @@ def test_nearest_by_products_equals_plain_distances(monkeypatch, bounded):
         assert [x for x in zip(far[row == g].tolist(), key[row == g]) if bound is None or x[0] <= 2.5] == want
 
 
+@pytest.mark.parametrize("whole", [0, 3, 30])
+def test_nearest_puts_missing_distances_last(monkeypatch, whole):
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    z = rng.normal(0, 1, (40, 3))
+    z[whole:, 1] = np.nan
+    z[1::20, 2] = np.inf
+    points = pd.DataFrame({"z": list(z), "keys": [[int(i)] for i in rng.permutation(40)]})
+    row, far, key = neighbours._nearest(points, points, 5)
+    for g in range(40):
+        d = np.sqrt(((z[g] - z) ** 2).sum(axis=1))
+        want = sorted((math.isnan(v), 0 if math.isnan(v) else v, k[0]) for v, k in zip(d.tolist(), points["keys"]))[:6]
+        assert key[row == g].tolist() == [k for *_, k in want]
+
+
 @pytest.mark.parametrize("batch_rows", [10, 100_000])
 def test_nearest_in_batches_equals_brute_force(spark, batch_rows):
     rng = np.random.default_rng(6)
