@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = packed(docs, "doc_id", "text").select(
         "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64("text").alias("text_hash"))
-    found = simhash.near_copies(rows, width=3, bits=2, keep=("key", "text_hash"))
+    found = simhash.near_copies(rows, width=3, bits=2, keep=("key", "text_hash"), roots=True)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "text_hash")).alias("at"))
     kept = rows.join(first.select("at.key", "at.text_hash"), ["key", "text_hash"], "left_semi")
     return unpacked(kept.dropDuplicates(["key", "text_hash"]), docs.columns, "doc_id", "text")

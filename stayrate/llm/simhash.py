@@ -154,14 +154,14 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 512) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, width: int = 3, bits: int = 2, crowd: int = 512, id_col: str = "doc_id",
-                text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``keep``, ``fp``, ``root`` (smallest fingerprint reachable over links) and ``component_id`` (smallest
-    id reachable), one row per row of ``docs``."""
+                text_col: str = "text", keep: tuple[str, ...] = (), roots: bool = False) -> DataFrame:
+    """``id_col``, ``keep``, ``fp`` and ``component_id`` (smallest id reachable over links), one row per row of ``docs``;
+    with ``roots`` also ``root``, the smallest fingerprint reachable."""
     marked = cut(fingerprints(docs, width, id_col, text_col, keep))
     first = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    roots = components(links(first.select("fp"), bits, crowd))
-    labelled = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    linked = components(links(first.select("fp"), bits, crowd))
+    labelled = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = labelled.join(smallest, "root").select("fp", "root", "component_id")
-    return marked.join(classes, "fp").select(id_col, *keep, "fp", "root", "component_id")
+    return marked.join(classes, "fp").select(id_col, *keep, "fp", *["root"] * roots, "component_id")
