@@ -30,7 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +39,10 @@ from stayrate.functions.columns import magnitude_bucket
 from stayrate.session import cut, shared_folder
 
 BINS = 32
-#: Rows per task, rounds between checkpoints, rounds per saved part.
+#: Rows per block, rounds between checkpoints, rounds per saved part.
 TASK_ROWS, LINEAGE, CHUNK = 16_384, 20, 50
+#: Blocks per task at most, and the number of tasks up to which the driver adds up their histograms itself.
+TASK_BLOCKS, FEW_TASKS = 16, 32
 UNIT = float(1 << 32)
 
 
@@ -112,21 +114,44 @@ class Block(NamedTuple):
 
 
 def packed(rows: DataFrame, names: Sequence[str], limits: Sequence[np.ndarray], key: str, label: str) -> DataFrame:
-    """Rows with a column ``groups`` (bits of their fits) as blocks of bytes, written to the shared folder."""
-    n = rows.count()
-    schema = "key binary, label binary, groups binary, bins binary"
+    """Rows with a column ``groups`` (bits of their fits) as numbered blocks of bytes, written to the shared folder.
+
+    There are as many blocks as give every core the same number of them.
+    """
+    cores, parts = rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS)
+    parts = max(1, parts if parts < 2 else math.ceil(parts / cores) * cores)
+    schema = "place int, key binary, label binary, groups binary, bins binary"
+
+    def block(held):
+        arrays = [np.ascontiguousarray(np.concatenate(p)).tobytes() for p in zip(*held)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([a], pa.binary()) for a in arrays]],
+            names=["place", "key", "label", "groups", "bins"])
 
     def pack(batches):
+        held = []
         for batch in batches:
             x = np.stack([batch.column(f"f{i}").to_numpy() for i in range(len(limits))], axis=1)
-            parts = (batch.column("h").to_numpy(), batch.column("y").to_numpy().astype(np.int8),
-                     batch.column("groups").to_numpy(), binned(x, limits))
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()]) for p in parts],
-                                             names=["key", "label", "groups", "bins"])
+            held.append((batch.column("h").to_numpy(), batch.column("y").to_numpy().astype(np.int8),
+                         batch.column("groups").to_numpy(), binned(x, limits)))
+            if sum(len(h) for h, *_ in held) >= 2 * TASK_ROWS:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
 
     flat = rows.select(F.xxhash64(key).alias("h"), F.col(label).alias("y"), F.col("groups").cast("long").alias("groups"), *[
         F.col(f"`{name}`").cast("double").alias(f"f{i}") for i, name in enumerate(names)])
-    return cut(flat.repartition(max(1, math.ceil(n / TASK_ROWS)), "h").mapInArrow(pack, schema))
+    return cut(flat.repartition(parts, "h").mapInArrow(pack, schema))
+
+
+def _dealt(blocks: DataFrame) -> RDD:
+    """The blocks in tasks of the same number of blocks: how their files are read together would leave cores idle."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    last = blocks.agg(F.max("place")).first()[0]
+    n = 1 if last is None else last + 1
+    tasks = min(n, cores * math.ceil(n / (cores * TASK_BLOCKS)))
+    return blocks.rdd.map(lambda row: (row["place"], row)).partitionBy(tasks, lambda place: place).values()
 
 
 def _block(row, width: int, start: np.ndarray) -> Block:
@@ -156,14 +181,17 @@ def _unit(keys: np.ndarray, *salt: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def descend(tree: Tree, bins: np.ndarray, levels: int) -> np.ndarray:
-    """The node each row stands at after so many levels."""
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
+def descend(tree: Tree, bins: np.ndarray, levels: int, at: np.ndarray) -> np.ndarray:
+    """The node each of the rows ``at`` stands at after so many levels."""
+    node = np.zeros(len(at), np.int64)
+    if not levels:
+        return node
+    flat, first, feature = bins.ravel(), at * bins.shape[1], np.maximum(tree.feature, 0).astype(np.int64)
+    own = np.arange(len(feature))
+    children = np.where(tree.feature < 0, own, [2 * own + 1, 2 * own + 2]).T.ravel()  # a leaf is its own child
     for _ in range(levels):
-        feature = tree.feature[node]
-        right = bins[rows, np.maximum(feature, 0)] > tree.bin[node]
-        node = np.where(feature < 0, node, 2 * node + 1 + right)
+        right = flat.take(first + feature.take(node)) > tree.bin.take(node)
+        node = children.take(2 * node + right)
     return node
 
 
@@ -173,29 +201,38 @@ def _empty(settings: Settings) -> Tree:
 
 
 def _advance(block: Block, trees: dict[int, Tree], fits: Sequence[Fit]) -> Block:
+    """Margins after the trees, in the rows of each fit alone: no other row's margin is asked for."""
     margin = block.margin.copy()
     for t, tree in trees.items():
-        margin[:, t] += tree.value[descend(tree, block.bins, fits[t].settings.depth)]
+        at = np.flatnonzero((block.groups >> fits[t].group) & 1)
+        margin[at, t] += tree.value.take(descend(tree, block.bins, fits[t].settings.depth, at))
     return block._replace(margin=margin)
 
 
 def _histograms(block: Block, fits: Sequence[Fit], wanted: dict[int, tuple[Tree, list[int]]], level: int, round_: int) -> np.ndarray:
     """Sums of rows, gradients and curvatures: (fit and node as listed) x 3 x features x bins."""
-    width, parts = block.bins.shape[1], []
-    offsets = np.arange(width) * BINS
+    width, parts, drawn = block.bins.shape[1], [], {}
+    places = block.bins + np.arange(width) * BINS
     for t, (tree, nodes) in wanted.items():
         fit = fits[t]
         used = (block.groups >> fit.group) & 1 == 1
         if fit.settings.row_share < 1:
-            used &= _unit(block.key, fit.salt, round_ + 1) < fit.settings.row_share
+            draw = fit.salt, fit.settings.row_share  # the fits of one model draw the same rows
+            if draw not in drawn:
+                drawn[draw] = _unit(block.key, fit.salt, round_ + 1) < fit.settings.row_share
+            used &= drawn[draw]
+        at = np.flatnonzero(used)
         slot = np.full(2 ** (level + 1), -1)
         slot[np.array(nodes, dtype=np.int64)] = np.arange(len(nodes))
-        node = descend(tree, block.bins, level)
-        used &= slot[np.minimum(node, len(slot) - 1)] >= 0
-        at = np.nonzero(used)[0]
+        own = slot.take(descend(tree, block.bins, level, at))
+        if level:
+            inside = np.flatnonzero(own >= 0)
+            at, own = at.take(inside), own.take(inside)
         p = 1.0 / (1.0 + np.exp(-block.margin[at, t]))
-        cells = (slot[node[at]][:, None] * (width * BINS) + offsets[None, :] + block.bins[at]).ravel()
-        size = len(nodes) * width * BINS
+        cells = places.take(at, axis=0)
+        if len(nodes) > 1:
+            cells += (own * (width * BINS))[:, None]
+        cells, size = cells.ravel(), len(nodes) * width * BINS
         sums = [np.bincount(cells, minlength=size)]
         for v in (np.rint((block.label[at] - p) * UNIT), np.rint(p * (1 - p) * UNIT)):
             sums.append(np.bincount(cells, weights=np.repeat(v, width), minlength=size))
@@ -344,7 +381,7 @@ def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
     ``saved`` holds the parts of an earlier run, CHUNK rounds each; ``save`` gets every new part.
     """
     shared_folder(blocks.sparkSession)  # names the folder of checkpoint()
-    raw = blocks.rdd
+    raw = _dealt(blocks)
     start = starts(raw, fits)
     state = raw.map(partial(_block, width=width, start=start)).persist(StorageLevel.MEMORY_AND_DISK)
     held, trees = [state], {t: [] for t in range(len(fits))}
@@ -363,7 +400,8 @@ def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
         active = [t for t, f in enumerate(fits) if r < f.settings.rounds]
 
         def aggregate(wanted, level, state=state, r=r):
-            return state.map(partial(_histograms, fits=fits, wanted=wanted, level=level, round_=r)).treeReduce(np.add)
+            sums = state.map(partial(_histograms, fits=fits, wanted=wanted, level=level, round_=r))
+            return sums.reduce(np.add) if sums.getNumPartitions() <= FEW_TASKS else sums.treeReduce(np.add)
 
         grown = grow_round(fits, active, width, r, aggregate)
         for old in held[:-1]:

@@ -150,3 +150,40 @@ def test_pattern_tables_equal_the_integral(spark, frame):
     a = treeshap.tree_contributions(spark, model, frame, NAMES).collect()
     b = {r.customer_id: r for r in treeshap.tree_contributions(spark, model, frame, NAMES, most_bytes=0).collect()}
     assert all(r[n] == pytest.approx(b[r.customer_id][n], abs=1e-12) for r in a for n in [*NAMES, "margin", "base_value"])
+
+
+def test_every_task_has_the_same_number_of_blocks(spark, frame, monkeypatch):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    limits, cores = boosting.edges(frame, NAMES), spark.sparkContext.defaultParallelism
+    rows = frame.withColumn("groups", F.lit(1))
+    blocks = boosting.packed(rows, NAMES, limits, "customer_id", "churn_label")
+    sizes = boosting._dealt(blocks).glom().map(len).collect()
+    assert len(sizes) == cores and set(sizes) == {sum(sizes) // cores} and sum(sizes) >= 300 / 40
+    assert boosting._dealt(blocks).map(lambda row: len(row["label"])).sum() == 300
+    monkeypatch.setattr(boosting, "TASK_BLOCKS", 1)
+    assert boosting._dealt(blocks).getNumPartitions() == sum(sizes)
+
+
+def test_fits_of_one_model_share_their_draw(monkeypatch):
+    rng = np.random.RandomState(1)
+    block = boosting.Block(rng.randint(0, 1 << 60, 90).astype(np.uint64), (rng.random_sample(90) < 0.4).astype(float),
+                           rng.randint(1, 4, 90), rng.randint(0, 9, (90, 3)).astype(np.uint8), np.zeros((90, 3)))
+    fits = [boosting.Fit("gbt_subsampled", g, training.boosted("gbt_subsampled")) for g in (0, 1)] + [
+        boosting.Fit("gbt", 1, training.boosted("gbt"))]
+    drawn, unit = [], boosting._unit
+    monkeypatch.setattr(boosting, "_unit", lambda keys, *salt: drawn.append(salt) or unit(keys, *salt))
+    wanted = {t: (boosting._empty(f.settings), [0]) for t, f in enumerate(fits)}
+    sums = boosting._histograms(block, fits, wanted, 0, 3)
+    assert len(drawn) == 1
+    keep = unit(block.key, fits[0].salt, 4) < 0.8
+    for t, f in enumerate(fits):
+        used = (block.groups >> f.group & 1 == 1) & (keep if t < 2 else True)
+        for i in range(3):
+            assert (sums[t, 0, i] == np.bincount(block.bins[used, i], minlength=boosting.BINS)).all()
+            assert sums[t, 1, i].sum() == np.rint((block.label[used] - 0.5) * boosting.UNIT).sum()
+    # a row's margin moves only under the trees of its own fits
+    trees = {t: boosting._empty(f.settings) for t, f in enumerate(fits)}
+    for t, tree in trees.items():
+        tree.value[0] = t + 1.0
+    moved = boosting._advance(block, trees, fits).margin
+    assert all((moved[:, t] == (block.groups >> f.group & 1) * (t + 1.0)).all() for t, f in enumerate(fits))
