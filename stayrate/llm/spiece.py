@@ -23,7 +23,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import compress, pairwise
+from operator import add, not_
 
 import ahocorasick
 import numpy as np
@@ -63,9 +64,11 @@ class Pieces:
         for piece, i in self.ids.items():
             self.found.add_word(piece, (len(piece), i))
         self.found.make_automaton()
-        self.keeps: dict[tuple[int, int], bool] = {}
+        self.shift = len(pieces).bit_length()
+        self.keeps: dict[int, bool] = {}  # by piece before and piece, in one number
         self.known: dict[str, tuple[int, ...]] = {}
         self.checked: dict[bytes, tuple[tuple[int, ...], bool]] = {}
+        self.before: dict[bytes, tuple[tuple[int, ...], bool]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -100,9 +103,9 @@ class Pieces:
         end = self._text(piece)
         parts = [end] if before == START else [self._text(before), end]
         kept = self.merge("".join(parts)) == parts
-        if len(self.keeps) >= MEMORY:
+        if len(self.keeps) >= 2 * MEMORY:
             self.keeps.clear()
-        self.keeps[before, piece] = kept
+        self.keeps[(before << self.shift) + piece] = kept
         return kept
 
     def _text(self, code: int) -> str:
@@ -111,7 +114,7 @@ class Pieces:
     def segments(self, text: str) -> Iterator[int]:
         """Pieces of one stretch, sent on as soon as they are final: ids, or a letter without a piece as -ord."""
         longest, bpe, keeps, scores, floor = self.longest, self.rule == "bpe", self.keeps, self.of_id, self.floor
-        base, end, back, last, best = 0, 0, [0], [START], [0.0]
+        base, shift, back, last, best = 0, self.shift, [0], [START], [0.0]
         open_at, start, code, top = 0, -1, 0, 0.0  # the position being filled, and the best way there so far
 
         def fill() -> None:
@@ -136,7 +139,7 @@ class Pieces:
             if bpe:
                 if start < 0:
                     before = last[at - base]
-                    kept = keeps.get((before, piece))
+                    kept = keeps.get((before << shift) + piece)
                     if kept or kept is None and self._admits(before, piece):
                         start, code = at, piece
             else:
@@ -167,15 +170,18 @@ class Pieces:
     # -------------------------------------------------------------- whole texts
     def _ids(self, stretch: str) -> tuple[int, ...]:
         """Ids of a stretch, part by part between letters that stand together in no piece."""
-        inside, parts, out, start = self.inside, self.parts, [], 0
-        for end in range(1, len(stretch) + 1):
-            if end < len(stretch) and stretch[end - 1 : end + 1] in inside:
-                continue
+        if not stretch:
+            return ()
+        parts, out, start = self.parts, [], 0
+        together = map(self.inside.__contains__, map(add, stretch, stretch[1:]))
+        for end in [*compress(range(1, len(stretch)), map(not_, together)), len(stretch)]:
             part = stretch[start:end]
             ids = parts.get(part)
             if ids is None:
                 ids = self._searched(part)
                 self._remember(parts, part, ids)
+            if end - start == len(stretch):
+                return ids
             out.extend(ids)
             start = end
         return tuple(out)
@@ -187,9 +193,40 @@ class Pieces:
                 memory.clear()
             memory[stretch] = ids
 
+    def _short(self, text: str) -> list[int]:
+        """What ``segments`` gives by the rule ``bpe``, for a text that fits into its window: no bounds, no scores."""
+        keeps, admits, shift = self.keeps, self._admits, self.shift
+        last: list = [START] + [None] * len(text)  # None: no piece ends here, a letter stands alone
+        back = [0] * (len(text) + 1)
+        for place, (size, piece) in self.found.iter(text):
+            end = place + 1
+            if last[end] is None:
+                start = end - size
+                before = last[start]
+                if before is None:
+                    before = -ord(text[start - 1])
+                kept = keeps.get((before << shift) + piece)
+                if kept or kept is None and admits(before, piece):
+                    last[end], back[end] = piece, start
+        out, end = [], len(text)
+        while end:
+            code = last[end]
+            if code is None:
+                end -= 1
+                out.append(-ord(text[end]))
+            else:
+                out.append(code)
+                end = back[end]
+        out.reverse()
+        return out
+
     def _searched(self, stretch: str) -> tuple[int, ...]:
+        short = self.rule == "bpe" and len(stretch) <= 4 * self.longest
+        codes = self._short(stretch) if short else self.segments(stretch)
+        if short and min(codes) >= 0:
+            return tuple(codes)
         out: list[int] = []
-        for code in self.segments(stretch):
+        for code in codes:
             if code >= 0:
                 out.append(code)
             elif self.byte_ids:
@@ -214,12 +251,14 @@ class Pieces:
         """Ids of a stretch of UTF-8 with plain blanks, and whether they decode to it; remembered."""
         found = self.checked.get(raw)
         if found is None:
-            text = raw.decode()
-            ids = self._ids(text.replace(" ", BLANK))
-            found = ids, self._plain(ids) == text
+            found = self.before.get(raw)  # what was asked for lately outlives what was not
+            if found is None:
+                text = raw.decode()
+                ids = self._ids(text.replace(" ", BLANK))
+                found = ids, self._plain(ids) == text
             if len(raw) <= 64:
-                if len(self.checked) >= MEMORY:
-                    self.checked.clear()
+                if len(self.checked) >= MEMORY // 2:
+                    self.before, self.checked = self.checked, {}
                 self.checked[raw] = found
         return found
 

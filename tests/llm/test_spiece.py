@@ -104,3 +104,16 @@ def test_query_on_tables(spark, sf_dir, library):
 
 def test_model_file_is_a_parameter():
     assert os.path.exists(TOKENIZER)
+
+
+def test_words_are_searched_without_a_window(model, library, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice(ALPHABET.replace("▁", "")) for _ in range(rnd.randint(1, 4 * model.longest))) for _ in range(800)]
+    words += ["漢" * 9, "thheorwh", "zuheiter", "\x01\x02", "é漢é"]
+    for word in words:
+        assert model._short(word) == list(model.segments(word))
+    monkeypatch.setattr(spiece.Pieces, "segments", None)
+    model.parts.clear()
+    for text in [*words, "Onlyblend ofentioned, anhaenin.\nTo"]:
+        if text and "  " not in text:
+            assert model._ids(("▁" + text).replace(" ", "▁")) == tuple(library.encode(text))
