@@ -73,7 +73,7 @@ def primary_key(tables: Tables) -> DataFrame:
     """Distinct keys, keys that occur more than once, and rows beyond the first of each key; natural keys as well."""
     n = F.col("n")
     return _stack([
-        spread(tables.get(name), tables.rows(name), *keys)
+        spread(tables.get(name), tables.about_rows(name), *keys)
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .agg(
             F.count(F.lit(1)).alias("keys"),

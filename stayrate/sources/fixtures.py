@@ -62,7 +62,7 @@ class FixtureTables(Tables):
             self._counted[name] = self.raw(name).count()
         return self._counted[name]
 
-    def rows(self, name: str) -> int:
+    def about_rows(self, name: str) -> int:
         """Bounded by the driver table that its rows come from."""
         return self.raw_rows(_ORIGINS[name])
 

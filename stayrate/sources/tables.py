@@ -27,7 +27,7 @@ class Tables:
             self._known[key] = self._read(name, since, until)
         return self._known[key]
 
-    def rows(self, name: str) -> int:
+    def about_rows(self, name: str) -> int:
         """About how many rows a table has, for dealing them into tasks; 0 where only reading it all would tell."""
         return 0
 
@@ -62,7 +62,7 @@ class StoredTables(Tables):
         super().__init__(spark)
         self.root, self.file_format, self.options = root.rstrip("/"), file_format, options
 
-    def rows(self, name: str) -> int:
+    def about_rows(self, name: str) -> int:
         return self.get(name).count() if self.file_format == "parquet" else 0
 
     def _read(self, name: str, since: date | None, until: date | None) -> DataFrame:
