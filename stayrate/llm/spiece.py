@@ -38,6 +38,8 @@ from pyspark.sql.functions import pandas_udf
 BLANK = "▁"
 START = -(1 << 30)
 MEMORY = 150_000
+#: The letters of one byte, blanks marked.
+LETTERS = [chr(i).replace(" ", BLANK) for i in range(128)]
 #: Bytes of text that are cut and gathered at once.
 PORTION = 2 << 20
 
@@ -57,6 +59,10 @@ class Pieces:
         self.value = {i: b for b, i in enumerate(byte_ids)}
         self.inside = {a + b for p in self.ids for a, b in pairwise(p)}
         crossed = any(pair[1] == BLANK != pair[0] for pair in self.inside)
+        # by two bytes of UTF-8 with plain blanks: both are letters, and these stand together in no piece
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = [[a + b not in self.inside for b in LETTERS] for a in LETTERS]
+        self.apart = self.apart.ravel()
         self.whole = crossed
         self.stretch = re.compile(r"(?s).+" if crossed else f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.of_id = dict(zip(self.ids.values(), self.scores.values()))
@@ -64,8 +70,8 @@ class Pieces:
         for piece, i in self.ids.items():
             self.found.add_word(piece, (len(piece), i))
         self.found.make_automaton()
-        self.shift = len(pieces).bit_length()
-        self.keeps: dict[int, bool] = {}  # by piece before and piece, in one number
+        self.keeps: dict[int, dict[int, bool]] = {}  # by piece before, by piece
+        self.kept = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.checked: dict[bytes, tuple[tuple[int, ...], bool]] = {}
         self.before: dict[bytes, tuple[tuple[int, ...], bool]] = {}
@@ -103,18 +109,27 @@ class Pieces:
         end = self._text(piece)
         parts = [end] if before == START else [self._text(before), end]
         kept = self.merge("".join(parts)) == parts
-        if len(self.keeps) >= 2 * MEMORY:
+        if self.kept >= 2 * MEMORY:
             self.keeps.clear()
-        self.keeps[(before << self.shift) + piece] = kept
+            self.kept = 0
+        self.kept += 1
+        self._kept_after(before)[piece] = kept
         return kept
 
+    def _kept_after(self, before: int) -> dict[int, bool]:
+        """What is known of the pieces that may follow this one."""
+        found = self.keeps.get(before)
+        if found is None:
+            found = self.keeps[before] = {}
+        return found
+
     def _text(self, code: int) -> str:
         return self.pieces[code] if code >= 0 else chr(-code)
 
     def segments(self, text: str) -> Iterator[int]:
         """Pieces of one stretch, sent on as soon as they are final: ids, or a letter without a piece as -ord."""
-        longest, bpe, keeps, scores, floor = self.longest, self.rule == "bpe", self.keeps, self.of_id, self.floor
-        base, shift, back, last, best = 0, self.shift, [0], [START], [0.0]
+        longest, bpe, scores, floor = self.longest, self.rule == "bpe", self.of_id, self.floor
+        base, back, last, best = 0, [0], [START], [0.0]
         open_at, start, code, top = 0, -1, 0, 0.0  # the position being filled, and the best way there so far
 
         def fill() -> None:
@@ -139,7 +154,7 @@ class Pieces:
             if bpe:
                 if start < 0:
                     before = last[at - base]
-                    kept = keeps.get((before << shift) + piece)
+                    kept = self._kept_after(before).get(piece)
                     if kept or kept is None and self._admits(before, piece):
                         start, code = at, piece
             else:
@@ -172,20 +187,23 @@ class Pieces:
         """Ids of a stretch, part by part between letters that stand together in no piece."""
         if not stretch:
             return ()
-        parts, out, start = self.parts, [], 0
+        out, start = [], 0
         together = map(self.inside.__contains__, map(add, stretch, stretch[1:]))
         for end in [*compress(range(1, len(stretch)), map(not_, together)), len(stretch)]:
-            part = stretch[start:end]
-            ids = parts.get(part)
-            if ids is None:
-                ids = self._searched(part)
-                self._remember(parts, part, ids)
+            ids = self._part(stretch[start:end])
             if end - start == len(stretch):
                 return ids
             out.extend(ids)
             start = end
         return tuple(out)
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._searched(part)
+            self._remember(self.parts, part, ids)
+        return ids
+
     @staticmethod
     def _remember(memory: dict[str, tuple[int, ...]], stretch: str, ids: tuple[int, ...]) -> None:
         if len(stretch) <= 64:
@@ -195,18 +213,23 @@ class Pieces:
 
     def _short(self, text: str) -> list[int]:
         """What ``segments`` gives by the rule ``bpe``, for a text that fits into its window: no bounds, no scores."""
-        keeps, admits, shift = self.keeps, self._admits, self.shift
+        admits, after = self._admits, self._kept_after
         last: list = [START] + [None] * len(text)  # None: no piece ends here, a letter stands alone
         back = [0] * (len(text) + 1)
+        follow = [after(START)] + [None] * len(text)  # what is known of the pieces after the one that ends here
         for place, (size, piece) in self.found.iter(text):
             end = place + 1
             if last[end] is None:
                 start = end - size
-                before = last[start]
-                if before is None:
-                    before = -ord(text[start - 1])
-                kept = keeps.get((before << shift) + piece)
-                if kept or kept is None and admits(before, piece):
+                known = follow[start]
+                if known is None:
+                    before = last[start]
+                    known = follow[start] = after(-ord(text[start - 1]) if before is None else before)
+                kept = known.get(piece)
+                if kept is None:
+                    before = last[start]
+                    kept = admits(-ord(text[start - 1]) if before is None else before, piece)
+                if kept:
                     last[end], back[end] = piece, start
         out, end = [], len(text)
         while end:
@@ -254,7 +277,8 @@ class Pieces:
             found = self.before.get(raw)  # what was asked for lately outlives what was not
             if found is None:
                 text = raw.decode()
-                ids = self._ids(text.replace(" ", BLANK))
+                part = text.replace(" ", BLANK)
+                ids = self._part(part) if raw.isascii() else self._ids(part)  # letters of one byte are cut already
                 found = ids, self._plain(ids) == text
             if len(raw) <= 64:
                 if len(self.checked) >= MEMORY // 2:
@@ -342,9 +366,10 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def encoded(pieces: Pieces, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Ids, their number, and whether decoding gives the text back, of a batch of texts.
 
-    The stretches of all texts are cut at blanks on the bytes of the batch and encoded as a dictionary: each distinct
-    stretch is searched and decoded once, and the texts' ids are gathered by stretch number. A text decodes to what its
-    stretches decode to, as none ends inside a letter's bytes.
+    The stretches of all texts are cut on the bytes of the batch, at blanks and between letters of one byte that stand
+    together in no piece, and encoded as a dictionary: each distinct stretch is searched and decoded once, and the texts'
+    ids are gathered by stretch number. A text decodes to what its stretches decode to, as none ends inside a letter's
+    bytes.
     """
     texts = texts.cast(pa.large_string())
     none = texts.is_null().to_numpy(zero_copy_only=False)
@@ -360,6 +385,7 @@ def encoded(pieces: Pieces, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Arr
     offsets = offsets - offsets[0]
     first = data == 32
     first[1:] &= ~first[:-1].copy()
+    first[1:] |= pieces.apart.take((data[:-1].astype(np.uint16) << 8) | data[1:])
     first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     starts = np.nonzero(first)[0]
     ends = np.append(starts, len(data)).astype(np.int64)

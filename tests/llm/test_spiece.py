@@ -117,3 +117,24 @@ def test_words_are_searched_without_a_window(model, library, monkeypatch):
     for text in [*words, "Onlyblend ofentioned, anhaenin.\nTo"]:
         if text and "  " not in text:
             assert model._ids(("▁" + text).replace(" ", "▁")) == tuple(library.encode(text))
+
+
+def test_batches_are_cut_where_no_piece_joins(library):
+    import pyarrow as pa
+
+    fresh = spiece.Pieces.load(TOKENIZER)
+    rnd = random.Random(6)
+    letters = ALPHABET.replace("▁", "") + "\x01,;'\"-_({Z9"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(2_000)] + [None, "", " ", " \n  a"]
+    ids, sizes, exact = spiece.encoded(fresh, pa.array(texts))
+    assert ids.to_pylist() == [None if t is None else library.encode(t) for t in texts]
+    assert sizes.to_pylist() == [None if t is None else len(library.encode(t)) for t in texts]
+    assert exact.to_pylist() == [None if t is None else True for t in texts]
+    # letters that no piece joins: each side is searched once, not each combination
+    left, right = ("the", "one", "with", "from", "then"), ("\x01this", "\x01that", "\x01some", "\x01more")
+    assert all(a[-1] + "\x01" not in fresh.inside for a in left)
+    fresh.checked.clear(), fresh.before.clear()
+    joined = [a + b for a in left for b in right]
+    ids, _, _ = spiece.encoded(fresh, pa.array(joined))
+    assert ids.to_pylist() == [library.encode(t) for t in joined]
+    assert len(fresh.checked) <= len(left) + len(right) + 1
