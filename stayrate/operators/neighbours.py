@@ -3,10 +3,13 @@
 Points are dealt to the nearest of a few pivots, crowded cells again to pivots of their own, until a cell has few
 points; every cell knows its centre and radius. A point's k nearest inside its own cell bound its search: only
 cells that come as near as that bound are visited, and they are found from the first pivots downwards, by their
-distances and radii. So the answer is exact, and each group of a task holds one cell and a batch of those it visits.
-Inside, a matrix product finds who may be near, and only these few distances are summed term by term. In many dimensions
-the bounds rule out little, and the products grow with the square of the points; cells are as large as they are so that
-this stays far below the cost of moving rows.
+distances and radii. So the answer is exact.
+
+Cells lying side by side make up a part, and a task's group holds the cells of one part that visit cells of another:
+every point travels at most twice as often as there are parts, however many cells there are, and a few parts do until
+one would hold more than ``BATCH_ROWS`` points. Inside, a matrix product finds who may be near, and only these few
+distances are summed term by term. In many dimensions the bounds rule out little, and the products grow with the square
+of the points.
 
 Equal points count once and carry their k + 1 smallest keys, which is all that any neighbour list can need, so that a
 dense heap of copies has no cell of its own size. Ties go to the smaller key.
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from stayrate.functions.ranking import spread
 from stayrate.session import cut
 
-#: Points of a cell, pivots of a split, points of a batch of visited cells.
-CELL_ROWS, FAN, BATCH_ROWS = 16_384, 16, 65_536
+#: Points of a cell, pivots of a split, points of a part at most (but for its last cell), and parts at least.
+CELL_ROWS, FAN, BATCH_ROWS, PARTS = 16_384, 16, 131_072, 6
 #: Distances held at a time, and those summed term by term at a time.
 BLOCK, FEW = 1 << 22, 1 << 16
 #: Bounds are compared with distances that were summed in another order.
@@ -158,6 +161,42 @@ def _visits(placed: DataFrame, bounds: DataFrame, nodes: DataFrame) -> DataFrame
     return every
 
 
+def _parts(sizes: DataFrame, batch_rows: int) -> DataFrame:
+    """(grp, cell, n, part): cells of a group in parts of about equal numbers of points, neighbours by path together."""
+    whole = W.partitionBy("grp")  # cells, not points
+    before = F.coalesce(F.sum("n").over(whole.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("n").over(whole)
+    parts = F.greatest(F.lit(PARTS), F.ceil(every / F.lit(batch_rows)))
+    return sizes.select("grp", "cell", "n", F.floor(before * parts / every).cast("int").alias("part"))
+
+
+class _Best:
+    """The nearest found so far of every guest; what cannot be among its k + 1 nearest any more is dropped."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.limit, self.k = bound.copy(), k
+        self.row, self.far, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)
+
+    def add(self, row: np.ndarray, far: np.ndarray, key: np.ndarray) -> None:
+        row, far, key = (np.concatenate(p) for p in ((self.row, row), (self.far, far), (self.key, key)))
+        order = np.lexsort((far, row))
+        row, far, key = row[order], far[order], key[order]
+        last = np.arange(len(row)) - np.searchsorted(row, row) == self.k
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], far[last])
+        good = far <= self.limit[row] * (1 + SLACK) + SLACK  # equally far ones are told apart by key, at the end
+        self.row, self.far, self.key = row[good], far[good], key[good]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``add`` got them, at most k + 1 of each guest, ties by key."""
+        if not len(self.row):
+            return self.row, self.far, self.key
+        order = np.lexsort((np.unique(self.key.astype(str) if isinstance(self.key[0], str) else self.key, return_inverse=True)[1],
+                            self.far, self.row))
+        row = self.row[order]
+        kept = order[np.arange(len(row)) - np.searchsorted(row, row) <= self.k]
+        return self.row[kept], self.far[kept], self.key[kept]
+
+
 def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FAN, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(grp, key, near): the keys of the k nearest other points of the same group, nearest first, ties by key.
 
@@ -182,27 +221,31 @@ def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FA
         bounds = cut(own.groupBy("grp", "cell", "pid").agg(
             F.when(full, F.max("d")).otherwise(F.max("wide")).alias("bound")))
         pairs = cut(_visits(placed, bounds, nodes))
-        sizes = cut(placed.groupBy("grp", F.col("cell").alias("other")).agg(F.count(F.lit(1)).alias("n")))
-        most = sizes.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-        batch = F.pmod(F.xxhash64("other"), F.lit(math.ceil(most / batch_rows)))
-        visits = pairs.select("grp", "cell", "other", batch.alias("batch"))
-        moved = visits.join(sizes, ["grp", "other"]).agg(F.sum("n")).first()[0] or 0
-        place = ["grp", "cell", "batch"]
-        guests = visits.select(*place).distinct().join(placed.join(bounds, ["grp", "cell", "pid"]), ["grp", "cell"]).select(
-            *place, "pid", "z", "bound")
-        hosts = visits.join(placed.select("grp", F.col("cell").alias("other"), "z", "keys"), ["grp", "other"])
-        hosts = hosts.select(*[F.col(c).alias(c) for c in (*place, "z", "keys")])  # columns of its own beside the guests'
+        sizes = cut(_parts(placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")), batch_rows))
+        own_part = sizes.select("grp", "cell", F.col("part").alias("guest"))
+        other_part = sizes.select("grp", F.col("cell").alias("other"), F.col("part").alias("host"), "n")
+        visits = pairs.join(own_part, ["grp", "cell"]).join(other_part, ["grp", "other"])
+        place = ["grp", "guest", "host"]
+        met_cells = visits.groupBy(*place, "other", "n").agg(F.concat_ws(",", F.collect_set("cell")).alias("visitors"))
+        moved = met_cells.agg(F.sum("n")).first()[0] or 0
+        guests = visits.select(*place, "cell").distinct().join(placed.join(bounds, ["grp", "cell", "pid"]), ["grp", "cell"]).select(
+            *place, "cell", "pid", "z", "bound")
+        hosts = met_cells.join(placed.select("grp", F.col("cell").alias("other"), "z", "keys"), ["grp", "other"])
+        hosts = hosts.select(*[F.col(c).alias(c) for c in (*place, "other", "visitors", "z", "keys")])  # columns of its own beside the guests'
 
         def across(visitors: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
             if visitors.empty or cells.empty:
                 return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("grp", "pid", "d", "key")})
-            limit = visitors["bound"].to_numpy()
-            row, far, key = _nearest(visitors, cells, k, limit)
-            good = far <= limit[row] * (1 + SLACK) + SLACK
+            best = _Best(visitors["bound"].to_numpy(), k)
+            for _, cell in cells.groupby("other"):
+                some = np.flatnonzero(visitors["cell"].isin(cell["visitors"].iloc[0].split(",")))
+                row, far, key = _nearest(visitors.iloc[some], cell, k, best.limit[some])
+                best.add(some[row], far, key)
+            row, far, key = best.found()
             return pd.DataFrame({
-                "grp": pd.Series(visitors["grp"].to_numpy(dtype=object)[row[good]], dtype=object),
-                "pid": pd.Series(visitors["pid"].to_numpy(dtype=object)[row[good]], dtype=object),
-                "d": far[good], "key": pd.Series(key[good], dtype=object)})
+                "grp": pd.Series(visitors["grp"].to_numpy(dtype=object)[row], dtype=object),
+                "pid": pd.Series(visitors["pid"].to_numpy(dtype=object)[row], dtype=object),
+                "d": far, "key": pd.Series(key, dtype=object)})
 
         met = spread(guests, moved, *place).groupBy(*place).cogroup(spread(hosts, moved, *place).groupBy(*place)).applyInPandas(
             across, f"grp {group}, pid {kind}, d double, key {kind}")

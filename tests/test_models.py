@@ -162,6 +162,18 @@ def test_neighbours_are_exact(spark, name):
     assert {k: v for (g, k), v in found.items() if g == 1} == brute_near(matrix[:40], keys[:40], 5)
 
 
+def test_points_travel_to_parts_not_to_every_cell(spark, monkeypatch):
+    """What the neighbour search moves does not grow with the number of cells; and stays exact."""
+    rng = np.random.RandomState(3)
+    matrix, moved, spread = rng.normal(size=(600, 12)), [], neighbours.spread
+    monkeypatch.setattr(neighbours, "spread", lambda df, rows, *keys: moved.append((rows, df.count())) or spread(df, rows, *keys))
+    keys = [f"P{i:04d}" for i in range(len(matrix))]
+    points = cut(spark.createDataFrame([(0, k, [float(v) for v in x]) for k, x in zip(keys, matrix)], "grp int, key string, z array<double>"))
+    found = {r.key: r.near for r in neighbours.nearest(points, 5, cell_rows=20, fan=4).collect()}
+    assert found == brute_near(matrix, keys, 5)
+    assert len(moved) == 2 and all(0 < n <= 7 * len(matrix) for row in moved for n in row)  # six parts
+
+
 def test_smote_survives_equal_rows(spark):
     """A third of the minority are copies of one row."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
