@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -27,9 +27,10 @@ KEY, LABEL = "customer_id", "churn_label"
 # fixed values: published hyper-parameters
 REGULARISATION_C = 0.1
 FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}
-#: Rows of a partition of a training table. Bagging draws per partition, so their number follows from the rows alone,
-#: not from the cluster.
-PARTITION_ROWS = 50_000
+#: Rows of a partition of a training table; from ``PARTITIONS`` of them on they grow up to the larger number first. Bagging
+#: draws per partition, so their number follows from the rows alone, not from the cluster. Every partition sends the
+#: statistics of all open nodes of a forest, far more than its own rows at the smaller size.
+PARTITION_ROWS, PARTITIONS, LARGE_PARTITION_ROWS = 50_000, 12, 500_000
 #: Fits of folds that run at the same time.
 AT_ONCE = 2
 MODELS = ["logistic", "forest", "gbt", "gbt_subsampled"]
@@ -57,7 +58,8 @@ def boosted(name: str, **overrides) -> boosting.Settings:
 def placed(train: DataFrame, rows: int) -> DataFrame:
     """The same rows in the same partitions and order, however they come: by a hash of the key."""
     hashed = F.xxhash64(KEY)
-    return train.repartition(max(2, math.ceil(rows / PARTITION_ROWS)), hashed).sortWithinPartitions(hashed, KEY)
+    parts = max(2, min(math.ceil(rows / PARTITION_ROWS), PARTITIONS), math.ceil(rows / LARGE_PARTITION_ROWS))
+    return train.repartition(parts, hashed).sortWithinPartitions(hashed, KEY)
 
 
 def fit(name: str, train: DataFrame, names: Sequence[str], **overrides) -> Model:
@@ -71,7 +73,11 @@ def fit(name: str, train: DataFrame, names: Sequence[str], **overrides) -> Model
         stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
     rows = train.count()
     stages.append(estimator(name, rows, **overrides))
-    return Pipeline(stages=stages).fit(placed(train, rows))
+    held = placed(train, rows).persist(StorageLevel.MEMORY_AND_DISK)  # a fit reads its rows several times
+    try:
+        return Pipeline(stages=stages).fit(held)
+    finally:
+        held.unpersist()
 
 
 def grown(rows: DataFrame, names: Sequence[str], limits, fits: Sequence[boosting.Fit], saved=(), save=lambda part: None) -> list[boosting.Ensemble]:

@@ -174,6 +174,24 @@ def test_points_travel_to_parts_not_to_every_cell(spark, monkeypatch):
     assert len(moved) == 2 and all(0 < n <= 7 * len(matrix) for row in moved for n in row)  # six parts
 
 
+def test_partitions_of_a_training_table_grow_before_they_multiply(frame):
+    parts = lambda rows: training.placed(frame, rows).rdd.getNumPartitions()
+    assert [parts(n) for n in (10, 50_001, 150_000, 600_000, 6_000_000, 12_000_000)] == [2, 2, 3, 12, 12, 24]
+
+
+def test_a_fit_deals_its_rows_once(spark, frame, monkeypatch):
+    dealt, placed = spark.sparkContext.accumulator(0), training.placed
+    monkeypatch.setattr(training, "placed", lambda train, rows: placed(train, rows).mapInPandas(count, train.schema))
+
+    def count(batches):
+        for batch in batches:
+            dealt.add(len(batch))
+            yield batch
+
+    training.fit("forest", frame, NAMES, numTrees=3, maxDepth=3)
+    assert dealt.value == frame.count()
+
+
 def test_smote_survives_equal_rows(spark):
     """A third of the minority are copies of one row."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
