@@ -41,6 +41,9 @@ from stayrate.session import cut, shared_folder
 BINS = 32
 #: Rows per block, rounds between checkpoints, rounds per saved part.
 TASK_ROWS, LINEAGE, CHUNK = 16_384, 20, 50
+#: Rounds between stored margins; until then the latest trees are added in the pass that counts, which is cheaper than a
+#: second Python stage and a store per round.
+PENDING = 2
 #: Blocks per task at most, and the number of tasks up to which the driver adds up their histograms itself.
 TASK_BLOCKS, FEW_TASKS = 16, 32
 UNIT = float(1 << 32)
@@ -209,6 +212,12 @@ def _advance(block: Block, trees: dict[int, Tree], fits: Sequence[Fit]) -> Block
     return block._replace(margin=margin)
 
 
+def _caught_up(block: Block, pending: Sequence[dict[int, Tree]], fits: Sequence[Fit]) -> Block:
+    for trees in pending:
+        block = _advance(block, trees, fits)
+    return block
+
+
 def _histograms(block: Block, fits: Sequence[Fit], wanted: dict[int, tuple[Tree, list[int]]], level: int, round_: int) -> np.ndarray:
     """Sums of rows, gradients and curvatures: (fit and node as listed) x 3 x features x bins."""
     width, parts, drawn = block.bins.shape[1], [], {}
@@ -395,12 +404,14 @@ def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(state)
     part: dict[int, list[Tree]] = {}
+    pending: list[dict[int, Tree]] = []
     last = max(f.settings.rounds for f in fits)
     for r in range(first, last):
         active = [t for t, f in enumerate(fits) if r < f.settings.rounds]
 
-        def aggregate(wanted, level, state=state, r=r):
-            sums = state.map(partial(_histograms, fits=fits, wanted=wanted, level=level, round_=r))
+        def aggregate(wanted, level, state=state, r=r, pending=tuple(pending)):
+            sums = state.map(partial(_caught_up, pending=pending, fits=fits)).map(
+                partial(_histograms, fits=fits, wanted=wanted, level=level, round_=r))
             return sums.reduce(np.add) if sums.getNumPartitions() <= FEW_TASKS else sums.treeReduce(np.add)
 
         grown = grow_round(fits, active, width, r, aggregate)
@@ -410,9 +421,11 @@ def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
         for t, tree in grown.items():
             trees[t].append(tree)
             part.setdefault(t, []).append(tree)
-        if r + 1 < last:
-            state = state.map(partial(_advance, trees=grown, fits=fits)).persist(StorageLevel.MEMORY_AND_DISK)
+        pending.append(grown)
+        if r + 1 < last and (len(pending) == PENDING or (r + 1) % LINEAGE == 0):
+            state = state.map(partial(_caught_up, pending=tuple(pending), fits=fits)).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(state)
+            pending = []
             if (r + 1) % LINEAGE == 0:
                 state.checkpoint()
         if (r + 1) % CHUNK == 0 or r + 1 == last:

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from stayrate.operators import boosting, training, treeshap
@@ -127,6 +128,19 @@ def test_a_broken_run_goes_on(spark, frame, monkeypatch):
     assert boosting.thawed(boosting.frozen(whole)).value.tolist() == whole.value.tolist()
 
 
+def test_margins_are_not_stored_every_round(spark, frame, monkeypatch):
+    """Latest trees are added while counting; when margins are stored changes no tree."""
+    fits = [boosting.Fit("gbt_subsampled", 0, training.boosted("gbt_subsampled", rounds=7))]
+    limits, rows, stored, persist = boosting.edges(frame, NAMES), frame.withColumn("groups", F.lit(1)), [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *level: stored.append(1) or persist(self, *level))
+    some = training.grown(rows, NAMES, limits, fits)[0]
+    assert len(stored) == 4  # the start, and after rounds 2, 4 and 6 of 7
+    for pending in (1, 5):
+        monkeypatch.setattr(boosting, "PENDING", pending)
+        other = training.grown(rows, NAMES, limits, fits)[0]
+        assert all((getattr(some, f) == getattr(other, f)).all() for f in ("feature", "threshold", "value", "cover"))
+
+
 def test_bins_are_limits_of_the_data(spark, frame):
     x, _ = table()
     for i, e in enumerate(boosting.edges(frame, NAMES)):
