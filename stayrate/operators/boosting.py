@@ -16,6 +16,9 @@ This is one of the few places with an RDD: margins live with their rows from lev
 plan each of some 1,500 levels anew. Lineage is cut by ``checkpoint()``; lost executors are recomputed from there. Trees
 are handed to ``save`` every ``CHUNK`` rounds, so that a broken run goes on where it stopped. The driver gets histograms,
 whose size depends on features, bins and open nodes alone.
+
+Several fits of up to ``OWN_ROWS`` rows are grown side by side instead, each in a task that holds its rows: no job and no
+exchange of histograms per level. Sums are whole either way, so both ways give the same trees.
 """
 
 from __future__ import annotations
@@ -47,6 +50,10 @@ PENDING = 2
 #: Blocks per task at most, and the number of tasks up to which the driver adds up their histograms itself.
 TASK_BLOCKS, FEW_TASKS = 16, 32
 UNIT = float(1 << 32)
+#: Rows up to which a fit is grown in a task of its own: sums of that many gradients are whole in a double.
+OWN_ROWS = 1 << 21
+#: Such a task counts features together that have so many bins in common at most, and so many rows at a time.
+JOINT, PASS_ROWS = 1024, 1 << 17
 
 
 class Settings(NamedTuple):
@@ -370,8 +377,126 @@ def thawed(text: str) -> Ensemble:
     return Ensemble(**{**d, **arrays, "names": tuple(d["names"])})
 
 
-def starts(blocks: RDD, fits: Sequence[Fit]) -> np.ndarray:
-    """Log-odds of each fit's own rows."""
+# ------------------------------------------------------------------------------ a fit in a task of its own
+def _together(sizes: Sequence[int]) -> list[list[int]]:
+    """Features by numbers of bins, dealt into groups whose bins in common are no more than JOINT."""
+    groups: list[list[int]] = []
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        fitting = (g for g in groups if math.prod(sizes[i] for i in g) * sizes[f] <= JOINT)
+        group = next(fitting, None)
+        if group is None:
+            groups.append([f])
+        else:
+            group.append(f)
+    return groups
+
+
+def _apart(sums: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """Histograms of each feature of a group from that of their bins in common, the last axis of ``sums``."""
+    if len(sizes) == 1:
+        return [sums]
+    half = len(sizes) // 2
+    square = sums.reshape(*sums.shape[:-1], math.prod(sizes[:half]), math.prod(sizes[half:]))
+    return _apart(square.sum(axis=-1), sizes[:half]) + _apart(square.sum(axis=-2), sizes[half:])
+
+
+class Own:
+    """All rows of one fit: bins, bins in common of groups of features, margins, and the nodes the rows stand at."""
+
+    def __init__(self, fit: Fit, start: float, key: np.ndarray, label: np.ndarray, bins: np.ndarray):
+        self.fit, self.key, self.label, self.bins = fit, key, label, bins
+        self.margin, self.node = np.full(len(key), start), np.zeros(len(key), np.int64)
+        tops = bins.max(axis=0).astype(int) + 1 if len(bins) else np.ones(bins.shape[1], int)
+        self.groups = []
+        for features in _together(tops.tolist()):
+            code = np.zeros(len(bins), np.uint16)
+            for f in features:
+                code *= np.uint16(tops[f])
+                code += bins[:, f]
+            self.groups.append((features, tops[features].tolist(), code))
+        self.passes = [slice(a, min(a + PASS_ROWS, len(key))) for a in range(0, len(key), PASS_ROWS)]
+
+    def step(self, tree: Tree) -> None:
+        """All rows go down one level."""
+        width, own = self.bins.shape[1], np.arange(len(tree.feature))
+        feature = np.maximum(tree.feature, 0).astype(np.int64)
+        children = np.where(tree.feature < 0, own, [2 * own + 1, 2 * own + 2]).T.ravel()
+        first = np.arange(min(len(self.key), PASS_ROWS)) * width
+        for some in self.passes:
+            node = self.node[some]
+            right = self.bins[some].ravel().take(first[: len(node)] + feature.take(node)) > tree.bin.take(node)
+            self.node[some] = children.take(2 * node + right)
+
+    def histograms(self, wanted: dict[int, tuple[Tree, list[int]]], level: int, round_: int) -> np.ndarray:
+        """What ``_histograms`` gives for the only fit; levels have to come in turn, from 0 on."""
+        (tree, nodes), = wanted.values()
+        if level:
+            self.step(tree)
+        else:
+            p, share = 1.0 / (1.0 + np.exp(-self.margin)), self.fit.settings.row_share
+            self.sums_of = np.rint((self.label - p) * UNIT), np.rint(p * (1 - p) * UNIT)
+            self.node[:] = 0
+            self.drawn = _unit(self.key, self.fit.salt, round_ + 1) < share if share < 1 else np.ones(len(self.key), bool)
+        slot = np.full(2 ** (level + 1), -1)
+        slot[np.array(nodes, dtype=np.int64)] = np.arange(len(nodes))
+        common = [np.zeros((3, len(nodes) * math.prod(sizes))) for _, sizes, _ in self.groups]
+        for some in self.passes:
+            own = slot.take(self.node[some])
+            at = np.flatnonzero((own >= 0) & self.drawn[some])
+            own, (g, h) = own.take(at), (v[some].take(at) for v in self.sums_of)
+            for (_, sizes, code), sums in zip(self.groups, common):
+                cells = own * math.prod(sizes)
+                cells += code[some].take(at)
+                for total, weights in zip(sums, (None, g, h)):
+                    total += np.bincount(cells, weights, minlength=len(total))
+        out = np.zeros((len(nodes), 3, self.bins.shape[1], BINS), np.int64)
+        for (features, sizes, _), sums in zip(self.groups, common):
+            for f, size, found in zip(features, sizes, _apart(sums.reshape(3, len(nodes), -1), sizes)):
+                out[:, :, f, :size] = found.swapaxes(0, 1)
+        return out
+
+    def advance(self, tree: Tree) -> None:
+        """Margins after a tree whose last level the rows have still to go down."""
+        self.step(tree)
+        self.margin += tree.value.take(self.node)
+
+    def grow(self, known: Sequence[Tree]) -> list[Tree]:
+        """Trees of all rounds; ``known`` are the first of them."""
+        trees = list(known)
+        for tree in trees:
+            self.margin += tree.value.take(descend(tree, self.bins, self.fit.settings.depth, np.arange(len(self.key))))
+        for r in range(len(trees), self.fit.settings.rounds):
+            tree = grow_round([self.fit], [0], self.bins.shape[1], r, partial(self.histograms, round_=r))[0]
+            self.advance(tree)
+            trees.append(tree)
+        return trees
+
+
+def _side_by_side(blocks: RDD, width: int, fits: Sequence[Fit], start: np.ndarray, known: dict[int, list[Tree]]) -> dict[int, list[Tree]]:
+    """Every fit in a task that gets the fit's rows; the longest begin first."""
+    order = sorted(range(len(fits)), key=lambda t: (-fits[t].settings.rounds * fits[t].settings.depth, t))
+
+    def deal(row):
+        block = _block(row, width, np.zeros(0))
+        for place, t in enumerate(order):
+            at = np.flatnonzero((block.groups >> fits[t].group) & 1)
+            if len(at):
+                yield place, (block.key[at].tobytes(), block.label[at].astype(np.int8).tobytes(), block.bins[at].tobytes())
+
+    def trees(place, held):
+        if place < len(order):
+            t, rows = order[place], [[b""] * 3, *(parts for _, parts in held)]
+            key, label, bins = (b"".join(p) for p in zip(*rows))
+            own = Own(fits[t], float(start[t]), np.frombuffer(key, np.uint64), np.frombuffer(label, np.int8),
+                      np.frombuffer(bins, np.uint8).reshape(-1, width))
+            yield t, own.grow(known[t])
+
+    dealt = blocks.flatMap(deal).partitionBy(len(order), lambda place: place)
+    return dict(dealt.mapPartitionsWithIndex(trees).collect())
+
+
+def starts(blocks: RDD, fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and number of each fit's own rows."""
     def count(row):
         groups, label = np.frombuffer(row["groups"], np.int64), np.frombuffer(row["label"], np.int8)
         own = [(groups >> f.group) & 1 == 1 for f in fits]
@@ -379,7 +504,8 @@ def starts(blocks: RDD, fits: Sequence[Fit]) -> np.ndarray:
 
     n, ones = blocks.map(count).treeReduce(np.add).T
     share = (ones + 0.5) / (n + 1.0)
-    return np.where((ones > 0) & (ones < n), np.log(np.maximum(ones, 1) / np.maximum(n - ones, 1)), np.log(share / (1 - share)))
+    odds = np.where((ones > 0) & (ones < n), np.log(np.maximum(ones, 1) / np.maximum(n - ones, 1)), np.log(share / (1 - share)))
+    return odds, n
 
 
 def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
@@ -387,16 +513,19 @@ def grow(blocks: DataFrame, width: int, fits: Sequence[Fit],
          ) -> tuple[dict[int, list[Tree]], np.ndarray]:
     """All ensembles together, from the blocks of ``packed``; and their start margins.
 
-    ``saved`` holds the parts of an earlier run, CHUNK rounds each; ``save`` gets every new part.
+    ``saved`` holds the parts of an earlier run, CHUNK rounds each; ``save`` gets every new part, but for fits side by side.
     """
     shared_folder(blocks.sparkSession)  # names the folder of checkpoint()
     raw = _dealt(blocks)
-    start = starts(raw, fits)
-    state = raw.map(partial(_block, width=width, start=start)).persist(StorageLevel.MEMORY_AND_DISK)
-    held, trees = [state], {t: [] for t in range(len(fits))}
+    start, rows = starts(raw, fits)
+    trees = {t: [] for t in range(len(fits))}
     for part in saved:
         for t, some in part.items():
             trees[t].extend(some)
+    if len(fits) > 1 and rows.max() <= OWN_ROWS:
+        return _side_by_side(raw, width, fits, start, trees), start
+    state = raw.map(partial(_block, width=width, start=start)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [state]
     for r in range(max(map(len, trees.values()), default=0)):
         state = state.map(partial(_advance, trees={t: trees[t][r] for t in trees if r < len(trees[t])}, fits=fits))
     first = len(saved) * CHUNK

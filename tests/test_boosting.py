@@ -201,3 +201,56 @@ def test_fits_of_one_model_share_their_draw(monkeypatch):
         tree.value[0] = t + 1.0
     moved = boosting._advance(block, trees, fits).margin
     assert all((moved[:, t] == (block.groups >> f.group & 1) * (t + 1.0)).all() for t, f in enumerate(fits))
+
+
+def test_several_fits_grow_side_by_side(spark, frame, monkeypatch):
+    """Fits in tasks of their own: no job and nothing stored per level, and the trees of the other way."""
+    fits = [boosting.Fit("gbt", 0, training.boosted("gbt", rounds=7)),
+            boosting.Fit("gbt_subsampled", 1, training.boosted("gbt_subsampled", rounds=9)),
+            boosting.Fit("gbt_subsampled", 2, training.boosted("gbt_subsampled", rounds=4))]  # of no rows
+    limits, rows = boosting.edges(frame, NAMES), frame.withColumn("groups", F.when(F.xxhash64("customer_id") % 3 == 0, 1).otherwise(3))
+    stored, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *level: stored.append(1) or persist(self, *level))
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    some = training.grown(rows, NAMES, limits, fits)
+    assert not stored
+    monkeypatch.setattr(boosting, "OWN_ROWS", 299)  # one row less than the larger fit has
+    other = training.grown(rows, NAMES, limits, fits)
+    assert stored
+    for a, b in zip(some, other):
+        assert a.start == b.start
+        assert all((getattr(a, f) == getattr(b, f)).all() for f in ("feature", "threshold", "value", "cover", "gain"))
+
+
+def test_a_broken_run_side_by_side_goes_on():
+    x, y = table()
+    bins, key = boosting.binned(x, [np.unique(np.quantile(c, np.linspace(0.1, 0.9, 9))) for c in x.T]), np.arange(300, dtype=np.uint64)
+    fit = boosting.Fit("gbt_subsampled", 0, training.boosted("gbt_subsampled", rounds=6))
+    whole = boosting.Own(fit, 0.1, key, y, bins).grow([])
+    again = boosting.Own(fit, 0.1, key, y, bins).grow(whole[:4])
+    assert len(again) == 6 and all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(whole, again))
+
+
+def test_features_counted_together_give_each_its_histogram(monkeypatch):
+    rng = np.random.RandomState(2)
+    tops = np.array([2, 2, 2, 5, 1, 32, 7, 3])
+    bins = (rng.random_sample((400, 8)) * tops).astype(np.uint8)
+    bins[0] = tops - 1
+    label, key, fit = (rng.random_sample(400) < 0.4).astype(np.int8), np.arange(400, dtype=np.uint64), boosting.Fit("gbt", 0, boosting.Settings(3, 0.1, 3))
+    for joint, rows in ((1, 1000), (32, 64), (1024, 150), (1024, 400)):
+        monkeypatch.setattr(boosting, "JOINT", joint)
+        monkeypatch.setattr(boosting, "PASS_ROWS", rows)
+        together = boosting._together(tops.tolist())
+        assert sorted(f for g in together for f in g) == list(range(8))
+        assert all(len(g) == 1 or np.prod(tops[g]) <= joint for g in together) and (joint < 1024 or len(together) == 2)
+        own = boosting.Own(fit, 0.2, key, label, bins)
+        block = boosting.Block(key, label.astype(float), np.ones(400, np.int64), bins, np.full((400, 1), 0.2))
+
+        def both(wanted, level):
+            sums = own.histograms(wanted, level, 0)
+            assert (sums == boosting._histograms(block, [fit], wanted, level, 0)).all()
+            return sums
+
+        tree = boosting.grow_round([fit], [0], 8, 0, both)[0]
+        own.advance(tree)
+        assert (own.margin == boosting._advance(block, {0: tree}, [fit]).margin[:, 0]).all()
