@@ -31,8 +31,11 @@ FOREST = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "featureSub
 #: draws per partition, so their number follows from the rows alone, not from the cluster. Every partition sends the
 #: statistics of all open nodes of a forest, far more than its own rows at the smaller size.
 PARTITION_ROWS, PARTITIONS, LARGE_PARTITION_ROWS = 50_000, 12, 500_000
-#: Fits of folds that run at the same time.
+#: Fits of folds that run at the same time at least; more where their partitions leave cores idle.
 AT_ONCE = 2
+#: Nodes of all rows in all trees of a forest (four bytes each) are kept from level to level up to this size; beyond it rows
+#: walk down their trees again at every level. The forest is the same.
+NODE_BYTES = 1 << 30
 MODELS = ["logistic", "forest", "gbt", "gbt_subsampled"]
 Model = PipelineModel | boosting.Ensemble
 
@@ -46,7 +49,9 @@ def estimator(name: str, rows: int, **overrides):
         }
         return LogisticRegression(**common, **{**params, **overrides})
     if name == "forest":
-        return RandomForestClassifier(**common, seed=SEED, **{**FOREST, **overrides})
+        params = {**FOREST, **overrides}
+        kept = 4 * rows * params["numTrees"] <= NODE_BYTES
+        return RandomForestClassifier(**common, seed=SEED, **{"cacheNodeIds": kept, **params})
     raise ValueError(f"unknown model {name!r}, expected one of {MODELS}")
 
 
@@ -55,11 +60,20 @@ def boosted(name: str, **overrides) -> boosting.Settings:
     return boosting.PUBLISHED[name]._replace(**overrides)
 
 
+def partitions(rows: int) -> int:
+    """Partitions of a training table of so many rows."""
+    return max(2, min(math.ceil(rows / PARTITION_ROWS), PARTITIONS), math.ceil(rows / LARGE_PARTITION_ROWS))
+
+
 def placed(train: DataFrame, rows: int) -> DataFrame:
     """The same rows in the same partitions and order, however they come: by a hash of the key."""
     hashed = F.xxhash64(KEY)
-    parts = max(2, min(math.ceil(rows / PARTITION_ROWS), PARTITIONS), math.ceil(rows / LARGE_PARTITION_ROWS))
-    return train.repartition(parts, hashed).sortWithinPartitions(hashed, KEY)
+    return train.repartition(partitions(rows), hashed).sortWithinPartitions(hashed, KEY)
+
+
+def at_once(spark: SparkSession, rows: int) -> int:
+    """Fits on so many rows that run at the same time: one more than have a core for each of their partitions."""
+    return max(AT_ONCE, 1 + spark.sparkContext.defaultParallelism // partitions(rows))
 
 
 def fit(name: str, train: DataFrame, names: Sequence[str], **overrides) -> Model:
@@ -176,8 +190,11 @@ def fold_scores(
 
         return keep(own, make)
 
-    with ThreadPool(AT_ONCE) as pool:
-        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), [(m, f) for m in models for f in range(folds)])
+    longest_first = sorted(models, key=lambda m: m != "forest")
+    rows = train.count() * (folds - 1) // folds + made.count() // folds
+    with ThreadPool(at_once(train.sparkSession, rows)) as pool:
+        tasks = [(m, f) for m in longest_first for f in range(folds)]
+        parts = pool.map(inheritable_thread_target(train.sparkSession)(one), tasks, 1)
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)

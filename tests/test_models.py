@@ -192,6 +192,21 @@ def test_a_fit_deals_its_rows_once(spark, frame, monkeypatch):
     assert dealt.value == frame.count()
 
 
+def test_a_forest_keeps_the_nodes_of_its_rows(spark, frame, monkeypatch):
+    """Kept up to a bound, as rows would else walk down every tree at every level; the forest is the same."""
+    kept = training.estimator("forest", 600_000)
+    assert kept.getCacheNodeIds() and not training.estimator("forest", 1 + training.NODE_BYTES // 800).getCacheNodeIds()
+    a = training.fit("forest", frame, NAMES, numTrees=5)
+    monkeypatch.setattr(training, "NODE_BYTES", 0)
+    b = training.fit("forest", frame, NAMES, numTrees=5)
+    assert a.stages[-1].toDebugString.split("\n", 1)[1] == b.stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_fits_at_the_same_time_fill_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert training.at_once(spark, 1000) == max(2, 1 + cores // 2) and training.at_once(spark, 10_000_000) == 2
+
+
 def test_smote_survives_equal_rows(spark):
     """A third of the minority are copies of one row."""
     rows = [(f"m{i:03d}", 1.0 if i < 60 else i / 50, 2.0 if i < 60 else (i * 37 % 100) / 10, 1) for i in range(180)]
