@@ -104,9 +104,13 @@ class ModelRun:
                 known += 1
 
             found = training.grown(self._boosted_rows(missing), self.names, self.limits, fits, parts, save)
-            for m, e in zip(missing, found):
-                self._saved(path(m), lambda e=e: boosting.frozen(e))
-        return {m: boosting.thawed(self._saved(path(m), dict)) for m in wanted}
+            self._each(lambda of: self._saved(path(of[0]), lambda: boosting.frozen(of[1])), list(zip(missing, found)))
+        return dict(zip(wanted, self._each(lambda m: boosting.thawed(self._saved(path(m), dict)), wanted)))
+
+    def _each(self, do: Callable[[object], object], of: Sequence[object]) -> list:
+        """Small parts side by side: each is a write or read of its own."""
+        with ThreadPool(min(8, len(of))) as pool:
+            return pool.map(inheritable_thread_target(self.tables.spark)(do), of, 1)
 
     def _boosted_rows(self, wanted: Sequence[tuple[str, int]]) -> DataFrame:
         """Only the rows and bits of the fits that are wanted: a single model needs no folds."""
