@@ -314,6 +314,17 @@ def test_linear_contributions_add_up(frame, fitted):
         assert 1 / (1 + math.exp(-row.margin)) == pytest.approx(row.probability, abs=1e-9)
 
 
+def test_the_plan_of_linear_contributions_stays_small(spark, frame):
+    """Under a join Spark lists what is known of the columns: once per feature, not once per subset of them."""
+    names = [f"x{i}" for i in range(12)]
+    wide = cut(frame.select("customer_id", "churn_label", *[(F.col(NAMES[i % 3]) * (i + 1) + i).alias(n) for i, n in enumerate(names)]))
+    found = treeshap.linear_model_contributions(training.fit("logistic", wide, names), wide, names)
+    assert found._jdf.queryExecution().optimizedPlan().validConstraints().size() < 100
+    joined = frame.select("customer_id", "adoption").join(found, "customer_id").collect()
+    assert len(joined) == 400
+    assert all(r.margin == pytest.approx(r.base_value + sum(r[n] for n in names), abs=1e-9) for r in joined)
+
+
 def test_cross_validation_reports_every_fold(frame):
     rows = training.cross_validate(["logistic"], frame, NAMES, folds=3).collect()
     assert sorted(r.fold for r in rows) == [0, 1, 2] and all(r.auc_roc > 0.6 for r in rows)
